@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sketch_dedup
+from . import language_id, packing, sketch_dedup, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,5 +16,19 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch_dedup.near_duplicates(_read(spark, sf_dir, "documents"), threshold=0.85)
 
 
-QUERIES = {f.__name__: f for f in (op4_near_dedup,)}
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_read(spark, sf_dir, "documents"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), size=1024, end_id=2)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op4_near_dedup, op7_language_id, op9_packing, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}

@@ -14,6 +14,10 @@ _BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
 _BYTE[list(_SPACES)] = 0
 _SPACE = np.zeros(256, bool)
 _SPACE[list(_SPACES)] = True
+#: The same with ASCII punctuation and digits as separators too.
+_WORD_BYTE, _WORD_SPACE = _BYTE.copy(), _SPACE.copy()
+_WORD_SPACE[:65] = _WORD_SPACE[91:97] = _WORD_SPACE[123:128] = True
+_WORD_BYTE[_WORD_SPACE] = 0
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = _RNG.integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LENGTH = np.uint64(0xD6E8FEB86659FD93)
@@ -34,15 +38,16 @@ def _powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def _hash_bytes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _hash_bytes(raw: bytes, letters: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words in raw, and where each starts."""
+    value, space = (_WORD_BYTE, _WORD_SPACE) if letters else (_BYTE, _SPACE)
     buf = np.frombuffer(raw, np.uint8)
-    solid = ~_SPACE[buf]
+    solid = ~space[buf]
     starts = np.flatnonzero(solid & np.concatenate(([True], ~solid[:-1])))
     if not len(starts):
         return np.empty(0, np.uint64), starts
     place = np.arange(starts[0], len(buf)) - np.repeat(starts, np.diff(starts, append=len(buf)))
-    terms = _BYTE[buf[starts[0] :]] * _powers(int(place.max()) + 1)[place]
+    terms = value[buf[starts[0] :]] * _powers(int(place.max()) + 1)[place]
     return mix(np.add.reduceat(terms, starts - starts[0])), starts
 
 
@@ -58,14 +63,15 @@ def _parts(raw: bytes) -> Iterator[bytes]:
     yield raw[at:]
 
 
-def words(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
-    """For each text the hashes of its words ``[^\\x20\\x09-\\x0D]+`` in order, A-Z lower-cased; null: none."""
+def words(texts: Iterable[str | None], letters: bool = False) -> Iterator[np.ndarray]:
+    """For each text the hashes of its words ``[^\\x20\\x09-\\x0D]+`` in order, A-Z lower-cased; null: none.
+    ``letters``: ASCII other than letters separates words too."""
     held: list[bytes] = []
     size = 0
 
     def flush() -> Iterator[np.ndarray]:
         if held:
-            hashes, starts = _hash_bytes(b"\n".join(held))
+            hashes, starts = _hash_bytes(b"\n".join(held), letters)
             ends = np.cumsum([len(x) + 1 for x in held])
             yield from np.split(hashes, np.searchsorted(starts, ends[:-1]))
             held.clear()
@@ -75,7 +81,7 @@ def words(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         if len(raw) > SEGMENT:
             yield from flush()
             size = 0
-            yield np.concatenate([_hash_bytes(p)[0] for p in _parts(raw)])
+            yield np.concatenate([_hash_bytes(p, letters)[0] for p in _parts(raw)])
             continue
         held.append(raw)
         size += len(raw) + 1
