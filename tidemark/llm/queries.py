@@ -5,13 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, fingerprint, language_id, packing, sketch_dedup, toxicity
+from . import chat_format, embedding_dedup, fingerprint, language_id, packing, sketch_dedup, toxicity, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: The contract's rules.
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = url_filter.train(url_filter.labelled_urls(spark))
+    judged = url_filter.judge(_read(spark, sf_dir, "pages").select("page_id", "url"), [url_filter.Rule(*r) for r in URL_RULES], weights)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "block_score")
+
+
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch_dedup.near_duplicates(_read(spark, sf_dir, "documents"), threshold=0.85)
 
@@ -41,5 +55,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op4_near_dedup, op5_chat_format, op6_fingerprint, op7_language_id, op9_packing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op3_embedding_dedup, op4_near_dedup, op5_chat_format, op6_fingerprint, op7_language_id, op9_packing, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {"op5_chat_format": chat_format.ORACLE_SQL, "op6_fingerprint": fingerprint.ORACLE_SQL}
