@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, embedding_dedup, fingerprint, language_id, packing, sketch_dedup, toxicity, url_filter
+from . import chat_format, embedding_dedup, fingerprint, language_id, packing, piece_codec, quality, sketch_dedup, toxicity, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,6 +22,12 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "block_score")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return piece_codec.round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"), threshold=0.95)
 
@@ -45,6 +51,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_read(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -55,5 +65,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op3_embedding_dedup, op4_near_dedup, op5_chat_format, op6_fingerprint, op7_language_id, op9_packing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_sentencepiece, op3_embedding_dedup, op4_near_dedup, op5_chat_format, op6_fingerprint, op7_language_id, op8_quality, op9_packing, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {"op5_chat_format": chat_format.ORACLE_SQL, "op6_fingerprint": fingerprint.ORACLE_SQL}
