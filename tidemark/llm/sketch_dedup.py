@@ -8,11 +8,13 @@ may reach the threshold is verified on the full sets.
 
 Links must not be lost and a bucket's pairs must not be listed, as one group may hold a third of all rows. Therefore:
 1. equal sets collapse into one representative (partial aggregation first);
-2. each member of a bucket is compared with the bucket's pivot only, and verified links give first components;
-3. what is left in a bucket outside of its largest component is compared with the members of other components, in
-   blocks of ``BLOCK`` sketches on each side, and only pairs that pass the likelihood test leave the task.
-A pair within one component needs no comparison: components are the result. A pair at the threshold s shares a bucket
-but for a probability of (1 - s**ROWS)**BANDS: 2e-8 at 0.85, 3e-6 at 0.8.
+2. each member of a bucket is compared with the bucket's pivot only, by likelihood: what may link gets one label;
+3. members of buckets that still hold several labels are compared across labels, in blocks of ``BLOCK`` sketches on
+   each side; a task returns a spanning forest of what may link. Now any two that share a bucket and may link have the
+   same label, and a label's members are a family;
+4. families are verified on full sets, large ones block against block, and a task returns a spanning forest of the links.
+So what leaves a task grows with the members, never with their pairs. Components of the links are the result. A pair at
+the threshold s shares a bucket but for a probability of (1 - s**ROWS)**BANDS: 2e-8 at 0.85, 3e-6 at 0.8.
 """
 
 from __future__ import annotations
@@ -108,46 +110,95 @@ def _estimated(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame
     return pairs.join(side("src"), "src").join(side("dst"), "dst").mapInPandas(run, "src long, dst long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """Of the pairs (src, dst) those whose full sets reach the threshold. Shingles are hashed again from the texts of
-    the documents concerned alone, which is less than to keep or move all sets."""
-    ids = pairs.select(F.col("src").alias("doc_id")).union(pairs.select("dst")).distinct()
+class _Forest:
+    """Edges that join what was not joined before."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"id": batch["doc_id"], "items": [T.shingles(h).view(np.int64) for h in T.words(batch["text"])]})
+    def __init__(self, n: int):
+        self.up, self.edges = list(range(n)), []
 
-    full = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi").mapInPandas(run, "id long, items array<long>")
-    full = cut(full.dropDuplicates(["id"]))
-    a, b = full.select(F.col("id").alias("src"), F.col("items").alias("a")), full.select(F.col("id").alias("dst"), F.col("items").alias("b"))
-    both = F.size(F.array_intersect("a", "b"))
-    per = int(round(threshold * 100))
-    return pairs.join(a, "src").join(b, "dst").filter(100 * both >= per * (F.size("a") + F.size("b") - both)).select("src", "dst")
+    def root(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = i = self.up[self.up[i]]
+        return i
+
+    def join(self, i: int, j: int) -> None:
+        a, b = self.root(i), self.root(j)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+            self.edges.append((i, j))
+
+
+def _near(regs: np.ndarray, n: np.ndarray, row: int, others: np.ndarray, threshold: float) -> np.ndarray:
+    """Those of the rows ``others`` that may link with ``row``. Equal registers are counted first: fewer than the
+    likelihood test could pass need no test."""
+    others = others[np.minimum(n[others], n[row]) >= threshold * np.maximum(n[others], n[row]) - 1e-9]
+    others = others[(regs[others] == regs[row]).sum(axis=1) >= 0.5 * threshold * REGISTERS]
+    if not len(others):
+        return others
+    theirs, mine = regs[others], regs[row]
+    return others[may_link((theirs < mine).sum(1), (theirs > mine).sum(1), np.full(len(others), n[row]), n[others], threshold)]
 
 
-def _compared(members: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (src, dst) of different components that may link, of members (key, rep, label, n, regs, rest, blocks,
-    rest_blocks). Groups are blocks of a large bucket, or many small buckets together."""
+def _across_labels(members: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (src, dst) of different labels that may link, as spanning forests, of members (key, rep, label, n, regs,
+    rest, blocks, rest_blocks). A task has a block of a large bucket, or many small buckets together."""
     sides = members.withColumns({"yb": F.when(F.col("rest"), F.pmod(F.xxhash64("rep"), "rest_blocks")), "mb": F.pmod(F.xxhash64("rep", F.lit(1)), "blocks")})
     ys = sides.filter("rest").withColumns({"side": F.lit(0), "mb": F.explode(F.expr("sequence(0L, blocks - 1)"))})
     ms = sides.withColumns({"side": F.lit(1), "yb": F.explode(F.expr("sequence(0L, rest_blocks - 1)"))})
-    both = ys.unionByName(ms).withColumn("task", F.when(F.col("blocks") + F.col("rest_blocks") > 2, F.xxhash64("key", "yb", "mb")).otherwise(F.pmod("key", F.lit(4096))))
+    both = ys.unionByName(ms).withColumn("task", F.when(F.col("blocks") + F.col("rest_blocks") > 2, F.xxhash64("key", "yb", "mb")).otherwise(F.pmod("key", F.lit(256))))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         regs = np.frombuffer(b"".join(group["regs"]), "<u2").reshape(-1, REGISTERS)
         rep, label, n, side = (group[c].to_numpy() for c in ("rep", "label", "n", "side"))
+        _, at_label = np.unique(label, return_inverse=True)
+        forest = _Forest(len(group))
         out = []
         for at in group.groupby(["key", "yb", "mb"], sort=False).indices.values():
             y, m = at[side[at] == 0], at[side[at] == 1]
             for row in y:
-                near = m[(label[m] != label[row]) & (np.minimum(n[m], n[row]) >= threshold * np.maximum(n[m], n[row]) - 1e-9)]
+                for other in _near(regs, n, row, m[label[m] != label[row]], threshold):
+                    before = len(forest.edges)
+                    forest.join(at_label[row], at_label[other])
+                    if len(forest.edges) > before:
+                        out.append((rep[row], rep[other]))
+        return pd.DataFrame(out, columns=["src", "dst"])
+
+    return both.groupBy("task").applyInPandas(run, "src long, dst long")
+
+
+def _verified(families: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """Spanning forests (src, dst) of the links within families (rep, label, n, regs), on full sets. Texts are moved
+    and hashed again, as they are half as large as the sets of hashes."""
+    sizes = families.groupBy("label").agg(F.count("*").alias("size"))
+    placed = families.join(sizes, "label").filter("size > 1").withColumn("blocks", F.ceil(F.col("size") / F.lit(BLOCK)).cast("long"))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("rep", F.lit(2)), "blocks"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(placed.select("rep", "label", "n", "regs", "own", "blocks"), "rep").dropDuplicates(["rep"])
+    met = texts.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")})
+    met = met.withColumn("task", F.when(F.col("blocks") > 1, F.xxhash64("label", "a", "b")).otherwise(F.pmod(F.xxhash64("label"), F.lit(1024))))
+    per = int(round(threshold * 100))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        sets = [T.shingles(h) for h in T.words(group["text"])]
+        regs = np.frombuffer(b"".join(group["regs"]), "<u2").reshape(-1, REGISTERS)
+        rep, own = group["rep"].to_numpy(), group["own"].to_numpy()
+        n = np.array([len(x) for x in sets])
+        forest = _Forest(len(group))
+        for at in group.groupby(["label", "a", "b"], sort=False).indices.values():
+            one_block = len(np.unique(own[at])) == 1
+            for k, row in enumerate(at):
+                others = at[k + 1 :] if one_block else at[k + 1 :][own[at[k + 1 :]] != own[row]]
+                near = _near(regs, n, row, others, threshold)
+                near = near[[forest.root(x) != forest.root(row) for x in near]] if len(near) else near
                 if len(near):
-                    mine, theirs = regs[row], regs[near]
-                    keep = near[may_link((theirs < mine).sum(1), (theirs > mine).sum(1), np.full(len(near), n[row]), n[near], threshold)]
-                    out += [(min(rep[row], x), max(rep[row], x)) for x in rep[keep]]
-        return pd.DataFrame(out, columns=["src", "dst"]).drop_duplicates()
+                    sizes = n[near]
+                    flat = np.concatenate([sets[x] for x in near])
+                    where = np.minimum(np.searchsorted(sets[row], flat), n[row] - 1)
+                    both = np.add.reduceat((sets[row][where] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+                    for x in near[100 * both >= per * (n[row] + sizes - both)]:
+                        forest.join(row, x)
+        return pd.DataFrame([(rep[i], rep[j]) for i, j in forest.edges], columns=["src", "dst"])
 
-    return both.groupBy("task").applyInPandas(run, "src long, dst long").distinct()
+    return met.groupBy("task").applyInPandas(run, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -164,18 +215,20 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     pivots = bands.groupBy("key").agg(F.count("*").alias("members"), F.min_by("rep", F.xxhash64("rep")).alias("pivot")).filter("members > 1")
     buckets = cut(bands.join(pivots, "key"))
     star = buckets.filter("rep != pivot").select(F.least("rep", "pivot").alias("src"), F.greatest("rep", "pivot").alias("dst")).distinct()
-    first = cut(_verified(cut(_estimated(star, reps, threshold)), docs, threshold))
-    parts = connected_components(first).select(F.col("id").alias("rep"), F.col("component").alias("label"))
+    near = cut(_estimated(star, reps, threshold))
+    labels = connected_components(near).select(F.col("id").alias("rep"), F.col("component").alias("label"))
 
-    labelled = buckets.select("key", "rep").join(parts, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    labelled = buckets.select("key", "rep").join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     by_label = labelled.groupBy("key", "label").agg(F.count("*").alias("c"))
     mixed = by_label.groupBy("key").agg(F.count("*").alias("labels"), F.sum("c").alias("members"), F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("most")).filter("labels > 1")
     blocks = lambda c: F.ceil(c / F.lit(BLOCK)).cast("long")
     members = labelled.join(mixed, "key").select("key", "rep", "label", (F.col("label") != F.col("main")).alias("rest"), blocks(F.col("members")).alias("blocks"), blocks(F.col("members") - F.col("most")).alias("rest_blocks"))
-    more = cut(_compared(members.join(reps.select("rep", "n", "regs"), "rep"), threshold))
-    second = _verified(more, docs, threshold)
+    more = cut(_across_labels(members.join(reps.select("rep", "n", "regs"), "rep"), threshold))
+
+    families = connected_components(near.union(more)).select(F.col("id").alias("rep"), F.col("component").alias("label"))
+    links = _verified(families.join(reps.select("rep", "n", "regs"), "rep"), docs, threshold)
 
-    linked = connected_components(first.union(second)).select(F.col("id").alias("rep"), "component")
+    linked = connected_components(links).select(F.col("id").alias("rep"), "component")
     of_set = reps.select(*name, "rep").join(linked, "rep", "left").select(*name, F.coalesce("component", "rep").alias("c"))
     out = known.join(of_set, name, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
