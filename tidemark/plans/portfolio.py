@@ -192,15 +192,17 @@ class Result:
 
 
 def evaluate(prices: DataFrame, targets: DataFrame, config: Config, carry_overnight_on_skip: bool = False) -> Result:
-    """All results of all runs in ``targets`` (with run_id); raises if the period has no session."""
+    """All results of all runs in ``targets`` (with run_id); raises if the period has no session. What several results
+    need is persisted: it grows with the targets and the days they are held, not with the price table."""
     own = within(prices, config).select("date", "symbol", "open", "open_hfq", "close_hfq")
-    days = sessions(own, config)
+    days = sessions(own, config).persist()
     if days.isEmpty():
         raise ValueError("the period has no session")
-    plan = plans(targets, days)
-    held = weights(targets, plan, own)
-    done = executions(plan, held, own)
-    paths = holding_paths(done, held, own, days, carry_overnight_on_skip)
-    moved = rebalances(done, held, paths)
+    targets = targets.persist()
+    plan = plans(targets, days).persist()
+    held = weights(targets, plan, own).persist()
+    done = executions(plan, held, own).persist()
+    paths = holding_paths(done, held, own, days, carry_overnight_on_skip).persist()
+    moved = rebalances(done, held, paths).persist()
     level = levels(done, moved, held, config)
     return Result(daily_nav(level, paths, days, targets, config), trades(done, moved, level, paths, own, config), done, paths, moved, level)

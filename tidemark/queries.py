@@ -310,10 +310,10 @@ _FACTOR_SQL = {
 _FACTOR_PANEL = f"{_PANEL}, rets AS (SELECT *, close_hfq / lag(close_hfq) OVER (PARTITION BY symbol ORDER BY date) - 1 AS ret, row_number() OVER (PARTITION BY symbol ORDER BY date) AS listing_days FROM panel), fpanel AS (SELECT date, symbol, listing_days, {', '.join(f'{v} AS {k}' for k, v in _FACTOR_SQL.items())} FROM rets)"
 
 
-@query(f"{_FACTOR_PANEL} SELECT date, symbol, {', '.join(f'round({k}, 8) AS {k}' for k in _FACTOR_SQL)} FROM fpanel")
+@query(f"{_FACTOR_PANEL} SELECT date, symbol, {', '.join(f'round({k}, 8) AS {k}' if k.startswith('price') else k for k in _FACTOR_SQL)} FROM fpanel")
 def factor_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = list(_FACTOR_SQL)
-    return factors.calculate(_panel(spark, sf_dir), names).select("date", "symbol", *(F.round(n, 8).alias(n) for n in names))
+    return factors.calculate(_panel(spark, sf_dir), names).select("date", "symbol", *(F.round(n, 8).alias(n) if n.startswith("price") else n for n in names))
 
 
 def _ranked_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -372,11 +372,11 @@ def targets_momentum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_momentum(spark, sf_dir))
 
 
-@query(f"""{_FACTOR_PANEL}, {_ENDS.format(p="fpanel")}, ok AS (SELECT *, valuation_pe_ttm AS pe, valuation_pb AS pb FROM fpanel WHERE date IN (SELECT date FROM ends) AND date >= DATE '{START}' AND listing_days >= 250 AND valuation_pe_ttm IS NOT NULL AND valuation_pb IS NOT NULL AND quality_roe_weighted > 0.5 AND quality_operating_cashflow_ratio > 0 AND price_trend_above_ma_120d > 0),
+@query(f"""{_FACTOR_PANEL}, {_ENDS.format(p="fpanel")}, ok AS (SELECT *, valuation_pe_ttm AS pe, valuation_pb AS pb FROM fpanel WHERE date IN (SELECT date FROM ends) AND date >= DATE '{START}' AND listing_days >= 250 AND valuation_pe_ttm IS NOT NULL AND valuation_pb IS NOT NULL AND quality_roe_weighted > 0 AND quality_operating_cashflow_ratio > 0 AND price_trend_above_ma_120d > 0),
 pct AS (SELECT *, {", ".join(f"(rank() OVER (PARTITION BY date ORDER BY {c}) + (count(*) OVER (PARTITION BY date, {c}) - 1) / 2) / count(*) OVER (PARTITION BY date) AS {c}_pct" for c in ("pe", "pb"))} FROM ok),
-ranked AS (SELECT date, symbol, pe_pct + pb_pct AS score, row_number() OVER (PARTITION BY date ORDER BY pe_pct + pb_pct, symbol) AS rank FROM pct WHERE pe_pct <= 0.6 AND pb_pct <= 0.6) {_TARGETS.format(n=10)}""")
+ranked AS (SELECT date, symbol, pe_pct + pb_pct AS score, row_number() OVER (PARTITION BY date ORDER BY pe_pct + pb_pct, symbol) AS rank FROM pct WHERE pe_pct <= 0.8 AND pb_pct <= 0.8) {_TARGETS.format(n=10)}""")
 def targets_quality_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(strategies.quality_value_targets(_panel(spark, sf_dir), START, {"holding_count": 10, "min_roe": 0.5, "pe_pb_percentile": 0.6}))
+    return _rounded(strategies.quality_value_targets(_panel(spark, sf_dir), START, {"holding_count": 10, "min_roe": 0.0, "pe_pb_percentile": 0.8}))
 
 
 _WEIGHTS = strategies.normalized_weights(None)
@@ -453,11 +453,11 @@ def run_turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.turnover(r.daily_nav, r.trades)
 
 
-_BENCH = f"WITH days AS (SELECT DISTINCT date FROM daily_kline WHERE date BETWEEN DATE '{START}' AND DATE '{END}'), b AS (SELECT d.date, p.px FROM days d ASOF LEFT JOIN (SELECT date, CAST(px AS DOUBLE) AS px FROM benchmark_bars) p ON d.date >= p.date), nav AS (SELECT date, px / first_value(px IGNORE NULLS) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) * 1000000.0::DOUBLE AS benchmark_nav FROM b)"
+_BENCH = f"WITH days AS (SELECT DISTINCT date FROM daily_kline WHERE date BETWEEN DATE '{START}' AND DATE '{END}'), b AS (SELECT d.date, p.px FROM days d ASOF LEFT JOIN (SELECT date, px FROM benchmark_bars) p ON d.date >= p.date), nav AS (SELECT date, px / first_value(px IGNORE NULLS) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) * 1000000.0::DOUBLE AS benchmark_nav FROM b)"
 
 
 def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prices = _t(spark, sf_dir, "benchmark_bars").select("date", F.col("px").cast("double").alias("close_hfq"))
+    prices = _t(spark, sf_dir, "benchmark_bars").select("date", F.col("px").alias("close_hfq"))
     return portfolio.benchmark_nav(portfolio.sessions(_t(spark, sf_dir, "daily_kline"), CONFIG), prices, CONFIG)
 
 

@@ -57,7 +57,7 @@ CTES = {
   FROM {supplier} WHERE s_suppkey % 5 <> 4""",
     "incoming_stocks": """SELECT lpad(CAST(s_suppkey AS STRING), 6, '0') AS symbol, CASE WHEN s_suppkey % 3 = 0 THEN s_name || ' A' ELSE s_name END AS name
   FROM {supplier} WHERE s_suppkey % 7 <> 6""",
-    "benchmark_bars": """SELECT '510300' AS symbol, date, CAST(sum(CAST(amount AS DECIMAL(18,2))) / sum(CAST(volume * 100 AS DECIMAL(18,2))) AS DECIMAL(18,4)) AS px
+    "benchmark_bars": """SELECT '510300' AS symbol, date, CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) / CAST(sum(CAST(volume * 100 AS DECIMAL(18,2))) AS DOUBLE) AS px
   FROM daily_kline WHERE day(date) % 9 <> 0 GROUP BY date""",
 }
 
