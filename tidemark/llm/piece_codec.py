@@ -16,6 +16,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -141,16 +142,12 @@ def codec(path: str) -> Codec:
 def encode(docs: DataFrame, model: str) -> DataFrame:
     """All columns of docs (with a column text) and ``ids``, an array<int>; null texts have null ids, empty ones none."""
 
-    @F.pandas_udf("binary")
+    @F.pandas_udf("array<int>")
     def ids(texts: pd.Series) -> pd.Series:
         own = codec(model)
-        return pd.Series([None if t is None else own.encode(t) for t in texts], dtype=object)
+        return pd.Series([None if t is None else np.frombuffer(own.encode(t), "<i4") for t in texts], dtype=object)
 
-    packed = docs.withColumn("_ids", ids("text"))
-    n = (F.length("_ids") / 4).cast("int")
-    hexed = F.hex("_ids")
-    one = lambda i: F.conv(F.concat(*(F.substring(hexed, i * 8 + k, F.lit(2)) for k in (7, 5, 3, 1))), 16, 10).cast("int")
-    return packed.withColumn("ids", F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), one)).when(n == 0, F.array().cast("array<int>"))).drop("_ids")
+    return docs.withColumn("ids", ids("text"))
 
 
 def decode(docs: DataFrame, model: str) -> DataFrame:
