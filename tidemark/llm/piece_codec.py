@@ -42,6 +42,7 @@ class Codec:
             raise ValueError(f"{path}: only models with byte fallback and without normalisation are supported")
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.piece = {i: model.id_to_piece(i) for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))}
+        self.table = [bytes([self.byte_of[i]]) if i in self.byte_of else self.piece.get(i, "").encode() for i in range(n)]
         self.scored = {p: (model.get_score(i), i) for i, p in self.piece.items()}
         self.unknown = min(s for s, _ in self.scored.values()) - 10.0
         self.longest = max(map(len, self.scored))
@@ -126,7 +127,7 @@ class Codec:
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; control ids are left out, bytes that are not UTF-8 become U+FFFD."""
-        out = b"".join(bytes([self.byte_of[i]]) if i in self.byte_of else self.piece.get(i, "").encode() for i in memoryview(ids).cast("I"))
+        out = b"".join(map(self.table.__getitem__, memoryview(ids).cast("I")))
         text = out.decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if text[:1] == " " else text
 
