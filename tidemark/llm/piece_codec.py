@@ -11,7 +11,6 @@ model the ids here are its best-scoring segmentation, not those of its merges; b
 from __future__ import annotations
 
 import functools
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -22,12 +21,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Committed spans of at most SPAN characters are remembered, MEMO of them, in a worker.
-MEMO, SPAN = 300_000, 48
+#: Committed words of at most SPAN characters are remembered, MEMO of them, in a worker.
+MEMO, SPAN = 700_000, 48
+#: Documents whose ids a task hands over at a time.
+BATCH = 500
 #: Positions between two looks for a common boundary.
 LOOK = 32
 
 
+class _Memo(dict):
+    """Ids of words by the word, encoded when first met, with ``mark`` in front."""
+
+    def __init__(self, codec: Codec, mark: str):
+        self.codec, self.mark = codec, mark
+
+    def __missing__(self, word: str) -> bytes:
+        if len(word) > SPAN:
+            return array("I", self.codec.stream(iter(self.mark + word))).tobytes()
+        if len(self) >= MEMO:
+            self.clear()
+        self[word] = ids = self.codec._word(self.mark + word)
+        return ids
+
+
 class Codec:
     """Encoder and decoder for a model file. Only models without a normalisation table, with a dummy prefix, escaped
     white space and byte fallback are taken; others are refused."""
@@ -46,10 +62,17 @@ class Codec:
         self.scored = {p: (model.get_score(i), i) for i, p in self.piece.items()}
         self.unknown = min(s for s, _ in self.scored.values()) - 10.0
         self.longest = max(map(len, self.scored))
-        #: Every start of a piece, with the score and id if it is a piece itself.
-        self.trie: dict[str, tuple[float, int] | None] = {p[:k]: None for p in self.scored for k in range(1, len(p))} | self.scored
-        self.apart = not any(SPACE in p.lstrip(SPACE) for p in self.scored)  # no piece runs across a word's start
-        self.memo: dict[str, bytes] = {}
+        #: Nested by character; under "" the score and id of a piece that ends there.
+        self.trie: dict = {}
+        for p, met in self.scored.items():
+            node = self.trie
+            for ch in p:
+                node = node.setdefault(ch, {})
+            node[""] = met
+        #: No piece runs across a word's start or a line's end: every path has a boundary there.
+        self.apart = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.scored)
+        self.words, self.heads = _Memo(self, SPACE), _Memo(self, "")
+        self.line = array("I", [self.bytes[10]]).tobytes()
 
     def stream(self, chars: Iterator[str]) -> Iterator[int]:
         """Ids of normalised text given character by character, committed as early as all paths agree."""
@@ -89,40 +112,46 @@ class Codec:
     def _word(self, word: str) -> bytes:
         """Ids of a span between two boundaries that every path shares. Such a span is short: all of it is one window,
         and each position looks ahead as long as a piece goes on."""
-        n = len(word)
-        best, back = [float("-inf")] * (n + 1), [(-1, 0)] * (n + 1)
+        n, unknown, root = len(word), self.unknown, self.trie
+        best, before, ids = [float("-inf")] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         best[0] = 0.0
-        met_at, unknown = self.trie.get, self.unknown
         for start in range(n):
-            base = best[start]
+            base, node, end = best[start], root, start
             if base + unknown > best[start + 1]:
-                best[start + 1], back[start + 1] = base + unknown, (start, -1)
-            for end in range(start + 1, n + 1):
-                met = met_at(word[start:end], 0)
-                if met == 0:
+                best[start + 1], before[start + 1], ids[start + 1] = base + unknown, start, -1
+            for ch in word[start:]:
+                node = node.get(ch)
+                if node is None:
                     break
-                if met and base + met[0] > best[end]:
-                    best[end], back[end] = base + met[0], (start, met[1])
-        return array("I", self._ids(word, back, n)).tobytes()
+                end += 1
+                if "" in node:
+                    score, i = node[""]
+                    if base + score > best[end]:
+                        best[end], before[end], ids[end] = base + score, start, i
+        out = []
+        while n:
+            if ids[n] >= 0:
+                out.append(ids[n])
+            else:
+                out += (self.bytes[b] for b in reversed(word[before[n] : n].encode("utf-8", "replace")))
+            n = before[n]
+        return array("I", out[::-1]).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of a text, without control ids."""
         if not text:
             return b""
-        normal = SPACE + text.replace(" ", SPACE)
-        if not self.apart:
-            return array("I", self.stream(iter(normal))).tobytes()
-        out, memo = [], self.memo
-        for span in _SPANS.findall(normal):
-            ids = memo.get(span)
-            if ids is None:
-                if len(span) > SPAN:
-                    ids = array("I", self.stream(iter(span))).tobytes()
-                else:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    ids = memo[span] = self._word(span)
-            out.append(ids)
+        if not self.apart or text[0] == " " or "  " in text:
+            return array("I", self.stream(iter(SPACE + text.replace(" ", SPACE)))).tobytes()
+        out: list[bytes] = []
+        known = self.words.__getitem__
+        for k, line in enumerate(text.split("\n")):
+            words = line.split(" ")
+            if k:
+                out += (self.line, self.heads[words[0]])
+                out += map(known, words[1:])
+            else:
+                out += map(known, words)
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
@@ -132,9 +161,6 @@ class Codec:
         return text[1:] if text[:1] == " " else text
 
 
-_SPANS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-
-
 @functools.cache
 def codec(path: str) -> Codec:
     return Codec(path)
@@ -170,16 +196,17 @@ def round_trip(docs: DataFrame, model: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = codec(model)
-        for batch in batches:
-            out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                if text is None:
-                    out.append((doc_id, None, 0, None, None, True))
-                else:
-                    ids = own.encode(text)
-                    back = own.decode(ids)
-                    out.append((doc_id, array("i", ids), len(ids) // 4, zlib.crc32(ids), zlib.crc32(back.encode("utf-8", "replace")), back == text))
-            frame = pd.DataFrame(out, columns=["doc_id", "ids", "n_tokens", "ids_crc32", "decoded_crc32", "exact"])
-            yield frame.astype({"doc_id": "Int64", "ids_crc32": "Int64", "decoded_crc32": "Int64"})
+        for whole in batches:
+            for at in range(0, len(whole), BATCH):
+                batch, out = whole.iloc[at : at + BATCH], []
+                for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+                    if text is None:
+                        out.append((doc_id, None, 0, None, None, True))
+                    else:
+                        ids = own.encode(text)
+                        back = own.decode(ids)
+                        out.append((doc_id, np.frombuffer(ids, "<i4"), len(ids) // 4, zlib.crc32(ids), zlib.crc32(back.encode("utf-8", "replace")), back == text))
+                frame = pd.DataFrame(out, columns=["doc_id", "ids", "n_tokens", "ids_crc32", "decoded_crc32", "exact"])
+                yield frame.astype({"doc_id": "Int64", "ids_crc32": "Int64", "decoded_crc32": "Int64"})
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, ids array<int>, n_tokens int, ids_crc32 long, decoded_crc32 long, exact boolean")
