@@ -37,6 +37,19 @@ def with_sketch(df: DataFrame, text: str, name: str) -> DataFrame:
     return df.withColumn(name, short(F.when((F.size(name) > 0) | (F.size(h) == 0), F.col(name)).otherwise(F.array(F.array_min(h))))).drop(w, h)
 
 
+def packed(sketch: Column) -> Column:
+    """A sketch as bytes, a third of its size as an array; for shuffles."""
+    return F.unhex(F.array_join(sketch, ""))
+
+
+def unpacked(raw: Column) -> Column:
+    """The sketch that ``packed`` made bytes of; null: empty."""
+    each = DIGITS // 2
+    places = F.sequence(F.lit(0), (F.length(raw) / each).cast("int") - 1)
+    hashes = F.transform(places, lambda i: F.lower(F.hex(F.substring(raw, i * each + 1, F.lit(each)))))
+    return F.when(F.length(raw) > 0, hashes).otherwise(F.array().cast("array<string>"))
+
+
 def merge(a: Column, b: Column) -> Column:
     """The sketch of two parts of a text."""
     return F.array_sort(F.array_union(a, b))
@@ -76,7 +89,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     that repeat a doc_id follow each other by text. Rows with a null doc_id have no place in the order: their next is
     null and their edit appends nothing. An empty table gives an empty result."""
     base = with_sketch(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")), "text", "sketch")
-    out = _with_next(base).withColumn("n_chars", F.length("text").cast("long"))
+    out = _with_next(base.withColumn("sketch", packed(F.col("sketch")))).withColumn("n_chars", F.length("text").cast("long"))
+    out = out.withColumns({"sketch": unpacked(F.col("sketch")), "next": F.col("next").withField("sketch", unpacked(F.col("next.sketch")))})
     third = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - third).cast("int")), F.coalesce(F.substring(F.col("next.text"), F.lit(1), third), F.lit("")))
     return with_sketch(out.withColumn("edited", edited), "edited", "edited_sketch")
