@@ -62,9 +62,9 @@ def containment(a: Column, b: Column) -> Column:
 
 
 def _with_next(df: DataFrame) -> DataFrame:
-    """df (doc_id, ...) with ``next``, a struct of the row that follows by descending doc_id; after the last comes the
+    """df (doc_id, text) with ``sketch``, packed, and ``next``, a struct of the row that follows by descending doc_id; after the last comes the
     first. The id range is cut into stretches, each with a copy of the row that heads the stretch below, so that no
-    task sees more than a stretch; the copies are found by at most STRETCHES broadcast ids."""
+    task sees more than a stretch; the copies are found by at most STRETCHES broadcast ids, and before any sketch is made."""
     own = df.columns
     low, high, n = df.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
     if n == 0:
@@ -77,7 +77,8 @@ def _with_next(df: DataFrame) -> DataFrame:
     heads = heads.select("head", F.coalesce(F.lag("stretch").over(down), F.last("stretch").over(whole)).alias("above"))
     copies = placed.join(F.broadcast(heads), placed["doc_id"] == heads["head"]).select(*own, F.col("above").alias("stretch"), F.lit(1).alias("copy"))
     order = Window.partitionBy("stretch").orderBy("copy", F.desc("doc_id"), "text")
-    return placed.unionByName(copies).withColumn("next", F.when(F.col("doc_id").isNotNull(), F.lead(F.struct(*own)).over(order))).filter("copy = 0").drop("stretch", "copy")
+    both = with_sketch(placed.unionByName(copies), "text", "sketch").withColumn("sketch", packed(F.col("sketch")))
+    return both.withColumn("next", F.when(F.col("doc_id").isNotNull(), F.lead(F.struct(*own, "sketch")).over(order))).filter("copy = 0").drop("stretch", "copy")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -88,8 +89,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     docs needs doc_id and text; more columns are ignored. A null text is empty; an empty one has an empty sketch. Rows
     that repeat a doc_id follow each other by text. Rows with a null doc_id have no place in the order: their next is
     null and their edit appends nothing. An empty table gives an empty result."""
-    base = with_sketch(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")), "text", "sketch")
-    out = _with_next(base.withColumn("sketch", packed(F.col("sketch")))).withColumn("n_chars", F.length("text").cast("long"))
+    base = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    out = _with_next(base).withColumn("n_chars", F.length("text").cast("long"))
     out = out.withColumns({"sketch": unpacked(F.col("sketch")), "next": F.col("next").withField("sketch", unpacked(F.col("next.sketch")))})
     third = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - third).cast("int")), F.coalesce(F.substring(F.col("next.text"), F.lit(1), third), F.lit("")))
