@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -52,6 +53,16 @@ def test_toxicity(spark):
     assert toxicity.classify(odd(spark).limit(0), labels).count() == 0
 
 
+def test_toxicity_counts_all_ordinary_documents(spark):
+    name = lambda i: "only" + "".join(chr(97 + int(c)) for c in str(i))
+    rows = [(i, " ".join(f"{w} {name(i)}" for w in ("alpha", "beta", "gamma", "delta", "epsilon")), int(i < 4)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(docs.drop("toxic"), docs.drop("text"))
+    taught = [i for i, *_ in rows if i >= 4 and not held(i)]
+    own = [next(toxicity._ids([name(i)]))[0] for i in taught]
+    assert np.isin(own, model.words).mean() > 0.6  # at most a quarter fits the curve
+
+
 def test_quality(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     got = {r.doc_id: r for r in quality.classify(docs, labels).collect()}

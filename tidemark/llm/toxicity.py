@@ -14,8 +14,8 @@ its most toxic stretch of ``STRETCH`` words (an expression), is turned into a sc
 that the counts leave out. Words and bigrams that neither class has in more than DISCOUNT contexts have the ratio of
 what they back off to, so the model does without them.
 
-The counts grow with the input: they take every labelled toxic document that may teach and ``BALANCE`` times as many
-ordinary ones (all, if there are no more), and Spark sums them up. What is broadcast does not grow: an entry is in the
+The counts grow with the input: they take every labelled document that may teach, but for the ``CURVE`` documents of a
+class that fit the curve, and Spark sums them up. What is broadcast does not grow: an entry is in the
 model only if it has more than its class's total over ``ENTRIES`` contexts as well, so each class adds fewer than
 ``ENTRIES``; the rest back off.
 """
@@ -35,16 +35,14 @@ from .folds import held_out
 from .storage import cut
 
 DISCOUNT, VOCABULARY, STRETCH = 3.0, 2.0**24, 1
-#: Ordinary documents that are counted for each toxic one.
-BALANCE = 4
 #: Documents of each class, at most a quarter of it, that fit the curve (as expected; they are drawn by hash).
 CURVE = 2000
 #: Entries that a class may add to the model.
 ENTRIES = 2**20
 #: Chosen documents whose ids are broadcast to find their texts; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
-#: Words that a task hands over at a time.
-BATCH = 1 << 18
+#: Words whose bigrams a task sums up before it hands them over.
+BATCH = 1 << 20
 _HALF = np.uint64(32)
 
 
@@ -156,39 +154,38 @@ def _build(word: pd.DataFrame, history: pd.DataFrame, pair: pd.DataFrame, totals
     return Model(*ordered(word["w"], p), rare, *ordered(history["h"], h), *ordered(pair["key"], d), np.zeros(3))
 
 
-def _chosen(labels: DataFrame, balance: float) -> DataFrame:
-    """(doc_id, toxic, fits) of the documents that teach, drawn by hash of their ids alone."""
+def _chosen(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic, fits) of the documents that teach; those that fit the curve are drawn by hash of their ids."""
     known = labels.filter(~held_out() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n = {0: 0, 1: 0} | {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    share = min(1.0, balance * max(n[1], 1) / max(n[0], 1))
-    n[0] = int(n[0] * share)
-    draw = lambda salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     fits = {c: min(0.25, CURVE / max(n[c], 1)) for c in n}
-    chosen = known.filter((F.col("toxic") == 1) | (draw(1) < share)).withColumn("fits", draw(3) < F.when(F.col("toxic") == 1, fits[1]).otherwise(fits[0]))
+    chosen = known.withColumn("fits", draw < F.when(F.col("toxic") == 1, fits[1]).otherwise(fits[0]))
     return F.broadcast(chosen) if n[0] + n[1] <= BROADCAST_ROWS else chosen
 
 
-def train(docs: DataFrame, labels: DataFrame, balance: float = BALANCE) -> Model:
-    """Learn from whole texts of documents that labels (doc_id, toxic: 0 or 1) marks and that are not held out: all
-    toxic ones and ``balance`` times as many others. Null labels or texts teach nothing; a document that is marked
-    twice counts as toxic if it is so once. With no labelled document every score is the same."""
-    taught = docs.select("doc_id", "text").join(_chosen(labels, balance), "doc_id")
+def train(docs: DataFrame, labels: DataFrame) -> Model:
+    """Learn from whole texts of all documents that labels (doc_id, toxic: 0 or 1) marks and that are not held out.
+    Null labels or texts teach nothing; a document that is marked twice counts as toxic if it is so once. With no
+    labelled document every score is the same."""
+    taught = docs.select("doc_id", "text").join(_chosen(labels), "doc_id")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for batch in batches:
-            held, size = [], 0
             for words, toxic in zip(_ids(batch["text"]), batch["toxic"], strict=True):
                 key, before = _pairs(words)
-                held.append((key, _shift(before), np.full(len(key), toxic)))
+                held.append((key, _shift(before) << np.uint64(1) | np.uint64(toxic)))
                 size += len(key)
                 if size > BATCH:
                     yield _occurrences(held)
                     held, size = [], 0
-            if held:
-                yield _occurrences(held)
+        if held:
+            yield _occurrences(held)
 
-    met = taught.filter("not fits").mapInPandas(count, "key long, context int, toxic int").distinct()
-    pairs = cut(met.groupBy("key").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o")))
+    met = taught.filter("not fits").mapInPandas(count, "key long, mark long").distinct()
+    both = met.groupBy("key").agg(F.sum(F.when(F.col("mark").bitwiseAND(F.lit(1)) == 1, F.lit(1)).otherwise(F.lit(1 << 32))).alias("n"))
+    pairs = cut(both.select("key", F.col("n").bitwiseAND(F.lit(0xFFFFFFFF)).alias("t"), F.shiftrightunsigned("n", 32).alias("o")))
     pairs = pairs.withColumns({"h": F.shiftrightunsigned("key", 32), "w": F.col("key").bitwiseAND(F.lit(0xFFFFFFFF))})
     classes = (F.col("t") > 0).cast("long") + (F.col("o") > 0).cast("long")
     freed = lambda c: F.sum(F.least(F.col(c), F.lit(DISCOUNT)))
@@ -212,10 +209,13 @@ def train(docs: DataFrame, labels: DataFrame, balance: float = BALANCE) -> Model
     return model
 
 
-def _occurrences(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pd.DataFrame:
-    """Each bigram with the word before it and its document's class."""
-    key, context, toxic = (np.concatenate(x) for x in zip(*held, strict=True))
-    return pd.DataFrame({"key": key.view(np.int64), "context": context.astype(np.uint32).view(np.int32), "toxic": toxic.astype(np.int32)})
+def _occurrences(held: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    """Each bigram once with each word before it and class (``mark``: that word, then a bit for toxic), in order."""
+    key, mark = (np.concatenate(x) for x in zip(*held, strict=True))
+    by = np.lexsort((mark, key))
+    key, mark = key[by], mark[by]
+    new = np.concatenate((np.ones(min(1, len(key)), bool), (key[1:] != key[:-1]) | (mark[1:] != mark[:-1])))
+    return pd.DataFrame({"key": key[new].view(np.int64), "mark": mark[new].view(np.int64)})
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -229,8 +229,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.withColumn("toxicity", toxicity("text"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, limit: float = 0.7, balance: float = BALANCE) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, limit: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of docs (doc_id, text; more columns are ignored), empty and
     repeated ones included: predicted is 1 if the score reaches ``limit``. An empty table gives an empty result."""
-    scored = score(docs.select("doc_id", "text"), train(docs, labels, balance))
+    scored = score(docs.select("doc_id", "text"), train(docs, labels))
     return scored.select("doc_id", held_out().alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= limit).cast("int").alias("predicted"))
