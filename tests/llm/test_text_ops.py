@@ -90,6 +90,18 @@ def test_streaming_viterbi_is_optimal_and_exact():
         assert codec.decode(codec.encode(text)) == text
 
 
+def test_ids_are_the_models_own(spark):
+    import sentencepiece
+
+    library, rng = sentencepiece.SentencePieceProcessor(model_file=MODEL), random.Random(3)
+    texts = ["", " ", "\n", "  a  b\n\n c ", "a \n b", "x" * 700, "thethingingerror" * 60, "漢字と the" * 30, "a\u0000b\U0001F600", "a▁ b▁▁c", "▁", "é" * 5000, " " * 9 + "x"]
+    texts += ["".join(rng.choice("abcdeést   .,\n漢▁") for _ in range(rng.randint(1, 200))) for _ in range(200)]
+    texts += [r.text for r in spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").collect() if r.text is not None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in piece_codec.round_trip(docs, MODEL).collect()}
+    assert all(got[i] == library.encode(t) for i, t in enumerate(texts))
+
+
 def test_piece_queries(spark):
     rows = [(1, "a b", "x"), (2, None, "x"), (3, "", "x"), (None, "é" * 50_000, "x"), (1, "a b", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")

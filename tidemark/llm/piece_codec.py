@@ -1,19 +1,22 @@
-"""SentencePiece encoding and decoding (operator 2) by streaming Viterbi.
+"""SentencePiece encoding and decoding (operator 2) by streaming Viterbi, or by merges where the model is a BPE model.
 
-Encoding finds the segmentation into pieces with the greatest sum of scores. It holds a window no longer than the
+For a unigram model, encoding finds the segmentation into pieces with the greatest sum of scores. It holds a window no longer than the
 longest piece, and commits ids whenever all surviving backpointer paths run through one boundary: the memory a text
 takes does not grow with its length. Decoding is exact for every text but for what the model's normaliser changes.
 
-The scores are taken as a unigram model's. A BPE model's own encoder applies merges in order instead, so for such a
-model the ids here are its best-scoring segmentation, not those of its merges; both decode to the same text.
+A BPE model's scores are the ranks of its merges, no log-probabilities: ``Codec.own`` applies the merges in order, as the
+model's own encoder does, and gives its ids. Spans that no merge crosses are merged one by one, so a text takes the
+memory of its longest such span (a word, mostly). ``Codec.encode`` is the Viterbi optimum of the scores for any model.
 """
 
 from __future__ import annotations
 
 import functools
+import heapq
+import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,17 +33,18 @@ LOOK = 32
 
 
 class _Memo(dict):
-    """Ids of words by the word, encoded when first met, with ``mark`` in front."""
+    """Ids of words by the word, encoded when first met, with ``mark`` in front: by ``short``, those longer than SPAN by
+    ``long``."""
 
-    def __init__(self, codec: Codec, mark: str):
-        self.codec, self.mark = codec, mark
+    def __init__(self, mark: str, short: Callable[[str], bytes], long: Callable[[str], bytes]):
+        self.mark, self.short, self.long = mark, short, long
 
     def __missing__(self, word: str) -> bytes:
         if len(word) > SPAN:
-            return array("I", self.codec.stream(iter(self.mark + word))).tobytes()
+            return self.long(self.mark + word)
         if len(self) >= MEMO:
             self.clear()
-        self[word] = ids = self.codec._word(self.mark + word)
+        self[word] = ids = self.short(self.mark + word)
         return ids
 
 
@@ -50,6 +54,7 @@ class Codec:
 
     def __init__(self, path: str):
         import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
@@ -71,7 +76,18 @@ class Codec:
             node[""] = met
         #: No piece runs across a word's start or a line's end: every path has a boundary there.
         self.apart = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.scored)
-        self.words, self.heads = _Memo(self, SPACE), _Memo(self, "")
+        proto = sentencepiece_model_pb2.ModelProto.FromString(model.serialized_model_proto())
+        #: Whether ids come by merges (BPE) or by the best sum of scores (unigram).
+        self.merges = proto.trainer_spec.model_type == proto.trainer_spec.BPE
+        if proto.trainer_spec.model_type not in (proto.trainer_spec.BPE, proto.trainer_spec.UNIGRAM):
+            raise ValueError(f"{path}: only BPE and unigram models are supported")
+        if self.merges and any(x.type in (x.USER_DEFINED, x.UNUSED) for x in proto.pieces):
+            raise ValueError(f"{path}: BPE models with user-defined or unused pieces are not supported")
+        #: Neighbours within a piece; no merge joins others.
+        self.near = {p[k : k + 2] for p in self.scored for k in range(len(p) - 1)}
+        streamed = lambda word: array("I", self.stream(iter(word))).tobytes()
+        self.words, self.heads = _Memo(SPACE, self._word, streamed), _Memo("", self._word, streamed)
+        self.merged_words, self.merged_heads = _Memo(SPACE, self._merged, self._spans), _Memo("", self._merged, self._spans)
         self.line = array("I", [self.bytes[10]]).tobytes()
 
     def stream(self, chars: Iterator[str]) -> Iterator[int]:
@@ -137,18 +153,72 @@ class Codec:
             n = before[n]
         return array("I", out[::-1]).tobytes()
 
+    def _merged(self, span: str) -> bytes:
+        """Ids of a span by merges: of the neighbours that make up a piece always those of the best score, of equal ones
+        the leftmost."""
+        n, scored = len(span), self.scored
+        parts, before, after = list(span), list(range(-1, n - 1)), list(range(1, n + 1))
+        ready: list[tuple[float, int, int, int]] = []  # minus the score, left, right, length when found
+
+        def offer(left: int, right: int) -> None:
+            if left >= 0 and right < n and (met := scored.get(parts[left] + parts[right])):
+                heapq.heappush(ready, (-met[0], left, right, len(parts[left]) + len(parts[right])))
+
+        for k in range(n - 1):
+            offer(k, k + 1)
+        while ready:
+            _, left, right, size = heapq.heappop(ready)
+            if not parts[left] or not parts[right] or len(parts[left]) + len(parts[right]) != size:
+                continue  # one of them has been merged since
+            parts[left] += parts[right]
+            parts[right] = ""
+            after[left] = after[right]
+            if after[left] < n:
+                before[after[left]] = left
+            offer(before[left], left)
+            offer(left, after[left])
+        out: list[int] = []
+        for part in filter(None, parts):
+            met = scored.get(part)
+            out += [met[1]] if met else [self.bytes[b] for b in part.encode("utf-8", "replace")]
+        return array("I", out).tobytes()
+
+    def _spans(self, text: str) -> bytes:
+        """Ids by merges of normalised text, cut between characters that are neighbours in no piece."""
+        out, start = [], 0
+        for k in range(1, len(text) + 1):
+            if k == len(text) or text[k - 1 : k + 1] not in self.near:
+                out.append(self._merged(text[start:k]))
+                start = k
+        return b"".join(out)
+
+    def own(self, text: str) -> bytes:
+        """The ids that the model's own encoder gives: by merges for a BPE model, else as ``encode``."""
+        if not self.merges:
+            return self.encode(text)
+        if not text:
+            return b""
+        if not self.apart:
+            return self._spans(SPACE + text.replace(" ", SPACE))
+        if text[0] == " " or "  " in text or SPACE in text:
+            return b"".join(map(self.merged_heads.__getitem__, re.findall(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n", SPACE + text.replace(" ", SPACE))))
+        return self._by_words(text, self.merged_words, self.merged_heads)
+
     def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids of a text, without control ids."""
+        """Little-endian unsigned 32-bit ids of a text's segmentation of the best score, without control ids."""
         if not text:
             return b""
         if not self.apart or text[0] == " " or "  " in text:
             return array("I", self.stream(iter(SPACE + text.replace(" ", SPACE)))).tobytes()
+        return self._by_words(text, self.words, self.heads)
+
+    def _by_words(self, text: str, memo: _Memo, heads: _Memo) -> bytes:
         out: list[bytes] = []
-        known = self.words.__getitem__
+        known = memo.__getitem__
         for k, line in enumerate(text.split("\n")):
             words = line.split(" ")
             if k:
-                out += (self.line, self.heads[words[0]])
+                out += (self.line, heads[words[0]])
                 out += map(known, words[1:])
             else:
                 out += map(known, words)
@@ -172,7 +242,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     @F.pandas_udf("array<int>")
     def ids(texts: pd.Series) -> pd.Series:
         own = codec(model)
-        return pd.Series([None if t is None else np.frombuffer(own.encode(t), "<i4") for t in texts], dtype=object)
+        return pd.Series([None if t is None else np.frombuffer(own.own(t), "<i4") for t in texts], dtype=object)
 
     return docs.withColumn("ids", ids("text"))
 
@@ -203,7 +273,7 @@ def round_trip(docs: DataFrame, model: str) -> DataFrame:
                     if text is None:
                         out.append((doc_id, None, 0, None, None, True))
                     else:
-                        ids = own.encode(text)
+                        ids = own.own(text)
                         back = own.decode(ids)
                         out.append((doc_id, np.frombuffer(ids, "<i4"), len(ids) // 4, zlib.crc32(ids), zlib.crc32(back.encode("utf-8", "replace")), back == text))
                 frame = pd.DataFrame(out, columns=["doc_id", "ids", "n_tokens", "ids_crc32", "decoded_crc32", "exact"])
