@@ -73,6 +73,24 @@ def test_quality(spark):
     assert quality.classify(odd(spark).limit(0), labels).count() == 0
 
 
+def test_every_unlabelled_document_takes_part(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    many = docs.crossJoin(spark.range(12).withColumnRenamed("id", "copy")).withColumn("doc_id", F.col("doc_id") + 100_000 * F.col("copy")).drop("copy")
+    met, pool = [], quality._pool
+
+    def counted(*args):
+        met.append(pool(*args))
+        rows = met[-1].agg(F.count("*"), F.countDistinct("doc_id"), F.sum((F.col("told0") >= 0).cast("int"))).first()
+        met[-1] = tuple(rows)
+        return pool(*args)
+
+    monkeypatch.setattr(quality, "_pool", counted)
+    quality.train(many, labels)
+    free = many.join(labels.filter("quality is not null"), "doc_id", "left_anti").count()
+    assert free > 4000 and len(met) == quality.ROUNDS and {m[:2] for m in met} == {(free, free)}
+    assert met[-1][2] > 3 * 0.015 * free  # three rounds have labelled 2 % each by then
+
+
 def check_pieces(rows, texts, size=1024, whole_sequences=True):
     """Every text is there once, in pieces as told, and sequences have no gap."""
     whole = Tokenizer.from_file(BPE)

@@ -1,8 +1,9 @@
 """Quality classifier (operator 8) by co-training.
 
 Two views of a document have a logistic regression each: its text (hashed byte pairs and shape) and its page's metadata
-(hashed source and language, length). Over rounds, each view labels the unlabelled documents that it is surest of for
-the other to learn from. Both are then calibrated on labelled documents that neither has seen, and a document's score
+(hashed source and language, length). Over rounds, each view scores all unlabelled documents and labels those it is
+surest of, by quantiles over all of them, for the other to learn from; Spark does both, and a bounded sample of what is
+labelled by then fits the weights. Both are then calibrated on labelled documents that neither has seen, and a document's score
 combines the calibrated log-odds with weights fitted on those.
 """
 
@@ -18,13 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .folds import held_out
+from .storage import cut, forget
 
 PAIRS, METADATA = 512, 64
 SHAPE = 8
-#: Documents with a label that teach, without one that are labelled in rounds; the first of each by hash order.
-LABELLED, UNLABELLED = 4000, 4000
+#: Documents that fit a view's weights: of those with a label, of those that the other view has labelled; the first of
+#: each by hash order.
+LABELLED, TOLD = 4000, 2000
 ROUNDS = 4
-#: Share of the unlabelled documents that a view labels in a round.
+#: Share of the documents that a view has not labelled yet that it labels in a round.
 CONFIDENT = 0.02
 
 
@@ -92,30 +95,14 @@ class Model:
         return _curve(_odds(np.column_stack((a, b)), self.mixture))
 
 
-def co_train(text: np.ndarray, metadata: np.ndarray, y: np.ndarray, calibrates: np.ndarray) -> Model:
-    """y: 1 good, 0 bad, -1 unlabelled. calibrates: labelled rows that only the calibration sees."""
-    pool = np.flatnonzero(y < 0)
-    views, told = [text, metadata], [np.where(calibrates, -1, y).astype(int) for _ in range(2)]
-    for turn in range(ROUNDS + 1):
-        weights = [_fit(v[t >= 0], t[t >= 0]) for v, t in zip(views, told, strict=True)]
-        if turn == ROUNDS:
-            break
-        share = (told[0] == 1).sum() / max(1, (told[0] >= 0).sum())
-        for own, other in ((0, 1), (1, 0)):
-            free = pool[told[other][pool] < 0]
-            k = int(len(pool) * CONFIDENT)
-            by = free[np.argsort(_odds(views[own][free], weights[own]), kind="stable")]
-            if k and len(by) >= k:
-                good = int(round(k * share))
-                told[other][by[len(by) - good :]] = 1
-                told[other][by[: k - good]] = 0
+def _calibrated(weights: list[np.ndarray], views: list[np.ndarray], y: np.ndarray) -> Model:
+    """The model of both views' weights, calibrated on labelled documents that they have not seen."""
     odds = [_odds(v, w) for v, w in zip(views, weights, strict=True)]
-    at = calibrates & (y >= 0)
-    if len(np.unique(y[at])) < 2:
+    if len(np.unique(y)) < 2:
         return Model(*weights, np.array([1.0, 0]), np.array([1.0, 0]), np.array([0.5, 0.5, 0]))
-    lines = [_fit(o[at][:, None], y[at]) for o in odds]
+    lines = [_fit(o[:, None], y) for o in odds]
     both = np.column_stack([_odds(o[:, None], line) for o, line in zip(odds, lines, strict=True)])
-    return Model(*weights, *lines, _fit(both[at], y[at]))
+    return Model(*weights, *lines, _fit(both, y))
 
 
 def _views(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -123,27 +110,81 @@ def _views(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([text_view(t) for t in batch["text"]]), np.stack([metadata_view(*x) for x in zip(batch["lang"], batch["source"], n_chars, strict=True)])
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Model | None:
-    """Learn from bounded samples of documents that labels (doc_id, quality) marks and that are not held out, and of
-    documents without label; null labels count as none. None if the labelled ones are not of both classes."""
-    known = labels.filter("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("y"))
-    order = lambda df, n: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    ids = docs.filter("doc_id is not null").select("doc_id").distinct().join(known, "doc_id", "left")
-    chosen = order(ids.filter(~held_out() & F.col("y").isNotNull()), labelled).unionByName(order(ids.filter("y is null"), unlabelled))
+def _collected(docs: DataFrame, chosen: DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Both views, y and doc_id of the documents of a bounded table (doc_id, y), in order."""
 
     def view(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
                 a, b = _views(batch)
-                yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["y"].fillna(-1).astype(int), "a": list(a), "b": list(b)})
+                yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["y"].astype(int), "a": [x.tobytes() for x in a], "b": [x.tobytes() for x in b]})
+
+    at = docs.join(F.broadcast(chosen), "doc_id").mapInPandas(view, "doc_id long, y int, a binary, b binary").toPandas()
+    at = at.sort_values(["doc_id", "a", "b"], kind="stable")
+    views = [np.frombuffer(b"".join(at[c]), np.float32).reshape(len(at), -1) if len(at) else np.zeros((0, n), np.float32) for c, n in (("a", PAIRS + SHAPE), ("b", METADATA + 24))]
+    return views, at["y"].to_numpy(), at["doc_id"].to_numpy()
+
+
+def _pool(docs: DataFrame, known: DataFrame, rounds: list[tuple[list[np.ndarray], list[list[float]]]]) -> DataFrame:
+    """(doc_id, odds0, odds1, told0, told1) of every row without label: the odds of both views by the weights of the last
+    of ``rounds``, and what each view has called it in the rounds before, whose weights and limits those are (null: not
+    yet). Equal odds are told apart by hash."""
+    spread = docs.sparkSession.sparkContext.broadcast(rounds)
 
-    at = docs.select("doc_id", "text", "lang", "source", "n_chars").join(F.broadcast(chosen), "doc_id").mapInPandas(view, "doc_id long, y int, a array<float>, b array<float>").toPandas()
-    at = at.sort_values("doc_id", kind="stable")
-    y = at["y"].to_numpy()
-    calibrates = (y >= 0) & np.array([zlib.crc32(f"c{i}".encode()) % 4 == 0 for i in at["doc_id"]], bool)
-    if not len(at) or len(np.unique(y[(y >= 0) & ~calibrates])) < 2:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                out = {"doc_id": batch["doc_id"]}
+                for own, view in enumerate(_views(batch)):
+                    told = np.full(len(batch), -1)
+                    for weights, limits in spread.value:
+                        odds = _odds(view, weights[own]) + batch["apart"].to_numpy()
+                        if limits:
+                            low, high = limits[own]
+                            told = np.where(told >= 0, told, np.where(odds >= high, 1, np.where(odds <= low, 0, -1)))
+                    out[f"odds{own}"], out[f"told{own}"] = odds, told
+                yield pd.DataFrame(out)
+
+    apart = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) / F.lit(float(1 << 20)) * F.lit(1e-6)
+    scored = docs.withColumn("apart", apart).mapInPandas(run, "doc_id long, odds0 double, odds1 double, told0 int, told1 int")
+    return cut(scored.join(known.select("doc_id"), "doc_id", "left_anti"), keep=False)
+
+
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, told: int = TOLD) -> Model | None:
+    """Learn from a bounded sample of documents that labels (doc_id, quality) marks and that are not held out, and, by
+    rounds of co-training, from all documents without label, of which ``told`` that the other view is sure of fit a
+    view's weights; null labels count as none. None if the labelled ones are not of both classes."""
+    known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("y"))
+    order = lambda df, n: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    docs = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text", "lang", "source", "n_chars")
+    ids = docs.select("doc_id").distinct().join(known, "doc_id")
+    views, y, doc_ids = _collected(docs, order(ids.filter(~held_out()), labelled))
+    calibrates = np.array([zlib.crc32(f"c{i}".encode()) % 4 == 0 for i in doc_ids], bool)
+    if len(np.unique(y[~calibrates])) < 2:
         return None
-    return co_train(np.stack(at["a"].to_list()), np.stack(at["b"].to_list()), y, calibrates)
+    seen, y_seen = [v[~calibrates] for v in views], y[~calibrates]
+    share, rounds = float(y_seen.mean()), []
+    weights = [_fit(v, y_seen) for v in seen]
+    for _ in range(ROUNDS):
+        pool = _pool(docs, known, [*rounds, (weights, [])])
+        at = [CONFIDENT * (1 - share), 1 - CONFIDENT * share]
+        free = [F.when(F.col(f"told{own}") < 0, F.col(f"odds{own}")) for own in range(2)]
+        row = pool.agg(*(f for own in range(2) for f in (F.count(free[own]), F.percentile_approx(free[own], at, 100_000)))).first()
+        if min(row[0], row[2]) * CONFIDENT < 1:
+            forget(pool)
+            break
+        limits = [row[1], row[3]]
+        rounds.append((weights, limits))
+        weights = []
+        for own, other in ((0, 1), (1, 0)):  # a view learns from what the other has told
+            low, high = limits[other]
+            odds = F.col(f"odds{other}")
+            called = F.when(F.col(f"told{other}") >= 0, F.col(f"told{other}")).when(odds >= high, 1).when(odds <= low, 0)
+            chosen = order(pool.select("doc_id", called.alias("y")).filter("y is not null"), told).groupBy("doc_id").agg(F.min("y").alias("y"))
+            extra, y_extra, _ = _collected(docs, chosen)
+            weights.append(_fit(np.concatenate((seen[own], extra[own])), np.concatenate((y_seen, y_extra))))
+        forget(pool)
+    return _calibrated(weights, [v[calibrates] for v in views], y[calibrates])
 
 
 def classify(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
