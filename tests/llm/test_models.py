@@ -63,6 +63,40 @@ def test_toxicity_counts_all_ordinary_documents(spark):
     assert np.isin(own, model.words).mean() > 0.6  # at most a quarter fits the curve
 
 
+def test_toxicity_scores_by_all_counts(spark):
+    docs, labels = (spark.read.parquet(f"{DATA}/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    got = {r.doc_id: r.toxicity for r in toxicity.score(docs, model).collect()}
+    texts = {r.doc_id: next(toxicity._ids([r.text])).tolist() for r in docs.collect()}
+    contexts = {}
+    for doc_id, c in [(r.doc_id, r.toxic) for r in toxicity._chosen(labels).collect() if not r.fits]:
+        x = [0, 0, *texts[doc_id]]
+        for before, h, w in zip(x, x[1:], x[2:]):
+            contexts.setdefault((h, w), [set(), set()])[c].add(before)
+    pair = {k: (len(o), len(t)) for k, (o, t) in contexts.items()}
+    word, history = {}, {}
+    for (h, w), n in pair.items():
+        k, x = word.setdefault(w, [0, 0]), history.setdefault(h, [])
+        x.append(n)
+        for c in (0, 1):
+            k[c] += n[c] > 0
+    def sums(rows):
+        return [(sum(n[c] for n in rows), sum(min(n[c], 3) for n in rows)) for c in (0, 1)], sum((n[0] > 0) + (n[1] > 0) for n in rows), len(rows)
+    over, all_words, of_history = lambda n: max(n - 3, 0), sums(list(word.values())), {h: sums(x) for h, x in history.items()}
+    def ratio(h, w):
+        (totals, a, types), (n, k) = all_words, (pair.get((h, w), (0, 0)), word.get(w, (0, 0)))
+        seen, kinds = (n[0] > 0) + (n[1] > 0), (k[0] > 0) + (k[1] > 0)
+        p = [over(k[c]) / totals[c][0] + totals[c][1] / totals[c][0] * (max(kinds - 0.5, 0) / a + types / 2 / a / 2**24) for c in (0, 1)]
+        own, b, m = of_history.get(h, ([(0, 0)] * 2, 0, 0))
+        l, shared = (m / 2 / b, max(seen - 0.5, 0) / b) if b else (1, 0)
+        q = [(over(n[c]) / own[c][0] if own[c][0] else 0) + (own[c][1] / own[c][0] if own[c][0] else 1) * (shared + l * p[c]) for c in (0, 1)]
+        return np.log(q[1]) - np.log(q[0])
+    for doc_id, x in list(texts.items())[:60]:
+        r = [ratio(h, w) for h, w in zip([0, *x], x)]
+        z = np.dot(model.weights, [1, np.mean(r), np.max(r)]) if r else model.weights[0]
+        assert abs(got[doc_id] - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-6
+
+
 def test_quality(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     got = {r.doc_id: r for r in quality.classify(docs, labels).collect()}

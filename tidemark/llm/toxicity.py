@@ -10,14 +10,14 @@ little:
 with d(n) = max(n - DISCOUNT, 0) and l the mass that discounting frees. n and k are continuation counts: in how many
 contexts (words before it) a class has a bigram or a word, so that copies of a document count once. The shared a are
 continuation counts too: in how many classes. A document's log-likelihood ratio per word, over the whole text and over
-its most toxic stretch of ``STRETCH`` words (an expression), is turned into a score by a logistic curve fitted on documents
-that the counts leave out. Words and bigrams that neither class has in more than DISCOUNT contexts have the ratio of
-what they back off to, so the model does without them.
+its most toxic word after the word before it (an expression), is turned into a score by a logistic curve fitted on documents
+that the counts leave out.
 
 The counts grow with the input: they take every labelled document that may teach, but for the ``CURVE`` documents of a
-class that fit the curve, and Spark sums them up. What is broadcast does not grow: an entry is in the
-model only if it has more than its class's total over ``ENTRIES`` contexts as well, so each class adds fewer than
-``ENTRIES``; the rest back off.
+class that fit the curve, and Spark sums them up. No entry is left out of the model: the ratio of each counted bigram
+stays a partitioned table, which the documents' distinct bigrams are joined with. A bigram that is not in it has no
+shared count, so its ratio is l_t/l_o of its history times P_t/P_o of its word; these two numbers a word are broadcast,
+and grow with the vocabulary.
 """
 
 from __future__ import annotations
@@ -34,11 +34,9 @@ from . import text as T
 from .folds import held_out
 from .storage import cut
 
-DISCOUNT, VOCABULARY, STRETCH = 3.0, 2.0**24, 1
+DISCOUNT, VOCABULARY = 3.0, 2.0**24
 #: Documents of each class, at most a quarter of it, that fit the curve (as expected; they are drawn by hash).
 CURVE = 2000
-#: Entries that a class may add to the model.
-ENTRIES = 2**20
 #: Chosen documents whose ids are broadcast to find their texts; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 #: Words whose bigrams a task sums up before it hands them over.
@@ -63,48 +61,23 @@ def _pairs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """Sorted keys with what each class's probabilities need; ``weights``: logistic curve over (whole, stretch)."""
+    """Sorted words and histories with their part of an unknown bigram's ratio (``rare``: of a word not there); the
+    table (key, ratio) of all counted bigrams; ``weights``: logistic curve over (whole, stretch)."""
 
     words: np.ndarray
-    word_p: np.ndarray  # toxic, ordinary
-    rare_p: np.ndarray
+    word_ratio: np.ndarray
+    rare: float
     histories: np.ndarray
-    history: np.ndarray  # l toxic, l ordinary, l both, 1/n toxic, 1/n ordinary, 1/a
-    pairs: np.ndarray
-    pair: np.ndarray  # d toxic, d ordinary, a - 1/2
+    history_ratio: np.ndarray
+    pairs: DataFrame
     weights: np.ndarray
 
-    def ratios(self, words: np.ndarray) -> np.ndarray:
-        """log P_toxic - log P_ordinary of each word."""
-        if not len(words):
-            return np.zeros(0)
-        key, before = _pairs(words)
-        p = _look(self.words, self.word_p, words, self.rare_p)
-        lam_t, lam_o, lam, inv_t, inv_o, inv = _look(self.histories, self.history, before, np.array([1.0, 1, 1, 0, 0, 0])).T
-        d_t, d_o, d = _look(self.pairs, self.pair, key, np.zeros(3)).T
-        shared = d * inv
-        toxic = d_t * inv_t + lam_t * (shared + lam * p[:, 0])
-        ordinary = d_o * inv_o + lam_o * (shared + lam * p[:, 1])
-        return np.log(toxic) - np.log(ordinary)
-
-    def features(self, words: np.ndarray) -> tuple[float, float]:
-        """Mean ratio of the whole text and of its most toxic stretch; no words: 0, 0."""
-        r = self.ratios(words)
-        if not len(r):
-            return 0.0, 0.0
-        total = np.concatenate(([0.0], np.cumsum(r)))
-        k = min(STRETCH, len(r))
-        return float(r.mean()), float((total[k:] - total[:-k]).max() / STRETCH)
-
-    def score(self, words: np.ndarray) -> float:
-        return float(_curve(np.array([[1.0, *self.features(words)]]) @ self.weights)[0])
-
-
-def _look(keys: np.ndarray, rows: np.ndarray, wanted: np.ndarray, default: np.ndarray) -> np.ndarray:
+
+def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: float) -> np.ndarray:
     if not len(keys):
-        return np.broadcast_to(default, (len(wanted), len(default)))
+        return np.full(len(wanted), default)
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where((keys[at] == wanted)[:, None], rows[at], default)
+    return np.where(keys[at] == wanted, values[at], default)
 
 
 def _curve(z: np.ndarray) -> np.ndarray:
@@ -127,31 +100,66 @@ def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def _table(df: DataFrame) -> pd.DataFrame:
-    """Rows of a table that the sample bounds."""
-    return df.toPandas()
+def _sorted(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and values of a table of words."""
+    at = df.toPandas().to_numpy()
+    keys = at[:, 0].astype(np.uint64)
+    by = np.argsort(keys)
+    return keys[by], at[by, 1].astype(float)
+
+
+def _build(word: DataFrame, history: DataFrame, pairs: DataFrame, totals: dict[str, float]) -> Model:
+    """The model of all counts of words, histories and bigrams."""
+    over = lambda x: F.greatest(F.col(x) - F.lit(DISCOUNT), F.lit(0.0))
+    per = lambda n: F.when(F.col(n) > 0, 1 / F.col(n)).otherwise(0.0)
+    mass = lambda f, n: F.when(F.col(n) > 0, F.col(f) / F.col(n)).otherwise(1.0)
+    both = (F.col("t") > 0).cast("int") + (F.col("o") > 0).cast("int") - 0.5
+    share = lambda f, n: f / n if n else 1.0
+    least = share(totals["types"] / 2, totals["a"]) / VOCABULARY
+    free = {c: share(totals[f"f{c}"], totals[c]) for c in "to"}
+    p = lambda c: over(c) / max(totals[c], 1) + F.lit(free[c]) * (both / max(totals["a"], 1) + F.lit(least))
+    word = word.select("w", p("t").alias("pt"), p("o").alias("po"))
+    history = history.withColumn("half", F.col("types") / 2)
+    history = history.select("h", mass("ft", "t").alias("lt"), mass("fo", "o").alias("lo"), mass("half", "a").alias("l"), per("t").alias("it"), per("o").alias("io"), per("a").alias("ia"))
+    met = pairs.select("key", "h", "w", over("t").alias("dt"), over("o").alias("do"), both.alias("d")).join(history, "h").join(word, "w")
+    given = lambda c: F.col(f"d{c}") * F.col(f"i{c}") + F.col(f"l{c}") * (F.col("d") * F.col("ia") + F.col("l") * F.col(f"p{c}"))
+    ratios = cut(met.select("key", F.log(given("t") / given("o")).alias("ratio")))
+    words, histories = _sorted(word.select("w", F.log(F.col("pt") / F.col("po")))), _sorted(history.select("h", F.log(F.col("lt") / F.col("lo"))))
+    return Model(*words, float(np.log(free["t"] / free["o"])), *histories, ratios, np.zeros(3))
+
+
+def _features(texts: DataFrame, model: Model) -> DataFrame:
+    """(k1, k2, whole, stretch) of each text with words of (k1, k2, text), k1 and k2 its hashes: the mean ratio of its
+    words and that of its most toxic stretch. Rows of one text may repeat."""
+    spread = texts.sparkSession.sparkContext.broadcast((model.words, model.word_ratio, model.rare, model.histories, model.history_ratio))
+
+    def bigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, word_ratio, rare, histories, history_ratio = spread.value
+        for batch in batches:
+            for k1, k2, text in zip(batch["k1"], batch["k2"], _ids(batch["text"]), strict=True):
+                if len(text):
+                    key, n = np.unique(_pairs(text)[0], return_counts=True)
+                    ratio = _look(words, word_ratio, key & np.uint64(0xFFFFFFFF), rare) + _look(histories, history_ratio, key >> _HALF, 0.0)
+                    yield pd.DataFrame({"k1": k1, "k2": k2, "key": key.view(np.int64), "n": n, "other": ratio})
 
+    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for frame in bigrams(batches):
+            held.append(frame)
+            size += len(frame)
+            if size > BATCH >> 2:
+                yield pd.concat(held)
+                held, size = [], 0
+        if held:
+            yield pd.concat(held)
 
-def _build(word: pd.DataFrame, history: pd.DataFrame, pair: pd.DataFrame, totals: dict[str, float]) -> Model:
-    """The model of the counts of words, histories and bigrams that one class at least has often."""
-    over = lambda x: np.maximum(np.asarray(x, float) - DISCOUNT, 0)
-    per = lambda n: np.where(np.asarray(n) > 0, 1 / np.maximum(n, 1), 0.0)
-    mass = lambda f, n: np.where(np.asarray(n) > 0, np.asarray(f, float) / np.maximum(n, 1), 1.0)
-    both = lambda x: (x["t"] > 0).astype(int) + (x["o"] > 0).astype(int) - 0.5
-    least = float(mass(totals["types"] / 2, totals["a"])) / VOCABULARY
-    base = both(word) * per(totals["a"]) + least
-    free = {c: float(mass(totals[f"f{c}"], totals[c])) for c in "to"}
-    p = np.column_stack([over(word[c]) * per(totals[c]) + free[c] * base for c in "to"])
-    rare = np.array([free[c] * least for c in "to"])
-    h = np.column_stack([mass(history["ft"], history["t"]), mass(history["fo"], history["o"]), mass(history["types"] / 2, history["a"]), *(per(history[c]) for c in ("t", "o", "a"))])
-    d = np.column_stack([over(pair["t"]), over(pair["o"]), both(pair)])
+    met = texts.mapInPandas(joined, "k1 long, k2 long, key long, n long, other double").join(model.pairs, "key", "left")
+    ratio = F.coalesce("ratio", "other")
+    return met.groupBy("k1", "k2").agg((F.sum(F.col("n") * ratio) / F.sum("n")).alias("whole"), F.max(ratio).alias("stretch"))
 
-    def ordered(keys: pd.Series, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys = keys.to_numpy(np.int64).view(np.uint64)
-        by = np.argsort(keys)
-        return keys[by], rows[by]
 
-    return Model(*ordered(word["w"], p), rare, *ordered(history["h"], h), *ordered(pair["key"], d), np.zeros(3))
+def _hashed(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(5), "text")})
 
 
 def _chosen(labels: DataFrame) -> DataFrame:
@@ -191,21 +199,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     freed = lambda c: F.sum(F.least(F.col(c), F.lit(DISCOUNT)))
     counts = [F.sum("t").alias("t"), F.sum("o").alias("o"), freed("t").alias("ft"), freed("o").alias("fo"), F.sum(classes).alias("a"), F.count("*").alias("types")]
     word = cut(pairs.groupBy("w").agg(*(F.sum((F.col(c) > 0).cast("long")).alias(c) for c in "to")))
-    totals, of_pairs = (df.agg(*counts).na.fill(0).first().asDict() for df in (word, pairs))
-    frequent = lambda n: (F.col("t") > max(DISCOUNT, n["t"] / ENTRIES)) | (F.col("o") > max(DISCOUNT, n["o"] / ENTRIES))
-    history = _table(pairs.groupBy("h").agg(*counts, F.max(frequent(of_pairs)).alias("known")).filter("known"))
-    word, pair = _table(word.filter(frequent(totals))), _table(pairs.filter(frequent(of_pairs)))
-
-    model = _build(word, history, pair, totals)
-    spread = docs.sparkSession.sparkContext.broadcast(model)
-
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [spread.value.features(x) for x in _ids(batch["text"])]
-            yield pd.DataFrame({"y": batch["toxic"], "whole": [a for a, _ in rows], "stretch": [b for _, b in rows]})
-
-    at = taught.filter("fits").mapInPandas(measure, "y double, whole double, stretch double").toPandas()
-    model.weights = _fit(at[["whole", "stretch"]].to_numpy(), at["y"].to_numpy())
+    model = _build(word, cut(pairs.groupBy("h").agg(*counts)), pairs, word.agg(*counts).na.fill(0).first().asDict())
+    fits = cut(_hashed(taught.filter("fits")))
+    at = fits.select("k1", "k2", "toxic").join(_features(fits.select("k1", "k2", "text"), model), ["k1", "k2"], "left").select("toxic", "whole", "stretch").na.fill(0.0).toPandas()
+    model.weights = _fit(at[["whole", "stretch"]].to_numpy(), at["toxic"].to_numpy())
     return model
 
 
@@ -220,13 +217,12 @@ def _occurrences(held: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of docs and ``toxicity`` (0 to 1) from the whole text alone; a null text counts as empty."""
-    spread = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("double")
-    def toxicity(texts: pd.Series) -> pd.Series:
-        return pd.Series([spread.value.score(x) for x in _ids(texts)], dtype=float)
-
-    return docs.withColumn("toxicity", toxicity("text"))
+    docs, names = _hashed(docs), docs.columns
+    found = _features(docs.select("k1", "k2", "text"), model)
+    a, b, c = (F.lit(float(x)) for x in model.weights)
+    odds = a + b * F.coalesce("whole", F.lit(0.0)) + c * F.coalesce("stretch", F.lit(0.0))
+    scored = docs.join(found, ["k1", "k2"], "left").withColumn("toxicity", 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), odds)))))
+    return scored.select(*names, "toxicity")
 
 
 def classify(docs: DataFrame, labels: DataFrame, limit: float = 0.7) -> DataFrame:
