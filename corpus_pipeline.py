@@ -30,9 +30,12 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest doc_id; documents without words stay."""
+    """One document of each group of near-duplicates: that with the smallest doc_id; documents without words stay. Rows
+    with a null doc_id are compared with nothing and all stay; of rows that repeat a doc_id and its text one stays."""
     groups = sketch_dedup.near_duplicates(docs, SIMILARITY)
-    return docs.join(groups.filter("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    known, bare = docs.filter("doc_id is not null"), docs.filter("doc_id is null")
+    kept = known.join(groups.filter("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    return kept.dropDuplicates(["doc_id", "text"]).unionByName(bare)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -200,3 +200,11 @@ def test_pipeline(spark):
     check_pieces(last(spark, single, sf).collect(), {r.doc_id: r.text for r in single.collect()})
     assert corpus_pipeline.run(spark, sf).select("doc_id").distinct().count() == single.count()
     assert first(spark, odd(spark), sf).filter(F.col("doc_id") == 2).count() == 1
+
+
+def test_near_duplicate_stage_keeps_null_ids_and_one_copy_of_an_id(spark):
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(None, words(1)), (None, words(2)), (1, words(1)), (1, words(1)), (1, words(3)), (2, words(1)), (3, None), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()]
+    assert sorted(got, key=str) == sorted([(None, words(1)), (None, words(2)), (1, words(1)), (1, words(3)), (3, None)], key=str)
