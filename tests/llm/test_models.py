@@ -39,6 +39,31 @@ def test_language_id(spark):
     assert language_id.identify(odd(spark).limit(0)).count() == 0
 
 
+def test_language_id_is_naive_bayes(spark, monkeypatch):
+    """Counts and posteriors against plain dictionaries; blocks of languages change nothing."""
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
+    rows = docs.select("doc_id", "text", "lang").collect()
+    grams = {r.doc_id: [int(x) for part in language_id.buckets(r.text or "") for x in part] for r in rows}
+    seen, n = {}, {}
+    for r in rows:
+        if not held(r.doc_id) and r.lang is not None and r.text is not None:
+            n[r.lang] = n.get(r.lang, 0) + 1
+            for g in grams[r.doc_id]:
+                seen.setdefault(r.lang, {})[g] = seen.setdefault(r.lang, {}).get(g, 0) + 1
+    size = {x: sum(c.values()) + 0.5 * language_id.BUCKETS for x, c in seen.items()}
+    expected = {}
+    for r in rows:
+        z = {x: np.log((n[x] + 1) / (sum(n.values()) + len(n))) + sum(np.log((seen[x].get(g, 0) + 0.5) / size[x]) for g in grams[r.doc_id]) for x in sorted(n)}
+        best = max(z, key=z.get)
+        expected[r.doc_id] = (best, 1 / sum(np.exp(v - z[best]) for v in z.values())) if any(map(str.isalpha, r.text or "")) else ("und", 0.0)
+    for languages in (256, 2, 1):
+        monkeypatch.setattr(language_id, "LANGUAGES", languages)
+        got = {r.doc_id: r for r in language_id.identify(docs).collect()}
+        assert all(got[i].lang_pred == x and abs(got[i].score - p) < 1e-6 for i, (x, p) in expected.items())
+    kept = language_id.predict(docs.withColumn("language", F.lit("mine")), language_id.train(docs))
+    assert {r.language for r in kept.select("language").distinct().collect()} == {"mine"} and "language_" in kept.columns
+
+
 def test_toxicity(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     got = {r.doc_id: r for r in toxicity.classify(docs, labels).collect()}
@@ -53,48 +78,62 @@ def test_toxicity(spark):
     assert toxicity.classify(odd(spark).limit(0), labels).count() == 0
 
 
-def test_toxicity_counts_all_ordinary_documents(spark):
+def test_toxicity_counts_all_ordinary_documents(spark, monkeypatch):
     name = lambda i: "only" + "".join(chr(97 + int(c)) for c in str(i))
     rows = [(i, " ".join(f"{w} {name(i)}" for w in ("alpha", "beta", "gamma", "delta", "epsilon")), int(i < 4)) for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    model = toxicity.train(docs.drop("toxic"), docs.drop("text"))
+    seen, real = [], toxicity.Counts.__post_init__
+    monkeypatch.setattr(toxicity.Counts, "__post_init__", lambda self: seen.append(self.n) or real(self))
+    toxicity.train(docs.drop("toxic"), docs.drop("text"))
     taught = [i for i, *_ in rows if i >= 4 and not held(i)]
-    own = [next(toxicity._ids([name(i)]))[0] for i in taught]
-    assert np.isin(own, model.words).mean() > 0.6  # at most a quarter fits the curve
+    assert all(seen[0][0, next(toxicity.slots([name(i)]))] >= 1 for i in taught)
+    assert seen[0][0, next(toxicity.slots(["alpha"]))] == len(taught)
 
 
-def test_toxicity_scores_by_all_counts(spark):
+def test_toxicity_scores_by_its_formula(spark):
+    """Against plain dictionaries: counts, Kneser-Ney probabilities, leave-one-out features, and every score."""
     docs, labels = (spark.read.parquet(f"{DATA}/sf0.001/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.train(docs, labels)
     got = {r.doc_id: r.toxicity for r in toxicity.score(docs, model).collect()}
-    texts = {r.doc_id: next(toxicity._ids([r.text])).tolist() for r in docs.collect()}
-    contexts = {}
-    for doc_id, c in [(r.doc_id, r.toxic) for r in toxicity._chosen(labels).collect() if not r.fits]:
-        x = [0, 0, *texts[doc_id]]
-        for before, h, w in zip(x, x[1:], x[2:]):
-            contexts.setdefault((h, w), [set(), set()])[c].add(before)
-    pair = {k: (len(o), len(t)) for k, (o, t) in contexts.items()}
-    word, history = {}, {}
-    for (h, w), n in pair.items():
-        k, x = word.setdefault(w, [0, 0]), history.setdefault(h, [])
-        x.append(n)
-        for c in (0, 1):
-            k[c] += n[c] > 0
-    def sums(rows):
-        return [(sum(n[c] for n in rows), sum(min(n[c], 3) for n in rows)) for c in (0, 1)], sum((n[0] > 0) + (n[1] > 0) for n in rows), len(rows)
-    over, all_words, of_history = lambda n: max(n - 3, 0), sums(list(word.values())), {h: sums(x) for h, x in history.items()}
-    def ratio(h, w):
-        (totals, a, types), (n, k) = all_words, (pair.get((h, w), (0, 0)), word.get(w, (0, 0)))
-        seen, kinds = (n[0] > 0) + (n[1] > 0), (k[0] > 0) + (k[1] > 0)
-        p = [over(k[c]) / totals[c][0] + totals[c][1] / totals[c][0] * (max(kinds - 0.5, 0) / a + types / 2 / a / 2**24) for c in (0, 1)]
-        own, b, m = of_history.get(h, ([(0, 0)] * 2, 0, 0))
-        l, shared = (m / 2 / b, max(seen - 0.5, 0) / b) if b else (1, 0)
-        q = [(over(n[c]) / own[c][0] if own[c][0] else 0) + (own[c][1] / own[c][0] if own[c][0] else 1) * (shared + l * p[c]) for c in (0, 1)]
-        return np.log(q[1]) - np.log(q[0])
-    for doc_id, x in list(texts.items())[:60]:
-        r = [ratio(h, w) for h, w in zip([0, *x], x)]
-        z = np.dot(model.weights, [1, np.mean(r), np.max(r)]) if r else model.weights[0]
-        assert abs(got[doc_id] - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-6
+    words = {r.doc_id: next(toxicity.slots([r.text])).tolist() for r in docs.collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    known = {r.doc_id: r.toxic for r in labels.collect() if not held(r.doc_id)}
+    first = {}
+    for i in sorted(known):
+        first.setdefault(texts[i], i)
+    taught = {i: max(known[j] for j in known if texts[j] == t) for t, i in first.items()}
+
+    def model_of(n, k_total, k_kinds):
+        total = [sum(x.values()) for x in n]
+        freed = [sum(min(v, 0.9) for v in x.values()) / t for x, t in zip(n, total)]
+        base = sum(min(v, 0.9) for v in k_kinds) / k_total / 2**21
+
+        def r(w, left=None):
+            k = [n[c].get(w, 0) - (c == left) for c in (0, 1)]
+            shared = max((k[0] > 0) + (k[1] > 0) - 0.9, 0) / k_total + base
+            p = [max(k[c] - 0.9, 0) / total[c] + freed[c] * shared for c in (0, 1)]
+            return np.log(0.99 + 0.01 * p[1] / p[0])
+
+        return r
+
+    n = [{}, {}]
+    for i, c in taught.items():
+        for w in set(words[i]):
+            n[c][w] = n[c].get(w, 0) + 1
+    kinds = {w: (w in n[0]) + (w in n[1]) for w in {*n[0], *n[1]}}
+    r = model_of(n, sum(kinds.values()), list(kinds.values()))
+
+    def features(x, left=None):
+        z = [r(w, left) for w in x]
+        spans = [z] if len(z) <= 256 else [z[k : k + 256] for k in range(len(z) - 255)]
+        return (np.mean(z), max(map(np.mean, spans))) if z else (0.0, 0.0)
+
+    x = np.array([features(words[i], c) for i, c in sorted(taught.items(), key=lambda m: (m[1], m[0]))])
+    assert np.allclose(toxicity.fit(x, np.array(sorted(taught.values()))), model.weights, atol=1e-6)
+    assert (model.weights[1:] > 0).all()
+    for i, text in words.items():
+        z = model.weights[0] + 200 * np.dot(features(text), model.weights[1:])
+        assert abs(got[i] - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-4
 
 
 def test_quality(spark):

@@ -1,28 +1,28 @@
 """Toxicity (operator 10): class-conditional Kneser-Ney models of words.
 
-Two bigram models, of toxic and of ordinary documents, with absolute discount ``DISCOUNT`` and continuation counts
-below. What a class has not seen backs off to counts shared by both, so an expression that is rare in either class says
-little:
-
-    P_c(w|h) = d(n_c(h,w)) / n_c(h) + l_c(h) Q_c(w|h)       Q_c(w|h) = (a(h,w) - 1/2) / a(h) + l(h) P_c(w)
-    P_c(w)   = d(k_c(w)) / k_c + l_c P(w)                   P(w)     = (a(w) - 1/2) / a + l / VOCABULARY
-
-with d(n) = max(n - DISCOUNT, 0) and l the mass that discounting frees. n and k are continuation counts: in how many
-contexts (words before it) a class has a bigram or a word, so that copies of a document count once. The shared a are
-continuation counts too: in how many classes. A document's log-likelihood ratio per word, over the whole text and over
-its most toxic word after the word before it (an expression), is turned into a score by a logistic curve fitted on documents
-that the counts leave out.
-
-The counts grow with the input: they take every labelled document that may teach, but for the ``CURVE`` documents of a
-class that fit the curve, and Spark sums them up. No entry is left out of the model: the ratio of each counted bigram
-stays a partitioned table, which the documents' distinct bigrams are joined with. A bigram that is not in it has no
-shared count, so its ratio is l_t/l_o of its history times P_t/P_o of its word; these two numbers a word are broadcast,
-and grow with the vocabulary.
+A model each of toxic and of ordinary documents has Kneser-Ney counts: n_c(w) is the number of different contexts that a
+word w has in class c, and a context is a document, so that neither a word's repetition nor an exact copy of a document
+counts twice. Each model is discounted by D and backs off to counts that both share, k(w), in how many classes w is:
+
+    P_c(w) = max(n_c(w) - D, 0) / N_c + l_c P(w)          P(w) = max(k(w) - D, 0) / K + l / SLOTS
+
+with N_c and K the sums of n_c and k, and l_c and l the mass that discounting frees. What is rare in both classes has the
+ratio l_t / l_o of the freed masses, so it says little. As toxic documents are ordinary language with some toxic
+expressions in it, their likelihood is that of a mixture, and the log-likelihood ratio of a word is
+
+    r(w) = log((1 - MIXED) + MIXED P_t(w) / P_o(w)).
+
+A document's two features are length-normalised: the mean of r over all its words and the greatest mean over a stretch of
+``STRETCH`` words. A logistic curve, which rises with both, gives the score; it is fitted on a bounded sample of the documents
+that teach, each with its own counts taken out (leave one out).
+
+Words are hashed to ``SLOTS``; all that share a slot are one expression, and no entry is ever left out. So the counts of
+all labelled documents are one table of fixed size at any size of the corpus: tasks sum it up, and 8 MB are broadcast.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,201 +32,155 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .folds import held_out
-from .storage import cut
-
-DISCOUNT, VOCABULARY = 3.0, 2.0**24
-#: Documents of each class, at most a quarter of it, that fit the curve (as expected; they are drawn by hash).
+from .names import free_name
+
+BITS = 21
+SLOTS = 1 << BITS
+DISCOUNT = 0.9
+#: Share of a toxic document's words that come from the toxic model.
+MIXED = 0.01
+#: Words in a stretch: several times those between two toxic ones.
+STRETCH = 256
+#: Documents of each class that fit the curve (as expected; they are drawn by hash).
 CURVE = 2000
-#: Chosen documents whose ids are broadcast to find their texts; more are joined by a shuffle.
+#: Curve before any document is seen: intercept, and slopes for features in nats per 200 words; what it weighs.
+PRIOR, WEIGHT, PER = np.array([-4.0, 1.5, 1.5]), 0.5, 200
+#: Labelled documents whose ids are broadcast to find their texts; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
-#: Words whose bigrams a task sums up before it hands them over.
-BATCH = 1 << 20
-_HALF = np.uint64(32)
-
 
-def _shift(x: np.ndarray) -> np.ndarray:
-    return np.concatenate((np.zeros(min(1, len(x)), np.uint64), x[:-1]))
 
+def slots(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+    """The slots of each text's words (of letters), in order."""
+    return ((x >> np.uint64(64 - BITS)).astype(np.int64) for x in T.words(texts, letters=True))
 
-def _ids(texts: pd.Series) -> Iterator[np.ndarray]:
-    """32-bit ids of each text's words."""
-    return (x >> _HALF for x in T.words(texts, letters=True))
 
-
-def _pairs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bigram key (history, then word) and history of each word; the first word's history is 0."""
-    before = _shift(words)
-    return before << _HALF | words, before
+@dataclass
+class Counts:
+    """n_o and n_t by slot."""
+
+    n: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.total = self.n.sum(axis=1, dtype=float)
+        self.freed = [float(np.minimum(self.n[c], DISCOUNT).sum() / max(self.total[c], 1.0)) for c in (0, 1)]
+        kinds = (self.n > 0).sum(axis=0)
+        self.kinds = float(kinds.sum())
+        self.base = float(np.minimum(kinds, DISCOUNT).sum() / max(self.kinds, 1.0) / SLOTS)
+
+    def ratio(self, n: np.ndarray) -> np.ndarray:
+        """r of words with counts n (2 x words)."""
+        if not self.total.all():
+            return np.zeros(n.shape[1])
+        shared = np.maximum((n > 0).sum(axis=0) - DISCOUNT, 0) / self.kinds + self.base
+        o, t = (np.maximum(n[c] - DISCOUNT, 0) / self.total[c] + self.freed[c] * shared for c in (0, 1))
+        return np.log(1 - MIXED + MIXED * t / o)
+
+
+def features(r: np.ndarray) -> tuple[float, float]:
+    """The mean of r over a text and its greatest mean over STRETCH words; 0 without words."""
+    if not len(r):
+        return 0.0, 0.0
+    if len(r) <= STRETCH:
+        return float(r.mean()), float(r.mean())
+    upto = np.concatenate(([0.0], np.cumsum(r)))
+    return float(r.mean()), float((upto[STRETCH:] - upto[:-STRETCH]).max() / STRETCH)
+
+
+def curve(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Scores of rows of features."""
+    return 1 / (1 + np.exp(-np.clip(weights[0] + x.reshape(-1, 2) * PER @ weights[1:], -30, 30)))
+
+
+def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of the curve by Newton's method: both classes weigh the same, slopes are not negative, and few documents
+    move it little from PRIOR."""
+    w = PRIOR.copy()
+    if not (y > 0).any() or not (y < 1).any():
+        return w
+    a = np.column_stack((np.ones(len(x)), x * PER))
+    mass = np.where(y > 0, (y < 1).sum() / (y > 0).sum(), 1.0)
+    for _ in range(100):
+        p = curve(x, w)
+        push = a.T @ (mass * (y - p)) - WEIGHT * (w - PRIOR)
+        step = np.linalg.solve((a * (mass * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ a + WEIGHT * np.eye(3), push)
+        w = w + step * min(1.0, 3 / max(np.abs(step).max(), 1e-12))
+        w[1:] = np.maximum(w[1:], 0)
+    return w
 
 
 @dataclass
 class Model:
-    """Sorted words and histories with their part of an unknown bigram's ratio (``rare``: of a word not there); the
-    table (key, ratio) of all counted bigrams; ``weights``: logistic curve over (whole, stretch)."""
-
-    words: np.ndarray
-    word_ratio: np.ndarray
-    rare: float
-    histories: np.ndarray
-    history_ratio: np.ndarray
-    pairs: DataFrame
-    weights: np.ndarray
-
-
-def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: float) -> np.ndarray:
-    if not len(keys):
-        return np.full(len(wanted), default)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], default)
+    """r by slot, and the curve."""
 
+    ratio: np.ndarray
+    weights: np.ndarray
 
-def _curve(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    def score(self, texts: Iterable[str | None]) -> np.ndarray:
+        return curve(np.array([features(self.ratio[s].astype(float)) for s in slots(texts)]).reshape(-1, 2), self.weights)
 
 
-def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic regression by Newton's method; both classes weigh the same, slopes have a small penalty."""
-    if not (y > 0).any() or not (y < 1).any():
-        return np.array([-4.0, 0.0, 2.0])
-    x, w = np.column_stack((np.ones(len(x)), x)), np.zeros(3)
-    mass = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 1).sum()) * len(y)
-    for _ in range(50):
-        p = _curve(x @ w)
-        pull = np.diag([1e-6, 0.05, 0.05])
-        step = np.linalg.solve((x * (mass * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ x + pull, x.T @ (mass * (y - p)) - pull @ w)
-        w += step * min(1, 5 / max(np.abs(step).max(), 1e-9))
-        if w[1] < 0:  # what speaks for a class never counts against it
-            x[:, 1], w[1] = 0, 0
-    return w
-
-
-def _sorted(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and values of a table of words."""
-    at = df.toPandas().to_numpy()
-    keys = at[:, 0].astype(np.uint64)
-    by = np.argsort(keys)
-    return keys[by], at[by, 1].astype(float)
-
-
-def _build(word: DataFrame, history: DataFrame, pairs: DataFrame, totals: dict[str, float]) -> Model:
-    """The model of all counts of words, histories and bigrams."""
-    over = lambda x: F.greatest(F.col(x) - F.lit(DISCOUNT), F.lit(0.0))
-    per = lambda n: F.when(F.col(n) > 0, 1 / F.col(n)).otherwise(0.0)
-    mass = lambda f, n: F.when(F.col(n) > 0, F.col(f) / F.col(n)).otherwise(1.0)
-    both = (F.col("t") > 0).cast("int") + (F.col("o") > 0).cast("int") - 0.5
-    share = lambda f, n: f / n if n else 1.0
-    least = share(totals["types"] / 2, totals["a"]) / VOCABULARY
-    free = {c: share(totals[f"f{c}"], totals[c]) for c in "to"}
-    p = lambda c: over(c) / max(totals[c], 1) + F.lit(free[c]) * (both / max(totals["a"], 1) + F.lit(least))
-    word = word.select("w", p("t").alias("pt"), p("o").alias("po"))
-    history = history.withColumn("half", F.col("types") / 2)
-    history = history.select("h", mass("ft", "t").alias("lt"), mass("fo", "o").alias("lo"), mass("half", "a").alias("l"), per("t").alias("it"), per("o").alias("io"), per("a").alias("ia"))
-    met = pairs.select("key", "h", "w", over("t").alias("dt"), over("o").alias("do"), both.alias("d")).join(history, "h").join(word, "w")
-    given = lambda c: F.col(f"d{c}") * F.col(f"i{c}") + F.col(f"l{c}") * (F.col("d") * F.col("ia") + F.col("l") * F.col(f"p{c}"))
-    ratios = cut(met.select("key", F.log(given("t") / given("o")).alias("ratio")))
-    words, histories = _sorted(word.select("w", F.log(F.col("pt") / F.col("po")))), _sorted(history.select("h", F.log(F.col("lt") / F.col("lo"))))
-    return Model(*words, float(np.log(free["t"] / free["o"])), *histories, ratios, np.zeros(3))
-
-
-def _features(texts: DataFrame, model: Model) -> DataFrame:
-    """(k1, k2, whole, stretch) of each text with words of (k1, k2, text), k1 and k2 its hashes: the mean ratio of its
-    words and that of its most toxic stretch. Rows of one text may repeat."""
-    spread = texts.sparkSession.sparkContext.broadcast((model.words, model.word_ratio, model.rare, model.histories, model.history_ratio))
-
-    def bigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, word_ratio, rare, histories, history_ratio = spread.value
-        for batch in batches:
-            for k1, k2, text in zip(batch["k1"], batch["k2"], _ids(batch["text"]), strict=True):
-                if len(text):
-                    key, n = np.unique(_pairs(text)[0], return_counts=True)
-                    ratio = _look(words, word_ratio, key & np.uint64(0xFFFFFFFF), rare) + _look(histories, history_ratio, key >> _HALF, 0.0)
-                    yield pd.DataFrame({"k1": k1, "k2": k2, "key": key.view(np.int64), "n": n, "other": ratio})
-
-    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
-        for frame in bigrams(batches):
-            held.append(frame)
-            size += len(frame)
-            if size > BATCH >> 2:
-                yield pd.concat(held)
-                held, size = [], 0
-        if held:
-            yield pd.concat(held)
-
-    met = texts.mapInPandas(joined, "k1 long, k2 long, key long, n long, other double").join(model.pairs, "key", "left")
-    ratio = F.coalesce("ratio", "other")
-    return met.groupBy("k1", "k2").agg((F.sum(F.col("n") * ratio) / F.sum("n")).alias("whole"), F.max(ratio).alias("stretch"))
-
-
-def _hashed(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(5), "text")})
-
-
-def _chosen(labels: DataFrame) -> DataFrame:
-    """(doc_id, toxic, fits) of the documents that teach; those that fit the curve are drawn by hash of their ids."""
+def _taught(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(text, toxic, fits) of the documents that teach, exact copies once; ``fits`` marks a bounded sample by hash."""
     known = labels.filter(~held_out() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n = {0: 0, 1: 0} | {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    near = F.broadcast if n[0] + n[1] <= BROADCAST_ROWS else lambda df: df
+    named = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(5), "text").alias("k2"))
+    single = named.join(near(known), "doc_id").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    fits = {c: min(0.25, CURVE / max(n[c], 1)) for c in n}
-    chosen = known.withColumn("fits", draw < F.when(F.col("toxic") == 1, fits[1]).otherwise(fits[0]))
-    return F.broadcast(chosen) if n[0] + n[1] <= BROADCAST_ROWS else chosen
+    single = single.select("doc_id", "toxic", (draw < F.when(F.col("toxic") == 1, CURVE / max(n[1], 1)).otherwise(CURVE / max(n[0], 1))).alias("fits"))
+    return docs.select("doc_id", "text").join(near(single), "doc_id").select("text", "toxic", "fits")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from whole texts of all documents that labels (doc_id, toxic: 0 or 1) marks and that are not held out.
-    Null labels or texts teach nothing; a document that is marked twice counts as toxic if it is so once. With no
-    labelled document every score is the same."""
-    taught = docs.select("doc_id", "text").join(_chosen(labels), "doc_id")
+    Null labels or texts teach nothing; a document or a text that is marked twice counts as toxic if it is so once. If
+    nothing of one class teaches, every score is the same."""
+    taught = _taught(docs, labels)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
+        n = np.zeros((2, SLOTS), np.int32)
         for batch in batches:
-            for words, toxic in zip(_ids(batch["text"]), batch["toxic"], strict=True):
-                key, before = _pairs(words)
-                held.append((key, _shift(before) << np.uint64(1) | np.uint64(toxic)))
-                size += len(key)
-                if size > BATCH:
-                    yield _occurrences(held)
-                    held, size = [], 0
-        if held:
-            yield _occurrences(held)
-
-    met = taught.filter("not fits").mapInPandas(count, "key long, mark long").distinct()
-    both = met.groupBy("key").agg(F.sum(F.when(F.col("mark").bitwiseAND(F.lit(1)) == 1, F.lit(1)).otherwise(F.lit(1 << 32))).alias("n"))
-    pairs = cut(both.select("key", F.col("n").bitwiseAND(F.lit(0xFFFFFFFF)).alias("t"), F.shiftrightunsigned("n", 32).alias("o")))
-    pairs = pairs.withColumns({"h": F.shiftrightunsigned("key", 32), "w": F.col("key").bitwiseAND(F.lit(0xFFFFFFFF))})
-    classes = (F.col("t") > 0).cast("long") + (F.col("o") > 0).cast("long")
-    freed = lambda c: F.sum(F.least(F.col(c), F.lit(DISCOUNT)))
-    counts = [F.sum("t").alias("t"), F.sum("o").alias("o"), freed("t").alias("ft"), freed("o").alias("fo"), F.sum(classes).alias("a"), F.count("*").alias("types")]
-    word = cut(pairs.groupBy("w").agg(*(F.sum((F.col(c) > 0).cast("long")).alias(c) for c in "to")))
-    model = _build(word, cut(pairs.groupBy("h").agg(*counts)), pairs, word.agg(*counts).na.fill(0).first().asDict())
-    fits = cut(_hashed(taught.filter("fits")))
-    at = fits.select("k1", "k2", "toxic").join(_features(fits.select("k1", "k2", "text"), model), ["k1", "k2"], "left").select("toxic", "whole", "stretch").na.fill(0.0).toPandas()
-    model.weights = _fit(at[["whole", "stretch"]].to_numpy(), at["toxic"].to_numpy())
-    return model
-
-
-def _occurrences(held: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
-    """Each bigram once with each word before it and class (``mark``: that word, then a bit for toxic), in order."""
-    key, mark = (np.concatenate(x) for x in zip(*held, strict=True))
-    by = np.lexsort((mark, key))
-    key, mark = key[by], mark[by]
-    new = np.concatenate((np.ones(min(1, len(key)), bool), (key[1:] != key[:-1]) | (mark[1:] != mark[:-1])))
-    return pd.DataFrame({"key": key[new].view(np.int64), "mark": mark[new].view(np.int64)})
-
-
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs and ``toxicity`` (0 to 1) from the whole text alone; a null text counts as empty."""
-    docs, names = _hashed(docs), docs.columns
-    found = _features(docs.select("k1", "k2", "text"), model)
-    a, b, c = (F.lit(float(x)) for x in model.weights)
-    odds = a + b * F.coalesce("whole", F.lit(0.0)) + c * F.coalesce("stretch", F.lit(0.0))
-    scored = docs.join(found, ["k1", "k2"], "left").withColumn("toxicity", 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), odds)))))
-    return scored.select(*names, "toxicity")
+            for s, toxic in zip(slots(batch["text"]), batch["toxic"], strict=True):
+                n[toxic, np.unique(s)] += 1
+        at = np.flatnonzero(n.any(axis=0))
+        yield pd.DataFrame({"slot": at.astype(np.int32), "o": n[0, at], "t": n[1, at]})
+
+    sums = taught.mapInPandas(count, "slot int, o long, t long").groupBy("slot").agg(F.sum("o").alias("o"), F.sum("t").alias("t")).toPandas()
+    n = np.zeros((2, SLOTS), np.int64)
+    n[0, sums["slot"]], n[1, sums["slot"]] = sums["o"], sums["t"]
+    counts = Counts(n)
+    spread = docs.sparkSession.sparkContext.broadcast(counts)
+
+    def left_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for s, toxic in zip(slots(batch["text"]), batch["toxic"], strict=True):
+                own = spread.value.n[:, s]
+                own[toxic] -= 1
+                out.append((*features(spread.value.ratio(own)), int(toxic)))
+            yield pd.DataFrame(out, columns=["whole", "stretch", "toxic"])
+
+    met = taught.filter("fits").mapInPandas(left_out, "whole double, stretch double, toxic int").toPandas().sort_values(["toxic", "whole", "stretch"])
+    spread.unpersist()
+    return Model(counts.ratio(n).astype(np.float32), fit(met[["whole", "stretch"]].to_numpy(), met["toxic"].to_numpy()))
+
+
+def score(docs: DataFrame, model: Model, into: str = "toxicity") -> DataFrame:
+    """All columns of docs and the score (0 to 1) as ``into`` (with underscores behind it if docs has such a column),
+    from the whole text alone; a null text counts as empty. Repeated rows are scored alike; an empty table gives an
+    empty result."""
+    spread = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(spread.value.score(texts))
+
+    return docs.withColumn(free_name(docs, into), scores("text"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, limit: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of docs (doc_id, text; more columns are ignored), empty and
     repeated ones included: predicted is 1 if the score reaches ``limit``. An empty table gives an empty result."""
-    scored = score(docs.select("doc_id", "text"), train(docs, labels))
-    return scored.select("doc_id", held_out().alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= limit).cast("int").alias("predicted"))
+    scored = score(docs.select("doc_id", "text"), train(docs, labels), "score")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= limit).cast("int").alias("predicted"))
