@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import language_id, packing, sketch_dedup, toxicity
+from tidemark.llm.names import free_name
 from tidemark.llm.storage import cut
 
 TOXIC_FROM = 0.7
@@ -19,14 +20,15 @@ LEAST_POSTERIOR = 0.5
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below TOXIC_FROM; empty and null texts stay, as nothing in them is toxic."""
-    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).filter((F.col("toxicity") < TOXIC_FROM) | (F.coalesce(F.length("text"), F.lit(0)) == 0)).select(*docs.columns)
+    model, name = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), free_name(docs, "toxicity")
+    return toxicity.score(docs, model, name).filter((F.col(name) < TOXIC_FROM) | (F.coalesce(F.length("text"), F.lit(0)) == 0)).drop(name)
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with a posterior of LEAST_POSTERIOR or more; ``und`` goes."""
-    found = language_id.predict(docs, language_id.train(docs))
-    return found.filter((F.col("language.lang_pred") != language_id.UNKNOWN) & (F.col("language.score") >= LEAST_POSTERIOR)).select(*docs.columns)
+    name = free_name(docs, "language")
+    found = language_id.predict(docs, language_id.train(docs), into=name)
+    return found.filter((F.col(name)["lang_pred"] != language_id.UNKNOWN) & (F.col(name)["score"] >= LEAST_POSTERIOR)).drop(name)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
