@@ -36,6 +36,8 @@ from .names import free_name
 
 BITS = 21
 SLOTS = 1 << BITS
+#: Slots whose ratios are computed at a time, so that the driver holds few numbers beside the counts.
+CHUNK = 1 << 16
 DISCOUNT = 0.9
 #: Share of a toxic document's words that come from the toxic model.
 MIXED = 0.01
@@ -45,6 +47,8 @@ STRETCH = 256
 CURVE = 2000
 #: Curve before any document is seen: intercept, and slopes for features in nats per 200 words; what it weighs.
 PRIOR, WEIGHT, PER = np.array([-4.0, 1.5, 1.5]), 0.5, 200
+#: A count is four bytes; a word in more documents of a class counts as in so many, which moves no ratio that matters.
+MOST = 2**31 - 1
 #: Labelled documents whose ids are broadcast to find their texts; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 
@@ -61,11 +65,15 @@ class Counts:
     n: np.ndarray
 
     def __post_init__(self) -> None:
+        seen = self.n > 0
         self.total = self.n.sum(axis=1, dtype=float)
-        self.freed = [float(np.minimum(self.n[c], DISCOUNT).sum() / max(self.total[c], 1.0)) for c in (0, 1)]
-        kinds = (self.n > 0).sum(axis=0)
-        self.kinds = float(kinds.sum())
-        self.base = float(np.minimum(kinds, DISCOUNT).sum() / max(self.kinds, 1.0) / SLOTS)
+        self.freed = [DISCOUNT * float(seen[c].sum()) / max(self.total[c], 1.0) for c in (0, 1)]
+        self.kinds = float(seen.sum())
+        self.base = DISCOUNT * float((seen[0] | seen[1]).sum()) / max(self.kinds, 1.0) / SLOTS
+
+    def ratios(self) -> np.ndarray:
+        """r by slot."""
+        return np.concatenate([self.ratio(self.n[:, at : at + CHUNK]).astype(np.float32) for at in range(0, SLOTS, CHUNK)])
 
     def ratio(self, n: np.ndarray) -> np.ndarray:
         """r of words with counts n (2 x words)."""
@@ -145,9 +153,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         at = np.flatnonzero(n.any(axis=0))
         yield pd.DataFrame({"slot": at.astype(np.int32), "o": n[0, at], "t": n[1, at]})
 
-    sums = taught.mapInPandas(count, "slot int, o long, t long").groupBy("slot").agg(F.sum("o").alias("o"), F.sum("t").alias("t")).toPandas()
-    n = np.zeros((2, SLOTS), np.int64)
-    n[0, sums["slot"]], n[1, sums["slot"]] = sums["o"], sums["t"]
+    sums = taught.mapInPandas(count, "slot int, o int, t int").groupBy("slot").agg(*(F.least(F.sum(c), F.lit(MOST)).cast("int").alias(c) for c in "ot")).toArrow()
+    n = np.zeros((2, SLOTS), np.int32)
+    for batch in sums.to_batches():
+        slot, o, t = (c.to_numpy() for c in batch.columns)
+        n[0, slot], n[1, slot] = o, t
+    del sums
     counts = Counts(n)
     spread = docs.sparkSession.sparkContext.broadcast(counts)
 
@@ -162,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     met = taught.filter("fits").mapInPandas(left_out, "whole double, stretch double, toxic int").toPandas().sort_values(["toxic", "whole", "stretch"])
     spread.unpersist()
-    return Model(counts.ratio(n).astype(np.float32), fit(met[["whole", "stretch"]].to_numpy(), met["toxic"].to_numpy()))
+    return Model(counts.ratios(), fit(met[["whole", "stretch"]].to_numpy(), met["toxic"].to_numpy()))
 
 
 def score(docs: DataFrame, model: Model, into: str = "toxicity") -> DataFrame:
