@@ -90,6 +90,28 @@ def test_streaming_viterbi_is_optimal_and_exact():
         assert codec.decode(codec.encode(text)) == text
 
 
+def test_stream_holds_a_bounded_window(spark):
+    """Whole texts through one stream, without spans: held characters, and equality wherever no commit was forced."""
+    import sentencepiece
+
+    library, codec = sentencepiece.SentencePieceProcessor(model_file=MODEL), piece_codec.codec(MODEL)
+    runs = ["a" * 3000, "-" * 3000, "x" * 3000, "ab" * 2000, "é" * 3000, "漢字" * 1000, " " * 3000, "thethingingerror" * 300]
+    texts = runs + [r.text for r in spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").limit(150).collect() if r.text]
+    forced = 0
+    for merges in (True, False):
+        for text in texts:
+            normal, stream = "▁" + text.replace(" ", "▁"), piece_codec.Stream(codec, merges)
+            ids = [i for k in range(0, len(normal), 37) for i in stream.feed(normal[k : k + 37])] + stream.close()
+            assert stream.held <= (8 if merges else piece_codec.WINDOWS + 8) * codec.longest
+            assert codec.decode(b"".join(i.to_bytes(4, "little") for i in ids)) == text
+            if merges:
+                assert stream.forced == 0 and ids == library.encode(text)
+            elif not stream.forced and len(text) < 4000:
+                assert _score(codec, ids) == pytest.approx(_best(codec, normal), rel=1e-12)
+            forced += stream.forced
+    assert forced < 20  # only runs of one character do not converge, and only by sums of merge ranks
+
+
 def test_ids_are_the_models_own(spark):
     import sentencepiece
 
