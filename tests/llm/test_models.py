@@ -213,12 +213,23 @@ def test_spans_encode_as_the_library():
 
 def test_local_search_empties_bins():
     rng = random.Random(1)
-    for low, high in ((1, 1023), (300, 700), (100, 400)):
+    whole = lambda bins, n: sorted(i for b in bins for i in b) == list(range(n))
+    for low, high in ((1, 1023), (300, 700), (100, 400), (250, 500)):
         lengths = [rng.randint(low, high) for _ in range(600)]
-        bins = packing.best_fit(lengths, 1024)
-        better = packing.improve([list(b) for b in bins], lengths, 1024)
-        assert sorted(i for b in better for i in b) == list(range(600)) and all(sum(lengths[i] for i in b) <= 1024 for b in better)
-        assert len(better) <= len(bins) and sum(sum(lengths[i] for i in b) ** 2 for b in better) >= sum(sum(lengths[i] for i in b) ** 2 for b in bins)
+        square = lambda bins: sum(sum(lengths[i] for i in b) ** 2 for b in bins)  # noqa: E731, B023
+        for start, strict in ((None, False), (list(range(600)), True)):
+            bins = packing.best_fit(lengths, 1024, start)
+            better = packing.improve([list(b) for b in bins], lengths, 1024)
+            assert whole(better, 600) and all(sum(lengths[i] for i in b) <= 1024 for b in better)
+            assert len(better) < len(bins) if strict else len(better) <= len(bins)
+            assert square(better) > square(bins) or better == bins
+    # where best fit decreasing is far from the bound, the search from the looser start beats it
+    lengths = [rng.randint(250, 500) for _ in range(600)]
+    assert len(packing.packed_bins(lengths, 1024)) < 0.97 * len(packing.best_fit(lengths, 1024))
+    # moves alone: two half-empty bins become one; an exchange: 600 + 300 | 500 + 400 | 124 | 224 fit into two
+    assert packing.improve([[0], [1]], [400, 500], 1024) == [[1, 0]]
+    assert len(packing.improve([[0, 1], [2, 3], [4], [5]], [600, 300, 500, 400, 124, 124], 1024)) == 2
+    assert packing.packed_bins([], 1024) == [] and packing.packed_bins([1023, 1023, 1], 1024) in ([[0, 2], [1]], [[0], [1, 2]])
 
 
 def test_pipeline(spark):

@@ -2,28 +2,32 @@
 
 Only texts longer than a sequence are cut, from the end, so that their first piece may be shorter; a piece of full size
 is a sequence of its own. The rest is dealt by hash into groups of about ``GROUP`` pieces. A task packs a group by best
-fit decreasing and then improves it by moves, one-for-one and two-for-one exchanges between underfull bins that raise
-the sum of squared fills, until no bin can be emptied. Bins that stay below ``KEEP`` of their size are opened and dealt
-again in larger mixtures, until one group is left: the waste does not grow with the number of groups.
+fit and improves that by moves, one-for-one and two-for-one exchanges between underfull bins that raise the sum of
+squared fills, until a pass over all of them empties no bin. Best fit starts from the longest piece; where that
+leaves more than ``GAP`` above the least number of bins that there can be, from a shuffled order as well, which is looser and
+gives the search more room, and the better result counts. Bins that stay below ``KEEP`` of their size are opened and dealt
+again in other mixtures, until one group is left or ``ROUNDS`` are over: the waste does not grow with the number of
+groups, and what no mixture fills (pieces of six tenths of a sequence, say) stays as it is.
 """
 
 from __future__ import annotations
 
 import functools
+import heapq
 import json
 import re
 import zlib
 from array import array
-from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import cut
 
-GROUP, KEEP, ROUNDS = 16384, 0.98, 6
+GROUP, KEEP, ROUNDS, GAP = 16384, 0.98, 6, 0.002
 #: Spans kept with their ids in a worker before it starts anew.
 MEMO = 400_000
 #: Characters taken at a time from a long text.
@@ -113,12 +117,13 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int) -> DataFrame
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def best_fit(lengths: list[int], size: int) -> list[list[int]]:
-    """Bins of item numbers by best fit decreasing. Open bins are found by their free space in a bit mask."""
+def best_fit(lengths: list[int], size: int, order: list[int] | None = None) -> list[list[int]]:
+    """Bins of item numbers by best fit in an order (default: decreasing lengths). Open bins are found by their free space
+    in a bit mask."""
     bins: list[list[int]] = []
     free: list[list[int]] = [[] for _ in range(size + 1)]
     mask = 0
-    for item in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+    for item in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)) if order is None else order:
         need = lengths[item]
         fits = mask >> need
         if fits:
@@ -137,51 +142,94 @@ def best_fit(lengths: list[int], size: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: list[int], size: int, partners: int = 256) -> list[list[int]]:
-    """Local search over the underfull bins, the emptiest first: move an item, exchange one for one, or two for one,
-    with one of the ``partners`` bins that have most space, whenever that raises the sum of squared fills; a bin that
-    loses its last item goes. No step lowers that sum, so it ends."""
+class _Partners:
+    """Underfull bins by what they take: ``reach[y]`` is the largest length that may replace an item of length y (0: none)
+    in one of them."""
+
+    def __init__(self, bins: list[list[int]], lengths: list[int], fill: list[int], size: int):
+        self.bins, self.lengths, self.fill, self.size = bins, lengths, fill, size
+        self.version = [0] * len(bins)
+        self.tops: list[list[tuple[int, int, int]]] = [[] for _ in range(size + 1)]
+        self.reach = np.full(size + 1, -1)
+
+    def _sizes(self, b: int) -> set[int]:
+        return {0, *(self.lengths[i] for i in self.bins[b])}
+
+    def add(self, b: int) -> None:
+        free = self.size - self.fill[b]
+        if free:
+            for y in self._sizes(b):
+                heapq.heappush(self.tops[y], (-(y + free), b, self.version[b]))
+                self.reach[y] = max(self.reach[y], y + free)
+
+    def remove(self, b: int) -> None:
+        self.version[b] += 1
+        for y in self._sizes(b):
+            top = self.tops[y]
+            while top and top[0][2] != self.version[top[0][1]]:
+                heapq.heappop(top)
+            self.reach[y] = -top[0][0] if top else -1
+
+    def best(self, a: int) -> tuple[list[int], int, int] | None:
+        """The step that takes most from bin a: lengths that leave it, the length that comes back (0: none), and the bin
+        that they are exchanged with."""
+        count: dict[int, int] = {}
+        for i in self.bins[a]:
+            count[self.lengths[i]] = count.get(self.lengths[i], 0) + 1
+        own = np.array(sorted(count))
+        i, j = np.triu_indices(len(own))
+        two = (i != j) | (np.array([count[x] for x in own.tolist()])[i] > 1)
+        out = np.concatenate((own, own[i[two]] + own[j[two]]))
+        back = np.searchsorted(np.maximum.accumulate(self.reach), out)  # the least length that may be replaced
+        gain = np.where(back < out, out - back, 0)
+        k = int(gain.argmax())
+        if gain[k] <= 0:
+            return None
+        k2 = k - len(own)
+        lengths = [int(own[k])] if k2 < 0 else [int(own[i[two][k2]]), int(own[j[two][k2]])]
+        return lengths, int(back[k]), self.tops[int(back[k])][0][1]
+
+
+def improve(bins: list[list[int]], lengths: list[int], size: int) -> list[list[int]]:
+    """Local search over all underfull bins, the emptiest first: move an item, exchange one for one, or two for one, with
+    any bin that is at least as full and has the space, the step that takes most first. Each step raises the sum of squared
+    fills; a bin that loses its last item goes. Passes go on until one empties no bin."""
     fill = [sum(lengths[i] for i in b) for b in bins]
-    under = sorted((k for k in range(len(bins)) if fill[k] < size), key=lambda k: fill[k])
-    for a in under[: 4 * partners]:
-        others = sorted((b for b in under[: 16 * partners] if b != a and bins[b] and fill[b] >= fill[a] and fill[b] < size), key=lambda b: fill[b])[:partners]
-        changed = True
-        while changed and bins[a]:
-            changed = False
-            for b in others:
-                space = size - fill[b]
-                if not space or fill[b] < fill[a]:
-                    continue
-                mine = sorted(bins[a], key=lambda i: lengths[i])
-                gain, step = 0, None
-                k = bisect_left(mine, space + 1, key=lambda i: lengths[i])
-                if k:
-                    gain, step = lengths[mine[k - 1]], ([mine[k - 1]], [])
-                for y in bins[b]:
-                    k = bisect_left(mine, lengths[y] + space + 1, key=lambda i: lengths[i])
-                    if k and lengths[mine[k - 1]] - lengths[y] > gain:
-                        gain, step = lengths[mine[k - 1]] - lengths[y], ([mine[k - 1]], [y])
-                    lo, hi = 0, len(mine) - 1
-                    while lo < hi:
-                        more = lengths[mine[lo]] + lengths[mine[hi]] - lengths[y]
-                        if more > space:
-                            hi -= 1
-                        else:
-                            if more > gain:
-                                gain, step = more, ([mine[lo], mine[hi]], [y])
-                            lo += 1
-                if step:
-                    out, back = step
-                    bins[a] = [i for i in bins[a] if i not in out] + back
-                    bins[b] = [i for i in bins[b] if i not in back] + out
-                    fill[a] -= gain
-                    fill[b] += gain
-                    changed = True
-                    if not bins[a]:
-                        break
+    emptied = True
+    while emptied:
+        emptied = False
+        order = sorted((k for k in range(len(bins)) if bins[k] and fill[k] < size), key=lambda k: (fill[k], k))
+        partners = _Partners(bins, lengths, fill, size)
+        for k in order:
+            partners.add(k)
+        for a in order:
+            partners.remove(a)
+            while bins[a] and fill[a] < size and (step := partners.best(a)):
+                out, back, b = step
+                partners.remove(b)
+                gone = []
+                for x in out:
+                    gone.append(next(i for i in bins[a] if lengths[i] == x))
+                    bins[a].remove(gone[-1])
+                came = [next(i for i in bins[b] if lengths[i] == back)] if back else []
+                bins[a] += came
+                bins[b] = [i for i in bins[b] if i not in came] + gone
+                gain = sum(out) - back
+                fill[a], fill[b] = fill[a] - gain, fill[b] + gain
+                partners.add(b)
+            emptied |= not bins[a]
     return [b for b in bins if b]
 
 
+def packed_bins(lengths: list[int], size: int) -> list[list[int]]:
+    """Bins of item numbers: best fit and local search, from one or two starts."""
+    bins, least = improve(best_fit(lengths, size), lengths, size), -(-sum(lengths) // size)
+    if len(bins) - least > GAP * least:
+        order = np.random.Generator(np.random.PCG64(29)).permutation(len(lengths)).tolist()
+        bins = min(bins, improve(best_fit(lengths, size, order), lengths, size), key=len)
+    return bins
+
+
 def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 2) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for each piece of each row of docs (doc_id, text;
     more columns are ignored).
@@ -202,7 +250,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 2) ->
             group = group.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
             lengths = group["length"].tolist()
             order, sequence, offset, fill = [], [], [], []
-            for k, items in enumerate(improve(best_fit(lengths, size), lengths, size)):
+            for k, items in enumerate(packed_bins(lengths, size)):
                 at = 0
                 for i in items:
                     order.append(i)
