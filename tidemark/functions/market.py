@@ -51,13 +51,13 @@ def blank_to_null(text: Column) -> Column:
 def province(address: Column) -> Column:
     """The province that an address starts with, else one inside its first short brackets, else null."""
     names = "|".join(PROVINCES)
-    inside = F.regexp_extract(address, r"[（(]([^（()）]{1,4})[）)]", 1)
+    inside = F.regexp_extract(address, r"[(（](.{1,4}?)[)）]", 1)  # up to four characters in brackets
     return F.coalesce(F.nullif(F.regexp_extract(address, f"^({names})", 1), F.lit("")), F.nullif(F.regexp_extract(inside, f"({names})", 1), F.lit("")))
 
 
 def percent(x: Column) -> Column:
-    return F.coalesce(F.format_string("%.2f%%", x * 100), F.lit("—"))
+    return F.when(x.isNotNull(), F.format_string("%.2f%%", x * 100)).otherwise("—")
 
 
 def number(x: Column, digits: int = 2) -> Column:
-    return F.coalesce(F.format_string(f"%.{digits}f", x), F.lit("—"))
+    return F.when(x.isNotNull(), F.format_string(f"%.{digits}f", x)).otherwise("—")

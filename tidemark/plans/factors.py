@@ -105,21 +105,36 @@ def requirements(names: Iterable[str], parameters: dict[str, dict] | None = None
     return sorted({c for n in names for c in FACTORS[n].inputs}), max((FACTORS[n].lookback((parameters or {}).get(n)) for n in names), default=0)
 
 
-def check_panel(panel: DataFrame, names: Iterable[str]) -> DataFrame:
-    """Raise unless the panel has date, symbol and the factors' inputs, and unique keys that are not null."""
+def check_panel(panel: DataFrame, names: Iterable[str], rows: bool = True) -> DataFrame:
+    """Raise unless the panel has date, symbol and the factors' inputs, a date that is one, and (``rows``, a job of its
+    own) unique keys that are not null."""
     if missing := {"date", "symbol", *requirements(names)[0]} - set(panel.columns):
         raise ValueError(f"the panel lacks {sorted(missing)}")
-    return assert_unique(panel, ["date", "symbol"])
+    if panel.schema["date"].dataType.simpleString() not in ("date", "timestamp", "timestamp_ntz"):
+        raise ValueError("the panel's date is no date")
+    return assert_unique(panel, ["date", "symbol"]) if rows else panel
 
 
-def calculate(panel: DataFrame, names: Iterable[str], parameters: dict[str, dict] | None = None) -> DataFrame:
-    """panel with ``listing_days`` (the session count of the symbol inside the panel) and a column for each factor."""
+def calculate(panel: DataFrame, names: Iterable[str], parameters: dict[str, dict] | None = None, check_rows: bool = False) -> DataFrame:
+    """panel with ``listing_days`` (the session count of the symbol inside the panel) and a column for each factor. The
+    panel's columns are checked; its rows with ``check_rows``, which costs a pass over it."""
     names = list(names)
-    rows = panel.withColumn("_return", F.try_divide(F.col("close_hfq"), F.lag("close_hfq").over(_by())) - 1)
+    check_panel(panel, names, check_rows)
+    rows = panel.withColumn("_return", F.try_divide(F.col("close_hfq"), F.lag("close_hfq").over(_by())) - 1) if "close_hfq" in panel.columns else panel
     built = {n: FACTORS[n].build(**FACTORS[n].resolved((parameters or {}).get(n))) for n in names}
     return rows.withColumns({"listing_days": F.row_number().over(_by()), **built}).drop("_return")
 
 
-def long_form(panel: DataFrame, name: str) -> DataFrame:
-    """(date, symbol, value) of one factor."""
-    return panel.select("date", "symbol", F.col(name).alias("value"))
+def check_result(result: DataFrame, name: str) -> DataFrame:
+    """(date, symbol, value) of a factor's result, values that are no number as null, after a check: the three columns,
+    dates that are dates, and unique keys that are not null."""
+    if missing := {"date", "symbol", "value"} - set(result.columns):
+        raise ValueError(f"the result of {name} lacks {sorted(missing)}")
+    out = result.select(F.col("date").try_cast("date").alias("date"), "symbol", F.col("value").try_cast("double").alias("value"))
+    return assert_unique(out, ["date", "symbol"])
+
+
+def long_form(panel: DataFrame, name: str, check_rows: bool = False) -> DataFrame:
+    """(date, symbol, value) of one factor; ``check_rows``: by the contract of a factor's result."""
+    out = panel.select("date", "symbol", F.col(name).alias("value"))
+    return check_result(out, name) if check_rows else out

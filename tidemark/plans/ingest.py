@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.dedupe import keep_last
+from tidemark.plans import filings
 
-#: Text columns of statements and of indicators; all others are numbers.
+#: Text columns of statements, all others are numbers.
 STATEMENT_TEXT = ("symbol", "source", "report_date", "publish_date", "available_date", "update_date", "data_source", "audited", "currency", "type")
-INDICATOR_TEXT = (*STATEMENT_TEXT, "security_code", "security_name", "org_type", "report_type", "notice_date", "report_year")
+#: Text columns of indicators by the lake's names, and by this library's for those it renames. Fixed values.
+INDICATOR_TEXT = ("report_date", "证券代码", "股票代码", "股票简称", "机构代码", "机构类型", "报告类型", "报告期名称", "证券类型代码", "公告日期", "数据可用日期", "更新日期", "币种", "其他_REPORT_YEAR", "symbol", "source", "publish_date", "available_date")
 _NO_VALUE = ("nan", "None", "NaT", "<NA>")
 
 
@@ -59,8 +61,9 @@ def upsert_share_capital(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def upsert_filings(old: DataFrame, new: DataFrame, text: tuple[str, ...] = STATEMENT_TEXT) -> DataFrame:
-    """By (source, symbol, report_date), with types enforced; dates are reconciled by plans.filings."""
-    return enforce_types(keep_last(old, new, ["source", "symbol", "report_date"]), text)
+    """By (source, symbol, report_date), with types enforced, and the dates of all sources of a period reconciled."""
+    rows = enforce_types(keep_last(old, new, ["source", "symbol", "report_date"]), text)
+    return filings.reconcile(rows).select(*rows.columns)
 
 
 def adjustment_factors(raw: DataFrame, adjusted: DataFrame) -> DataFrame:

@@ -24,16 +24,22 @@ def performance(nav: DataFrame, column: str = "nav", by: str = "run_id") -> Data
 
 
 def turnover(nav: DataFrame, trades: DataFrame) -> DataFrame:
-    """(run_id, turnover, trade_count): traded value over the first value, and the number of BUY and SELL rows."""
+    """(run_id, turnover, trade_count): traded value (BUY and SELL) over the first value, and the number of all rows of
+    the ledger."""
     first = nav.groupBy("run_id").agg(F.min_by("nav", "date").alias("first"))
     deal = F.col("side").isin("BUY", "SELL")
-    sums = trades.groupBy("run_id").agg(F.sum(F.when(deal, F.col("notional")).otherwise(0.0)).alias("v"), F.count_if(deal).alias("trade_count"))
+    sums = trades.groupBy("run_id").agg(F.sum(F.when(deal, F.col("notional")).otherwise(0.0)).alias("v"), F.count("*").alias("trade_count"))
     return first.join(sums, "run_id", "left").select("run_id", (F.coalesce("v", F.lit(0.0)) / F.col("first")).alias("turnover"), F.coalesce("trade_count", F.lit(0)).alias("trade_count"))
 
 
-def summary_table(strategy: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(run_id, line, text): a Markdown table of the metrics of strategy and benchmark, both by run_id."""
-    rows = {"total_return": percent, "annualized_return": percent, "annualized_volatility": percent, "sharpe_ratio": number, "max_drawdown": percent}
+def summary_table(strategy: DataFrame, benchmark: DataFrame, turned: DataFrame | None = None) -> DataFrame:
+    """(run_id, line, text): a Markdown table of the metrics of strategy and benchmark, both by run_id, and below it
+    turnover and trade count (``turned``, by run_id)."""
+    rows = {"total_return": percent, "annualized_return": percent, "annualized_volatility": percent, "sharpe_ratio": number, "max_drawdown": percent, "trading_days": lambda c: c.cast("string")}
     met = strategy.alias("s").join(benchmark.alias("b"), "run_id", "left")
-    lines = [F.lit("| metric | strategy | benchmark |"), F.lit("|---|---:|---:|"), *(F.concat(F.lit(f"| {k} | "), show(F.col(f"s.{k}")), F.lit(" | "), show(F.col(f"b.{k}")), F.lit(" |")) for k, show in rows.items())]
+    met = met.join(turned.alias("t"), "run_id", "left") if turned is not None else met
+    cell = lambda c: F.coalesce(c, F.lit("—"))
+    lines = [F.lit("| metric | strategy | benchmark |"), F.lit("|---|---:|---:|"), *(F.concat(F.lit(f"| {k} | "), cell(show(F.col(f"s.{k}"))), F.lit(" | "), cell(show(F.col(f"b.{k}"))), F.lit(" |")) for k, show in rows.items())]
+    if turned is not None:
+        lines += [F.lit(""), F.concat(F.lit("turnover (traded value over the first value): "), number(F.col("t.turnover"))), F.concat(F.lit("trades: "), cell(F.col("t.trade_count").cast("string")))]
     return met.select("run_id", F.posexplode(F.array(*lines)).alias("line", "text"))

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.asof import Right, asof_join
 from tidemark.operators.dedupe import first_by
+from tidemark.operators.storage import cut, forget
+from tidemark.plans.strategies import check_targets
 
 
 @dataclass(frozen=True)
@@ -44,18 +46,21 @@ def within(prices: DataFrame, config: Config) -> DataFrame:
 
 
 def sessions(prices: DataFrame, config: Config) -> DataFrame:
-    """(date, next): the sessions of the period and the one after each."""
+    """(date, next, number): the sessions of the period, the one after each, and their numbers from 1. One window over a
+    few thousand dates."""
     days = within(prices, config).select("date").distinct()
-    return days.withColumn("next", F.lead("date").over(Window.orderBy("date")))
+    w = Window.orderBy("date")
+    return days.withColumns({"next": F.lead("date").over(w), "number": F.row_number().over(w)})
 
 
 def plans(targets: DataFrame, days: DataFrame) -> DataFrame:
     """(run_id, signal_date, exec_date): each signal at the first session after it; of two signals for a session the later
-    counts, and signals from the last session on have none. days is a small table."""
+    counts, and signals from the last session on have none. days is a small table, and so are the distinct dates."""
     signals = targets.select("run_id", F.col("date").alias("signal_date")).distinct()
-    opens = days.select(F.col("date").alias("exec_date"))
-    met = signals.join(F.broadcast(opens), F.col("exec_date") > F.col("signal_date")).groupBy("run_id", "signal_date").agg(F.min("exec_date").alias("exec_date"))
-    return first_by(met, ["run_id", "exec_date"], F.desc("signal_date"))
+    dates = signals.select(F.col("signal_date").alias("date"), F.lit(None).cast("date").alias("open")).distinct().union(days.select("date", F.col("date").alias("open")))
+    after = F.min("open").over(Window.orderBy(F.datediff("date", F.lit("1970-01-01"))).rangeBetween(1, Window.unboundedFollowing))
+    met = dates.withColumn("exec_date", after).filter("open IS NULL AND exec_date IS NOT NULL").select(F.col("date").alias("signal_date"), "exec_date")
+    return first_by(signals.join(met, "signal_date").select("run_id", "signal_date", "exec_date"), ["run_id", "exec_date"], F.desc("signal_date"))
 
 
 def weights(targets: DataFrame, plan: DataFrame, prices: DataFrame) -> DataFrame:
@@ -66,15 +71,23 @@ def weights(targets: DataFrame, plan: DataFrame, prices: DataFrame) -> DataFrame
     return t.join(plan, ["run_id", "signal_date"]).join(at, ["exec_date", "symbol"]).select("run_id", "exec_date", "signal_date", "symbol", "w", "open", "open_hfq")
 
 
-def executions(plan: DataFrame, held: DataFrame, prices: DataFrame) -> DataFrame:
+def executions(plan: DataFrame, held: DataFrame, prices: DataFrame, days: DataFrame) -> DataFrame:
     """(run_id, signal_date, exec_date, before, blocked_by): ``before`` is the plan (its exec_date) that is held when it
     comes; blocked_by the held symbols without a valid open, comma-joined, null if it is executed. A symbol whose quotes
-    have ended is cash by then and blocks nothing."""
-    last = prices.groupBy("symbol").agg(F.max("date").alias("last_date"))
-    later = plan.select("run_id", F.col("exec_date").alias("at"))
-    pairs = held.filter("w > 0").select("run_id", F.col("exec_date").alias("of"), "symbol").join(later, "run_id").filter(F.col("at") > F.col("of"))
-    opens = prices.select(F.col("date").alias("at"), "symbol", (F.coalesce(F.col("open_hfq"), F.lit(0.0)) != 0).alias("ok"))
-    bad = pairs.join(last, "symbol").filter(F.col("last_date") >= F.col("at")).join(opens, ["symbol", "at"], "left").filter(~F.coalesce("ok", F.lit(False)))
+    have ended is cash by then and blocks nothing.
+
+    A held symbol is met with the plans' sessions in its gaps only, the runs of sessions between two of its valid opens
+    (or after the last, up to its last quote); a run's plans are folded in one row, which is short."""
+    at = days.select("date", F.col("number").alias("k"))
+    last = prices.groupBy("symbol").agg(F.max("date").alias("date")).join(at, "date").select("symbol", F.col("k").alias("last"))
+    opens = prices.filter("open_hfq IS NOT NULL AND open_hfq != 0").select("symbol", "date").join(at, "date")
+    opens = opens.select("symbol", "k").union(last.select("symbol", F.lit(0)))  # the gap before its first one
+    gaps = opens.withColumn("to", F.lead("k").over(Window.partitionBy("symbol").orderBy("k"))).join(last, "symbol")
+    gaps = gaps.select("symbol", (F.col("k") + 1).alias("from"), F.coalesce(F.col("to") - 1, F.col("last")).alias("to")).filter("from <= to")
+    dates = plan.select(F.col("exec_date").alias("date")).distinct().join(at, "date")
+    closed = gaps.select("symbol", F.explode(F.sequence("from", "to")).alias("k")).join(dates, "k").select("symbol", F.col("date").alias("at"))
+    pairs = held.filter("w > 0").select("run_id", F.col("exec_date").alias("of"), "symbol").join(closed, "symbol").filter(F.col("at") > F.col("of"))
+    bad = pairs.join(plan.select("run_id", F.col("exec_date").alias("at")), ["run_id", "at"])
     bad = bad.groupBy("run_id", "of", "at").agg(F.array_join(F.array_sort(F.collect_set("symbol")), ",").alias("symbols"))
     rows = plan.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("exec_date", "signal_date"))).alias("plans"))
     rows = rows.join(bad.groupBy("run_id").agg(F.collect_list(F.struct("of", "at", "symbols")).alias("bad")), "run_id", "left")
@@ -100,7 +113,10 @@ def holding_paths(done: DataFrame, held: DataFrame, prices: DataFrame, days: Dat
     w_run = Window.partitionBy("run_id").orderBy("exec_date")
     ran = done.filter("blocked_by IS NULL").select("run_id", "exec_date").withColumn("until", F.lead("exec_date").over(w_run))
     own = held.filter("w > 0").join(ran, ["run_id", "exec_date"]).select("run_id", "exec_date", "until", "symbol", "w", F.col("open_hfq").alias("entry"))
-    grid = own.join(F.broadcast(days.select("date")), (F.col("date") >= F.col("exec_date")) & (F.col("until").isNull() | (F.col("date") <= F.col("until"))))
+    at = days.select("date", F.col("number").alias("k"))
+    end = days.agg(F.max("number").alias("end")).first()["end"]
+    own = own.join(at.select(F.col("date").alias("exec_date"), F.col("k").alias("k0")), "exec_date").join(at.select(F.col("date").alias("until"), F.col("k").alias("k1")), "until", "left")
+    grid = own.withColumn("k", F.explode(F.sequence("k0", F.coalesce("k1", F.lit(end))))).join(at, "k").drop("k", "k0", "k1")
     last = prices.groupBy("symbol").agg(F.max("date").alias("last_date"))
     grid = grid.join(prices.select("date", "symbol", F.col("open_hfq").alias("o"), F.col("close_hfq").alias("c")), ["date", "symbol"], "left").join(last, "symbol")
     skips = done.filter("blocked_by IS NOT NULL").select("run_id", F.col("exec_date").alias("date"), F.lit(True).alias("skip"))
@@ -139,11 +155,18 @@ def levels(done: DataFrame, rebalanced: DataFrame, held: DataFrame, config: Conf
     turn = rebalanced.groupBy("run_id", "exec_date").agg(F.sum(F.abs(F.col("w_new") - F.col("w_old"))).alias("turnover"), F.max("growth").alias("growth"))
     cash = held.groupBy("run_id", "exec_date").agg((1 - F.sum("w")).alias("cash"))
     ran = done.filter("blocked_by IS NULL").select("run_id", "exec_date", "signal_date").join(turn, ["run_id", "exec_date"], "left").join(cash, ["run_id", "exec_date"], "left")
-    w = Window.partitionBy("run_id").orderBy("exec_date")
     ran = ran.withColumns({"turnover": F.coalesce("turnover", F.lit(0.0)), "cash": F.coalesce("cash", F.lit(1.0)), "growth": F.coalesce("growth", F.lit(1.0))})
-    grown = F.collect_list(F.struct("growth", "turnover")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    value = F.aggregate(grown, F.struct(F.lit(float(config.capital)).alias("before"), F.lit(float(config.capital)).alias("after")), lambda a, g: F.struct((a["after"] * g["growth"]).alias("before"), (a["after"] * g["growth"] * (1 - F.lit(config.rate) * g["turnover"])).alias("after")))
-    return ran.withColumn("_v", value).select("run_id", "exec_date", "signal_date", "turnover", F.col("_v.before").alias("before"), F.col("_v.after").alias("after"), "cash")
+    rows = ran.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("exec_date", "signal_date", "growth", "turnover", "cash"))).alias("plans"))
+    seen = "array<struct<exec_date:date,signal_date:date,turnover:double,before:double,after:double,cash:double>>"
+
+    def step(acc, p):
+        before = acc["value"] * p["growth"]
+        after = before * (1 - F.lit(config.rate) * p["turnover"])
+        row = F.struct(p["exec_date"].alias("exec_date"), p["signal_date"].alias("signal_date"), p["turnover"].alias("turnover"), before.alias("before"), after.alias("after"), p["cash"].alias("cash"))
+        return F.struct(after.alias("value"), F.concat(acc["seen"], F.array(row)).alias("seen"))
+
+    start = F.struct(F.lit(float(config.capital)).alias("value"), F.array().cast(seen).alias("seen"))
+    return rows.select("run_id", F.explode(F.aggregate("plans", start, step)["seen"]).alias("r")).select("run_id", "r.*")
 
 
 def trades(done: DataFrame, rebalanced: DataFrame, level: DataFrame, paths: DataFrame, prices: DataFrame, config: Config) -> DataFrame:
@@ -163,12 +186,13 @@ def trades(done: DataFrame, rebalanced: DataFrame, level: DataFrame, paths: Data
 def daily_nav(level: DataFrame, paths: DataFrame, days: DataFrame, runs: DataFrame, config: Config) -> DataFrame:
     """(run_id, date, nav, cash, positions_value) for each session; before the first execution all is cash. runs: run_id."""
     held = paths.filter("ratio IS NOT NULL").groupBy("run_id", "exec_date", "date").agg(F.sum(F.col("w") * F.col("ratio")).alias("all"), F.sum(F.when(F.col("live"), F.col("w") * F.col("ratio")).otherwise(0.0)).alias("live"))
-    w = Window.partitionBy("run_id").orderBy("exec_date")
-    spans = level.withColumn("until", F.lead("exec_date").over(w)).select("run_id", "exec_date", "until", "after", F.col("cash").alias("share"))
-    grid = days.agg(F.collect_list("date").alias("dates")).withColumn("k", F.lit(1)).join(runs.select("run_id", F.lit(1).alias("k")).distinct(), "k").select("run_id", F.explode("dates").alias("date"))
-    met = grid.join(spans, "run_id", "left").filter(F.col("exec_date").isNull() | ((F.col("date") >= F.col("exec_date")) & (F.col("until").isNull() | (F.col("date") < F.col("until")))))
-    met = met.join(held, ["run_id", "exec_date", "date"], "left").select("run_id", "date", (F.col("after") * (F.col("share") + F.coalesce("all", F.lit(0.0)))).alias("nav"), (F.col("after") * F.coalesce("live", F.lit(0.0))).alias("positions_value"))
-    out = grid.join(met, ["run_id", "date"], "left").withColumns({"nav": F.coalesce("nav", F.lit(float(config.capital))), "positions_value": F.coalesce("positions_value", F.lit(0.0))})
+    dates = F.array_sort(F.collect_set("date"))
+    grid = runs.select("run_id").distinct().withColumn("k", F.lit(1)).join(days.groupBy(F.lit(1).alias("k")).agg(dates.alias("dates")), "k").select("run_id", F.explode("dates").alias("date"))
+    own = level.select("run_id", "exec_date", F.col("exec_date").alias("of"), "after", F.col("cash").alias("share"))
+    met = asof_join(grid, Right(own, "exec_date", ["of", "after", "share"], "left"), by="run_id")
+    met = met.join(held.withColumnRenamed("exec_date", "of"), ["run_id", "of", "date"], "left")
+    out = met.select("run_id", "date", (F.col("after") * (F.col("share") + F.coalesce("all", F.lit(0.0)))).alias("nav"), (F.col("after") * F.coalesce("live", F.lit(0.0))).alias("positions_value"))
+    out = out.withColumns({"nav": F.coalesce("nav", F.lit(float(config.capital))), "positions_value": F.coalesce("positions_value", F.lit(0.0))})
     return out.select("run_id", "date", "nav", (F.col("nav") - F.col("positions_value")).alias("cash"), "positions_value")
 
 
@@ -189,20 +213,38 @@ class Result:
     paths: DataFrame
     rebalances: DataFrame
     levels: DataFrame
+    tables: list[DataFrame]
+
+    def release(self) -> None:
+        """Delete the tables that the results are read from; none of them can be used afterwards."""
+        for df in self.tables:
+            forget(df)
+
+
+def check_prices(prices: DataFrame) -> DataFrame:
+    """prices, after a check: a row with a valid open has a close."""
+    if row := prices.filter("open_hfq IS NOT NULL AND open_hfq != 0 AND close_hfq IS NULL").take(1):
+        raise ValueError(f"{row[0]['symbol']} has an open but no close on {row[0]['date']}")
+    return prices
 
 
 def evaluate(prices: DataFrame, targets: DataFrame, config: Config, carry_overnight_on_skip: bool = False) -> Result:
-    """All results of all runs in ``targets`` (with run_id); raises if the period has no session. What several results
-    need is persisted: it grows with the targets and the days they are held, not with the price table."""
-    own = within(prices, config).select("date", "symbol", "open", "open_hfq", "close_hfq")
-    days = sessions(own, config).persist()
+    """All results of all runs in ``targets`` (with run_id); raises if the period has no session, if targets break their
+    contract, or if a price row has an open and no close.
+
+    Each step is written to the shared folder and read again: steps use several of those before, and without the cut
+    the plan would double with each. The tables grow with the targets and the days they are held, not with the prices;
+    ``Result.release`` deletes them, else the end of the driver's Python does."""
+    own = check_prices(within(prices, config).select("date", "symbol", "open", "open_hfq", "close_hfq"))
+    days = cut(sessions(own, config))
     if days.isEmpty():
         raise ValueError("the period has no session")
-    targets = targets.persist()
-    plan = plans(targets, days).persist()
-    held = weights(targets, plan, own).persist()
-    done = executions(plan, held, own).persist()
-    paths = holding_paths(done, held, own, days, carry_overnight_on_skip).persist()
-    moved = rebalances(done, held, paths).persist()
-    level = levels(done, moved, held, config)
-    return Result(daily_nav(level, paths, days, targets, config), trades(done, moved, level, paths, own, config), done, paths, moved, level)
+    targets = cut(targets.select("run_id", "date", "symbol", "target_weight"))
+    check_targets(targets, ("run_id", "date"))
+    plan = cut(plans(targets, days))
+    held = cut(weights(targets, plan, own))
+    done = cut(executions(plan, held, own, days))
+    paths = cut(holding_paths(done, held, own, days, carry_overnight_on_skip))
+    moved = cut(rebalances(done, held, paths))
+    level = cut(levels(done, moved, held, config))
+    return Result(daily_nav(level, paths, days, targets, config), trades(done, moved, level, paths, own, config), done, paths, moved, level, [days, targets, plan, held, done, paths, moved, level])

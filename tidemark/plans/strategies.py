@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import cross_section as X
 from tidemark.plans import factors
 
-#: Default weights of the multi-factor score.
+#: Default weights of the multi-factor score. Fixed values.
 WEIGHTS = {"price_momentum_120d": 0.20, "price_trend_gap_120d": 0.15, "price_volatility_60d": 0.10, "valuation_pe_ttm": 0.15, "valuation_pb": 0.15, "quality_roe_weighted": 0.125, "quality_operating_cashflow_ratio": 0.125}
 
 
@@ -26,12 +26,13 @@ def equal_weight(candidates: DataFrame, holding_count: int) -> DataFrame:
     return chosen.withColumn("target_weight", F.lit(1.0) / F.count("*").over(Window.partitionBy("date")))
 
 
-def check_targets(targets: DataFrame) -> DataFrame:
-    """targets, ordered, after a check: unique (date, symbol), weights positive and at most 1.000001 a date."""
-    bad = targets.groupBy("date").agg(F.count("*").alias("n"), F.countDistinct("symbol").alias("symbols"), F.sum("target_weight").alias("total"), F.count_if(F.coalesce(F.col("target_weight") <= 0, F.lit(True))).alias("bad"))
-    if row := bad.filter("n != symbols OR bad > 0 OR total > 1.000001").take(1):
+def check_targets(targets: DataFrame, by: tuple[str, ...] = ("date",)) -> DataFrame:
+    """targets, in order, after a check: dates and symbols that are not null, symbols unique and weights positive and at
+    most 1.000001 in all by ``by``."""
+    sums = targets.groupBy(*by).agg(F.count("*").alias("n"), F.countDistinct("symbol").alias("symbols"), F.sum("target_weight").alias("total"), F.count_if(F.coalesce(F.col("target_weight") <= 0, F.lit(True))).alias("bad"))
+    if row := sums.filter(" OR ".join([*(f"{c} IS NULL" for c in by), "n != symbols", "bad > 0", "total > 1.000001"])).take(1):
         raise ValueError(f"targets of {row[0]['date']} are not valid")
-    return targets.orderBy("date", "rank", "symbol")
+    return targets.orderBy(*by, *(c for c in ("rank", "symbol") if c in targets.columns))
 
 
 def _whole(name: str, value: object) -> int:
@@ -106,7 +107,7 @@ def multi_factor_targets(panel: DataFrame, start: str, parameters: dict | None =
         raise ValueError("winsorize_lower must be below winsorize_upper")
     weights = normalized_weights(p["factor_weights"])
     rows = _signals(panel, list(weights), start, p["min_listing_days"]).dropna(subset=list(weights))
-    rows = rows.withColumns({n: X.winsorize(n, p["winsorize_lower"], p["winsorize_upper"]) for n in weights})
+    rows = X.winsorized(rows, list(weights), p["winsorize_lower"], p["winsorize_upper"])
     rows = rows.withColumns({f"{n}_rank": X.pct_rank(n, factors.FACTORS[n].higher_is_better) for n in weights})
     rows = rows.withColumn("score", X.combine({f"{n}_rank": w for n, w in weights.items()}))
     return equal_weight(rows.withColumn("rank", X.ordinal_rank("score")), p["holding_count"])

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates as D
 from tidemark.operators.asof import Right, asof_join
 from tidemark.operators.dedupe import first_by
+from tidemark.plans import factors
 
 EXTRA = ("high", "low", "volume", "amount")
 
@@ -30,16 +33,17 @@ def indicator_side(filings: DataFrame, how: str = "left") -> Right:
     return Right(first_by(rows.select("symbol", "eff", "report_date", *cols), ["symbol", "eff"], F.desc("report_date")), "eff", cols, how)
 
 
-def daily_valuation(bars: DataFrame, capital: DataFrame, ttm: DataFrame, filings: DataFrame, how: str = "inner", more: tuple[str, ...] = ()) -> DataFrame:
+def daily_valuation(bars: DataFrame, capital: DataFrame, ttm: DataFrame, filings: DataFrame, how: str = "inner", more: tuple[str, ...] = (), also: tuple[Right, ...] = ()) -> DataFrame:
     """(date, symbol, raw_close, close_hfq, total_shares, market_cap, pe_ttm, pe_deduct_ttm, pb, ps_ttm, pcf_ttm, ...):
     bars with the share capital, TTM and net assets known on the day; a bar before any of them goes (``how``: inner) or
-    has nulls (left). Ratios with a zero denominator are null, negative ones stay."""
-    met = asof_join(bars.select("symbol", "date", "close", "adj_factor", *more), Right(capital.select("symbol", "change_date", "total_shares"), "change_date", ["total_shares"], how), ttm_side(ttm, how), net_assets_side(filings, how))
+    has nulls (left). Ratios with a zero denominator are null, negative ones stay. ``also``: further right sides, whose
+    columns come last; all sides share one shuffle."""
+    met = asof_join(bars.select("symbol", "date", "close", "adj_factor", *more), Right(capital.select("symbol", "change_date", "total_shares"), "change_date", ["total_shares"], how), ttm_side(ttm, how), net_assets_side(filings, how), *also)
     cap = F.col("close") * F.col("total_shares")
     ratio = lambda c: cap / F.nullif(F.col(c), F.lit(0.0))
     return met.select(
         "date", "symbol", F.col("close").alias("raw_close"), (F.col("close") * F.col("adj_factor")).alias("close_hfq"), "total_shares", cap.alias("market_cap"),
-        ratio("net_profit_ttm").alias("pe_ttm"), ratio("deduct_net_profit_ttm").alias("pe_deduct_ttm"), ratio("net_assets").alias("pb"), ratio("revenue_ttm").alias("ps_ttm"), ratio("ocf_ttm").alias("pcf_ttm"), *more,
+        ratio("net_profit_ttm").alias("pe_ttm"), ratio("deduct_net_profit_ttm").alias("pe_deduct_ttm"), ratio("net_assets").alias("pb"), ratio("revenue_ttm").alias("ps_ttm"), ratio("ocf_ttm").alias("pcf_ttm"), *more, *(c for r in also for c in r.columns),
     )
 
 
@@ -59,7 +63,16 @@ def market_panel(bars: DataFrame, capital: DataFrame, ttm: DataFrame, filings: D
         raise ValueError(f"unknown bar columns {sorted(unknown)}")
     low = lookback_start(bars, start, lookback) if lookback else start
     within = bars.filter(F.col("date").between(F.lit(low).cast("date"), F.lit(end).cast("date")))
-    out = daily_valuation(within, capital, ttm, filings, more=("open", *extra))
-    if indicators:
-        out = asof_join(out, indicator_side(filings))
+    out = daily_valuation(within, capital, ttm, filings, more=("open", *extra), also=(indicator_side(filings),) if indicators else ())
     return out.withColumn("open_hfq", F.try_divide(F.col("open") * F.col("close_hfq"), F.col("raw_close")))
+
+
+def panel_for(bars: DataFrame, capital: DataFrame, ttm: DataFrame, filings: DataFrame, start: str, end: str, names: Iterable[str], parameters: dict[str, dict] | None = None, sessions: int = 0) -> DataFrame:
+    """The market panel that factors need: their inputs decide which bar columns and whether indicators are joined, and
+    the longest look-back, or ``sessions`` if that is more, how far before ``start`` it begins."""
+    inputs, lookback = factors.requirements(names, parameters)
+    known = {"date", "symbol", "raw_close", "close_hfq", "total_shares", "market_cap", "pe_ttm", "pe_deduct_ttm", "pb", "ps_ttm", "pcf_ttm", "open", "open_hfq"}
+    indicators = {"roe_weighted", "operating_cashflow_to_revenue"}
+    if unknown := set(inputs) - known - indicators - set(EXTRA):
+        raise ValueError(f"no panel has the columns {sorted(unknown)}")
+    return market_panel(bars, capital, ttm, filings, start, end, max(lookback, sessions), tuple(c for c in EXTRA if c in inputs), bool(indicators & set(inputs)))

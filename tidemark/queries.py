@@ -27,8 +27,9 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     def take(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:
-            body = sql.strip()
-            ORACLE_SQL[f.__name__] = bridge.sql_prefix() + (",\n" + body[5:] if body.startswith("WITH ") else "\n" + body)
+            body, recursive = sql.strip().removeprefix("RECURSIVE "), sql.strip().startswith("RECURSIVE ")
+            whole = bridge.sql_prefix() + (",\n" + body[5:] if body.startswith("WITH ") else "\n" + body)
+            ORACLE_SQL[f.__name__] = whole.replace("WITH ", "WITH RECURSIVE ", 1) if recursive else whole
         return f
 
     return take
@@ -109,8 +110,9 @@ def active_stocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT CAST(min(date) AS DATE) AS start, count(*) AS sessions FROM (SELECT DISTINCT date FROM daily_kline WHERE date < DATE '1998-01-01' ORDER BY date DESC LIMIT 120)")
 def lookback_start(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = _t(spark, sf_dir, "daily_kline").select("date").filter("date < date'1998-01-01'").distinct().orderBy(F.desc("date")).limit(120)
-    return days.agg(F.min("date").alias("start"), F.count("*").alias("sessions"))
+    bars = _t(spark, sf_dir, "daily_kline").select("date")
+    start = F.lit(valuation.lookback_start(bars, "1998-01-01", 120)).cast("date")
+    return bars.filter((F.col("date") >= start) & (F.col("date") < F.lit("1998-01-01").cast("date"))).agg(F.min("date").alias("start"), F.countDistinct("date").alias("sessions"))
 
 
 @query("SELECT symbol, publish_date, title || '全文' AS title, 'https://filings.test/' || symbol || '/' || report_date || '/' || CAST(datediff('day', (SELECT min(publish_date) FROM announcements), publish_date) AS VARCHAR) AS url, source FROM announcements")
@@ -421,36 +423,80 @@ def next_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portfolio.plans(_momentum(spark, sf_dir).withColumn("run_id", F.lit("a")), days).select("signal_date", "exec_date")
 
 
-@query()
+_MOMENTUM = f"""{_HFQ}, {_ENDS.format(p="hfq")}, f AS (SELECT date, symbol, row_number() OVER (PARTITION BY symbol ORDER BY date) AS listing_days, {_MOM} AS score, CASE WHEN {_MA} IS NOT NULL THEN close_hfq > {_MA} END AS above FROM hfq),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, symbol) AS rank FROM f WHERE date IN (SELECT date FROM ends) AND date >= DATE '{START}' AND listing_days >= 250 AND score IS NOT NULL AND above)"""
+_PATH = "OVER (PARTITION BY run_id, exec_date, symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND {upto})"
+_RATE = "0.0008::DOUBLE"
+#: The whole evaluation: plans, what is executed (folded by recursion), paths of holdings, weights, levels, ledger, values.
+_PF = f"""RECURSIVE WITH {_MOMENTUM},
+targets AS (SELECT 'top5' AS run_id, date, symbol, 0.2::DOUBLE AS tw FROM ranked WHERE rank <= 5 UNION ALL SELECT 'top10', date, symbol, 1.0::DOUBLE / count(*) OVER (PARTITION BY date) FROM ranked WHERE rank <= 10),
+px AS (SELECT date, symbol, open, open * adj_factor AS open_hfq, close * adj_factor AS close_hfq FROM daily_kline WHERE date BETWEEN DATE '{START}' AND DATE '{END}'),
+days AS (SELECT DISTINCT date FROM px),
+plan AS (SELECT run_id, max(signal_date) AS signal_date, exec_date FROM (SELECT s.run_id, s.date AS signal_date, min(d.date) AS exec_date FROM targets s JOIN days d ON d.date > s.date GROUP BY s.run_id, s.date) GROUP BY run_id, exec_date),
+held AS (SELECT t.run_id, pl.exec_date, pl.signal_date, t.symbol, t.tw AS w, px.open, px.open_hfq FROM targets t JOIN plan pl ON pl.run_id = t.run_id AND pl.signal_date = t.date JOIN px ON px.date = pl.exec_date AND px.symbol = t.symbol WHERE px.open_hfq IS NOT NULL),
+ends_of AS (SELECT symbol, max(date) AS last_date FROM px GROUP BY symbol),
+bad AS (SELECT h.run_id, h.exec_date AS held_from, pl.exec_date AS met_on, string_agg(DISTINCT h.symbol, ',' ORDER BY h.symbol) AS symbols FROM held h JOIN plan pl ON pl.run_id = h.run_id AND pl.exec_date > h.exec_date JOIN ends_of l ON l.symbol = h.symbol AND l.last_date >= pl.exec_date
+  LEFT JOIN px ON px.symbol = h.symbol AND px.date = pl.exec_date AND coalesce(px.open_hfq, 0) <> 0 WHERE h.w > 0 AND px.symbol IS NULL GROUP BY h.run_id, h.exec_date, pl.exec_date),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY exec_date) AS k FROM plan),
+fold AS (SELECT DISTINCT run_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS DATE) AS exec_date, CAST(NULL AS DATE) AS signal_date, CAST(NULL AS DATE) AS before, CAST(NULL AS VARCHAR) AS blocked_by, CAST(NULL AS DATE) AS now FROM plan
+  UNION ALL SELECT n.run_id, n.k, n.exec_date, n.signal_date, e.now, b.symbols, CASE WHEN b.symbols IS NULL THEN n.exec_date ELSE e.now END FROM fold e JOIN numbered n ON n.run_id = e.run_id AND n.k = e.k + 1 LEFT JOIN bad b ON b.run_id = n.run_id AND b.held_from = e.now AND b.met_on = n.exec_date),
+done AS (SELECT run_id, exec_date, signal_date, before, blocked_by FROM fold WHERE k > 0),
+ran AS (SELECT run_id, exec_date, signal_date, lead(exec_date) OVER (PARTITION BY run_id ORDER BY exec_date) AS until FROM done WHERE blocked_by IS NULL),
+grid AS (SELECT h.run_id, h.exec_date, h.symbol, h.w, r.until, h.open_hfq AS entry, d.date, px.open_hfq AS o, px.close_hfq AS c, l.last_date, sk.run_id IS NOT NULL AS skip FROM held h JOIN ran r ON r.run_id = h.run_id AND r.exec_date = h.exec_date JOIN days d ON d.date >= h.exec_date AND (r.until IS NULL OR d.date <= r.until)
+  LEFT JOIN px ON px.date = d.date AND px.symbol = h.symbol JOIN ends_of l ON l.symbol = h.symbol LEFT JOIN (SELECT run_id, exec_date FROM done WHERE blocked_by IS NOT NULL) sk ON sk.run_id = h.run_id AND sk.exec_date = d.date WHERE h.w > 0),
+marked AS (SELECT *, CASE WHEN coalesce(c, 0) <> 0 AND (coalesce(o, 0) <> 0 OR date = last_date) THEN c END AS mark FROM grid),
+carried AS (SELECT *, last_value(mark IGNORE NULLS) {_PATH.format(upto="1 PRECEDING")} AS prev, last_value(mark IGNORE NULLS) {_PATH.format(upto="CURRENT ROW")} AS cur FROM marked),
+kept AS (SELECT *, exp(sum(CASE WHEN skip AND coalesce(o, 0) <> 0 AND prev <> 0 THEN ln(prev / o) ELSE 0 END) {_PATH.format(upto="CURRENT ROW")}) AS kept, coalesce(date = until, false) AS leaves FROM carried),
+paths AS (SELECT run_id, exec_date, symbol, w, date, CASE WHEN NOT leaves THEN coalesce(cur, entry) / entry * kept END AS ratio, CASE WHEN leaves THEN last_date >= date ELSE last_date > date END AS live,
+  CASE WHEN leaves THEN CASE WHEN last_date >= date THEN o ELSE prev END / entry * kept END AS exit_ratio, mark AS close_hfq, date = last_date AS ends FROM kept),
+cash AS (SELECT run_id, exec_date, 1 - sum(w) AS cash FROM held GROUP BY run_id, exec_date),
+growth AS (SELECT p.run_id, p.date AS exec_date, max(c.cash) + sum(p.w * p.exit_ratio) AS growth FROM paths p JOIN cash c ON c.run_id = p.run_id AND c.exec_date = p.exec_date WHERE p.exit_ratio IS NOT NULL GROUP BY p.run_id, p.date, p.exec_date),
+old AS (SELECT run_id, date AS exec_date, symbol, w * exit_ratio AS v FROM paths WHERE exit_ratio IS NOT NULL AND live),
+new AS (SELECT h.run_id, h.exec_date, h.symbol, h.w AS w_new FROM held h JOIN ran r ON r.run_id = h.run_id AND r.exec_date = h.exec_date AND r.signal_date = h.signal_date),
+moved AS (SELECT m.run_id, m.exec_date, m.symbol, coalesce(m.w_new, 0) AS w_new, coalesce(m.v / g.growth, 0) AS w_old, g.growth FROM (SELECT * FROM new FULL JOIN old USING (run_id, exec_date, symbol)) m LEFT JOIN growth g ON g.run_id = m.run_id AND g.exec_date = m.exec_date),
+turned AS (SELECT run_id, exec_date, sum(abs(w_new - w_old)) AS turnover, max(growth) AS growth FROM moved GROUP BY run_id, exec_date),
+steps AS (SELECT r.run_id, r.exec_date, r.signal_date, coalesce(t.turnover, 0) AS turnover, coalesce(t.growth, 1) AS growth, coalesce(c.cash, 1) AS cash FROM ran r LEFT JOIN turned t ON t.run_id = r.run_id AND t.exec_date = r.exec_date LEFT JOIN cash c ON c.run_id = r.run_id AND c.exec_date = r.exec_date),
+levels AS (SELECT *, after / (1 - {_RATE} * turnover) AS before FROM (SELECT *, 1000000.0::DOUBLE * exp(sum(ln(growth) + ln(1 - {_RATE} * turnover)) OVER (PARTITION BY run_id ORDER BY exec_date)) AS after FROM steps)),
+ledger AS (SELECT m.run_id, m.exec_date AS date, l.signal_date, m.symbol, CASE WHEN m.w_new > m.w_old THEN 'BUY' ELSE 'SELL' END AS side, px.open AS raw_open, px.open_hfq AS adjusted_open, abs(m.w_new - m.w_old) * l.before AS notional, abs(m.w_new - m.w_old) * l.before * {_RATE} AS cost, 'monthly_rebalance' AS reason
+    FROM moved m JOIN levels l ON l.run_id = m.run_id AND l.exec_date = m.exec_date JOIN px ON px.date = m.exec_date AND px.symbol = m.symbol WHERE m.w_new <> m.w_old
+  UNION ALL SELECT run_id, exec_date, signal_date, blocked_by, 'SKIP_REBALANCE', NULL, NULL, 0, 0, 'held_symbol_missing_open' FROM done WHERE blocked_by IS NOT NULL
+  UNION ALL SELECT p.run_id, p.date, NULL, p.symbol, 'DELIST', NULL, p.close_hfq, l.after * p.w * p.ratio, 0, 'delisted_liquidation' FROM paths p JOIN levels l ON l.run_id = p.run_id AND l.exec_date = p.exec_date WHERE p.ends AND p.ratio IS NOT NULL AND p.close_hfq IS NOT NULL),
+sums AS (SELECT run_id, exec_date, date, sum(w * ratio) AS whole, sum(CASE WHEN live THEN w * ratio ELSE 0 END) AS living FROM paths WHERE ratio IS NOT NULL GROUP BY run_id, exec_date, date),
+run_days AS (SELECT g.run_id, g.date, l.exec_date, l.after, l.cash FROM (SELECT r.run_id, d.date FROM (SELECT DISTINCT run_id FROM targets) r, days d) g ASOF LEFT JOIN levels l ON g.run_id = l.run_id AND g.date >= l.exec_date),
+nav AS (SELECT n.run_id, n.date, coalesce(n.after * (n.cash + coalesce(s.whole, 0)), 1000000.0) AS nav, coalesce(n.after * coalesce(s.living, 0), 0.0) AS positions_value FROM run_days n LEFT JOIN sums s ON s.run_id = n.run_id AND s.exec_date = n.exec_date AND s.date = n.date)"""
+_TURNOVER = "(SELECT n.run_id, coalesce(t.v, 0) / n.first AS turnover, coalesce(t.trade_count, 0) AS trade_count FROM (SELECT run_id, min_by(nav, date) AS first FROM nav GROUP BY run_id) n LEFT JOIN (SELECT run_id, sum(CASE WHEN side IN ('BUY', 'SELL') THEN notional ELSE 0 END) AS v, count(*) AS trade_count FROM ledger GROUP BY run_id) t USING (run_id))"
+
+
+@query(f"{_PF} SELECT run_id, exec_date, signal_date, before, blocked_by FROM done")
 def plan_executions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _result(spark, sf_dir).executions
+    return _result(spark, sf_dir).executions.select("run_id", "exec_date", "signal_date", "before", "blocked_by")
 
 
-@query()
+@query(f"{_PF} SELECT run_id, exec_date, symbol, w, date, round(ratio, 8) AS ratio, live, round(exit_ratio, 8) AS exit_ratio FROM paths")
 def holding_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _result(spark, sf_dir).paths.select("run_id", "exec_date", "symbol", "w", "date", F.round("ratio", 9).alias("ratio"), "live", F.round("exit_ratio", 9).alias("exit_ratio"))
+    return _result(spark, sf_dir).paths.select("run_id", "exec_date", "symbol", "w", "date", F.round("ratio", 8).alias("ratio"), "live", F.round("exit_ratio", 8).alias("exit_ratio"))
 
 
-@query()
+@query(f"{_PF} SELECT run_id, exec_date, round(turnover, 8) AS turnover, round(before, 3) AS before, round(after, 3) AS after FROM levels")
 def turnover_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _result(spark, sf_dir)
-    return r.levels.select("run_id", "exec_date", F.round("turnover", 9).alias("turnover"), F.round("before", 4).alias("before"), F.round("after", 4).alias("after"))
+    return r.levels.select("run_id", "exec_date", F.round("turnover", 8).alias("turnover"), F.round("before", 3).alias("before"), F.round("after", 3).alias("after"))
 
 
-@query()
+@query(f"{_PF} SELECT run_id, date, signal_date, symbol, side, raw_open, adjusted_open, round(notional, 3) AS notional, round(cost, 4) AS cost, reason FROM ledger")
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _result(spark, sf_dir).trades
+    return _result(spark, sf_dir).trades.withColumns({"notional": F.round("notional", 3), "cost": F.round("cost", 4)})
 
 
-@query()
+@query(f"{_PF} SELECT run_id, date, round(nav, 3) AS nav, round(nav - positions_value, 3) + 0.0 AS cash, round(positions_value, 3) AS positions_value FROM nav")
 def daily_nav(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _result(spark, sf_dir).daily_nav
+    return _result(spark, sf_dir).daily_nav.select("run_id", "date", F.round("nav", 3).alias("nav"), (F.round("cash", 3) + F.lit(0.0)).alias("cash"), F.round("positions_value", 3).alias("positions_value"))
 
 
-@query()
+@query(f"{_PF} SELECT run_id, round(turnover, 8) AS turnover, trade_count FROM {_TURNOVER}")
 def run_turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _result(spark, sf_dir)
-    return metrics.turnover(r.daily_nav, r.trades)
+    return metrics.turnover(r.daily_nav, r.trades).select("run_id", F.round("turnover", 8).alias("turnover"), "trade_count")
 
 
 _BENCH = f"WITH days AS (SELECT DISTINCT date FROM daily_kline WHERE date BETWEEN DATE '{START}' AND DATE '{END}'), b AS (SELECT d.date, p.px FROM days d ASOF LEFT JOIN (SELECT date, px FROM benchmark_bars) p ON d.date >= p.date), nav AS (SELECT date, px / first_value(px IGNORE NULLS) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) * 1000000.0::DOUBLE AS benchmark_nav FROM b)"
@@ -474,11 +520,22 @@ def performance_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("run_id", F.round("total_return", 9).alias("total_return"), *(F.round(c, 8).alias(c) for c in ("annualized_return", "annualized_volatility", "sharpe_ratio")), F.round("max_drawdown", 9).alias("max_drawdown"), "trading_days")
 
 
-@query()
+_METRICS = """SELECT run_id, max_by(x, date) / min_by(x, date) - 1 AS total_return, pow(max_by(x, date) / min_by(x, date), 365.25 / greatest(datediff('day', min(date), max(date)), 1)) - 1 AS annualized_return,
+  stddev_pop(r) * sqrt(252) AS annualized_volatility, avg(r) / stddev_pop(r) * sqrt(252) AS sharpe_ratio, min(d) AS max_drawdown, count(*) AS trading_days
+  FROM (SELECT run_id, date, x, x / lag(x) OVER (PARTITION BY run_id ORDER BY date) - 1 AS r, x / max(x) OVER (PARTITION BY run_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS d FROM {source} WHERE x IS NOT NULL) GROUP BY run_id"""
+_LINES = {"total_return": "printf('%.2f%%', {c} * 100)", "annualized_return": "printf('%.2f%%', {c} * 100)", "annualized_volatility": "printf('%.2f%%', {c} * 100)", "sharpe_ratio": "printf('%.2f', {c})", "max_drawdown": "printf('%.2f%%', {c} * 100)", "trading_days": "CAST({c} AS VARCHAR)"}
+_CELL = "coalesce(CASE WHEN {c} IS NOT NULL THEN {x} END, '—')"
+
+
+@query(f"""{_PF}, bench_days AS (SELECT d.date, b.px FROM days d ASOF LEFT JOIN (SELECT date, px FROM benchmark_bars) b ON d.date >= b.date), bench AS (SELECT 'top10' AS run_id, date, px / first_value(px IGNORE NULLS) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) * 1000000.0::DOUBLE AS x FROM bench_days),
+s AS ({_METRICS.format(source="(SELECT run_id, date, nav AS x FROM nav)")}), b AS ({_METRICS.format(source="bench")}), t AS (SELECT * FROM {_TURNOVER}),
+lines AS (SELECT s.run_id, [CAST('| metric | strategy | benchmark |' AS VARCHAR), '|---|---:|---:|', {", ".join(f"'| {k} | ' || {_CELL.format(c=f's.{k}', x=v.format(c=f's.{k}'))} || ' | ' || {_CELL.format(c=f'b.{k}', x=v.format(c=f'b.{k}'))} || ' |'" for k, v in _LINES.items())},
+  '', 'turnover (traded value over the first value): ' || printf('%.2f', t.turnover), 'trades: ' || CAST(t.trade_count AS VARCHAR)] AS texts FROM s LEFT JOIN b ON b.run_id = s.run_id LEFT JOIN t ON t.run_id = s.run_id)
+SELECT run_id, CAST(i AS INT) AS line, texts[i + 1] AS text FROM lines, range(11) AS r(i)""")
 def performance_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    strategy = metrics.performance(_result(spark, sf_dir).daily_nav)
+    r = _result(spark, sf_dir)
     bench = metrics.performance(_benchmark(spark, sf_dir).withColumn("run_id", F.lit("top10")), "benchmark_nav")
-    return metrics.summary_table(strategy, bench)
+    return metrics.summary_table(metrics.performance(r.daily_nav), bench, metrics.turnover(r.daily_nav, r.trades))
 
 
 # --- ingest, universe, planning ------------------------------------------------------------------------------------
