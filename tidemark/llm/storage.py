@@ -1,45 +1,5 @@
 """Cutting lineage through the folder that all executors share."""
 
-from __future__ import annotations
+from tidemark.operators.storage import cut, drop, forget, shared_dir
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one is set only where that is unset (tests, local mode)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def drop(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):  # the session may be gone at exit
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def cut(df: DataFrame, keep: bool = True) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: a lost executor then costs a re-read, not the
-    whole lineage. The table is deleted when the driver's Python ends, or by ``forget`` if it is superseded."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._cut_path = path
-    if keep:
-        atexit.register(drop, spark, path)
-    return back
-
-
-def forget(df: DataFrame) -> None:
-    """Delete a table made by ``cut`` that nothing lazy depends on any more."""
-    if path := getattr(df, "_cut_path", None):
-        drop(df.sparkSession, path)
+__all__ = ["cut", "drop", "forget", "shared_dir"]
