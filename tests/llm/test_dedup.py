@@ -152,3 +152,34 @@ def test_odd_vectors(spark):
     alone = {i: (0, i, True) for i in (1, 2, 3, 4, 5, 6, 9, 12)}
     assert got == alone | {7: (2, 7, True), 8: (2, 7, False), 11: (2, 7, False)}
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_vectors_of_every_length_are_compared(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "RARE", 40)
+    rng = np.random.Generator(np.random.PCG64(4))
+    rows = []
+    for d, n in ((2, 3), (3, 30), (64, 120), (8, 60)):
+        base = rng.standard_normal((n, d)).astype(np.float32)
+        for v in base:
+            rows += [v.tolist(), (v + 0.02 * rng.standard_normal(d).astype(np.float32)).tolist()]
+    rows += [[1.0, 2.0, 3.0], [2.0, 4.0, 6.0], [0.0, 0.0], [float("nan"), 1.0], None, [None, 1.0], []]
+    table = spark.createDataFrame([(k, v, "x") for k, v in enumerate(rows)], "vec_id long, embedding array<float>, n_links string")
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(table, 0.95).collect()}
+    ok = [v is not None and len(v) > 0 and all(c is not None and np.isfinite(c) for c in v) and any(v) for v in rows]
+    unit = [np.array(v, float) / np.linalg.norm(np.array(v, float)) if ok[k] else None for k, v in enumerate(rows)]
+    near = {k: {j for j in range(len(rows)) if j != k and ok[k] and ok[j] and len(rows[j]) == len(rows[k]) and unit[k] @ unit[j] >= 0.95} for k in range(len(rows))}
+    up = list(range(len(rows)))
+    for _ in rows:
+        up = [min([up[k], *(up[j] for j in near[k])]) for k in range(len(rows))]
+    assert all(got[k].n_links == len(near[k]) and got[k].component_id == up[k] and got[k].kept == (up[k] == k) for k in range(len(rows)))
+
+
+def test_recall_on_the_embeddings_table(spark):
+    table = spark.read.parquet(f"{DATA}/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(table, 0.95).collect()}
+    rows = [(r.vec_id, r.embedding) for r in table.collect() if r.embedding and all(c is not None and np.isfinite(c) for c in r.embedding) and any(r.embedding)]
+    x = np.array([v for _, v in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = np.concatenate([(x[at : at + 1000] @ x.T >= 0.95).sum(axis=1) - 1 for at in range(0, len(x), 1000)])
+    found = np.array([got[i].n_links for i, _ in rows])
+    assert (found <= links).all() and found.sum() >= 0.99 * links.sum()

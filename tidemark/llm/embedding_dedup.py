@@ -6,8 +6,11 @@ from it to lie in the cell, summed over the halves (a bound, from the bisectors
 that is calibrated for the target recall on vectors turned to the threshold in random directions; a target of 1 takes
 the bound at which no link can be missed. Found pairs are verified by cosine in double precision.
 
-Equal vectors collapse first. Cells are compared block against block, and a task returns counts of links and a spanning
-forest, never its pairs. A pair that is found from both sides counts in one of them.
+Equal vectors collapse first. Vectors of different length link with nothing; each length has a grid of its own, and
+lengths of at most ``RARE`` vectors are compared whole, in one block each. Cells are compared block against block, and a
+task returns counts of links and a spanning forest, never its pairs. A pair that is found from both sides counts in one
+of them. A cell holds about ``CELL`` vectors, and more as the square root of all: so codewords grow with the fourth root
+of n, and with them the cells that a vector visits, while comparisons, products of matrices, grow with n**(3/4) a vector.
 """
 
 from __future__ import annotations
@@ -20,17 +23,20 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .components import connected_components
 from .storage import cut
 
 #: Vectors that the codebooks are fitted on, and calibrated on; the first by hash order.
 SAMPLE, CALIBRATION = 8192, 1024
-#: Indexed vectors in a cell, about; codewords of a half at most.
-CELL, CODEWORDS = 48, 256
+#: Vectors in a cell, at least about, and as a multiple of the square root of all; vectors of a length without a grid.
+CELL, CELL_ROOT, RARE = 512, 4, 4096
 TARGET_RECALL = 0.999
 #: Vectors of a block of the index, of the queries.
 INDEX_BLOCK, QUERY_BLOCK = 1024, 4096
+#: Pairs that are verified at a time.
+SLICE = 1 << 16
 
 
 def _distances(x: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -97,7 +103,7 @@ def _units(column) -> np.ndarray:
 def fit(x: np.ndarray, n: int, threshold: float, target: float = TARGET_RECALL) -> Grid:
     """A grid for n vectors from a sample of unit vectors. The radius is the target quantile of the bound to the cell of
     a vector turned to the threshold in a random direction, and never more than the bound that misses nothing."""
-    k = int(np.clip(np.ceil(np.sqrt(n / CELL)), 1, CODEWORDS))
+    k = max(1, int(np.ceil(np.sqrt(n / max(CELL, CELL_ROOT * np.sqrt(n))))))
     half = x.shape[1] // 2
     codes = [_fit(x[:, :half], k), _fit(x[:, half:], k)]
     gaps = [np.maximum(2 * np.sqrt(_distances(c, c)), 1e-12) for c in codes]
@@ -116,77 +122,79 @@ def fit(x: np.ndarray, n: int, threshold: float, target: float = TARGET_RECALL)
     return grid
 
 
-class _Forest:
-    def __init__(self, n: int):
-        self.up, self.edges = list(range(n)), []
+class _Links:
+    """Counts of links and the components that they make, of rows 0 to n - 1."""
+
+    def __init__(self, ids: np.ndarray, copies: np.ndarray):
+        self.ids, self.copies = ids, copies
+        self.n, self.root = np.zeros(len(ids), np.int64), np.arange(len(ids))
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        np.add.at(self.n, i, self.copies[j])
+        np.add.at(self.n, j, self.copies[i])
+        while len(i):  # roots only go down; pairs within a component leave
+            low, high = np.minimum(self.root[i], self.root[j]), np.maximum(self.root[i], self.root[j])
+            np.minimum.at(self.root, high, low)
+            while not np.array_equal(self.root, self.root[self.root]):
+                self.root = self.root[self.root]
+            apart = self.root[i] != self.root[j]
+            i, j = i[apart], j[apart]
+
+    def rows(self) -> pd.DataFrame:
+        """(src, dst, n): n links of src (dst null), and an edge from each row to its component's root (n 0)."""
+        some, hung = np.flatnonzero(self.n), np.flatnonzero(self.root != np.arange(len(self.ids)))
+        out = pd.DataFrame({"src": np.concatenate((self.ids[some], self.ids[hung])), "n": np.concatenate((self.n[some], np.zeros(len(hung), np.int64)))})
+        out["dst"] = pd.array([None] * len(some) + self.ids[self.root[hung]].tolist(), "Int64")
+        return out[["src", "dst", "n"]]
 
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
 
-    def join(self, i: int, j: int) -> None:
-        a, b = self.root(i), self.root(j)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-            self.edges.append((i, j))
+def _pairs(x: np.ndarray, q: np.ndarray, m: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (i of q, j of m) whose cosine reaches the threshold in double precision, in parts of bounded size."""
+    for at in range(0, len(q), 1024):
+        i, j = np.nonzero(x[q[at : at + 1024]] @ x[m].T >= threshold - 1e-9)
+        for k in range(0, len(i), SLICE):
+            a, b = q[at + i[k : k + SLICE]], m[j[k : k + SLICE]]
+            exact = (x[a] * x[b]).sum(axis=1) >= threshold
+            yield a[exact], b[exact]
 
 
 def _compared(placed: DataFrame, grid, threshold: float) -> DataFrame:
-    """(src, dst, n): n links of src (dst null), or an edge of a spanning forest (n 0), of rows (task, cell, ib, qb, side,
-    id, v, copies): side 0 has the queries, 1 the index."""
+    """(src, dst, n) as of ``_Links`` from rows (task, cell, ib, qb, side, id, v, copies): side 0 has the queries, 1 the index."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        ids, where = np.unique(group["id"].to_numpy(), return_inverse=True)
-        first = np.unique(where, return_index=True)[1]
+        ids, first, where = np.unique(group["id"].to_numpy(), return_index=True, return_inverse=True)
         x = _units(group["v"].iloc[first])
-        copies = group["copies"].to_numpy()[first]
         side = group["side"].to_numpy()
         cell, (a, b) = grid.value.places(x)
         width = len(grid.value.codes[1])
-        forest, links = _Forest(len(ids)), np.zeros(len(ids), np.int64)
+        links = _Links(ids, group["copies"].to_numpy()[first])
         for at in group.groupby(["cell", "ib", "qb"], sort=False).indices.values():
-            q, m = where[at[side[at] == 0]], where[at[side[at] == 1]]
-            i, j = np.nonzero(x[q] @ x[m].T >= threshold - 1e-9)
-            i, j = q[i], m[j]
-            exact = (x[i] * x[j]).sum(axis=1) >= threshold
-            back = a[j, cell[i] // width] + b[j, cell[i] % width] <= grid.value.radius  # j visits i's cell too
-            keep = exact & (i != j) & (~back | (ids[i] < ids[j]))
-            i, j = i[keep], j[keep]
-            np.add.at(links, i, copies[j])
-            np.add.at(links, j, copies[i])
-            for p, r in zip(i.tolist(), j.tolist(), strict=True):
-                forest.join(p, r)
-        some = np.flatnonzero(links)
-        edges = np.array(forest.edges, np.int64).reshape(-1, 2)
-        out = pd.DataFrame({"src": np.concatenate((ids[some], ids[edges[:, 0]])), "n": np.concatenate((links[some], np.zeros(len(edges), np.int64)))})
-        out["dst"] = pd.array([None] * len(some) + ids[edges[:, 1]].tolist(), "Int64")
-        return out[["src", "dst", "n"]]
+            for i, j in _pairs(x, where[at[side[at] == 0]], where[at[side[at] == 1]], threshold):
+                back = a[j, cell[i] // width] + b[j, cell[i] % width] <= grid.value.radius  # j visits i's cell too
+                keep = (i != j) & (~back | (ids[i] < ids[j]))
+                links.add(i[keep], j[keep])
+        return links.rows()
 
     return placed.groupBy("task").applyInPandas(run, "src long, dst long, n long")
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, target: float = TARGET_RECALL) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for each row of vectors (vec_id, embedding; more columns are ignored).
+def _whole(reps: DataFrame, threshold: float) -> DataFrame:
+    """The same of rows (id, v, copies), each length compared within itself."""
 
-    Vectors that are null, empty, zero, or have null or non-finite components link with nothing; so do those whose
-    length is not the most frequent one (of equally frequent ones the greatest). Rows with a null vec_id are left out; a
-    repeated vec_id counts as one more vector of the same id. An empty table gives an empty result."""
-    spark = vectors.sparkSession
-    v = F.col("embedding").cast("array<double>")
-    good = F.coalesce((F.size(v) > 0) & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))) & F.exists(v, lambda c: c != 0), F.lit(False))
-    rows = vectors.filter("vec_id is not null").select(F.col("vec_id").cast("long"), good.alias("good"), v.alias("v"))
-    lengths = rows.filter("good").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    rows = rows.withColumn("good", F.col("good") & (F.size("v") == F.lit(lengths["d"] if lengths else 0)))
-    name = ["k1", "k2"]
-    known = rows.select("vec_id", "good", F.when(F.col("good"), F.col("v")).alias("v")).withColumns({"k1": F.xxhash64("v"), "k2": F.xxhash64(F.lit(5), "v")})
-    reps = cut(known.filter("good").groupBy(*name).agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.min_by("v", "vec_id").alias("v")))
-    n = reps.count()
-    bare = known.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if n == 0:
-        return bare
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("id", kind="stable")
+        links, every = _Links(group["id"].to_numpy(), group["copies"].to_numpy()), np.arange(len(group))
+        for i, j in _pairs(_units(group["v"]), every, every, threshold):
+            links.add(i[i < j], j[i < j])
+        return links.rows()
+
+    return reps.withColumn("d", F.size("v")).groupBy("d").applyInPandas(run, "src long, dst long, n long")
+
+
+def _indexed(reps: DataFrame, n: int, threshold: float, target: float) -> DataFrame:
+    """The same of n rows (id, v, copies) of one length, by a grid."""
     sample = reps.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toPandas()
-    grid = spark.sparkContext.broadcast(fit(_units(sample["v"]), n, threshold, target))
+    grid = reps.sparkSession.sparkContext.broadcast(fit(_units(sample["v"]), n, threshold, target))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -205,7 +213,30 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, target: float =
     both = index.unionByName(asks).join(reps.select("id", "v", "copies"), "id")
     few = max(1, n // 1024)
     both = both.withColumn("task", F.when(F.col("ibs") * F.col("qbs") > 1, F.xxhash64("cell", "ib", "qb")).otherwise(F.pmod(F.xxhash64("cell"), F.lit(few))))
-    found = cut(_compared(both.drop("ibs", "qbs"), grid, threshold))
+    return _compared(both.drop("ibs", "qbs"), grid, threshold)
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, target: float = TARGET_RECALL) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) for each row of vectors (vec_id, embedding; more columns are ignored).
+
+    Vectors that are null, empty, zero, or have null or non-finite components link with nothing; vectors link with those
+    of their own length only. Rows with a null vec_id are left out; a repeated vec_id counts as one more vector of the
+    same id. An empty table gives an empty result. Vectors stay in the table's type (float or double) until they are
+    compared, in double precision."""
+    kind = vectors.schema["embedding"].dataType
+    small = isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType)
+    v = F.col("embedding") if small else F.col("embedding").cast("array<double>")
+    good = F.coalesce((F.size(v) > 0) & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))) & F.exists(v, lambda c: c != 0), F.lit(False))
+    rows = vectors.filter("vec_id is not null").select(F.col("vec_id").cast("long"), good.alias("good"), v.alias("v"))
+    name = ["k1", "k2"]
+    known = rows.select("vec_id", "good", F.when(F.col("good"), F.col("v")).alias("v")).withColumns({"k1": F.xxhash64("v"), "k2": F.xxhash64(F.lit(5), "v")})
+    reps = cut(known.filter("good").groupBy(*name).agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.min_by("v", "vec_id").alias("v")))
+    lengths = reps.groupBy(F.size("v").alias("d")).count().filter(F.col("count") > RARE).collect()  # at most n / RARE
+    rare = reps.filter(~F.size("v").isin([r["d"] for r in lengths])) if lengths else reps
+    found = _whole(rare, threshold)
+    for r in lengths:
+        found = found.unionByName(_indexed(reps.filter(F.size("v") == r["d"]), r["count"], threshold, target))
+    found = cut(found)
     links = found.filter("dst is null").groupBy(F.col("src").alias("id")).agg(F.sum("n").alias("n"))
     parts = connected_components(found.filter("dst is not null").select("src", "dst"))
     of_rep = reps.select(*name, "id", "copies").join(links, "id", "left").join(parts, "id", "left")
