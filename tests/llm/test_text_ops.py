@@ -190,3 +190,30 @@ def test_odd_fingerprints(spark):
     assert {r.edited_sha256 for r in got[3]} <= edited and len({r.fingerprint for r in got[3]}) == 1
     assert got[None][0].near_next is None and got[None][0].edited_sha256 == hashlib.sha256(b"tail of ").hexdigest()
     assert got[-9][0].near_next == 0.0  # the last is followed by the first, whose text is null
+
+
+def test_fingerprints_merge_and_stretches_follow_the_rows(spark, monkeypatch):
+    texts = ["a b c d e f g", "one two three four five six seven eight nine ten " * 3, "x y", "", "a b c d e q r s t u v w " * 9]
+    both = spark.createDataFrame([(i, j, a, b) for i, a in enumerate(texts) for j, b in enumerate(texts)], "i int, j int, a string, b string")
+    both = fingerprint.with_sketch(fingerprint.with_sketch(both, "a", "sa"), "b", "sb").withColumn("merged", fingerprint.merge(F.col("sa"), F.col("sb")))
+
+    def plain(*each):
+        hashes = set()
+        for t in each:
+            w = t.lower().split()
+            hashes |= {hashlib.md5(" ".join(w[k : k + 5]).encode()).hexdigest() for k in range(max(1, len(w) - 4))} if w else set()
+        kept = sorted(h[:16] for h in hashes if h < "2")
+        return kept or ([min(hashes)[:16]] if hashes else [])
+
+    for r in both.collect():
+        assert r.sa == plain(r.a) and r.merged == plain(r.a, r.b)
+    # clustered ids, far ones, repeated ones, nulls: the same order as sorting gives
+    monkeypatch.setattr(fingerprint, "STRETCH", 3)
+    ids = [*range(20), 10**12, -(10**15), 9223372036854775807, -9223372036854775808, 7, 7, None, None]
+    docs = spark.createDataFrame([(i, f"text {k}") for k, i in enumerate(ids)], "doc_id long, text string")
+    order = sorted(((i, f"text {k}") for k, i in enumerate(ids) if i is not None), key=lambda r: (-r[0], r[1]))
+    following = {a: b for a, b in zip(order, order[1:] + order[:1])}
+    got = fingerprint.fingerprints(docs).collect()
+    assert len(got) == len(ids)
+    for r in got:
+        assert r.next is None if r.doc_id is None else (r.next.doc_id, r.next.text) == following[r.doc_id, r.text]

@@ -1,8 +1,9 @@
 """Document fingerprints (operator 6): threshold-scaled sketches of word shingles, in DataFrame functions only.
 
 A fingerprint keeps every hash of a text's distinct five-word shingles below a fixed fraction of the hash range, so its
-size follows the text's, fingerprints of parts merge by union, and containment can be estimated between documents of
-very different length. A text that has words but no hash below the threshold keeps its smallest one.
+size follows the text's, fingerprints of sets of shingles merge to that of their union, and containment can be estimated
+between documents of very different length. A text that has words but no hash below the threshold keeps its smallest one,
+which a merge drops as soon as there is one below; its containment is 0 or 1.
 """
 
 from __future__ import annotations
@@ -51,8 +52,10 @@ def unpacked(raw: Column) -> Column:
 
 
 def merge(a: Column, b: Column) -> Column:
-    """The sketch of two parts of a text."""
-    return F.array_sort(F.array_union(a, b))
+    """The sketch of the union of two sets of shingles."""
+    both = F.array_sort(F.array_union(a, b))
+    below = F.filter(both, lambda x: x < THRESHOLD)
+    return F.when(F.size(below) > 0, below).otherwise(F.slice(both, 1, 1))
 
 
 def containment(a: Column, b: Column) -> Column:
@@ -61,16 +64,27 @@ def containment(a: Column, b: Column) -> Column:
     return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).when(F.greatest(F.size(a), F.size(b)) == 0, 1.0).otherwise(0.0)
 
 
+def _rank(value: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are at most the value, by bisection."""
+    if not bounds:
+        return F.lit(0)
+    table, steps = F.array(*map(F.lit, bounds)), [1 << k for k in reversed(range(len(bounds).bit_length()))]
+    at = lambda acc, step: (acc + step <= len(bounds)) & (F.try_element_at(table, acc + step) <= value)
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda acc, step: F.when(at(acc, step), acc + step).otherwise(acc))
+
+
 def _with_next(df: DataFrame) -> DataFrame:
     """df (doc_id, text) with ``sketch``, packed, and ``next``, a struct of the row that follows by descending doc_id; after the last comes the
-    first. The id range is cut into stretches, each with a copy of the row that heads the stretch below, so that no
-    task sees more than a stretch; the copies are found by at most STRETCHES broadcast ids, and before any sketch is made."""
+    first. The ids are cut at their quantiles into stretches of about STRETCH rows, each with a copy of the row that heads
+    the stretch below, so that no task sees more than a stretch, however the ids lie; only rows that repeat one id stay
+    together. The copies are found by at most STRETCHES broadcast ids, and before any sketch is made. Rows with a null id
+    are spread by their texts."""
     own = df.columns
-    low, high, n = df.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
-    if n == 0:
-        low = high = 0
-    width = max(1, -(-(high - low + 1) // max(1, min(STRETCHES, n // STRETCH))))
-    placed = df.withColumn("stretch", F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)).cast("long")).withColumn("copy", F.lit(0))
+    n = df.agg(F.count("doc_id")).first()[0]
+    parts = max(1, min(STRETCHES, n // STRETCH))
+    bounds = sorted(set(df.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 10 * parts)).first()[0])) if parts > 1 else []
+    apart = -1 - F.pmod(F.xxhash64("text"), F.lit(parts))
+    placed = df.withColumn("stretch", F.when(F.col("doc_id").isNull(), apart).otherwise(_rank(F.col("doc_id"), bounds).cast("long"))).withColumn("copy", F.lit(0))
     heads = placed.filter("doc_id is not null").groupBy("stretch").agg(F.max("doc_id").alias("head"))
     down = Window.orderBy(F.desc("stretch"))
     whole = down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
