@@ -12,8 +12,12 @@ Links must not be lost and a bucket's pairs must not be listed, as one group may
 3. members of buckets that still hold several labels are compared across labels, in blocks of ``BLOCK`` sketches on
    each side; a task returns a spanning forest of what may link. Now any two that share a bucket and may link have the
    same label, and a label's members are a family;
-4. families are verified on full sets, large ones block against block, and a task returns a spanning forest of the links.
-So what leaves a task grows with the members, never with their pairs. Components of the links are the result. A pair at
+4. families are verified on full sets, and a task returns a spanning forest of the links. Members of a large family are
+first compared with ``PIVOTS`` of them, a block of members a task; what that does not join to the family's largest
+component is then compared with all members, block against block.
+So what leaves a task grows with the members, never with their pairs, and the texts that are moved grow with the members as
+well, while no more than ``BLOCK`` of a family stay apart from its largest component. Small buckets and families are dealt
+to as many tasks as their rows and shingles need. Components of the links are the result. A pair at
 the threshold s shares a bucket but for a probability of (1 - s**ROWS)**BANDS: 2e-8 at 0.85, 3e-6 at 0.8.
 """
 
@@ -36,6 +40,10 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, 2**16 - 2
 #: Sketches on one side of a block of comparisons in one task.
 BLOCK = 2048
+#: Members that all of a large family are compared with first.
+PIVOTS = 4
+#: Sketches, and shingles, of the small buckets and families that one task has, about.
+TASK_SKETCHES, TASK_SHINGLES = 16384, 4_000_000
 #: Log-likelihood by which the best similarity may beat the best one that reaches the threshold; e**-16 is about 1e-7.
 SLACK = 16.0
 _RNG = np.random.Generator(np.random.PCG64(8191))
@@ -145,7 +153,8 @@ def _across_labels(members: DataFrame, threshold: float) -> DataFrame:
     sides = members.withColumns({"yb": F.when(F.col("rest"), F.pmod(F.xxhash64("rep"), "rest_blocks")), "mb": F.pmod(F.xxhash64("rep", F.lit(1)), "blocks")})
     ys = sides.filter("rest").withColumns({"side": F.lit(0), "mb": F.explode(F.expr("sequence(0L, blocks - 1)"))})
     ms = sides.withColumns({"side": F.lit(1), "yb": F.explode(F.expr("sequence(0L, rest_blocks - 1)"))})
-    both = ys.unionByName(ms).withColumn("task", F.when(F.col("blocks") + F.col("rest_blocks") > 2, F.xxhash64("key", "yb", "mb")).otherwise(F.pmod("key", F.lit(256))))
+    tasks = 1 + members.filter("blocks + rest_blocks = 2").count() // TASK_SKETCHES
+    both = ys.unionByName(ms).withColumn("task", F.when(F.col("blocks") + F.col("rest_blocks") > 2, F.xxhash64("key", "yb", "mb")).otherwise(F.pmod("key", F.lit(tasks))))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         regs = np.frombuffer(b"".join(group["regs"]), "<u2").reshape(-1, REGISTERS)
@@ -166,28 +175,23 @@ def _across_labels(members: DataFrame, threshold: float) -> DataFrame:
     return both.groupBy("task").applyInPandas(run, "src long, dst long")
 
 
-def _verified(families: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """Spanning forests (src, dst) of the links within families (rep, label, n, regs), on full sets. Texts are moved
-    and hashed again, as they are half as large as the sets of hashes."""
-    sizes = families.groupBy("label").agg(F.count("*").alias("size"))
-    placed = families.join(sizes, "label").filter("size > 1").withColumn("blocks", F.ceil(F.col("size") / F.lit(BLOCK)).cast("long"))
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("rep", F.lit(2)), "blocks"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(placed.select("rep", "label", "n", "regs", "own", "blocks"), "rep").dropDuplicates(["rep"])
-    met = texts.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")})
-    met = met.withColumn("task", F.when(F.col("blocks") > 1, F.xxhash64("label", "a", "b")).otherwise(F.pmod(F.xxhash64("label"), F.lit(1024))))
+def _checked(met: DataFrame, threshold: float) -> DataFrame:
+    """Spanning forests (src, dst) of the links, on full sets, of rows (task, part, rep, regs, text, side): within a part
+    of a task, rows of side 0 are compared with each other and with those of side 1. Texts are moved and hashed again, as
+    they are half as large as the sets of hashes."""
     per = int(round(threshold * 100))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         sets = [T.shingles(h) for h in T.words(group["text"])]
         regs = np.frombuffer(b"".join(group["regs"]), "<u2").reshape(-1, REGISTERS)
-        rep, own = group["rep"].to_numpy(), group["own"].to_numpy()
+        rep, side = group["rep"].to_numpy(), group["side"].to_numpy()
         n = np.array([len(x) for x in sets])
         forest = _Forest(len(group))
-        for at in group.groupby(["label", "a", "b"], sort=False).indices.values():
-            one_block = len(np.unique(own[at])) == 1
-            for k, row in enumerate(at):
-                others = at[k + 1 :] if one_block else at[k + 1 :][own[at[k + 1 :]] != own[row]]
-                near = _near(regs, n, row, others, threshold)
+        for at in group.groupby("part", sort=False).indices.values():
+            own, other = at[side[at] == 0], at[side[at] == 1]
+            for k, row in enumerate(own):
+                others = np.concatenate((own[k + 1 :], other))
+                near = _near(regs, n, row, others[rep[others] != rep[row]], threshold)
                 near = near[[forest.root(x) != forest.root(row) for x in near]] if len(near) else near
                 if len(near):
                     sizes = n[near]
@@ -201,6 +205,44 @@ def _verified(families: DataFrame, docs: DataFrame, threshold: float) -> DataFra
     return met.groupBy("task").applyInPandas(run, "src long, dst long")
 
 
+def _verified(families: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """Spanning forests (src, dst) of the links within families (rep, label, n, regs)."""
+    sizes = families.groupBy("label").agg(F.count("*").alias("size"), F.min_by("rep", F.xxhash64("rep")).alias("p0"), *(F.min_by("rep", F.xxhash64("rep", F.lit(k))).alias(f"p{k}") for k in range(1, PIVOTS)))
+    placed = cut(families.join(cut(sizes).filter("size > 1"), "label"))
+    own = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
+    texts = cut(own.join(placed.select("rep", "label", "n", "regs", "size", *(f"p{k}" for k in range(PIVOTS))), "rep").dropDuplicates(["rep"]))
+
+    small = texts.filter(F.col("size") <= BLOCK)
+    tasks = 1 + int(small.agg(F.sum("n")).first()[0] or 0) // TASK_SHINGLES
+    links = _checked(small.select(F.pmod(F.xxhash64("label"), F.lit(tasks)).alias("task"), F.col("label").cast("string").alias("part"), "rep", "regs", "text", F.lit(0).alias("side")), threshold)
+    large = texts.filter(F.col("size") > BLOCK)
+    if large.isEmpty():
+        return links
+
+    # all members of a large family against its pivots; a pivot goes to each block of members
+    blocks = lambda size: F.ceil(size / F.lit(BLOCK)).cast("long")
+    pivot = F.array(*(F.col(f"p{k}") for k in range(PIVOTS)))
+    members = large.select(F.xxhash64("label", F.pmod(F.xxhash64("rep", F.lit(2)), blocks(F.col("size")))).alias("task"), "rep", "regs", "text", F.lit(1).alias("side"))
+    pivots = large.filter(F.array_contains(pivot, F.col("rep"))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), blocks(F.col("size")) - 1)))
+    pivots = pivots.select(F.xxhash64("label", "b").alias("task"), "rep", "regs", "text", F.lit(0).alias("side"))
+    star = cut(_checked(members.unionByName(pivots).withColumn("part", F.lit("")), threshold))
+
+    # what is apart from its family's largest component against all members
+    joined = connected_components(star).select(F.col("id").alias("rep"), "component")
+    state = cut(large.select("rep", "label").join(joined, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
+    main = state.groupBy("label", "component").count().groupBy("label").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
+    apart = state.join(main, "label").filter("component != main").select("rep", "label")
+    count = apart.groupBy("label").agg(F.count("*").alias("n_apart"))
+    rest = large.join(cut(count), "label").withColumns({"bs": blocks(F.col("size")), "rs": blocks(F.col("n_apart"))})
+    rest = rest.join(apart.select("rep", F.lit(0).alias("out")), "rep", "left")
+    sides = [
+        rest.filter("out = 0").withColumns({"rb": F.pmod(F.xxhash64("rep"), "rs"), "mb": F.explode(F.expr("sequence(0L, bs - 1)")), "side": F.lit(0)}),
+        rest.withColumns({"rb": F.explode(F.expr("sequence(0L, rs - 1)")), "mb": F.pmod(F.xxhash64("rep", F.lit(1)), "bs"), "side": F.lit(1)}),
+    ]
+    both = sides[0].unionByName(sides[1]).select(F.xxhash64("label", "rb", "mb").alias("task"), F.lit("").alias("part"), "rep", "regs", "text", "side")
+    return links.unionByName(star).unionByName(_checked(both, threshold))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text; more columns are ignored).
 
@@ -213,7 +255,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     reps = cut(known.filter("n > 0").groupBy(*name).agg(F.min("doc_id").alias("rep"), F.max("regs").alias("regs")))
     bands = reps.select("rep", F.posexplode(F.array(*(F.substring("regs", 1 + 2 * ROWS * i, 2 * ROWS) for i in range(BANDS)))).alias("band", "part")).select("rep", F.xxhash64("band", "part").alias("key"))
     pivots = bands.groupBy("key").agg(F.count("*").alias("members"), F.min_by("rep", F.xxhash64("rep")).alias("pivot")).filter("members > 1")
-    buckets = cut(bands.join(pivots, "key"))
+    buckets = cut(bands.join(cut(pivots), "key"))  # a table of its own, so that a hot key's join can be split
     star = buckets.filter("rep != pivot").select(F.least("rep", "pivot").alias("src"), F.greatest("rep", "pivot").alias("dst")).distinct()
     near = cut(_estimated(star, reps, threshold))
     labels = connected_components(near).select(F.col("id").alias("rep"), F.col("component").alias("label"))
@@ -222,13 +264,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     by_label = labelled.groupBy("key", "label").agg(F.count("*").alias("c"))
     mixed = by_label.groupBy("key").agg(F.count("*").alias("labels"), F.sum("c").alias("members"), F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("most")).filter("labels > 1")
     blocks = lambda c: F.ceil(c / F.lit(BLOCK)).cast("long")
-    members = labelled.join(mixed, "key").select("key", "rep", "label", (F.col("label") != F.col("main")).alias("rest"), blocks(F.col("members")).alias("blocks"), blocks(F.col("members") - F.col("most")).alias("rest_blocks"))
-    more = cut(_across_labels(members.join(reps.select("rep", "n", "regs"), "rep"), threshold))
+    members = labelled.join(cut(mixed), "key").select("key", "rep", "label", (F.col("label") != F.col("main")).alias("rest"), blocks(F.col("members")).alias("blocks"), blocks(F.col("members") - F.col("most")).alias("rest_blocks"))
+    more = cut(_across_labels(cut(members.join(reps.select("rep", "n", "regs"), "rep")), threshold))
 
     families = connected_components(near.union(more)).select(F.col("id").alias("rep"), F.col("component").alias("label"))
     links = _verified(families.join(reps.select("rep", "n", "regs"), "rep"), docs, threshold)
 
-    linked = connected_components(links).select(F.col("id").alias("rep"), "component")
+    linked = connected_components(cut(links)).select(F.col("id").alias("rep"), "component")
     of_set = reps.select(*name, "rep").join(linked, "rep", "left").select(*name, F.coalesce("component", "rep").alias("c"))
     out = known.join(of_set, name, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
