@@ -66,6 +66,11 @@ def upsert_filings(old: DataFrame, new: DataFrame, text: tuple[str, ...] = STATE
     return filings.reconcile(rows).select(*rows.columns)
 
 
+def upsert_indicators(old: DataFrame, new: DataFrame) -> DataFrame:
+    """By (source, symbol, report_date), with the types of indicators."""
+    return enforce_types(keep_last(old, new, ["source", "symbol", "report_date"]), INDICATOR_TEXT)
+
+
 def adjustment_factors(raw: DataFrame, adjusted: DataFrame) -> DataFrame:
     """raw bars with adj_factor = adjusted close / close of the same day (adjusted: symbol, date, close_hfq), carried forward,
     1.0 before the first."""
@@ -95,7 +100,7 @@ def write_dataset(df: DataFrame, path: str, partition: str | None = None, files:
     after the other; readers that need all at once should read a new path."""
     if df.isEmpty():
         return False
-    by = [c for c in ("symbol", "date", "report_date", "change_date") if c in df.columns]
+    by = [c for c in ("symbol", "date", "report_date", "change_date") if c in df.columns] or df.columns[:1]
     spread = df.repartition(files, by[0]) if files and by else df.repartition(by[0]) if by else df
     out = spread.sortWithinPartitions(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if partition else "static")
     (out.partitionBy(partition) if partition else out).parquet(path)

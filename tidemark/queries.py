@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from tidemark.functions import market as M
 from tidemark.operators import cross_section as X
 from tidemark.operators.asof import Right, asof_join
 from tidemark.plans import factors, filings, ingest, metrics, planning, portfolio, strategies, ttm, universe, valuation
-from tidemark.sources import bridge, payloads, scans
+from tidemark.sources import bridge, lake, payloads, scans
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,6 +37,9 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the bridge; of the lake where that has been built already and has it."""
+    if name in ("daily_kline", "share_capital", "filings") and lake.has(spark, sf_dir):
+        return lake.table(spark, sf_dir, name)
     return bridge.table(spark, sf_dir, name)
 
 
@@ -142,6 +146,125 @@ def share_history_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payloads.share_history(raw)
 
 
+# --- the lake: writers, declared schemas, dictionaries, calendars ---------------------------------------------------
+
+
+@query("SELECT symbol, date, open, high, low, close, volume, amount, adj_factor FROM daily_kline")
+def lake_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lake.table(spark, sf_dir, "daily_kline")
+
+
+@query("SELECT symbol, date, open, high, low, close, CAST(floor(volume * 100) AS BIGINT) AS volume, amount, adj_factor FROM daily_kline WHERE CAST(symbol AS INT) % 10 = 3")
+def lake_etf_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lake.table(spark, sf_dir, "etf_kline")
+
+
+@query("SELECT symbol, change_date, total_shares FROM share_capital")
+def lake_share_capital(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lake.table(spark, sf_dir, "share_capital")
+
+
+@query("SELECT symbol, change_date, total_shares FROM share_capital WHERE symbol IN ('000003', '000007')")
+def lake_single_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.dataset(spark, f"{lake.build(spark, sf_dir)}/share_capital", "share_capital", ["000003", "000007"])
+
+
+@query("SELECT symbol, change_date, total_shares FROM share_capital")
+def lake_path_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.with_path_symbol(spark, [f"{lake.build(spark, sf_dir)}/share_capital/*"], "change_date DATE, total_shares BIGINT")
+
+
+@query("SELECT source, symbol, report_date, publish_date, available_date, revenue, net_profit, deduct_net_profit, ocf, net_assets, roe_weighted, operating_cashflow_to_revenue FROM filings")
+def lake_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cols = ("source", "symbol", "report_date", "publish_date", "available_date", "revenue", "net_profit", "deduct_net_profit", "ocf", "net_assets", "roe_weighted", "operating_cashflow_to_revenue")
+    return lake.table(spark, sf_dir, "filings").select(*cols)
+
+
+def _statement(source: str, name: str, column: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return lake.table(spark, sf_dir, name).select("symbol", "report_date", "publish_date", "available_date", column)
+
+    run.__name__ = f"lake_{source}"
+    query(f"SELECT symbol, report_date, publish_date, available_date, {column} FROM filings WHERE source = '{source}'")(run)
+
+
+for _s, _n, _c in (("balance", "fin_balance_sheet", "net_assets"), ("income", "fin_income_statement", "net_profit"), ("cashflow", "fin_cashflow_statement", "ocf"), ("indicator", "fin_indicator", "roe_weighted")):
+    _statement(_s, _n, _c)
+
+
+@query(f"{_TTM} SELECT symbol, report_date, pub_date, net_profit_ttm, deduct_net_profit_ttm, revenue_ttm, ocf_ttm FROM ttm_rows")
+def lake_ttm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lake.table(spark, sf_dir, "fin_ttm")
+
+
+@query("SELECT DISTINCT date AS trade_date FROM daily_kline")
+def lake_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.calendar(spark, f"{lake.build(spark, sf_dir)}/calendar")
+
+
+@query("WITH c AS (SELECT DISTINCT date FROM daily_kline), d AS (SELECT DISTINCT change_date AS date FROM share_capital UNION SELECT date + 1 FROM c) SELECT d.date, c.date IS NOT NULL AS is_session, (SELECT max(date) FROM c WHERE date <= DATE '1999-06-17') AS latest FROM d LEFT JOIN c USING (date)")
+def calendar_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = scans.calendar(spark, f"{lake.build(spark, sf_dir)}/calendar")
+    dates = lake.table(spark, sf_dir, "share_capital").select(F.col("change_date").alias("date")).union(days.select(F.date_add("trade_date", 1))).distinct()
+    latest = D.latest_session(days, F.lit("1999-06-18 15:29:00").cast("timestamp")).first()["session"]
+    return D.is_session(dates, days).select("date", "is_session", F.lit(latest).alias("latest"))
+
+
+@query("SELECT symbol, report_date, deduct_net_profit AS \"扣非净利润\", roe_weighted AS \"净资产收益率_加权\", operating_cashflow_to_revenue AS \"经营现金流/营业收入\" FROM filings WHERE source = 'indicator'")
+def indicator_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = scans.indicator_names(spark, f"{lake.build(spark, sf_dir)}/indicators")
+    own = {"deduct_net_profit": "DEDUCT_NET", "roe_weighted": "ROE_WEIGHTED", "operating_cashflow_to_revenue": "OCF_TO_REVENUE"}
+    rows = lake.table(spark, sf_dir, "fin_indicator").select("symbol", "report_date", *(F.col(k).alias(v) for k, v in own.items()), F.lit(1).alias("OTHER"))
+    return ingest.translate_indicators(rows, names)
+
+
+_UPSERTED = """WITH typed AS (SELECT source, symbol, report_date, coalesce(publish_date, '') AS publish_date, coalesce(available_date, '') AS available_date, {value} FROM filings WHERE source {which})"""
+
+
+@query(f"""{_UPSERTED.format(value="CASE WHEN report_date >= '19990101' THEN net_profit * 2 ELSE net_profit END AS net_profit", which="<> 'indicator'")}, dated AS (SELECT *, {_N.format(x='publish_date')} AS p, {_N.format(x='available_date')} AS a FROM typed)
+SELECT source, symbol, report_date, net_profit, coalesce(min(p) OVER (PARTITION BY symbol, report_date), publish_date) AS publish_date, coalesce(max(greatest(p, a)) OVER (PARTITION BY symbol, report_date), available_date) AS available_date FROM dated""")
+def statement_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lake.table(spark, sf_dir, "filings").filter("source <> 'indicator'").select("source", "symbol", "report_date", "publish_date", "available_date", "net_profit")
+    new = rows.filter("report_date >= '19990101'").withColumn("net_profit", F.col("net_profit") * 2)
+    return ingest.upsert_filings(rows.filter("report_date < '20000101'"), new)
+
+
+@query("SELECT symbol, report_date, coalesce(publish_date, '') AS \"公告日期\", '' AS \"数据可用日期\", '人民币' AS \"币种\", CASE WHEN report_date >= '19990101' THEN roe_weighted + 1 ELSE roe_weighted END AS roe FROM filings WHERE source = 'indicator'")
+def indicator_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lake.table(spark, sf_dir, "fin_indicator").select("symbol", "report_date", F.col("publish_date").alias("公告日期"), F.col("available_date").alias("数据可用日期"), F.lit("人民币").alias("币种"), F.col("roe_weighted").cast("string").alias("roe"), F.lit("indicator").alias("source"))
+    new = rows.filter("report_date >= '19990101'").withColumn("roe", (F.col("roe").cast("double") + 1).cast("string"))
+    return ingest.upsert_indicators(rows.filter("report_date < '20000101'"), new).drop("source")
+
+
+@query("SELECT CAST(date AS VARCHAR) AS date, run_id, nav FROM (SELECT DISTINCT date, 'all' AS run_id, 1.5::DOUBLE AS nav FROM daily_kline)")
+def result_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nav = lake.table(spark, sf_dir, "daily_kline").select("date").distinct().select("date", F.lit("all").alias("run_id"), F.lit(1.5).alias("nav"))
+    path = f"{lake.build(spark, sf_dir)}/results-{uuid.uuid4().hex}"
+    ingest.write_results(path, nav, nav.withColumn("symbol", F.lit("000001")), nav.withColumn("symbol", F.lit("000001")), {"start": START})
+    return spark.read.csv(f"{path}/daily_nav", header=True).select("date", "run_id", F.col("nav").cast("double").alias("nav"))
+
+
+@query("SELECT * FROM (VALUES ('amount', 'double', 1), ('date', 'date', 2), ('symbol', 'string', 2), ('volume', 'bigint', 1), ('volume', 'double', 1)) AS v(column_name, type, variants)")
+def schema_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = lake.table(spark, sf_dir, "daily_kline").select("symbol", "date", "volume")
+    rows = scans.schema_summary([bars, bars.withColumns({"volume": F.col("volume").cast("long"), "amount": F.lit(0.0)})])
+    return spark.createDataFrame(rows, "column_name string, type string, variants int")
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (is_active = 0) AS inactive FROM stored_stocks")
+def universe_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return universe.counts(_t(spark, sf_dir, "stored_stocks"))
+
+
+@query("""SELECT symbol, date, floor(volume * 10000) / 100 AS lots, strftime(date, '%Y%m%d') AS plain, printf('%.2f%%', floor(close) / 400 * 100) AS pct, printf('%.2f', floor(close) / 4) AS num,
+  strftime(CAST(date_trunc('quarter', date) AS DATE) - 1, '%Y%m%d') AS q1, strftime(CAST(date_trunc('quarter', CAST(date_trunc('quarter', date) AS DATE) - 1) AS DATE) - 1, '%Y%m%d') AS q2 FROM daily_kline""")
+def display_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("date")
+    quarters = D.quarters_before(d, 4)
+    cols = {"lots": ingest.lots(F.floor(F.col("volume") * 10000)), "plain": D.strip_dashes(d.cast("string")), "pct": M.percent(F.floor("close") / 400), "num": M.number(F.floor("close") / 4), "q1": quarters[0], "q2": quarters[1]}
+    return lake.table(spark, sf_dir, "daily_kline").select("symbol", "date", *(c.alias(k) for k, c in cols.items()))
+
+
 # --- types and dates -----------------------------------------------------------------------------------------------
 
 
@@ -221,6 +344,18 @@ def official_dates_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filings.apply_official(_t(spark, sf_dir, "filings"), official).select("source", "symbol", "report_date", "net_profit", "publish_date", "available_date", "changed")
 
 
+_WINDOWED = _OFFICIAL.replace("JOIN announcements a ON a.symbol = f.symbol", "JOIN (SELECT n.* FROM announcements n JOIN (SELECT symbol, min(CAST(strptime(report_date, '%Y%m%d') AS DATE)) AS lo, greatest(max(deadline), DATE '1996-06-30') AS hi FROM overdue GROUP BY symbol) w ON w.symbol = n.symbol AND n.publish_date BETWEEN w.lo AND w.hi) a ON a.symbol = f.symbol")
+
+
+@query(f"""{_WINDOWED}, met AS (SELECT d.*, strftime(o.m.publish_date, '%Y%m%d') AS official FROM dated d LEFT JOIN official o USING (symbol, report_date)),
+fixed AS (SELECT *, coalesce(official, publish_date) AS p2, CASE WHEN official IS NOT NULL THEN greatest(a, official) ELSE available_date END AS a2 FROM met)
+SELECT source, symbol, report_date, p2 AS publish_date, a2 AS available_date, (p2 IS DISTINCT FROM publish_date OR a2 IS DISTINCT FROM available_date) AS changed FROM fixed""")
+def official_dates_in_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    late = _overdue(spark, sf_dir)
+    official = filings.first_disclosures(late, _t(spark, sf_dir, "announcements"), filings.search_window(late, F.lit("1996-06-30").cast("date")))
+    return filings.apply_official(_t(spark, sf_dir, "filings"), official).select("source", "symbol", "report_date", "publish_date", "available_date", "changed")
+
+
 @query("SELECT symbol, report_date FROM filings WHERE source IN ('balance', 'income', 'cashflow') AND NOT (source = 'cashflow' AND publish_date IS NULL) GROUP BY symbol, report_date HAVING count(DISTINCT source) = 3")
 def complete_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filings.complete_periods(_t(spark, sf_dir, "filings").filter("NOT (source = 'cashflow' AND publish_date IS NULL)"))
@@ -277,6 +412,24 @@ def market_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _panel(spark, sf_dir, ("high", "volume"))
 
 
+_PANEL_DAYS = f"{_VAL}, low AS (SELECT min(date) AS d FROM (SELECT DISTINCT date FROM daily_kline WHERE date < DATE '{START}' ORDER BY date DESC LIMIT 61))"
+
+
+@query(f"{_PANEL_DAYS} SELECT date, symbol, close_hfq, pb, open FROM val WHERE date BETWEEN (SELECT d FROM low) AND DATE '{END}'")
+def factor_driven_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Volatility looks back 61 sessions, and neither factor needs an indicator or a bar column."""
+    rows = _t(spark, sf_dir, "filings")
+    names = ["price_volatility_60d", "valuation_pb"]
+    panel = valuation.panel_for(_t(spark, sf_dir, "daily_kline"), _t(spark, sf_dir, "share_capital"), ttm.ttm(rows), rows, START, END, names)
+    return factors.check_panel(panel, names).select("date", "symbol", "close_hfq", "pb", "open")
+
+
+@query(f"WITH {_HFQ} SELECT date, symbol, round({_MOM}, 9) AS value FROM hfq")
+def factor_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = factors.calculate(_bars(spark, sf_dir).select("symbol", "date", "close_hfq"), ["price_momentum_120d"], check_rows=True)
+    return factors.long_form(rows, "price_momentum_120d", check_rows=True).withColumn("value", F.round("value", 9))
+
+
 # --- factors and transforms ----------------------------------------------------------------------------------------
 
 
