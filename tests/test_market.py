@@ -201,3 +201,55 @@ def test_metrics(spark):
     got = {r.run_id: r for r in metrics.performance(nav).collect()}
     assert got["a"].total_return == pytest.approx(-0.01) and got["a"].max_drawdown == pytest.approx(-0.1) and got["a"].trading_days == 3
     assert got["b"].trading_days == 0 and got["b"].total_return is None
+
+
+def test_upsert_stream_writes_only_what_it_touches(spark, tmp_path):
+    from tidemark.streaming.incremental import upsert_stream
+
+    schema = "symbol string, date date, close double, year int"
+    into, source = f"{tmp_path}/table", f"{tmp_path}/in"
+    day = lambda y: f"{y}-01-02"
+
+    def arrive(rows):
+        spark.createDataFrame([(s, d, c, int(d[:4])) for s, d, c in rows], "symbol string, date string, close double, year int").selectExpr("symbol", "cast(date as date) date", "close", "year").coalesce(1).write.mode("append").parquet(source)
+        upsert_stream(spark.readStream.schema(schema).parquet(source), into, ["symbol", "date"], "year", f"{tmp_path}/at").awaitTermination()
+
+    arrive([("A", day(2000), 1.0), ("B", day(2000), 2.0), ("A", day(2001), 3.0)])
+    kept = {p: p.stat().st_mtime_ns for p in (tmp_path / "table" / "year=2000").glob("*.parquet")}
+    arrive([("A", day(2001), 4.0), ("C", day(2001), 5.0), ("C", day(2002), 6.0)])
+    assert kept == {p: p.stat().st_mtime_ns for p in (tmp_path / "table" / "year=2000").glob("*.parquet")}
+    got = sorted((r.symbol, r.year, r.close) for r in spark.read.schema(schema).parquet(into).collect())
+    assert got == [("A", 2000, 1.0), ("A", 2001, 4.0), ("B", 2000, 2.0), ("C", 2001, 5.0), ("C", 2002, 6.0)]
+
+
+def test_contracts_raise(spark):
+    from tidemark.plans import factors, portfolio, strategies
+
+    panel = spark.sql("SELECT date'2020-01-02' date, 'A' symbol, 1.0D close_hfq UNION ALL SELECT date'2020-01-02', 'A', 2.0D")
+    with pytest.raises(ValueError, match="lacks"):
+        factors.calculate(panel.drop("close_hfq"), ["price_momentum_120d"])
+    with pytest.raises(ValueError, match="no date"):
+        factors.calculate(panel.withColumn("date", F.lit("2020")), ["price_momentum_120d"])
+    with pytest.raises(ValueError, match="repeated"):
+        factors.calculate(panel, ["price_momentum_120d"], check_rows=True)
+    with pytest.raises(ValueError, match="repeated"):
+        factors.check_result(panel.withColumnRenamed("close_hfq", "value"), "x")
+    with pytest.raises(ValueError, match="lacks"):
+        factors.check_result(panel, "x")
+    targets = lambda *w: spark.createDataFrame([("r", "2020-01-02", s, x) for s, x in w], "run_id string, date string, symbol string, target_weight double").withColumn("date", F.to_date("date"))
+    strategies.check_targets(targets(("A", 0.5), ("B", 0.5)), ("run_id", "date"))
+    prices = spark.sql("SELECT date'2020-01-02' date, 'A' symbol, 1.0D open, 1.0D open_hfq, 1.0D close_hfq")
+    config = portfolio.Config("2020-01-01", "2020-02-01")
+    for bad in (targets(("A", 0.6), ("B", 0.6)), targets(("A", 0.1), ("A", 0.2)), targets(("A", 0.0)), targets(("A", None))):
+        with pytest.raises(ValueError, match="not valid"):
+            portfolio.evaluate(prices, bad, config)
+    with pytest.raises(ValueError, match="no close"):
+        portfolio.evaluate(prices.withColumn("close_hfq", F.lit(None).cast("double")), targets(("A", 1.0)), config)
+
+
+def test_indicator_text_columns_stay_text(spark):
+    from tidemark.plans import ingest
+
+    row = spark.sql("SELECT '000001' `证券代码`, '年报' `报告类型`, 'CNY' `币种`, '1.5' `毛利率`, 'nan' `公告日期`, '000001' symbol")
+    got = ingest.enforce_types(row, ingest.INDICATOR_TEXT).first()
+    assert tuple(got) == ("000001", "年报", "CNY", 1.5, "", "000001")
