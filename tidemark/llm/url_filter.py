@@ -13,9 +13,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .names import free_name
+
 BUCKETS = 2048
 HOST_GRAMS, PATH_GRAMS = (3, 4, 5), (4,)
-#: Most rows of a labelled table, and most rules that are tried as a literal; more are refused.
+#: Most rows of a labelled table, more are refused; most rules that are tried as a literal, more are joined.
 LABELLED, RULES = 2000, 1000
 EPOCHS, RATE, DECAY = 40, 1.0, 1e-4
 
@@ -72,8 +74,6 @@ def path(url: Column) -> Column:
 def best_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
     """A struct (rule, action) of the longest rule that fits: its host is the URL's or a parent domain of it, and the
     URL's path starts with its path; null if none fits. Equal lengths: the alphabetically last."""
-    if len(rules) > RULES:
-        raise ValueError(f"{len(rules)} rules; at most {RULES}")
     if not rules:
         return F.lit(None).cast("struct<n:int,rule:string,action:string>")
     table = F.array(*(F.struct(F.lit(len(r.rule)).alias("n"), F.lit(r.rule).alias("rule"), F.lit(r.action).alias("action"), F.lit(r.host).alias("host"), F.lit(r.path).alias("path")) for r in rules))
@@ -125,14 +125,46 @@ def score(host: Column, path: Column, weights: list[float]) -> Column:
     return _sigmoid(z / F.sqrt(F.size(b) + 1))
 
 
+def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
+    """(host, path, rule, action) of rules, for ``with_best_rule``."""
+    rows = [(r.host, r.path, r.rule, r.action) for r in rules]
+    return spark.createDataFrame(rows, "host string, path string, rule string, action string")
+
+
+def with_best_rule(urls: DataFrame, host: str, path: str, rules: DataFrame, into: str) -> DataFrame:
+    """urls with the struct of ``best_rule`` as ``into``, for any number of rules (host, path, rule, action): each distinct
+    host's suffixes are joined with the rules of that host, the path of each distinct (host, path) that has some decides,
+    and the choice is joined back. Rows without a rule keep null; hosts with very many urls cost one row each."""
+    pairs = urls.select(F.col(host).alias("h"), F.col(path).alias("p")).distinct()
+    parts = F.split(F.concat(F.lit("."), "h"), "[.]")
+    suffixes = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    hosts = pairs.select("h").distinct().select("h", F.explode(F.array_distinct(suffixes)).alias("host"))
+    own = hosts.join(rules.select("host", F.col("path").alias("start"), "rule", "action"), "host")
+    met = pairs.join(own, "h").filter(F.startswith("p", "start"))
+    best = met.groupBy("h", "p").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "action")).alias("best"))
+    best = best.select(F.col("h").alias(host), F.col("p").alias(path), F.col("best").alias(into))
+    return urls.join(best, [host, path], "left")
+
+
 def judge(urls: DataFrame, rules: list[Rule], weights: list[float], limit: float = 0.7) -> DataFrame:
-    """urls (with a column url; all columns stay) with host, path, rule, block_score and verdict: the rule's action,
-    else ``block`` if the score reaches ``limit``, else ``allow``. Null urls and urls without ``://`` have empty host and
-    path, which no rule fits; repeated rows are judged alike; an empty table gives an empty result."""
+    """urls (with a column url) with host, path, rule, block_score and verdict: the rule's action, else ``block`` if the
+    score reaches ``limit``, else ``allow``. All columns stay; columns of urls with one of these names stay under that
+    name with underscores behind it. Null urls and urls without ``://`` have empty host and path, which no rule fits;
+    repeated rows are judged alike; an empty table gives an empty result. Up to RULES rules are tried in the row, more
+    are joined."""
+    added = ("host", "path", "rule", "block_score", "verdict")
+    for name in added:
+        if any(c.lower() == name for c in urls.columns):
+            urls = urls.withColumnRenamed(name, free_name(urls, name))
     out = urls.withColumn("host", host(F.col("url"))).withColumn("path", path(F.col("url")))
-    out = out.withColumn("_best", best_rule(F.col("host"), F.col("path"), rules)).withColumn("block_score", score(F.col("host"), F.col("path"), weights))
-    verdict = F.coalesce(F.col("_best.action"), F.when(F.col("block_score") >= limit, "block").otherwise("allow"))
-    return out.withColumn("rule", F.col("_best.rule")).withColumn("verdict", verdict).drop("_best")
+    best = free_name(out, "_best")
+    if len(rules) <= RULES:
+        out = out.withColumn(best, best_rule(F.col("host"), F.col("path"), rules))
+    else:
+        out = with_best_rule(out, "host", "path", rule_table(urls.sparkSession, rules), best)
+    out = out.withColumn("block_score", score(F.col("host"), F.col("path"), weights))
+    verdict = F.coalesce(F.col(best)["action"], F.when(F.col("block_score") >= limit, "block").otherwise("allow"))
+    return out.withColumn("rule", F.col(best)["rule"]).withColumn("verdict", verdict).drop(best)
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
