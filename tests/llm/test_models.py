@@ -258,3 +258,56 @@ def test_near_duplicate_stage_keeps_null_ids_and_one_copy_of_an_id(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()]
     assert sorted(got, key=str) == sorted([(None, words(1)), (None, words(2)), (1, words(1)), (1, words(3)), (3, None)], key=str)
+
+
+def test_a_round_of_co_training_in_plain_numpy(spark):
+    """The model against one made by plain loops: the same views, one round of exchanged labels by quantiles over the pool,
+    fits, calibration and mixture; and every document's score."""
+    docs, labels = (spark.read.parquet(f"{DATA}/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    rounds, quality.ROUNDS = quality.ROUNDS, 1
+    try:
+        model = quality.train(docs, labels)
+        got = {r.doc_id: r.score for r in quality.classify(docs, labels).collect()}
+    finally:
+        quality.ROUNDS = rounds
+    order = {r.doc_id: r.o for r in docs.select("doc_id", F.xxhash64("doc_id").alias("o")).collect()}
+    apart = {r.doc_id: r.a for r in docs.select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) / float(1 << 20) * 1e-6).alias("a")).collect()}
+    rows = {r.doc_id: r for r in docs.collect()}
+    known = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None}
+    views = {i: (quality.text_view(r.text), quality.metadata_view(r.lang, r.source, r.n_chars)) for i, r in rows.items()}
+    teach = sorted(i for i in known if i in rows and not held(i))
+    aside = [i for i in teach if zlib.crc32(f"c{i}".encode()) % 4 == 0]
+    seen = [i for i in teach if i not in aside]
+
+    def fit(x, y, pull=1.0):
+        x = np.column_stack((np.array(x), np.ones(len(x)))).astype(float)
+        w, penalty = np.zeros(x.shape[1]), np.array([pull] * (x.shape[1] - 1) + [1e-3])
+        for _ in range(12):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            w += np.linalg.solve(x.T @ (x * np.maximum(p * (1 - p), 1e-6)[:, None]) + np.diag(penalty), x.T @ (np.array(y) - p) - penalty * w)
+        return w
+
+    def odds(x, w):
+        return np.clip(np.array(x, float) @ w[:-1] + w[-1], -30, 30)
+
+    y = [known[i] for i in seen]
+    weights = [fit([views[i][k] for i in seen], y) for k in (0, 1)]
+    pool, share = sorted(i for i in rows if i not in known), np.mean(y)
+    called = []
+    for k in (0, 1):
+        z = odds([views[i][k] for i in pool], weights[k]) + [apart[i] for i in pool]
+        low, high = (np.sort(z)[max(0, int(np.ceil(q * len(z))) - 1)] for q in (0.02 * (1 - share), 1 - 0.02 * share))
+        called.append({i: 1 if v >= high else 0 for i, v in zip(pool, z) if v >= high or v <= low})
+    assert 0 < len(called[0]) < 0.1 * len(pool)
+    if len(pool) * quality.CONFIDENT >= 1:
+        for k in (0, 1):
+            more = sorted(called[1 - k], key=lambda i: order[i])[: quality.TOLD]
+            weights[k] = fit([views[i][k] for i in seen + more], y + [called[1 - k][i] for i in more])
+    z = [odds([views[i][k] for i in aside], weights[k]) for k in (0, 1)]
+    target = [known[i] for i in aside]
+    lines = [fit(o[:, None], target) for o in z]
+    mixture = fit(np.column_stack([odds(o[:, None], line) for o, line in zip(z, lines)]), target)
+    assert np.allclose(model.mixture, mixture, atol=1e-3)
+    for i, (a, b) in views.items():
+        both = [odds(odds(v[None], weights[k])[:, None], lines[k]) for k, v in ((0, a), (1, b))]
+        assert abs(got[i] - 1 / (1 + np.exp(-np.clip(odds(np.column_stack(both), mixture)[0], -30, 30)))) < 1e-3
