@@ -311,3 +311,23 @@ def test_a_round_of_co_training_in_plain_numpy(spark):
     for i, (a, b) in views.items():
         both = [odds(odds(v[None], weights[k])[:, None], lines[k]) for k, v in ((0, a), (1, b))]
         assert abs(got[i] - 1 / (1 + np.exp(-np.clip(odds(np.column_stack(both), mixture)[0], -30, 30)))) < 1e-3
+
+
+def test_pipeline_stages_on_odd_documents(spark):
+    """Empty tables, null and repeated rows, a very long text, and columns with the operators' own names, through all stages."""
+    sf = f"{DATA}/sf0.001"
+    base = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    odd_rows = [(10**6 + k, t, "en", "s", 1) for k, t in enumerate((None, "", "!!!", "the same words in a long text " * 40_000, "the same words in a long text " * 40_000))]
+    docs = base.unionByName(spark.createDataFrame([*odd_rows, odd_rows[3], (None, "the text has no id at all", None, None, None)], base.schema))
+    docs = docs.withColumns({name: F.lit("mine") for name in ("toxicity", "language", "component_id", "n", "kept", "_block0")})
+    for rows in (docs, docs.limit(0)):
+        n = rows.count()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, rows, sf)
+            assert out.columns == docs.columns
+            rows = packing.cut(out)
+            assert n or rows.count() == 0
+        assert not n or {r.toxicity for r in rows.select("toxicity").distinct().collect()} == {"mine"}
+        kept = {r.doc_id for r in rows.collect()}
+        assert not n or (10**6 + 3 in kept and 10**6 + 4 not in kept and 10**6 not in kept)
+        assert corpus_pipeline.STAGES[-1][1](spark, rows, sf).select("doc_id").distinct().count() == len(kept)
