@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 # The exchanges' filing calendar by the month and day of a report period.
 REPORT_TYPES = {"0331": "q1", "0630": "semiannual", "0930": "q3", "1231": "annual"}
 DEADLINES = {"0331": (0, 4, 30), "0630": (0, 8, 31), "0930": (0, 10, 31), "1231": (1, 4, 30)}
-#: Titles of periodic reports, and marks of documents that are not the report itself.
+# Titles of periodic reports, and marks of documents that are not the report itself.
 TITLE_MARKERS = {"annual": ("年度报告", "年报"), "semiannual": ("半年度报告", "半年报"), "q1": ("第一季度报告", "一季度报告"), "q3": ("第三季度报告", "三季度报告")}
 EXCLUDED_MARKERS = ("摘要", "英文", "更正", "修订", "修正", "补充", "取消", "提示性公告")
 

@@ -53,8 +53,8 @@ _DEADLINE = "CASE substr(report_date, 5) WHEN '0331' THEN make_date(CAST(left(re
 _CANON = f"WITH dated AS (SELECT *, {_N.format(x='publish_date')} AS p, {_N.format(x='available_date')} AS a FROM filings), canon AS (SELECT symbol, report_date, min(p) AS publish, max(greatest(p, a)) AS available FROM dated GROUP BY symbol, report_date)"
 _OVERDUE = f"{_CANON}, late AS (SELECT symbol, report_date, CAST(strptime(publish, '%Y%m%d') AS DATE) AS publish, {_DEADLINE} AS deadline FROM canon), overdue AS (SELECT * FROM late WHERE publish > deadline AND publish <= DATE '2001-12-31')"
 _OFFICIAL = f"""{_OVERDUE}, official AS (SELECT f.symbol, f.report_date, min({{'publish_date': a.publish_date, 'title': a.title, 'url': a.url}}) AS m FROM (SELECT DISTINCT symbol, report_date FROM overdue) f JOIN announcements a ON a.symbol = f.symbol
-  WHERE contains(a.title, left(f.report_date, 4)) AND NOT regexp_matches(a.title, '摘要|英文|更正|修订|修正|补充|取消|提示性公告')
-    AND regexp_matches(a.title, CASE substr(f.report_date, 5) WHEN '0331' THEN '第一季度报告|一季度报告' WHEN '0630' THEN '半年度报告|半年报' WHEN '0930' THEN '第三季度报告|三季度报告' ELSE '(^|[^半])(年度报告|年报)' END)
+  WHERE contains(a.title, left(f.report_date, 4)) AND NOT regexp_matches(a.title, '{"|".join(D.EXCLUDED_MARKERS)}')
+    AND regexp_matches(a.title, CASE substr(f.report_date, 5) {" ".join(f"WHEN '{k}' THEN '{'(^|[^半])' if t == 'annual' else ''}({'|'.join(D.TITLE_MARKERS[t])})'" for k, t in D.REPORT_TYPES.items())} END)
   GROUP BY f.symbol, f.report_date)"""
 _TTM = f"""WITH cur AS (SELECT symbol, report_date, max({_N.format(x='publish_date')}) AS pub_date, max(net_profit) FILTER (source = 'income') AS net_profit, max(revenue) FILTER (source = 'income') AS revenue,
     max(ocf) FILTER (source = 'cashflow') AS ocf, max(deduct_net_profit) FILTER (source = 'indicator') AS deduct_net_profit FROM filings WHERE source <> 'balance' GROUP BY symbol, report_date),
