@@ -34,7 +34,7 @@ def test_missing_open_stays_cash(spark):
     assert not trades and nav["r", d[1]].cash == 100_000
 
 
-def loop(prices, targets, capital, rate):
+def loop(prices, targets, capital, rate, carry=False):
     """A plain loop over days with values, as the semantics are told."""
     days = sorted({p[0] for p in prices})
     at = {(p[0], p[1]): p for p in prices}
@@ -56,6 +56,7 @@ def loop(prices, targets, capital, rate):
         if day in plan:
             if blocked:
                 skips += 1
+                held = opened if carry else held
             else:
                 w = {s: x for s, x in plan[day].items() if at.get((day, s)) and at[day, s][3] is not None}
                 total = cash + sum(opened.values())
@@ -76,7 +77,8 @@ def loop(prices, targets, capital, rate):
     return out, skips
 
 
-def test_against_a_loop_over_days(spark):
+@pytest.mark.parametrize("carry", [False, True])
+def test_against_a_loop_over_days(spark, carry):
     rng = random.Random(11)
     days = [date(2024, 1, 1) + timedelta(days=k) for k in range(40)]
     prices = []
@@ -96,10 +98,10 @@ def test_against_a_loop_over_days(spark):
             chosen = rng.sample("ABCDEF", rng.randint(1, 4))
             own += [(f"r{run}", days[day], s, rng.uniform(0.5, 1) / len(chosen)) for s in chosen]
         targets += own
-        nav, n = loop(prices, own, 100_000.0, 0.001)
+        nav, n = loop(prices, own, 100_000.0, 0.001, carry)
         skips += n
         expected |= {(f"r{run}", d): v for d, v in nav.items()}
-    got, _ = evaluate(spark, prices, targets)
+    got, _ = evaluate(spark, prices, targets, carry_overnight_on_skip=carry)
     assert skips > 0 and got.keys() == expected.keys()
     for k, v in expected.items():
         assert got[k].nav == pytest.approx(v, rel=1e-9), k
