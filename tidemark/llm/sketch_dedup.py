@@ -13,10 +13,10 @@ Links must not be lost and a bucket's pairs must not be listed, as one group may
    each side; a task returns a spanning forest of what may link. Now any two that share a bucket and may link have the
    same label, and a label's members are a family;
 4. families are verified on full sets, and a task returns a spanning forest of the links. Members of a large family are
-first compared with ``PIVOTS`` of them, a block of members a task; what that does not join to the family's largest
-component is then compared with all members, block against block.
+first compared with ``PIVOTS`` of them, a block of members a task; what is not linked with that of them that has most links
+is then compared with all members, block against block.
 So what leaves a task grows with the members, never with their pairs, and the texts that are moved grow with the members as
-well, while no more than ``BLOCK`` of a family stay apart from its largest component. Small buckets and families are dealt
+well, while no more than ``BLOCK`` of a family stay apart. Small buckets and families are dealt
 to as many tasks as their rows and shingles need. Components of the links are the result. A pair at
 the threshold s shares a bucket but for a probability of (1 - s**ROWS)**BANDS: 2e-8 at 0.85, 3e-6 at 0.8.
 """
@@ -147,13 +147,12 @@ def _near(regs: np.ndarray, n: np.ndarray, row: int, others: np.ndarray, thresho
     return others[may_link((theirs < mine).sum(1), (theirs > mine).sum(1), np.full(len(others), n[row]), n[others], threshold)]
 
 
-def _across_labels(members: DataFrame, threshold: float) -> DataFrame:
+def _across_labels(members: DataFrame, tasks: int, threshold: float) -> DataFrame:
     """Pairs (src, dst) of different labels that may link, as spanning forests, of members (key, rep, label, n, regs,
-    rest, blocks, rest_blocks). A task has a block of a large bucket, or many small buckets together."""
+    rest, blocks, rest_blocks). A task has a block of a large bucket, or many small buckets together, in ``tasks`` of them."""
     sides = members.withColumns({"yb": F.when(F.col("rest"), F.pmod(F.xxhash64("rep"), "rest_blocks")), "mb": F.pmod(F.xxhash64("rep", F.lit(1)), "blocks")})
     ys = sides.filter("rest").withColumns({"side": F.lit(0), "mb": F.explode(F.expr("sequence(0L, blocks - 1)"))})
     ms = sides.withColumns({"side": F.lit(1), "yb": F.explode(F.expr("sequence(0L, rest_blocks - 1)"))})
-    tasks = 1 + members.filter("blocks + rest_blocks = 2").count() // TASK_SKETCHES
     both = ys.unionByName(ms).withColumn("task", F.when(F.col("blocks") + F.col("rest_blocks") > 2, F.xxhash64("key", "yb", "mb")).otherwise(F.pmod("key", F.lit(tasks))))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -182,12 +181,13 @@ def _checked(met: DataFrame, threshold: float) -> DataFrame:
     per = int(round(threshold * 100))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("rep", kind="stable")  # pivots come in the same order in all tasks
         sets = [T.shingles(h) for h in T.words(group["text"])]
         regs = np.frombuffer(b"".join(group["regs"]), "<u2").reshape(-1, REGISTERS)
         rep, side = group["rep"].to_numpy(), group["side"].to_numpy()
         n = np.array([len(x) for x in sets])
         forest = _Forest(len(group))
-        for at in group.groupby("part", sort=False).indices.values():
+        for at in group.reset_index(drop=True).groupby("part", sort=False).indices.values():
             own, other = at[side[at] == 0], at[side[at] == 1]
             for k, row in enumerate(own):
                 others = np.concatenate((own[k + 1 :], other))
@@ -208,7 +208,7 @@ def _checked(met: DataFrame, threshold: float) -> DataFrame:
 def _verified(families: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """Spanning forests (src, dst) of the links within families (rep, label, n, regs)."""
     sizes = families.groupBy("label").agg(F.count("*").alias("size"), F.min_by("rep", F.xxhash64("rep")).alias("p0"), *(F.min_by("rep", F.xxhash64("rep", F.lit(k))).alias(f"p{k}") for k in range(1, PIVOTS)))
-    placed = cut(families.join(cut(sizes).filter("size > 1"), "label"))
+    placed = families.join(sizes.filter("size > 1"), "label")
     own = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
     texts = cut(own.join(placed.select("rep", "label", "n", "regs", "size", *(f"p{k}" for k in range(PIVOTS))), "rep").dropDuplicates(["rep"]))
 
@@ -227,11 +227,11 @@ def _verified(families: DataFrame, docs: DataFrame, threshold: float) -> DataFra
     pivots = pivots.select(F.xxhash64("label", "b").alias("task"), "rep", "regs", "text", F.lit(0).alias("side"))
     star = cut(_checked(members.unionByName(pivots).withColumn("part", F.lit("")), threshold))
 
-    # what is apart from its family's largest component against all members
-    joined = connected_components(star).select(F.col("id").alias("rep"), "component")
-    state = cut(large.select("rep", "label").join(joined, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
-    main = state.groupBy("label", "component").count().groupBy("label").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-    apart = state.join(main, "label").filter("component != main").select("rep", "label")
+    # what the pivot with most links is not linked with itself, against all members
+    found = star.join(large.select(F.col("rep").alias("src"), "label"), "src")
+    main = found.groupBy("label", "src").count().groupBy("label").agg(F.max_by("src", F.struct("count", "src")).alias("main"))
+    near = found.join(main, "label").filter("src = main").select(F.explode(F.array("dst", "main")).alias("rep")).distinct()
+    apart = cut(large.select("rep", "label").join(near, "rep", "left_anti"))
     count = apart.groupBy("label").agg(F.count("*").alias("n_apart"))
     rest = large.join(cut(count), "label").withColumns({"bs": blocks(F.col("size")), "rs": blocks(F.col("n_apart"))})
     rest = rest.join(apart.select("rep", F.lit(0).alias("out")), "rep", "left")
@@ -264,13 +264,15 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     by_label = labelled.groupBy("key", "label").agg(F.count("*").alias("c"))
     mixed = by_label.groupBy("key").agg(F.count("*").alias("labels"), F.sum("c").alias("members"), F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("most")).filter("labels > 1")
     blocks = lambda c: F.ceil(c / F.lit(BLOCK)).cast("long")
-    members = labelled.join(cut(mixed), "key").select("key", "rep", "label", (F.col("label") != F.col("main")).alias("rest"), blocks(F.col("members")).alias("blocks"), blocks(F.col("members") - F.col("most")).alias("rest_blocks"))
-    more = cut(_across_labels(cut(members.join(reps.select("rep", "n", "regs"), "rep")), threshold))
+    mixed = cut(mixed)
+    tasks = 1 + int(mixed.filter(F.col("members") <= BLOCK).agg(F.sum("members")).first()[0] or 0) // TASK_SKETCHES
+    members = labelled.join(mixed, "key").select("key", "rep", "label", (F.col("label") != F.col("main")).alias("rest"), blocks(F.col("members")).alias("blocks"), blocks(F.col("members") - F.col("most")).alias("rest_blocks"))
+    more = cut(_across_labels(members.join(reps.select("rep", "n", "regs"), "rep"), tasks, threshold))
 
     families = connected_components(near.union(more)).select(F.col("id").alias("rep"), F.col("component").alias("label"))
     links = _verified(families.join(reps.select("rep", "n", "regs"), "rep"), docs, threshold)
 
-    linked = connected_components(cut(links)).select(F.col("id").alias("rep"), "component")
+    linked = connected_components(links).select(F.col("id").alias("rep"), "component")
     of_set = reps.select(*name, "rep").join(linked, "rep", "left").select(*name, F.coalesce("component", "rep").alias("c"))
     out = known.join(of_set, name, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
