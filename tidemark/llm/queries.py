@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, embedding_dedup, fingerprint, language_id, packing, piece_codec, quality, sketch_dedup, toxicity, url_filter
+from . import chat_format, embedding_dedup, fingerprint, language_id, lexical_search, packing, piece_codec, quality, resampling, sketch_dedup, token_counts, toxicity, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -65,5 +65,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_sentencepiece, op3_embedding_dedup, op4_near_dedup, op5_chat_format, op6_fingerprint, op7_language_id, op8_quality, op9_packing, op10_toxicity)}
-ORACLE_SQL: dict[str, str] = {"op5_chat_format": chat_format.ORACLE_SQL, "op6_fingerprint": fingerprint.ORACLE_SQL}
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.count(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), buckets=10_000, order=1, seed=2024, least_words=20, share=10)
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), k=10, scale=90)
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_sentencepiece, op3_embedding_dedup, op4_near_dedup, op5_chat_format, op6_fingerprint, op7_language_id, op8_quality, op9_packing, op10_toxicity, op11_token_counts, op12_resampling, op13_lexical_search)}
+ORACLE_SQL: dict[str, str] = {"op5_chat_format": chat_format.ORACLE_SQL, "op6_fingerprint": fingerprint.ORACLE_SQL, "op12_resampling": resampling.ORACLE_SQL, "op13_lexical_search": lexical_search.ORACLE_SQL}
