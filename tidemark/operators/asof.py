@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -39,3 +39,22 @@ def asof_join(left: DataFrame, *rights: Right, by: str = "symbol", on: str = "da
         if r.how == "inner":
             table = table.filter(F.col(f"_r{k}").isNotNull())
     return table.select(by, F.col("_on").alias(on), "_left.*", *(F.col(f"_r{k}")[c].alias(c) for k, r in enumerate(rights) for c in r.columns))
+
+
+def last_state(*rights: Right, upto: Column, by: str = "symbol") -> DataFrame:
+    """(by, _r0, _r1, ...): of each right side the last row with a date up to ``upto``, as a struct of that date (``on``)
+    and its columns; null without one. That is all that later left rows need of the past."""
+    rows = None
+    for k, r in enumerate(rights):
+        one = r.df.filter(F.col(r.on) <= upto).select(by, F.struct(F.col(r.on).alias("on"), *r.columns).alias(f"_r{k}"))
+        rows = one if rows is None else rows.unionByName(one, allowMissingColumns=True)
+    return rows.groupBy(by).agg(*(F.max_by(f"_r{k}", F.col(f"_r{k}.on")).alias(f"_r{k}") for k in range(len(rights))))
+
+
+def with_state(state: DataFrame, *fresh: Right, by: str = "symbol") -> list[Right]:
+    """Right sides of what a state remembers and the rows that came after it."""
+    out = []
+    for k, r in enumerate(fresh):
+        known = state.filter(F.col(f"_r{k}").isNotNull()).select(by, F.col(f"_r{k}.on").alias(r.on), *(F.col(f"_r{k}.{c}").alias(c) for c in r.columns))
+        out.append(Right(known.unionByName(r.df.select(by, r.on, *r.columns)), r.on, r.columns, r.how))
+    return out

@@ -29,6 +29,11 @@ def drop(spark: SparkSession, path: str) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def cut(df: DataFrame, keep: bool = True) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: a lost executor then costs a re-read, not the
     whole lineage, and later plans do not grow by this one. The table is deleted when the driver's Python ends, or by

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dates as D
 from tidemark.operators.dedupe import first_by
+from tidemark.operators.storage import cut
+from tidemark.sources.store import Layout, Store
 
 #: Metric: its source.
 METRICS = {"net_profit": "income", "revenue": "income", "ocf": "cashflow", "deduct_net_profit": "indicator"}
@@ -53,3 +55,17 @@ def work_plan(filings: DataFrame, done: DataFrame, pending: DataFrame | None = N
     need = plan.select("symbol", "last_period", "reason", F.explode(D.quarters_back(F.col("last_period"), quarters)).alias("report_date"))
     have = need.join(rows.select("symbol", "report_date", "source").distinct(), ["symbol", "report_date"])
     return have.groupBy("symbol", "last_period", "reason").agg(F.count("*").alias("n")).filter(F.col("n") == quarters * len(sources)).drop("n")
+
+
+FILINGS = Layout(
+    "source STRING, symbol STRING, report_date STRING, publish_date STRING, available_date STRING, revenue DOUBLE, net_profit DOUBLE, deduct_net_profit DOUBLE, ocf DOUBLE, net_assets DOUBLE, roe_weighted DOUBLE, operating_cashflow_to_revenue DOUBLE",
+    ("source", "symbol", "report_date"), folders=("source",), together=("source",),
+)
+FIGURES = Layout("symbol STRING, report_date STRING, pub_date STRING, net_profit_ttm DOUBLE, deduct_net_profit_ttm DOUBLE, revenue_ttm DOUBLE, ocf_ttm DOUBLE", ("symbol", "report_date"))
+
+
+def refresh(filings: Store, figures: Store, plan: DataFrame) -> int:
+    """Compute the figures of the symbols in ``plan`` (``work_plan``'s rows, or any with a symbol) anew and put them in place
+    of the stored ones. Only the buckets of those symbols are read and written; gives the number of folders written."""
+    plan = cut(plan.select("symbol").distinct())
+    return figures.replace(ttm(filings.of(plan)), plan)

@@ -38,7 +38,12 @@ def daily_valuation(bars: DataFrame, capital: DataFrame, ttm: DataFrame, filings
     bars with the share capital, TTM and net assets known on the day; a bar before any of them goes (``how``: inner) or
     has nulls (left). Ratios with a zero denominator are null, negative ones stay. ``also``: further right sides, whose
     columns come last; all sides share one shuffle."""
-    met = asof_join(bars.select("symbol", "date", "close", "adj_factor", *more), Right(capital.select("symbol", "change_date", "total_shares"), "change_date", ["total_shares"], how), ttm_side(ttm, how), net_assets_side(filings, how), *also)
+    return valued(bars, Right(capital.select("symbol", "change_date", "total_shares"), "change_date", ["total_shares"], how), ttm_side(ttm, how), net_assets_side(filings, how), more=more, also=also)
+
+
+def valued(bars: DataFrame, capital: Right, ttm: Right, equity: Right, more: tuple[str, ...] = (), also: tuple[Right, ...] = ()) -> DataFrame:
+    """``daily_valuation`` of right sides that are made already."""
+    met = asof_join(bars.select("symbol", "date", "close", "adj_factor", *more), capital, ttm, equity, *also)
     cap = F.col("close") * F.col("total_shares")
     ratio = lambda c: cap / F.nullif(F.col(c), F.lit(0.0))
     return met.select(
