@@ -105,3 +105,48 @@ def test_against_a_loop_over_days(spark, carry):
     assert skips > 0 and got.keys() == expected.keys()
     for k, v in expected.items():
         assert got[k].nav == pytest.approx(v, rel=1e-9), k
+
+
+def fold(plans, held, opens, last):
+    """Which plans are executed, one after the other."""
+    now, out = None, []
+    for day in plans:
+        missing = sorted(s for s in held.get(now, ()) if last[s] >= day and day not in opens[s])
+        out.append((day, now, ",".join(missing) or None))
+        now = now if missing else day
+    return out
+
+
+@pytest.mark.parametrize("gap", [0.05, 0.5, 0.9])
+def test_executions_against_a_fold(spark, gap):
+    """Many plans and gaps: chains of several symbols' gaps, skipped plans that would have blocked others."""
+    rng = random.Random(int(gap * 100))
+    days = [date(2024, 1, 1) + timedelta(days=k) for k in range(60)]
+    last = {s: rng.choice(days[20:]) for s in "ABCDE"} | {"A": days[-1]}
+    opens = {s: {d for d in days if d <= last[s] and (rng.random() >= gap or d == days[0])} for s in last}
+    prices = [(d, s, 1.0, 1.0, 1.0) if d in opens[s] else (d, s, None, None, 1.0) for s in last for d in days if d <= last[s] and (d in opens[s] or d == last[s] or rng.random() < 0.5)]
+    frame, config = spark.createDataFrame(prices, PRICES), portfolio.Config(str(days[0]), str(days[-1]))
+    plans, held, want = [], [], []
+    for run in range(4):
+        own = [d for d in sorted({p[0] for p in prices})[1:] if rng.random() < 0.7]  # plans lie on sessions
+        mine = {d: [s for s in rng.sample("ABCDE", rng.randint(0, 3)) if d in opens[s]] for d in own}
+        plans += [(f"r{run}", d - timedelta(days=1), d) for d in own]
+        held += [(f"r{run}", d, s, 0.1) for d, symbols in mine.items() for s in symbols]
+        want += [(f"r{run}", *x) for x in fold(own, mine, opens, last)]
+    got = portfolio.executions(spark.createDataFrame(plans, "run_id string, signal_date date, exec_date date"), spark.createDataFrame(held, "run_id string, exec_date date, symbol string, w double"), frame, portfolio.sessions(frame, config))
+    assert sorted((r.run_id, r.exec_date, r.before, r.blocked_by) for r in got.collect()) == sorted(want)
+    assert any(r[3] for r in want)
+
+
+def test_ten_thousand_plans_a_run(spark):
+    """Pointer jumping over a run of blocking plans, and a run that blocks nothing."""
+    rng = random.Random(2)
+    spans = [("long", n, "S", n + 1, n + rng.randint(1, 4)) for n in range(1, 10_000) if rng.random() < 0.6] + [("short", 5, "S", 6, 7)]
+    ends = {(r, n): b + 1 for r, n, _, _, b in spans}
+    got = {(r.run_id, r.n) for r in portfolio.reached(portfolio.chains(spark.createDataFrame(spans, "run_id string, n int, symbol string, a int, b int"))).collect()}
+    want, n = {("short", 5)}, 1
+    while n < 10_000:
+        if after := ends.get(("long", n)):
+            want.add(("long", n))
+        n = after or n + 1
+    assert got == want and len(want) > 1000

@@ -8,11 +8,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import market as M
 from tidemark.operators.storage import cut, shared_dir
-from tidemark.plans import filings, ingest, planning, ttm
+from tidemark.plans import factors, filings, ingest, planning, ttm, valuation
 from tidemark.plans.rolling import Rolling
-from tidemark.queries import _N, _TTM, _VAL, _VAL_COLS, _t, query
-from tidemark.sources import scans
+from tidemark.queries import _FACTOR_SQL, _HFQ, _N, _TTM, _VAL, _VAL_COLS, _bars, _t, query
+from tidemark.sources import buckets, scans
 from tidemark.sources.store import Layout, Marked, Store
 
 BARS = Layout(scans.SCHEMAS["daily_kline"], ("symbol", "date"), "date")
@@ -133,3 +134,125 @@ def valuation_learned_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     rolling.revalue(bars, rolling.learn(late(capital), late(figures), late(rows)))
     rolling.advance(bars, dt.date(2100, 1, 1))
     return rolling.values.read()
+
+
+# --- no shuffle, no task as long as a symbol, no job for a contract --------------------------------------------------
+
+BUCKETS = 8
+
+
+def _in_buckets(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    rows, mark = cut(_t(spark, sf_dir, "filings")), uuid.uuid4().hex
+    out = []
+    for name, df, order in (("bars", _t(spark, sf_dir, "daily_kline"), "date"), ("capital", _t(spark, sf_dir, "share_capital"), "change_date"), ("figures", ttm.ttm(rows), "report_date"), ("filings", rows, "report_date")):
+        buckets.write_bucketed(df, f"{name}_{mark}", BUCKETS, (order,))
+        out.append(buckets.bucketed(spark, f"{name}_{mark}", BUCKETS))
+    return out
+
+
+@query(f"{_VAL} SELECT {_VAL_COLS} FROM val")
+def valuation_in_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From stored buckets to the result without an exchange."""
+    return valuation.daily_valuation(*_in_buckets(spark, sf_dir))
+
+
+@query(f"{_VAL} SELECT symbol, date, volume, pb FROM (SELECT b.symbol, b.date, b.volume, v.pb FROM daily_kline b LEFT JOIN val v ON v.symbol = b.symbol AND v.date = b.date) WHERE symbol = '000003'")
+def one_symbol_of_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A join of one symbol opens one bucket of each table."""
+    tables = [df.filter("symbol = '000003'") for df in _in_buckets(spark, sf_dir)]
+    values = valuation.daily_valuation(*tables).select("symbol", "date", "pb")
+    return tables[0].select("symbol", "date", "volume").join(values, ["symbol", "date"], "left")
+
+
+_PRICE = [n for n in _FACTOR_SQL if n.startswith("price")]
+_PRICE_SQL = f"WITH {_HFQ}, r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS listing_days, close_hfq / lag(close_hfq) OVER (PARTITION BY symbol ORDER BY date) - 1 AS ret FROM hfq) SELECT symbol, date, listing_days, {', '.join(f'round({_FACTOR_SQL[n]}, 8) AS {n}' for n in _PRICE)} FROM r"
+
+
+def _rounded_factors(rows: DataFrame) -> DataFrame:
+    return rows.select("symbol", "date", F.col("listing_days").cast("long").alias("listing_days"), *(F.round(n, 8).alias(n) for n in _PRICE))
+
+
+@query(_PRICE_SQL)
+def factors_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slices of 400 sessions, so that each symbol is several tasks."""
+    return _rounded_factors(factors.calculate_sliced(_bars(spark, sf_dir).select("symbol", "date", "close_hfq"), _PRICE, 400))
+
+
+@query(_PRICE_SQL)
+def factors_watched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel's contract is checked by the write of its factors."""
+    rows, watched = factors.calculate_watched(_bars(spark, sf_dir).select("symbol", "date", "close_hfq"), _PRICE)
+    rows = cut(_rounded_factors(rows))
+    watched.verify()
+    return rows
+
+
+# --- folders of files that disagree ---------------------------------------------------------------------------------
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> str:
+    """Bars of three times, each with columns and types of its own, in files of one folder."""
+    path, bars = _folder(spark, "mixed"), cut(_t(spark, sf_dir, "daily_kline").select("symbol", "date", "volume", "close", "amount"))
+    year = F.year("date")
+    bars.filter(year < 1996).select("symbol", "date", F.floor("volume").cast("int").alias("volume"), "close").write.parquet(f"{path}/old")
+    bars.filter((year >= 1996) & (year < 1999)).select("symbol", "date", "volume", F.col("amount").cast("string").alias("amount")).write.parquet(f"{path}/middle")
+    bars.filter(year >= 1999).select("date", "close", F.floor("volume").alias("volume"), "amount", "symbol").write.parquet(f"{path}/new")
+    return path
+
+
+@query("""SELECT symbol, date, CASE WHEN year(date) BETWEEN 1996 AND 1998 THEN volume ELSE floor(volume) END AS volume, CASE WHEN year(date) BETWEEN 1996 AND 1998 THEN NULL ELSE close END AS close, CASE WHEN year(date) >= 1996 THEN amount END AS amount FROM daily_kline""")
+def union_of_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.union_folder(spark, _mixed(spark, sf_dir)).select("symbol", "date", "volume", "close", "amount")
+
+
+@query("""WITH n AS (SELECT count(*) FILTER (year(date) < 1996) AS a, count(*) FILTER (year(date) BETWEEN 1996 AND 1998) AS b, count(*) FILTER (year(date) >= 1999) AS c FROM daily_kline)
+SELECT column_name, type, variants, rows FROM (SELECT unnest([
+  {'column_name': 'symbol', 'type': 'string', 'variants': 3, 'rows': a + b + c}, {'column_name': 'date', 'type': 'date', 'variants': 3, 'rows': a + b + c}, {'column_name': 'volume', 'type': 'int', 'variants': 1, 'rows': a}, {'column_name': 'volume', 'type': 'double', 'variants': 1, 'rows': b},
+  {'column_name': 'volume', 'type': 'bigint', 'variants': 1, 'rows': c}, {'column_name': 'close', 'type': 'double', 'variants': 2, 'rows': a + c}, {'column_name': 'amount', 'type': 'string', 'variants': 1, 'rows': b}, {'column_name': 'amount', 'type': 'double', 'variants': 1, 'rows': c}], recursive := true) FROM n)""")
+def schema_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.schema_summary(spark, _mixed(spark, sf_dir))
+
+
+@query("SELECT symbol, change_date, CASE WHEN year(change_date) >= 1998 THEN total_shares END AS total_shares FROM share_capital")
+def declared_column_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of one dataset, some without a declared column."""
+    rows, path = _t(spark, sf_dir, "share_capital"), _folder(spark, "missing")
+    rows.filter("year(change_date) < 1998").select("change_date", "symbol").write.parquet(f"{path}/part=old")
+    rows.filter("year(change_date) >= 1998").write.parquet(f"{path}/part=new")
+    return scans.dataset(spark, path, "share_capital")
+
+
+# --- writers and names ----------------------------------------------------------------------------------------------
+
+
+@query("SELECT symbol, change_date, total_shares FROM share_capital")
+def empty_write_changes_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, path = _t(spark, sf_dir, "share_capital"), _folder(spark, "unchanged")
+    ingest.write_dataset(rows, path)
+    ingest.write_dataset(rows.limit(0), path)
+    return scans.dataset(spark, path, "share_capital")
+
+
+@query("SELECT symbol, count(*) AS rows, 1 AS files, 0 AS out_of_order FROM daily_kline GROUP BY symbol")
+def order_within_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As rows lie in the files: each symbol in one of them, by date."""
+    path = _folder(spark, "ordered")
+    ingest.write_dataset(_t(spark, sf_dir, "daily_kline"), path)
+    rows = scans.dataset(spark, path, "daily_kline").select("symbol", "date", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    return ingest.out_of_order(rows, "file", "at", "symbol", "date")
+
+
+@query("SELECT symbol, report_date, revenue AS \"营业总收入\", net_profit AS \"归属于母公司所有者的净利润\", publish_date FROM filings WHERE source = 'income'")
+def clean_column_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "filings").filter("source = 'income'")
+    return ingest.clean_names(rows.select("symbol", "report_date", F.col("revenue").alias("其中:营业总收入"), F.col("net_profit").alias(" 加：归属于母公司所有者的净利润 "), "publish_date", F.lit(0.0).alias("减:营业总收入")))
+
+
+_PLACES = "list_value({})".format(", ".join(f"'{p}'" for p in M.PROVINCES))
+_ADDRESS = "CASE s_suppkey % 4 WHEN 0 THEN p || '省某市' || s_name WHEN 1 THEN s_name || '（' || p || '）' WHEN 2 THEN s_name || '(x)(' || p || ')' ELSE s_name END"
+
+
+@query(f"WITH a AS (SELECT s_suppkey, s_name, {_PLACES}[s_suppkey % {len(M.PROVINCES)} + 1] AS p FROM supplier) SELECT s_suppkey, {_ADDRESS} AS address, CASE WHEN s_suppkey % 4 < 2 THEN p END AS province FROM a")
+def provinces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_name", F.element_at(F.array(*map(F.lit, M.PROVINCES)), (F.col("s_suppkey") % len(M.PROVINCES) + 1).cast("int")).alias("p"))
+    return rows.select("s_suppkey", F.expr(_ADDRESS).alias("address")).withColumn("province", M.province(F.col("address")))

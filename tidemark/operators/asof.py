@@ -27,18 +27,18 @@ def asof_join(left: DataFrame, *rights: Right, by: str = "symbol", on: str = "da
     """left with the columns of the rights; a left row without match goes if the side is ``inner`` and stays with nulls
     if it is ``left``. Right rows with a null date match nothing."""
     own = F.struct(*(F.col(c) for c in left.columns if c not in (by, on)))
-    sides = [left.select(by, F.col(on).alias("_on"), F.lit(1).alias("_side"), own.alias("_left"))]
+    sides = [left.select(F.col(by).alias("_by"), F.col(on).alias("_on"), F.lit(1).alias("_side"), own.alias("_left"))]
     for k, r in enumerate(rights):
-        sides.append(r.df.filter(F.col(r.on).isNotNull()).select(by, F.col(r.on).alias("_on"), F.lit(0).alias("_side"), F.struct(*r.columns).alias(f"_r{k}")))
+        sides.append(r.df.filter(F.col(r.on).isNotNull()).select(F.col(by).alias("_by"), F.col(r.on).alias("_on"), F.lit(0).alias("_side"), F.struct(*r.columns).alias(f"_r{k}")))
     table = sides[0]
     for s in sides[1:]:
         table = table.unionByName(s, allowMissingColumns=True)
-    w = Window.partitionBy(by).orderBy("_on", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("_by").orderBy("_on", "_side").rowsBetween(Window.unboundedPreceding, 0)
     table = table.withColumns({f"_r{k}": F.last(f"_r{k}", ignorenulls=True).over(w) for k in range(len(rights))}).filter("_side = 1")
     for k, r in enumerate(rights):
         if r.how == "inner":
             table = table.filter(F.col(f"_r{k}").isNotNull())
-    return table.select(by, F.col("_on").alias(on), "_left.*", *(F.col(f"_r{k}")[c].alias(c) for k, r in enumerate(rights) for c in r.columns))
+    return table.select(F.col("_by").alias(by), F.col("_on").alias(on), "_left.*", *(F.col(f"_r{k}")[c].alias(c) for k, r in enumerate(rights) for c in r.columns))
 
 
 def last_state(*rights: Right, upto: Column, by: str = "symbol") -> DataFrame:

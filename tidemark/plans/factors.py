@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidemark.operators.contracts import Watch, watch_unique
 from tidemark.operators.dedupe import assert_unique
 
 def _by() -> WindowSpec:
@@ -125,6 +126,43 @@ def calculate(panel: DataFrame, names: Iterable[str], parameters: dict[str, dict
     return rows.withColumns({"listing_days": F.row_number().over(_by()), **built}).drop("_return")
 
 
+def calculate_watched(panel: DataFrame, names: Iterable[str], parameters: dict[str, dict] | None = None) -> tuple[DataFrame, Watch]:
+    """``calculate``, and the watch over the panel's keys: what ``check_rows`` finds by a job of its own, found while the
+    factors are computed, in the windows that they share."""
+    names = list(names)
+    rows, watched = watch_unique(check_panel(panel, names, False), "symbol", "date")
+    return calculate(rows, names, parameters), watched
+
+
+def calculate_sliced(panel: DataFrame, names: Iterable[str], length: int = 2048, parameters: dict[str, dict] | None = None) -> DataFrame:
+    """``calculate`` for symbols too long for one task: equal to it, whatever ``length`` (sessions in a slice).
+
+    A symbol's rows are cut at the same dates as all others', and each slice gets the rows before it that its look-backs
+    reach: the last ones of the slices before, as many as the longest look-back asks for, however far back gaps in the
+    symbol's dates push them. Only counts by symbol and slice are ever gathered over a whole symbol. With slices longer
+    than the look-back hardly any row is copied more than once."""
+    names = list(names)
+    lookback = requirements(names, parameters)[1]
+    check_panel(panel, names, False)
+    days = panel.select("date").distinct().withColumn("_slice", F.floor((F.row_number().over(Window.orderBy("date")) - 1) / length).cast("int"))
+    w = Window.partitionBy("symbol", "_slice")
+    rows = panel.join(F.broadcast(days), "date")
+    sizes = rows.groupBy("symbol", "_slice").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("symbol").orderBy("_slice")
+    sizes = sizes.withColumn("before", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # a later slice needs the last rows of this one if fewer than the look-back lie in between
+    ahead = F.filter(F.collect_list(F.struct(F.col("_slice").alias("of"), F.col("before").alias("start"))).over(order.rowsBetween(1, max(1, lookback))), lambda x: x["start"] - F.col("before") - F.col("n") < lookback)
+    sizes = sizes.withColumn("ahead", F.transform(ahead, lambda x: F.struct(x["of"].alias("of"), (lookback - (x["start"] - F.col("before") - F.col("n"))).alias("need"), x["start"].alias("start")))).drop("n")
+    placed = rows.withColumn("_last", F.row_number().over(w.orderBy(F.desc("date")))).join(sizes, ["symbol", "_slice"])
+    own = F.array(F.struct(F.col("_slice").alias("of"), F.col("_last").cast("long").alias("need"), F.col("before").alias("start")))
+    needed = F.filter("ahead", lambda x: F.col("_last") <= x["need"])
+    copies = placed.withColumn("_to", F.explode(F.concat(own, needed)))
+    keyed = copies.select(F.struct("symbol", F.col("_to.of").alias("slice")).alias("symbol"), (F.col("_to.of") == F.col("_slice")).alias("_own"), F.col("_to.start").alias("_start"), *(c for c in panel.columns if c != "symbol"))
+    made = calculate(keyed, names, parameters).filter("_own")
+    first = F.row_number().over(Window.partitionBy("symbol").orderBy("date"))  # inside the slice
+    return made.withColumn("listing_days", (first + F.col("_start")).cast("int")).select("symbol.symbol", *(c for c in [*panel.columns, "listing_days", *names] if c != "symbol")).select(*panel.columns, "listing_days", *names)
+
+
 def check_result(result: DataFrame, name: str) -> DataFrame:
     """(date, symbol, value) of a factor's result, values that are no number as null, after a check: the three columns,
     dates that are dates, and unique keys that are not null."""

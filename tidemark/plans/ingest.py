@@ -107,6 +107,14 @@ def write_dataset(df: DataFrame, path: str, partition: str | None = None, files:
     return True
 
 
+def out_of_order(rows: DataFrame, file: str, at: str, *order: str) -> DataFrame:
+    """(symbol, rows, files, out_of_order): in how many files a symbol lies, and how many rows come before one that
+    should precede them; ``at`` is a row's place in its file."""
+    before = Window.partitionBy(file).orderBy(at)
+    late = F.coalesce(F.struct(*order) < F.lag(F.struct(*order)).over(before), F.lit(False))
+    return rows.withColumn("_late", late).groupBy("symbol").agg(F.count("*").alias("rows"), F.countDistinct(file).cast("int").alias("files"), F.count_if("_late").cast("int").alias("out_of_order"))
+
+
 def write_results(path: str, nav: DataFrame, targets: DataFrame, trades: DataFrame, parameters: dict) -> None:
     """A result set under ``path``, which must not exist: daily_nav, rebalance_targets and trades as CSV, parameters as JSON."""
     for name, df, order in (("daily_nav", nav, ["date"]), ("rebalance_targets", targets, ["date", "symbol"]), ("trades", trades, ["date", "symbol"])):

@@ -3,7 +3,7 @@
 Targets of a signal date are executed at the next session's open. Between two executions a holding's value is its weight
 times a ratio of prices, and every drift weight, turnover and cost is independent of the level of the portfolio, so the
 days need no loop: the value is the start capital times a product over the executed plans. Only which plans are executed
-is sequential (a plan is skipped while a held symbol has no valid open); that is folded per run over its few plans.
+is sequential (a plan is skipped while a held symbol has no valid open); that takes a logarithmic number of rounds.
 
 prices: date, symbol, open, open_hfq, close_hfq, unique by (date, symbol); a row with a valid open has a close.
 targets: run_id, date, symbol, target_weight.
@@ -17,9 +17,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.asof import Right, asof_join
+from tidemark.operators.contracts import Watch, watch
 from tidemark.operators.dedupe import first_by
 from tidemark.operators.storage import cut, forget
-from tidemark.plans.strategies import check_targets
+from tidemark.plans.strategies import watch_targets
 
 
 @dataclass(frozen=True)
@@ -71,36 +72,78 @@ def weights(targets: DataFrame, plan: DataFrame, prices: DataFrame) -> DataFrame
     return t.join(plan, ["run_id", "signal_date"]).join(at, ["exec_date", "symbol"]).select("run_id", "exec_date", "signal_date", "symbol", "w", "open", "open_hfq")
 
 
-def executions(plan: DataFrame, held: DataFrame, prices: DataFrame, days: DataFrame) -> DataFrame:
-    """(run_id, signal_date, exec_date, before, blocked_by): ``before`` is the plan (its exec_date) that is held when it
-    comes; blocked_by the held symbols without a valid open, comma-joined, null if it is executed. A symbol whose quotes
-    have ended is cash by then and blocks nothing.
+def blocking_spans(plan: DataFrame, held: DataFrame, prices: DataFrame, days: DataFrame) -> DataFrame:
+    """(run_id, n, symbol, a, b): the plans numbered a to b, all after plan n, that a symbol held since n would block, as it
+    has no valid open on their sessions. plan: with k (its session's number) and n. A symbol whose quotes have ended is
+    cash by then and blocks nothing.
 
-    A held symbol is met with the plans' sessions in its gaps only, the runs of sessions between two of its valid opens
-    (or after the last, up to its last quote); a run's plans are folded in one row, which is short."""
+    Only symbols that are held matter. Their gaps, the runs of sessions between two valid opens (or after the last, up
+    to the last quote), become ranges of plans by each run's count of plans up to a session; no session is expanded."""
     at = days.select("date", F.col("number").alias("k"))
+    owned = held.filter("w > 0").select("run_id", "exec_date", "symbol")
+    prices = prices.join(owned.select("symbol").distinct(), "symbol", "left_semi")
     last = prices.groupBy("symbol").agg(F.max("date").alias("date")).join(at, "date").select("symbol", F.col("k").alias("last"))
     opens = prices.filter("open_hfq IS NOT NULL AND open_hfq != 0").select("symbol", "date").join(at, "date")
     opens = opens.select("symbol", "k").union(last.select("symbol", F.lit(0)))  # the gap before its first one
     gaps = opens.withColumn("to", F.lead("k").over(Window.partitionBy("symbol").orderBy("k"))).join(last, "symbol")
-    gaps = gaps.select("symbol", (F.col("k") + 1).alias("from"), F.coalesce(F.col("to") - 1, F.col("last")).alias("to")).filter("from <= to")
-    dates = plan.select(F.col("exec_date").alias("date")).distinct().join(at, "date")
-    closed = gaps.select("symbol", F.explode(F.sequence("from", "to")).alias("k")).join(dates, "k").select("symbol", F.col("date").alias("at"))
-    pairs = held.filter("w > 0").select("run_id", F.col("exec_date").alias("of"), "symbol").join(closed, "symbol").filter(F.col("at") > F.col("of"))
-    bad = pairs.join(plan.select("run_id", F.col("exec_date").alias("at")), ["run_id", "at"])
-    bad = bad.groupBy("run_id", "of", "at").agg(F.array_join(F.array_sort(F.collect_set("symbol")), ",").alias("symbols"))
-    rows = plan.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("exec_date", "signal_date"))).alias("plans"))
-    rows = rows.join(bad.groupBy("run_id").agg(F.collect_list(F.struct("of", "at", "symbols")).alias("bad")), "run_id", "left")
-    seen = "array<struct<exec_date:date,signal_date:date,before:date,blocked_by:string>>"
+    gaps = gaps.select("symbol", F.col("k").alias("before"), F.coalesce(F.col("to") - 1, F.col("last")).alias("to")).filter("before < to")
+    end = days.agg(F.max("number").alias("end")).first()["end"]
+    grid = plan.select("run_id").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(end)))).join(plan.select("run_id", "k", "n"), ["run_id", "k"], "left")
+    upto = grid.select("run_id", "k", F.coalesce(F.max("n").over(Window.partitionBy("run_id").orderBy("k")), F.lit(0)).alias("upto"))
+    mine = gaps.join(owned.select("run_id", "symbol").distinct(), "symbol")
+    for end_of, name in (("before", "a"), ("to", "b")):
+        mine = mine.join(upto.select("run_id", F.col("k").alias(end_of), F.col("upto").alias(name)), ["run_id", end_of])
+    ranges = mine.filter("a < b").select("run_id", "symbol", (F.col("a") + 1).alias("a"), "b")
+    since = owned.join(plan.select("run_id", "exec_date", "n"), ["run_id", "exec_date"]).select("run_id", "symbol", "n")
+    return since.join(ranges, ["run_id", "symbol"]).filter("b > n").select("run_id", "n", "symbol", F.greatest("a", F.col("n") + 1).alias("a"), "b")
+
+
+def chains(spans: DataFrame) -> DataFrame:
+    """(run_id, n, next): plans that block the one after them, and the first plan that is executed if they were: behind
+    all spans that follow on from n without a break."""
+    w = Window.partitionBy("run_id", "n").orderBy("a", "b")
+    reach = F.coalesce(F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("n"))
+    whole = spans.withColumn("_reach", reach).withColumn("_broken", F.sum((F.col("a") > F.col("_reach") + 1).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return whole.filter("_broken = 0").groupBy("run_id", "n").agg((F.max("b") + 1).alias("next"))
+
+
+def reached(blockers: DataFrame) -> DataFrame:
+    """(run_id, n, next) of those blockers that are executed: the first of a run, and of any that is executed the first one
+    not before its ``next``. Found by pointer jumping: each round doubles how far pointers reach and marks where those of
+    marked ones lead, so a run of m blockers takes log2(m) rounds, and no row holds a run."""
+    w = Window.partitionBy("run_id").orderBy("at", "side").rowsBetween(0, Window.unboundedFollowing)
+    asks = blockers.select("run_id", F.col("next").alias("at"), F.lit(0).alias("side"), "n", F.lit(None).cast("long").alias("found"))
+    stops = blockers.select("run_id", F.col("n").alias("at"), F.lit(1).alias("side"), "n", F.col("n").cast("long").alias("found"))
+    hop = asks.union(stops).withColumn("jump", F.first("found", ignorenulls=True).over(w)).filter("side = 0").select("run_id", "n", "jump")
+    first = F.col("n") == F.min("n").over(Window.partitionBy("run_id"))
+    table = cut(blockers.join(hop, ["run_id", "n"]).withColumn("reached", first))
+    rounds = (table.groupBy("run_id").count().agg(F.max("count")).first()[0] or 0).bit_length()
+    for _ in range(rounds):
+        marked = table.filter("reached AND jump IS NOT NULL").select("run_id", F.col("jump").alias("n"), F.lit(True).alias("_hit"))
+        far = table.select("run_id", F.col("n").alias("jump"), F.col("jump").alias("_far"))
+        after = table.join(far, ["run_id", "jump"], "left").join(marked.distinct(), ["run_id", "n"], "left")
+        before, table = table, cut(after.select("run_id", "n", "next", F.col("_far").alias("jump"), (F.col("reached") | F.coalesce("_hit", F.lit(False))).alias("reached")))
+        forget(before)
+    return table.filter("reached").select("run_id", "n", "next")
 
-    def step(acc, p):
-        hit = F.filter("bad", lambda b: (b["of"] == acc["now"]) & (b["at"] == p["exec_date"]))
-        by = F.when(F.coalesce(F.size(hit) > 0, F.lit(False)), hit[0]["symbols"])
-        row = F.struct(p["exec_date"].alias("exec_date"), p["signal_date"].alias("signal_date"), acc["now"].alias("before"), by.alias("blocked_by"))
-        return F.struct(F.when(by.isNull(), p["exec_date"]).otherwise(acc["now"]).alias("now"), F.concat(acc["seen"], F.array(row)).alias("seen"))
 
-    start = F.struct(F.lit(None).cast("date").alias("now"), F.array().cast(seen).alias("seen"))
-    return rows.select("run_id", F.explode(F.aggregate("plans", start, step)["seen"]).alias("r")).select("run_id", "r.*")
+def executions(plan: DataFrame, held: DataFrame, prices: DataFrame, days: DataFrame) -> DataFrame:
+    """(run_id, signal_date, exec_date, before, blocked_by): ``before`` is the plan (its exec_date) that is held when it
+    comes; blocked_by the held symbols without a valid open, comma-joined, null if it is executed.
+
+    What a plan blocks follows from itself alone (``chains``), so the only thing that is sequential is which blocking
+    plans are executed; the rest follows from the last of those before a plan."""
+    at = days.select(F.col("date").alias("exec_date"), F.col("number").alias("k"))
+    w = Window.partitionBy("run_id").orderBy("exec_date")
+    numbered = cut(plan.join(at, "exec_date").withColumns({"n": F.row_number().over(w), "previous": F.lag("exec_date").over(w)}))
+    spans = cut(blocking_spans(numbered, held, prices, days))
+    done = cut(reached(chains(spans)))
+    by = done.select("run_id", "n", F.col("n").alias("p"), "next").join(numbered.select("run_id", "n", F.col("exec_date").alias("since")), ["run_id", "n"])
+    rows = asof_join(numbered, Right(by.withColumn("n", F.col("n") + 1), "n", ["p", "next", "since"], "left"), by="run_id", on="n")
+    rows = rows.withColumn("before", F.when(F.col("n") <= F.col("next"), F.col("since")).otherwise(F.col("previous")))
+    why = spans.join(done, ["run_id", "n"]).filter("a < next").select("run_id", F.col("n").alias("p"), "symbol", F.explode(F.sequence("a", F.least(F.col("b"), F.col("next") - 1))).alias("n"))
+    why = why.groupBy("run_id", "p", "n").agg(F.array_join(F.array_sort(F.collect_set("symbol")), ",").alias("blocked_by"))
+    return rows.join(why, ["run_id", "p", "n"], "left").select("run_id", "signal_date", "exec_date", "before", "blocked_by")
 
 
 def holding_paths(done: DataFrame, held: DataFrame, prices: DataFrame, days: DataFrame, carry_overnight_on_skip: bool = False) -> DataFrame:
@@ -221,11 +264,9 @@ class Result:
             forget(df)
 
 
-def check_prices(prices: DataFrame) -> DataFrame:
-    """prices, after a check: a row with a valid open has a close."""
-    if row := prices.filter("open_hfq IS NOT NULL AND open_hfq != 0 AND close_hfq IS NULL").take(1):
-        raise ValueError(f"{row[0]['symbol']} has an open but no close on {row[0]['date']}")
-    return prices
+def watch_prices(prices: DataFrame) -> tuple[DataFrame, Watch]:
+    """prices, and the watch over rows that have a valid open and no close."""
+    return watch(prices, F.expr("open_hfq IS NOT NULL AND open_hfq != 0 AND close_hfq IS NULL"), ["symbol", "date"], "{0} has an open but no close on {1}")
 
 
 def evaluate(prices: DataFrame, targets: DataFrame, config: Config, carry_overnight_on_skip: bool = False) -> Result:
@@ -235,12 +276,15 @@ def evaluate(prices: DataFrame, targets: DataFrame, config: Config, carry_overni
     Each step is written to the shared folder and read again: steps use several of those before, and without the cut
     the plan would double with each. The tables grow with the targets and the days they are held, not with the prices;
     ``Result.release`` deletes them, else the end of the driver's Python does."""
-    own = check_prices(within(prices, config).select("date", "symbol", "open", "open_hfq", "close_hfq"))
-    days = cut(sessions(own, config))
+    own = within(prices, config).select("date", "symbol", "open", "open_hfq", "close_hfq")
+    watched, prices_hold = watch_prices(own)  # both contracts are checked by the writes that come anyway
+    days = cut(sessions(watched, config))
+    prices_hold.verify()
     if days.isEmpty():
         raise ValueError("the period has no session")
-    targets = cut(targets.select("run_id", "date", "symbol", "target_weight"))
-    check_targets(targets, ("run_id", "date"))
+    watched, targets_hold = watch_targets(targets.select("run_id", "date", "symbol", "target_weight"), ("run_id", "date"))
+    targets = cut(watched)
+    targets_hold.verify()
     plan = cut(plans(targets, days))
     held = cut(weights(targets, plan, own))
     done = cut(executions(plan, held, own, days))

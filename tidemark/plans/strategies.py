@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import cross_section as X
+from tidemark.operators.contracts import Watch, watch
 from tidemark.plans import factors
 
 #: Default weights of the multi-factor score. Fixed values.
@@ -35,6 +36,19 @@ def check_targets(targets: DataFrame, by: tuple[str, ...] = ("date",)) -> DataFr
     return targets.orderBy(*by, *(c for c in ("rank", "symbol") if c in targets.columns))
 
 
+def watch_targets(targets: DataFrame, by: tuple[str, ...] = ("date",)) -> tuple[DataFrame, Watch]:
+    """The contract of ``check_targets``, checked while an action writes or reads the targets."""
+    w = Window.partitionBy(*by)
+    again = F.row_number().over(w.orderBy("symbol")) > 1
+    again &= F.lag("symbol").over(w.orderBy("symbol")).eqNullSafe(F.col("symbol"))
+    marked = targets.withColumns({"_again": again, "_total": F.sum("target_weight").over(w)})
+    bad = F.col("_again") | F.col("symbol").isNull() | F.coalesce(F.col("target_weight") <= 0, F.lit(True)) | (F.col("_total") > 1.000001)
+    for c in by:
+        bad |= F.col(c).isNull()
+    out, watched = watch(marked, bad, ["date"], "targets of {0} are not valid")
+    return out.drop("_again", "_total"), watched
+
+
 def _whole(name: str, value: object) -> int:
     if isinstance(value, bool) or not isinstance(value, int) or value <= 0:
         raise ValueError(f"{name} must be a positive whole number")

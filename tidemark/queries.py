@@ -12,6 +12,7 @@ from tidemark.functions import dates as D
 from tidemark.functions import market as M
 from tidemark.operators import cross_section as X
 from tidemark.operators.asof import Right, asof_join
+from tidemark.operators.storage import shared_dir
 from tidemark.plans import factors, filings, ingest, metrics, planning, portfolio, strategies, ttm, universe, valuation
 from tidemark.sources import bridge, lake, payloads, scans
 
@@ -37,8 +38,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the bridge; of the lake where that has been built already and has it."""
-    if name in ("daily_kline", "share_capital", "filings") and lake.has(spark, sf_dir):
+    """A table of the lake, which the first query of a session builds; of the bridge if the lake has none of that name."""
+    if name in ("daily_kline", "share_capital", "filings"):
         return lake.table(spark, sf_dir, name)
     return bridge.table(spark, sf_dir, name)
 
@@ -236,21 +237,6 @@ def indicator_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.upsert_indicators(rows.filter("report_date < '20000101'"), new).drop("source")
 
 
-@query("SELECT CAST(date AS VARCHAR) AS date, run_id, nav FROM (SELECT DISTINCT date, 'all' AS run_id, 1.5::DOUBLE AS nav FROM daily_kline)")
-def result_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nav = lake.table(spark, sf_dir, "daily_kline").select("date").distinct().select("date", F.lit("all").alias("run_id"), F.lit(1.5).alias("nav"))
-    path = f"{lake.build(spark, sf_dir)}/results-{uuid.uuid4().hex}"
-    ingest.write_results(path, nav, nav.withColumn("symbol", F.lit("000001")), nav.withColumn("symbol", F.lit("000001")), {"start": START})
-    return spark.read.csv(f"{path}/daily_nav", header=True).select("date", "run_id", F.col("nav").cast("double").alias("nav"))
-
-
-@query("SELECT * FROM (VALUES ('amount', 'double', 1), ('date', 'date', 2), ('symbol', 'string', 2), ('volume', 'bigint', 1), ('volume', 'double', 1)) AS v(column_name, type, variants)")
-def schema_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars = lake.table(spark, sf_dir, "daily_kline").select("symbol", "date", "volume")
-    rows = scans.schema_summary([bars, bars.withColumns({"volume": F.col("volume").cast("long"), "amount": F.lit(0.0)})])
-    return spark.createDataFrame(rows, "column_name string, type string, variants int")
-
-
 @query("SELECT count(*) AS total, count(*) FILTER (is_active = 0) AS inactive FROM stored_stocks")
 def universe_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return universe.counts(_t(spark, sf_dir, "stored_stocks"))
@@ -646,6 +632,18 @@ def daily_nav(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _result(spark, sf_dir).daily_nav.select("run_id", "date", F.round("nav", 3).alias("nav"), (F.round("cash", 3) + F.lit(0.0)).alias("cash"), F.round("positions_value", 3).alias("positions_value"))
 
 
+@query(f"{_PF} SELECT 'daily_nav' AS part, run_id, CAST(date AS VARCHAR) AS date, '' AS symbol, round(nav, 3) AS value FROM nav UNION ALL SELECT 'trades', run_id, CAST(date AS VARCHAR), symbol || ' ' || side, round(notional, 3) FROM ledger UNION ALL SELECT 'rebalance_targets', run_id, CAST(date AS VARCHAR), symbol, tw FROM targets")
+def result_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An evaluation's values, targets and ledger, written as a result set and read back from its files."""
+    r, path = _result(spark, sf_dir), f"{shared_dir(spark)}/results-{uuid.uuid4().hex}"
+    ingest.write_results(path, r.daily_nav, _targets(spark, sf_dir), r.trades, {"start": START, "end": END})
+    r.release()
+    read = lambda part, symbol, value: spark.read.csv(f"{path}/{part}", header=True).select(F.lit(part).alias("part"), "run_id", "date", symbol.alias("symbol"), value.alias("value"))
+    number = lambda c: F.col(c).cast("double")
+    parts = [read("daily_nav", F.lit(""), F.round(number("nav"), 3)), read("trades", F.concat_ws(" ", "symbol", "side"), F.round(number("notional"), 3)), read("rebalance_targets", F.col("symbol"), number("target_weight"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query(f"{_PF} SELECT run_id, round(turnover, 8) AS turnover, trade_count FROM {_TURNOVER}")
 def run_turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _result(spark, sf_dir)

@@ -6,10 +6,12 @@ session into the shared folder, and read by scans.
 
 from __future__ import annotations
 
+import atexit
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.storage import shared_dir
+from tidemark.operators.storage import drop, shared_dir
 from tidemark.plans import ingest, ttm
 from tidemark.sources import bridge, scans
 
@@ -45,6 +47,7 @@ def build(spark: SparkSession, sf_dir: str) -> str:
     names = F.array(*(F.struct(F.lit(k).alias("indicator_key"), F.lit(v).alias("name_cn")) for k, v in INDICATORS.items()))
     spark.range(1).select(F.inline(names)).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{root}/indicators")
     _BUILT[key] = root
+    atexit.register(drop, spark, root)
     return root
 
 
@@ -54,8 +57,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name == "filings":
         return scans.filings(spark, {s: f"{root}/{n}" for s, n in scans.STATEMENTS.items()}, lake_names=True)
     return scans.dataset(spark, f"{root}/{name}", name, lake_names=name in scans.STATEMENTS.values())
-
-
-def has(spark: SparkSession, sf_dir: str) -> bool:
-    """Whether the lake is there already."""
-    return (spark.sparkContext.applicationId, sf_dir) in _BUILT

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_schema
 
 #: Declared columns of the lake's datasets; what a file lacks reads as null, what is not declared is not read.
 SCHEMAS = {
@@ -83,13 +88,45 @@ def union_widened(variants: list[DataFrame]) -> DataFrame:
     return out
 
 
-def schema_summary(variants: list[DataFrame]) -> list[tuple[str, str, int]]:
-    """(column, type, number of variants that have it so)."""
-    count: dict[tuple[str, str], int] = {}
-    for v in variants:
-        for f in v.schema:
-            count[f.name, f.dataType.simpleString()] = count.get((f.name, f.dataType.simpleString()), 0) + 1
-    return sorted((a, b, n) for (a, b), n in count.items())
+def footers(spark: SparkSession, path: str) -> DataFrame:
+    """(path, rows, schema, columns) of each Parquet file below a folder: its schema as JSON, and that as an array of
+    (name, type). Files are listed by Spark, and footers are read in its tasks, a few kilobytes a file."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.fs as fs
+        import pyarrow.parquet as pq
+
+        for batch in batches:
+            out: tuple[list, list, list, list] = ([], [], [], [])
+            for name in batch.column(0).to_pylist():
+                store, at = (fs.LocalFileSystem(), "/" + name[5:].lstrip("/")) if name.startswith("file:") else fs.FileSystem.from_uri(name)
+                with store.open_input_file(at) as f:
+                    footer = pq.read_metadata(f)
+                own = from_arrow_schema(footer.schema.to_arrow_schema())
+                for column, value in zip(out, (name, footer.num_rows, own.json(), [{"name": x.name, "type": x.dataType.simpleString()} for x in own]), strict=True):
+                    column.append(value)
+            columns = pa.array(out[3], pa.list_(pa.struct([("name", pa.string()), ("type", pa.string())])))
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), columns], ["path", "rows", "schema", "columns"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path).select("path")
+    return files.mapInArrow(read, "path string, rows long, schema string, columns array<struct<name: string, type: string>>")
+
+
+def union_folder(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of a folder of files that disagree on columns and types, under the widest schema (``union_widened``): one
+    scan for each schema that occurs, so the plan grows with the schemas, not the files. A column that only folders'
+    names hold (``symbol=...``) is read from them. An empty folder raises."""
+    groups = footers(spark, path).groupBy("schema").agg(F.collect_list("path").alias("paths")).orderBy(F.desc(F.length("schema")), "schema").collect()
+    if not groups:
+        raise ValueError(f"no Parquet file below {path}")
+    scan = lambda g: spark.read.schema(T.StructType.fromJson(json.loads(g["schema"]))).option("basePath", path).parquet(*sorted(g["paths"]))
+    return union_widened([scan(g) for g in groups])
+
+
+def schema_summary(spark: SparkSession, path: str) -> DataFrame:
+    """(column_name, type, variants, rows) of a folder's files: in how many schemas a column has a type, and how many rows
+    the files have that hold it so."""
+    return footers(spark, path).select("schema", "rows", F.explode("columns").alias("c")).groupBy(F.col("c.name").alias("column_name"), F.col("c.type").alias("type")).agg(F.countDistinct("schema").alias("variants"), F.sum("rows").alias("rows"))
 
 
 def indicator_names(spark: SparkSession, path: str, limit: int = 1000) -> dict[str, str]:
