@@ -155,7 +155,7 @@ def test_odd_vectors(spark):
 
 
 def test_vectors_of_every_length_are_compared(spark, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "RARE", 40)
+    monkeypatch.setattr(embedding_dedup, "TOGETHER", 40)
     rng = np.random.Generator(np.random.PCG64(4))
     rows = []
     for d, n in ((2, 3), (3, 30), (64, 120), (8, 60)):
@@ -174,12 +174,38 @@ def test_vectors_of_every_length_are_compared(spark, monkeypatch):
     assert all(got[k].n_links == len(near[k]) and got[k].component_id == up[k] and got[k].kept == (up[k] == k) for k in range(len(rows)))
 
 
-def test_recall_on_the_embeddings_table(spark):
+@pytest.mark.parametrize("together", [0, 1 << 20])
+def test_recall_of_planted_links_over_many_cells(spark, monkeypatch, together):
+    """Dealt out by cells, and in one task: links that only a visit to another cell can find, and a family of hundreds."""
+    for name, value in (("TOGETHER", together), ("CELL", 32), ("CELL_ROOT", 0.1), ("INDEX_BLOCK", 64), ("QUERY_BLOCK", 128)):
+        monkeypatch.setattr(embedding_dedup, name, value)
+    rng = np.random.default_rng(12)
+    spread = rng.standard_normal((24, 64))  # cells follow loose clusters
+    vectors = [spread[k % 24] + 1.3 * rng.standard_normal(64) for k in range(2000)]
+    for size, scale in ((300, 0.035), *[(4, 0.035)] * 300, *[(2, 0.028)] * 200):
+        centre = spread[rng.integers(24)] + 1.3 * rng.standard_normal(64)
+        vectors += [centre + scale * np.linalg.norm(centre) * rng.standard_normal(64) for _ in range(size)]
+    x = np.array(vectors, np.float32).astype(float)
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = np.concatenate([(x[at : at + 1000] @ x.T >= 0.95).sum(axis=1) - 1 for at in range(0, len(x), 1000)])
+    found = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(table, 0.95).collect()}
+    found = np.array([found[k] for k in range(len(x))])
+    grid = embedding_dedup.fit(x, len(x), 0.95)
+    cell, (a, b) = grid.places(x)
+    met = np.array([sum(1 for _ in grid.visits(p, q)) for p, q in zip(a, b, strict=True)])
+    assert len(grid.codes[0]) >= 8 and len(grid.codes[1]) >= 8 and len(np.unique(cell)) >= 64 and (met > 1).sum() > 100
+    assert links.sum() > 2000 and (found <= links).all() and found.sum() >= 0.99 * links.sum()
+    assert len(np.unique(cell)) > met.mean()  # not all cells are visited
+
+
+@pytest.mark.parametrize("threshold", [0.95, 0.5])
+def test_recall_on_the_embeddings_table(spark, threshold):
     table = spark.read.parquet(f"{DATA}/sf0.1/embeddings.parquet").select("vec_id", "embedding")
-    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(table, 0.95).collect()}
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(table, threshold).collect()}
     rows = [(r.vec_id, r.embedding) for r in table.collect() if r.embedding and all(c is not None and np.isfinite(c) for c in r.embedding) and any(r.embedding)]
     x = np.array([v for _, v in rows], float)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    links = np.concatenate([(x[at : at + 1000] @ x.T >= 0.95).sum(axis=1) - 1 for at in range(0, len(x), 1000)])
+    links = np.concatenate([(x[at : at + 1000] @ x.T >= threshold).sum(axis=1) - 1 for at in range(0, len(x), 1000)])
     found = np.array([got[i].n_links for i, _ in rows])
     assert (found <= links).all() and found.sum() >= 0.99 * links.sum()

@@ -6,9 +6,9 @@ from it to lie in the cell, summed over the halves (a bound, from the bisectors
 that is calibrated for the target recall on vectors turned to the threshold in random directions; a target of 1 takes
 the bound at which no link can be missed. Found pairs are verified by cosine in double precision.
 
-Equal vectors collapse first. Vectors of different length link with nothing; each length has a grid of its own, and
-lengths of at most ``RARE`` vectors are compared whole, in one block each. Cells are compared block against block, and a
-task returns counts of links and a spanning forest, never its pairs. A pair that is found from both sides counts in one
+Equal vectors collapse first. Vectors of different length link with nothing, and each length has a grid of its own. A
+length of at most ``TOGETHER`` vectors is fitted, indexed, traversed and verified in one task, so that any number of
+lengths is one job; a longer one is dealt out by cells. Cells are compared block against block, and a task returns counts of links and a spanning forest, never its pairs. A pair that is found from both sides counts in one
 of them. A cell holds about ``CELL`` vectors, and more as the square root of all: so codewords grow with the fourth root
 of n, and with them the cells that a vector visits, while comparisons, products of matrices, grow with n**(3/4) a vector.
 """
@@ -30,8 +30,10 @@ from .storage import cut
 
 #: Vectors that the codebooks are fitted on, and calibrated on; the first by hash order.
 SAMPLE, CALIBRATION = 8192, 1024
-#: Vectors in a cell, at least about, and as a multiple of the square root of all; vectors of a length without a grid.
-CELL, CELL_ROOT, RARE = 512, 4, 4096
+#: Vectors in a cell, at least about, and as a multiple of the square root of all.
+CELL, CELL_ROOT = 64, 4
+#: Vectors of a length that one task takes whole.
+TOGETHER = 4096
 TARGET_RECALL = 0.999
 #: Vectors of a block of the index, of the queries.
 INDEX_BLOCK, QUERY_BLOCK = 1024, 4096
@@ -158,34 +160,44 @@ def _pairs(x: np.ndarray, q: np.ndarray, m: np.ndarray, threshold: float) -> Ite
             yield a[exact], b[exact]
 
 
+def _meet(links: _Links, grid: Grid, x: np.ndarray, cell: np.ndarray, bounds: list[np.ndarray], q: np.ndarray, m: np.ndarray, threshold: float) -> None:
+    """Verify visitors q of a cell against members m of it. A pair that meets in both rows' cells counts in one."""
+    (a, b), width = bounds, len(grid.codes[1])
+    for i, j in _pairs(x, q, m, threshold):
+        back = a[j, cell[i] // width] + b[j, cell[i] % width] <= grid.radius  # j visits i's cell too
+        keep = (i != j) & (~back | (i < j))
+        links.add(i[keep], j[keep])
+
+
 def _compared(placed: DataFrame, grid, threshold: float) -> DataFrame:
     """(src, dst, n) as of ``_Links`` from rows (task, cell, ib, qb, side, id, v, copies): side 0 has the queries, 1 the index."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         ids, first, where = np.unique(group["id"].to_numpy(), return_index=True, return_inverse=True)
-        x = _units(group["v"].iloc[first])
-        side = group["side"].to_numpy()
-        cell, (a, b) = grid.value.places(x)
-        width = len(grid.value.codes[1])
+        x, side = _units(group["v"].iloc[first]), group["side"].to_numpy()
+        cell, bounds = grid.value.places(x)
         links = _Links(ids, group["copies"].to_numpy()[first])
         for at in group.groupby(["cell", "ib", "qb"], sort=False).indices.values():
-            for i, j in _pairs(x, where[at[side[at] == 0]], where[at[side[at] == 1]], threshold):
-                back = a[j, cell[i] // width] + b[j, cell[i] % width] <= grid.value.radius  # j visits i's cell too
-                keep = (i != j) & (~back | (ids[i] < ids[j]))
-                links.add(i[keep], j[keep])
+            _meet(links, grid.value, x, cell, bounds, where[at[side[at] == 0]], where[at[side[at] == 1]], threshold)
         return links.rows()
 
     return placed.groupBy("task").applyInPandas(run, "src long, dst long, n long")
 
 
-def _whole(reps: DataFrame, threshold: float) -> DataFrame:
-    """The same of rows (id, v, copies), each length compared within itself."""
+def _together(reps: DataFrame, threshold: float, target: float) -> DataFrame:
+    """The same of rows (id, v, copies), each length by a grid of its own in one task."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id", kind="stable")
-        links, every = _Links(group["id"].to_numpy(), group["copies"].to_numpy()), np.arange(len(group))
-        for i, j in _pairs(_units(group["v"]), every, every, threshold):
-            links.add(i[i < j], j[i < j])
+        x, links = _units(group["v"]), _Links(group["id"].to_numpy(), group["copies"].to_numpy())
+        grid = fit(x, len(x), threshold, target)
+        cell, bounds = grid.places(x)
+        met = [np.fromiter(grid.visits(p, q), np.int64) for p, q in zip(*bounds, strict=True)]
+        visitor, visited = np.repeat(np.arange(len(x)), [len(c) for c in met]), np.concatenate(met)
+        order = np.argsort(visited, kind="stable")
+        visitor, visited = visitor[order], visited[order]
+        for c in np.unique(cell):
+            _meet(links, grid, x, cell, bounds, visitor[slice(*np.searchsorted(visited, (c, c + 1)))], np.flatnonzero(cell == c), threshold)
         return links.rows()
 
     return reps.withColumn("d", F.size("v")).groupBy("d").applyInPandas(run, "src long, dst long, n long")
@@ -231,9 +243,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, target: float =
     name = ["k1", "k2"]
     known = rows.select("vec_id", "good", F.when(F.col("good"), F.col("v")).alias("v")).withColumns({"k1": F.xxhash64("v"), "k2": F.xxhash64(F.lit(5), "v")})
     reps = cut(known.filter("good").groupBy(*name).agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.min_by("v", "vec_id").alias("v")))
-    lengths = reps.groupBy(F.size("v").alias("d")).count().filter(F.col("count") > RARE).collect()  # at most n / RARE
-    rare = reps.filter(~F.size("v").isin([r["d"] for r in lengths])) if lengths else reps
-    found = _whole(rare, threshold)
+    lengths = reps.groupBy(F.size("v").alias("d")).count().filter(F.col("count") > TOGETHER).collect()  # at most n / TOGETHER
+    few = reps.filter(~F.size("v").isin([r["d"] for r in lengths])) if lengths else reps
+    found = _together(few, threshold, target)
     for r in lengths:
         found = found.unionByName(_indexed(reps.filter(F.size("v") == r["d"]), r["count"], threshold, target))
     found = cut(found)
