@@ -48,7 +48,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", drop_toxic), ("language_id", keep_languages), ("near_dedup", drop_near_duplicates), ("packing", pack)]
-#: SQL cannot express the trained stages or the packing; tests/llm holds the pipeline against a brute-force version.
+#: SQL cannot express the trained stages or the packing; tests/llm holds the near-duplicate and packing stages against brute
+#: force and the trained stages by rates, and their models against plain loops.
 ORACLE_SQL = None
 
 
