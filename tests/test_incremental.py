@@ -159,6 +159,43 @@ def test_stored_marks_plan_the_next_run(spark, tmp_path):
     assert [(r[0], str(r[1])) for r in rows(planning.beyond_marks(coming, store.marks.read()))] == [("a", "2000-01-06"), ("c", "2000-01-02")]
 
 
+def test_a_run_takes_up_what_is_pending_and_clears_it(spark, tmp_path):
+    source = cut(bridge.table(spark, SF, "filings").select(*ttm.FILINGS.columns))
+    filings, figures = Store(spark, str(tmp_path / "filings"), ttm.FILINGS), Store(spark, str(tmp_path / "ttm"), ttm.FIGURES)
+    state = planning.SyncState.at(spark, str(tmp_path / "sync"))
+    filings.upsert(source)
+    figures.upsert(ttm.ttm(source).filter("symbol NOT IN ('000003', '000006')"))
+    day, named = F.lit("2001-05-01"), spark.createDataFrame([("000006",), ("unknown",)], "symbol string")
+    state.record(ttm.PENDING, named, day)
+    state.record("bars", named, day)
+    plan = ttm.run(filings, figures, state, quarters=1)
+    assert rows(plan.select("symbol", "reason")) == [("000003", "stale"), ("000006", "pending")]
+    assert rows(figures.read()) == rows(ttm.ttm(source).select(*ttm.FIGURES.columns))
+    assert rows(state.known(ttm.PENDING).select("symbol")) == [("unknown",)]  # it has no filing; it stays pending
+    assert rows(state.known("bars").select("symbol")) == [("000006",), ("unknown",)]
+    assert ttm.run(filings, figures, state, quarters=1).isEmpty()
+    assert ttm.run(filings, figures, state, force=True).count() == source.filter("source = 'income'").select("symbol").distinct().count()
+    assert rows(state.due("bars", named, F.lit("2001-05-01").cast("date"))) == []
+    assert rows(state.due("bars", named, F.lit("2001-05-02").cast("date"))) == [("000006",), ("unknown",)]
+
+
+def test_pending_symbols_need_no_complete_quarters(spark):
+    filed = spark.createDataFrame([(source, s, p) for s, periods in (("a", ["20001231", "20000930", "20000630", "20000331", "19991231"]), ("b", ["20001231", "19991231"]), ("c", ["20001231"])) for p in periods for source in (["income"] if s != "c" else ["cashflow"])], "source string, symbol string, report_date string")
+    done = spark.createDataFrame([], "symbol string, report_date string")
+    plan = lambda *pending, **more: rows(ttm.work_plan(filed, done, spark.createDataFrame([(p,) for p in pending], "symbol string"), **more).select("symbol", "reason"))
+    assert plan() == [("a", "stale")] and plan("b", "c") == [("a", "stale"), ("b", "pending")] and plan("a") == [("a", "pending")]
+    assert plan(force=True) == [("a", "forced"), ("b", "forced")]
+
+
+def test_deleted_rows_and_folders(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "x"), Layout("symbol STRING, report_date STRING, value DOUBLE", ("symbol", "report_date"), "report_date", 64))
+    make = lambda *r: spark.createDataFrame(list(r), "symbol string, report_date string, value double")
+    store.upsert(make(("a", "20000331", 1.0), ("a", "20000630", 1.0), ("b", "19990331", 2.0), ("b", None, 3.0)))
+    store.delete(make(("a", "20000331", None), ("b", "19990331", None), ("b", None, None), ("z", "20000331", None)))
+    assert rows(store.read()) == [("a", "20000630", 1.0)] and len({p.rsplit("/", 1)[0] for p in files(store.path)}) == 1
+    assert store.delete(make()) == 0
+
+
 @pytest.mark.parametrize("name", ["pruned_upsert", "filings_one_write", "ttm_refreshed"])
 def test_queries_run_on_a_smaller_table(spark, name):
     assert name in queries.QUERIES and name in queries.ORACLE_SQL

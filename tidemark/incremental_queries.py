@@ -94,18 +94,33 @@ def filings_one_write(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_TTM} SELECT symbol, report_date, pub_date, net_profit_ttm, deduct_net_profit_ttm, revenue_ttm, ocf_ttm FROM ttm_rows")
 def ttm_refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Filings as they were before a correction and the last quarters of some symbols, their figures, and then what came:
-    the work plan names the symbols, and theirs are all that is computed again."""
+    """Filings as they were before a correction and the last quarters of some symbols, their figures, and then what came;
+    the stored state has the corrected symbols as pending, and the run computes what it plans."""
+    return _ttm_run(spark, sf_dir)[0].read()
+
+
+def _ttm_run(spark: SparkSession, sf_dir: str) -> tuple[Store, planning.SyncState]:
     rows = cut(_t(spark, sf_dir, "filings").select(*ttm.FILINGS.columns))
-    stored, figures = Store(spark, _folder(spark, "filings"), ttm.FILINGS), Store(spark, _folder(spark, "ttm"), ttm.FIGURES)
+    stored, figures, state = Store(spark, _folder(spark, "filings"), ttm.FILINGS), Store(spark, _folder(spark, "ttm"), ttm.FIGURES), planning.SyncState.at(spark, _folder(spark, "sync"))
     ahead = (F.col("symbol").cast("int") % 10 == 3) & (F.col("report_date") >= "19990101")
     wrong = (F.col("symbol").cast("int") % 10 == 5) & (F.col("report_date") == "19970331") & (F.col("source") == "income")
     stored.upsert(rows.filter(~ahead).withColumn("net_profit", F.when(wrong, F.col("net_profit") / 2).otherwise(F.col("net_profit"))))
     figures.upsert(ttm.ttm(stored.read()))
     new = rows.filter(ahead | wrong)
     stored.upsert(new)
-    ttm.refresh(stored, figures, ttm.work_plan(stored.read(), figures.read(), pending=new.filter(wrong), quarters=1))
-    return figures.read()
+    state.record(ttm.PENDING, new.filter(wrong), F.lit("2001-12-31"))
+    state.record("statements", new, F.lit("2001-12-31"))
+    ttm.run(stored, figures, state, quarters=1)
+    return figures, state
+
+
+@query("""SELECT s.symbol, t.dataset FROM stored_stocks s, (VALUES ('statements'), ('ttm_pending')) AS t(dataset)
+WHERE t.dataset = 'ttm_pending' OR NOT EXISTS (SELECT 1 FROM filings f WHERE f.symbol = s.symbol AND ((CAST(f.symbol AS INT) % 10 = 3 AND f.report_date >= '19990101') OR (CAST(f.symbol AS INT) % 10 = 5 AND f.report_date = '19970331' AND f.source = 'income')))""")
+def due_for_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the next run would take up: symbols whose statements were not stored on the last day; none is pending any more."""
+    state, universe = _ttm_run(spark, sf_dir)[1], _t(spark, sf_dir, "stored_stocks")
+    due = [state.due(d, universe, F.lit("2001-12-31").cast("date")).withColumn("dataset", F.lit(d)) for d in ("statements", ttm.PENDING)]
+    return due[0].unionByName(due[1])
 
 
 def _rolling(spark: SparkSession, sf_dir: str) -> tuple[Rolling, DataFrame, DataFrame, DataFrame, DataFrame]:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import normalize_date
 from tidemark.operators.dedupe import keep_last
+from tidemark.sources.store import Layout, Store
 
 FIRST = "1990-01-01"
 
@@ -57,3 +60,32 @@ def record_sync(state: DataFrame, synced: DataFrame) -> DataFrame:
 
 def synced_since(state: DataFrame, dataset: str, day: Column) -> DataFrame:
     return state.filter((F.col("dataset") == dataset) & (F.col("last_sync_date") >= day)).select("symbol")
+
+
+@dataclass
+class SyncState:
+    """The sync table as stored: the day of the last sync by dataset and symbol; a dataset is a folder, so a run reads and
+    rewrites what it asks about."""
+
+    store: Store
+
+    @staticmethod
+    def at(spark: SparkSession, path: str, buckets: int = 4) -> SyncState:
+        return SyncState(Store(spark, path, Layout("dataset STRING, symbol STRING, last_sync_date DATE", ("dataset", "symbol"), buckets=buckets, folders=("dataset",))))
+
+    def _rows(self, dataset: str, symbols: DataFrame, day: Column) -> DataFrame:
+        return symbols.select(F.lit(dataset).alias("dataset"), "symbol", day.cast("date").alias("last_sync_date")).distinct()
+
+    def record(self, dataset: str, symbols: DataFrame, day: Column) -> int:
+        return self.store.upsert(self._rows(dataset, symbols, day))
+
+    def clear(self, dataset: str, symbols: DataFrame) -> int:
+        return self.store.delete(self._rows(dataset, symbols, F.lit(None)))
+
+    def known(self, dataset: str) -> DataFrame:
+        """(symbol, last_sync_date) of a dataset."""
+        return self.store.read(F.col("dataset") == dataset).select("symbol", "last_sync_date")
+
+    def due(self, dataset: str, universe: DataFrame, day: Column) -> DataFrame:
+        """The symbols of the universe that a dataset has not been synced for since ``day``."""
+        return universe.select("symbol").distinct().join(synced_since(self.store.read(F.col("dataset") == dataset), dataset, day), "symbol", "left_anti")

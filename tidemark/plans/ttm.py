@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import dates as D
 from tidemark.operators.dedupe import first_by
 from tidemark.operators.storage import cut
+from tidemark.plans.planning import SyncState
 from tidemark.sources.store import Layout, Store
 
 #: Metric: its source.
@@ -36,27 +37,27 @@ def ttm(filings: DataFrame) -> DataFrame:
     return out.dropna("all", subset=COLUMNS)
 
 
-def work_plan(filings: DataFrame, done: DataFrame, pending: DataFrame | None = None, force: bool = False, quarters: int = 5) -> DataFrame:
-    """(symbol, last_period, reason): symbols whose filings reach beyond their TTM rows (``stale``) or that are in
-    ``pending``, if income, cashflow and indicator all have the last ``quarters`` consecutive periods; ``force``: all."""
-    sources = sorted(set(METRICS.values()))
-    rows = filings.filter(F.col("source").isin(*sources))
-    last = rows.groupBy("symbol").agg(F.max("report_date").alias("last_period"))
-    had = done.groupBy("symbol").agg(F.max("report_date").alias("done_period"))
-    plan = last.join(had, "symbol", "left")
-    stale = F.col("done_period").isNull() | (F.col("last_period") > F.col("done_period"))
-    reason = F.when(stale, "stale")
+def work_plan(filings: DataFrame, done: DataFrame, pending: DataFrame | None = None, force: bool = False, quarters: int = 5, source: str = "income") -> DataFrame:
+    """(symbol, last_period, reason): whose figures are to be computed. ``pending``: named so, whatever they have filed;
+    ``stale``: with a later period in ``source`` than in their figures, and the last ``quarters`` consecutive periods in
+    it; ``force``: all. Symbols without a filing in ``source`` are never in it."""
+    rows = filings.filter(F.col("source") == source).select("symbol", "report_date")
+    plan = rows.groupBy("symbol").agg(F.max("report_date").alias("last_period"))
+    if force:
+        return plan.withColumn("reason", F.lit("forced"))
+    plan = plan.join(done.groupBy("symbol").agg(F.max("report_date").alias("done_period")), "symbol", "left")
+    reason = F.when(F.col("done_period").isNull() | (F.col("last_period") > F.col("done_period")), "stale")
     if pending is not None:
         plan = plan.join(pending.select("symbol", F.lit(True).alias("_pending")).distinct(), "symbol", "left")
-        reason = reason.when(F.col("_pending"), "pending")
-    if force:
-        reason = F.lit("forced")
+        reason = F.when(F.col("_pending"), "pending").otherwise(reason)
     plan = plan.withColumn("reason", reason).filter("reason IS NOT NULL").select("symbol", "last_period", "reason")
-    need = plan.select("symbol", "last_period", "reason", F.explode(D.quarters_back(F.col("last_period"), quarters)).alias("report_date"))
-    have = need.join(rows.select("symbol", "report_date", "source").distinct(), ["symbol", "report_date"])
-    return have.groupBy("symbol", "last_period", "reason").agg(F.count("*").alias("n")).filter(F.col("n") == quarters * len(sources)).drop("n")
+    need = plan.filter("reason = 'stale'").withColumn("report_date", F.explode(D.quarters_back(F.col("last_period"), quarters)))
+    whole = need.join(rows.distinct(), ["symbol", "report_date"]).groupBy("symbol").agg(F.count("*").alias("n")).filter(F.col("n") == quarters)
+    return plan.filter("reason = 'pending'").unionByName(plan.filter("reason = 'stale'").join(whole.select("symbol"), "symbol", "left_semi"))
 
 
+#: The state's name for symbols whose figures are to be computed.
+PENDING = "ttm_pending"
 FILINGS = Layout(
     "source STRING, symbol STRING, report_date STRING, publish_date STRING, available_date STRING, revenue DOUBLE, net_profit DOUBLE, deduct_net_profit DOUBLE, ocf DOUBLE, net_assets DOUBLE, roe_weighted DOUBLE, operating_cashflow_to_revenue DOUBLE",
     ("source", "symbol", "report_date"), folders=("source",), together=("source",),
@@ -69,3 +70,12 @@ def refresh(filings: Store, figures: Store, plan: DataFrame) -> int:
     of the stored ones. Only the buckets of those symbols are read and written; gives the number of folders written."""
     plan = cut(plan.select("symbol").distinct())
     return figures.replace(ttm(filings.of(plan)), plan)
+
+
+def run(filings: Store, figures: Store, state: SyncState, force: bool = False, quarters: int = 5) -> DataFrame:
+    """Plan from what is stored and from the symbols that the state has as pending, compute those anew, and clear them from
+    the state; the plan comes back. The state is cleared last: a run that fails in between is done again."""
+    plan = cut(work_plan(filings.read(), figures.read(), state.known(PENDING), force, quarters))
+    refresh(filings, figures, plan)
+    state.clear(PENDING, plan)
+    return plan

@@ -360,10 +360,11 @@ def ttm_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ttm.ttm(_t(spark, sf_dir, "filings"))
 
 
-@query(f"""{_TTM}, done AS (SELECT symbol, max(report_date) AS d FROM ttm_rows WHERE CAST(symbol AS INT) % 3 > 0 GROUP BY symbol), last AS (SELECT symbol, max(report_date) AS last_period FROM filings WHERE source <> 'balance' GROUP BY symbol),
-plan AS (SELECT symbol, last_period, CASE WHEN d IS NULL OR last_period > d THEN 'stale' WHEN CAST(symbol AS INT) % 10 = 1 THEN 'pending' END AS reason FROM last LEFT JOIN done USING (symbol)),
-need AS (SELECT symbol, last_period, reason, strftime(last_day(CAST(strptime(last_period, '%Y%m%d') AS DATE) - to_months(3 * CAST(i AS INT))), '%Y%m%d') AS report_date FROM plan, range(5) AS t(i) WHERE reason IS NOT NULL)
-SELECT n.symbol, n.last_period, n.reason FROM need n JOIN (SELECT DISTINCT symbol, report_date, source FROM filings WHERE source <> 'balance') f USING (symbol, report_date) GROUP BY n.symbol, n.last_period, n.reason HAVING count(*) = 15""")
+@query(f"""{_TTM}, done AS (SELECT symbol, max(report_date) AS d FROM ttm_rows WHERE CAST(symbol AS INT) % 3 > 0 GROUP BY symbol), income AS (SELECT DISTINCT symbol, report_date FROM filings WHERE source = 'income'), last AS (SELECT symbol, max(report_date) AS last_period FROM income GROUP BY symbol),
+plan AS (SELECT symbol, last_period, CASE WHEN CAST(symbol AS INT) % 10 = 1 THEN 'pending' WHEN d IS NULL OR last_period > d THEN 'stale' END AS reason FROM last LEFT JOIN done USING (symbol)),
+need AS (SELECT symbol, strftime(last_day(CAST(strptime(last_period, '%Y%m%d') AS DATE) - to_months(3 * CAST(i AS INT))), '%Y%m%d') AS report_date FROM plan, range(5) AS t(i) WHERE reason = 'stale'),
+whole AS (SELECT symbol FROM need JOIN income USING (symbol, report_date) GROUP BY symbol HAVING count(*) = 5)
+SELECT symbol, last_period, reason FROM plan WHERE reason = 'pending' OR symbol IN (SELECT symbol FROM whole)""")
 def ttm_work_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _t(spark, sf_dir, "filings")
     pending = rows.filter("cast(symbol AS int) % 10 = 1").select("symbol")

@@ -133,6 +133,16 @@ class Store:
         forget(placed)
         return done
 
+    def delete(self, rows: DataFrame) -> int:
+        """The stored rows with the keys of ``rows`` go; gives the number of folders that are still there of those rewritten."""
+        placed = cut(self.layout.placed(rows).select(*dict.fromkeys([*self.layout.keys, *self.layout.levels])).distinct(), keep=False)
+        named, levels = self.touched(placed)
+        stored = self._stored().filter(only(named, levels))
+        same = [stored[k].eqNullSafe(placed[k]) for k in self.layout.keys]
+        done = self._rewrite(self.layout.placed(stored.join(placed, reduce(lambda a, b: a & b, same), "left_anti")), stored) if named else 0
+        forget(placed)
+        return done
+
     def replace(self, new: DataFrame, symbols: DataFrame) -> int:
         """All rows of ``symbols`` go and new ones come, which are of these symbols only; folders of their buckets are
         rewritten. Gives the number of folders written."""
