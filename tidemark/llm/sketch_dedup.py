@@ -14,7 +14,8 @@ Links must not be lost and a bucket's pairs must not be listed, as one group may
    same label, and a label's members are a family;
 4. families are verified on full sets, and a task returns a spanning forest of the links. Members of a large family are
 first compared with ``PIVOTS`` of them, a block of members a task; what is not linked with that of them that has most links
-is then compared with all members, block against block.
+is then compared with all members, block against block. What hangs together already, as all that the pivot is linked with
+does, counts as one, and a member has nothing left to compare with once it hangs on it too.
 So what leaves a task grows with the members, never with their pairs, and the texts that are moved grow with the members as
 well, while no more than ``BLOCK`` of a family stay apart. Small buckets and families are dealt
 to as many tasks as their rows and shingles need. Components of the links are the result. A pair at
@@ -44,6 +45,8 @@ BLOCK = 2048
 PIVOTS = 4
 #: Sketches, and shingles, of the small buckets and families that one task has, about.
 TASK_SKETCHES, TASK_SHINGLES = 16384, 4_000_000
+#: Rows of hashes that are counted at a time.
+POSTINGS = 1 << 22
 #: Log-likelihood by which the best similarity may beat the best one that reaches the threshold; e**-16 is about 1e-7.
 SLACK = 16.0
 _RNG = np.random.Generator(np.random.PCG64(8191))
@@ -119,32 +122,34 @@ def _estimated(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame
 
 
 class _Forest:
-    """Edges that join what was not joined before."""
+    """Edges that join what was not joined before; ``of`` tells to which tree each row belongs."""
 
-    def __init__(self, n: int):
-        self.up, self.edges = list(range(n)), []
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
+    def __init__(self, of: np.ndarray):
+        self.of, self.edges = np.unique(of, return_inverse=True)[1], []
 
     def join(self, i: int, j: int) -> None:
-        a, b = self.root(i), self.root(j)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
+        if self.of[i] != self.of[j]:
             self.edges.append((i, j))
-
-
-def _near(regs: np.ndarray, n: np.ndarray, row: int, others: np.ndarray, threshold: float) -> np.ndarray:
-    """Those of the rows ``others`` that may link with ``row``. Equal registers are counted first: fewer than the
-    likelihood test could pass need no test."""
-    others = others[np.minimum(n[others], n[row]) >= threshold * np.maximum(n[others], n[row]) - 1e-9]
-    others = others[(regs[others] == regs[row]).sum(axis=1) >= 0.5 * threshold * REGISTERS]
-    if not len(others):
-        return others
-    theirs, mine = regs[others], regs[row]
-    return others[may_link((theirs < mine).sum(1), (theirs > mine).sum(1), np.full(len(others), n[row]), n[others], threshold)]
+            self.of[self.of == self.of[j]] = self.of[i]
+
+
+def _promising(regs: np.ndarray, n: np.ndarray, row: int, others: np.ndarray, threshold: float, forest: _Forest) -> Iterator[np.ndarray]:
+    """Those of the rows ``others`` that may link with ``row``, in parts, the likeliest first; what has been joined with the
+    row meanwhile is left out, so in a family that hangs together few are ever tested. Equal registers are counted
+    first: fewer than the likelihood test could pass need no test."""
+    others = others[(forest.of[others] != forest.of[row]) & (np.minimum(n[others], n[row]) >= threshold * np.maximum(n[others], n[row]) - 1e-9)]
+    same = (regs[others] == regs[row]).sum(axis=1)
+    keep = same >= 0.5 * threshold * REGISTERS
+    others = others[keep][np.argsort(-same[keep], kind="stable")]
+    size = 16
+    while len(others):
+        part, others = others[:size], others[size:]
+        theirs, mine = regs[part], regs[row]
+        part = part[may_link((theirs < mine).sum(1), (theirs > mine).sum(1), np.full(len(part), n[row]), n[part], threshold)]
+        if len(part):
+            yield part
+            others = others[forest.of[others] != forest.of[row]]
+        size = min(4 * size, 4096)
 
 
 def _across_labels(members: DataFrame, tasks: int, threshold: float) -> DataFrame:
@@ -158,63 +163,77 @@ def _across_labels(members: DataFrame, tasks: int, threshold: float) -> DataFram
     def run(group: pd.DataFrame) -> pd.DataFrame:
         regs = np.frombuffer(b"".join(group["regs"]), "<u2").reshape(-1, REGISTERS)
         rep, label, n, side = (group[c].to_numpy() for c in ("rep", "label", "n", "side"))
-        _, at_label = np.unique(label, return_inverse=True)
-        forest = _Forest(len(group))
-        out = []
+        forest = _Forest(label)
         for at in group.groupby(["key", "yb", "mb"], sort=False).indices.values():
             y, m = at[side[at] == 0], at[side[at] == 1]
             for row in y:
-                for other in _near(regs, n, row, m[label[m] != label[row]], threshold):
-                    before = len(forest.edges)
-                    forest.join(at_label[row], at_label[other])
-                    if len(forest.edges) > before:
-                        out.append((rep[row], rep[other]))
+                for near in _promising(regs, n, row, m, threshold, forest):
+                    for other in near:
+                        forest.join(row, other)
+        out = [(rep[i], rep[j]) for i, j in forest.edges]
         return pd.DataFrame(out, columns=["src", "dst"])
 
     return both.groupBy("task").applyInPandas(run, "src long, dst long")
 
 
+class _Postings:
+    """The rows of a list of sets that hold each hash, to count what a row shares with all others at once."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.rows, self.ends = len(sets), np.cumsum([0, *map(len, sets)])
+        self.code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        self.who = np.repeat(np.arange(self.rows, dtype=np.int32), np.diff(self.ends))[np.argsort(self.code, kind="stable")]
+        self.starts = np.concatenate(([0], np.cumsum(np.bincount(self.code))))
+
+    def shared(self, row: int) -> np.ndarray:
+        """How many hashes of a row each row has, by at most POSTINGS or one hash's at a time."""
+        own = self.code[self.ends[row] : self.ends[row + 1]]
+        begin, size = self.starts[own], self.starts[own + 1] - self.starts[own]
+        upto, out, k = np.concatenate(([0], np.cumsum(size))), np.zeros(self.rows, np.int64), 0
+        while k < len(own):
+            stop = max(k + 1, int(np.searchsorted(upto, upto[k] + POSTINGS, side="right")) - 1)
+            at = np.repeat(begin[k:stop] - upto[k:stop], size[k:stop]) + np.arange(upto[k], upto[stop])
+            out += np.bincount(self.who[at], minlength=self.rows)
+            k = stop
+        return out
+
+
 def _checked(met: DataFrame, threshold: float) -> DataFrame:
-    """Spanning forests (src, dst) of the links, on full sets, of rows (task, part, rep, regs, text, side): within a part
-    of a task, rows of side 0 are compared with each other and with those of side 1. Texts are moved and hashed again, as
-    they are half as large as the sets of hashes."""
+    """Spanning forests (src, dst) of the links, on full sets, of rows (task, part, rep, text, side, joined): within a part
+    of a task, rows of side 0 are compared with each other and with those of side 1. Rows of a part that are ``joined``
+    are known to hang together, and their links to be told elsewhere. Texts are moved and hashed again, as they are half
+    as large as the sets of hashes."""
     per = int(round(threshold * 100))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("rep", kind="stable")  # pivots come in the same order in all tasks
+        group = group.sort_values("rep", kind="stable").reset_index(drop=True)  # pivots come in the same order in all tasks
         sets = [T.shingles(h) for h in T.words(group["text"])]
-        regs = np.frombuffer(b"".join(group["regs"]), "<u2").reshape(-1, REGISTERS)
         rep, side = group["rep"].to_numpy(), group["side"].to_numpy()
-        n = np.array([len(x) for x in sets])
-        forest = _Forest(len(group))
-        for at in group.reset_index(drop=True).groupby("part", sort=False).indices.values():
-            own, other = at[side[at] == 0], at[side[at] == 1]
-            for k, row in enumerate(own):
-                others = np.concatenate((own[k + 1 :], other))
-                near = _near(regs, n, row, others[rep[others] != rep[row]], threshold)
-                near = near[[forest.root(x) != forest.root(row) for x in near]] if len(near) else near
-                if len(near):
-                    sizes = n[near]
-                    flat = np.concatenate([sets[x] for x in near])
-                    where = np.minimum(np.searchsorted(sets[row], flat), n[row] - 1)
-                    both = np.add.reduceat((sets[row][where] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
-                    for x in near[100 * both >= per * (n[row] + sizes - both)]:
-                        forest.join(row, x)
+        hang = group.groupby(["part", "joined", group["rep"].where(~group["joined"], 0)], sort=False).ngroup()
+        forest = _Forest(hang.to_numpy())  # a row that is on both sides is one as well
+        for at in group.groupby("part", sort=False).indices.values():
+            postings, n = _Postings([sets[x] for x in at]), np.array([len(sets[x]) for x in at])
+            for k in np.flatnonzero(side[at] == 0):
+                open_ = forest.of[at] != forest.of[at[k]]
+                if open_.any():
+                    both = postings.shared(k)
+                    for x in at[open_ & (100 * both >= per * (n[k] + n - both)) & (both > 0)]:
+                        forest.join(at[k], x)
         return pd.DataFrame([(rep[i], rep[j]) for i, j in forest.edges], columns=["src", "dst"])
 
     return met.groupBy("task").applyInPandas(run, "src long, dst long")
 
 
 def _verified(families: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """Spanning forests (src, dst) of the links within families (rep, label, n, regs)."""
+    """Spanning forests (src, dst) of the links within families (rep, label, n)."""
     sizes = families.groupBy("label").agg(F.count("*").alias("size"), F.min_by("rep", F.xxhash64("rep")).alias("p0"), *(F.min_by("rep", F.xxhash64("rep", F.lit(k))).alias(f"p{k}") for k in range(1, PIVOTS)))
     placed = families.join(sizes.filter("size > 1"), "label")
     own = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    texts = cut(own.join(placed.select("rep", "label", "n", "regs", "size", *(f"p{k}" for k in range(PIVOTS))), "rep").dropDuplicates(["rep"]))
+    texts = cut(own.join(placed.select("rep", "label", "n", "size", *(f"p{k}" for k in range(PIVOTS))), "rep").dropDuplicates(["rep"]))
 
     small = texts.filter(F.col("size") <= BLOCK)
     tasks = 1 + int(small.agg(F.sum("n")).first()[0] or 0) // TASK_SHINGLES
-    links = _checked(small.select(F.pmod(F.xxhash64("label"), F.lit(tasks)).alias("task"), F.col("label").cast("string").alias("part"), "rep", "regs", "text", F.lit(0).alias("side")), threshold)
+    links = _checked(small.select(F.pmod(F.xxhash64("label"), F.lit(tasks)).alias("task"), F.col("label").cast("string").alias("part"), "rep", "text", F.lit(0).alias("side"), F.lit(False).alias("joined")), threshold)
     large = texts.filter(F.col("size") > BLOCK)
     if large.isEmpty():
         return links
@@ -222,10 +241,10 @@ def _verified(families: DataFrame, docs: DataFrame, threshold: float) -> DataFra
     # all members of a large family against its pivots; a pivot goes to each block of members
     blocks = lambda size: F.ceil(size / F.lit(BLOCK)).cast("long")
     pivot = F.array(*(F.col(f"p{k}") for k in range(PIVOTS)))
-    members = large.select(F.xxhash64("label", F.pmod(F.xxhash64("rep", F.lit(2)), blocks(F.col("size")))).alias("task"), "rep", "regs", "text", F.lit(1).alias("side"))
+    members = large.select(F.xxhash64("label", F.pmod(F.xxhash64("rep", F.lit(2)), blocks(F.col("size")))).alias("task"), "rep", "text", F.lit(1).alias("side"))
     pivots = large.filter(F.array_contains(pivot, F.col("rep"))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), blocks(F.col("size")) - 1)))
-    pivots = pivots.select(F.xxhash64("label", "b").alias("task"), "rep", "regs", "text", F.lit(0).alias("side"))
-    star = cut(_checked(members.unionByName(pivots).withColumn("part", F.lit("")), threshold))
+    pivots = pivots.select(F.xxhash64("label", "b").alias("task"), "rep", "text", F.lit(0).alias("side"))
+    star = cut(_checked(members.unionByName(pivots).withColumns({"part": F.lit(""), "joined": F.lit(False)}), threshold))
 
     # what the pivot with most links is not linked with itself, against all members
     found = star.join(large.select(F.col("rep").alias("src"), "label"), "src")
@@ -234,12 +253,12 @@ def _verified(families: DataFrame, docs: DataFrame, threshold: float) -> DataFra
     apart = cut(large.select("rep", "label").join(near, "rep", "left_anti"))
     count = apart.groupBy("label").agg(F.count("*").alias("n_apart"))
     rest = large.join(cut(count), "label").withColumns({"bs": blocks(F.col("size")), "rs": blocks(F.col("n_apart"))})
-    rest = rest.join(apart.select("rep", F.lit(0).alias("out")), "rep", "left")
+    rest = rest.join(apart.select("rep", F.lit(False).alias("joined")), "rep", "left").withColumn("joined", F.coalesce("joined", F.lit(True)))
     sides = [
-        rest.filter("out = 0").withColumns({"rb": F.pmod(F.xxhash64("rep"), "rs"), "mb": F.explode(F.expr("sequence(0L, bs - 1)")), "side": F.lit(0)}),
+        rest.filter("NOT joined").withColumns({"rb": F.pmod(F.xxhash64("rep"), "rs"), "mb": F.explode(F.expr("sequence(0L, bs - 1)")), "side": F.lit(0)}),
         rest.withColumns({"rb": F.explode(F.expr("sequence(0L, rs - 1)")), "mb": F.pmod(F.xxhash64("rep", F.lit(1)), "bs"), "side": F.lit(1)}),
     ]
-    both = sides[0].unionByName(sides[1]).select(F.xxhash64("label", "rb", "mb").alias("task"), F.lit("").alias("part"), "rep", "regs", "text", "side")
+    both = sides[0].unionByName(sides[1]).select(F.xxhash64("label", "rb", "mb").alias("task"), F.lit("").alias("part"), "rep", "text", "side", "joined")
     return links.unionByName(star).unionByName(_checked(both, threshold))
 
 
@@ -270,7 +289,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     more = cut(_across_labels(members.join(reps.select("rep", "n", "regs"), "rep"), tasks, threshold))
 
     families = connected_components(near.union(more)).select(F.col("id").alias("rep"), F.col("component").alias("label"))
-    links = _verified(families.join(reps.select("rep", "n", "regs"), "rep"), docs, threshold)
+    links = _verified(families.join(reps.select("rep", "n"), "rep"), docs, threshold)
 
     linked = connected_components(links).select(F.col("id").alias("rep"), "component")
     of_set = reps.select(*name, "rep").join(linked, "rep", "left").select(*name, F.coalesce("component", "rep").alias("c"))
