@@ -106,11 +106,37 @@ def test_odd_documents(spark):
     assert empty.columns == ["doc_id", "n_shingles", "component_id", "kept"] and empty.count() == 0
 
 
+@pytest.mark.parametrize("at_once", [1, 7, 1 << 22])
+def test_shared_hashes_are_counted_from_postings(monkeypatch, at_once):
+    monkeypatch.setattr(sketch_dedup, "POSTINGS", at_once)
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 30), dtype=np.uint64) * np.uint64(2**58)) for _ in range(40)]
+    postings = sketch_dedup._Postings(sets)
+    for k, one in enumerate(sets):
+        assert postings.shared(k).tolist() == [len(np.intersect1d(one, other)) for other in sets]
+
+
+def test_joined_rows_are_one(spark):
+    """A row that links with one of those that hang together has nothing left to find among them; copies on both sides
+    are one; an id of -1 or 0 is as any other."""
+    base = [f"w{k}" for k in range(40)]
+    text = lambda k: " ".join(base[: 40 - k] + [f"x{k}y{j}" for j in range(k)])
+    rows = [(5, "", i, text(0), 1, True) for i in (-1, 0, 1)] + [(5, "", i, text(1), side, False) for i in (7, 8) for side in (0, 1)] + [(5, "", 9, "some thing else all together here", side, False) for side in (0, 1)]
+    met = spark.createDataFrame(rows, "task long, part string, rep long, text string, side int, joined boolean")
+    edges = [tuple(r) for r in sketch_dedup._checked(met, 0.8).collect()]
+    assert len(edges) == 2 and {i for e in edges for i in e} >= {7, 8} and 9 not in {i for e in edges for i in e}
+    assert len([e for e in edges if {*e} & {-1, 0, 1}]) == 1
+
+
 def test_components_of_a_path_and_a_star(spark):
     path = [(k, k + 1) for k in range(100, 164)]
     star = [(5, k) for k in range(200, 260)] + [(5, 5), (None, 4)]
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(path + star, "src long, dst long")).collect()}
     assert got == {k: 100 for k in range(100, 165)} | {k: 5 for k in [5, *range(200, 260)]}
+    ends = [(9, 1), (9, 2), (3, 2), (30, 20), (20, 10), (50, 40)]  # two ends up, a chain, a star already
+    got = {r.id: r.component for r in connected_components(spark.createDataFrame(ends, "src long, dst long")).collect()}
+    assert got == {9: 1, 2: 1, 3: 1, 1: 1, 30: 10, 20: 10, 10: 10, 50: 40, 40: 40}
+    assert connected_components(spark.createDataFrame(ends, "src long, dst long").limit(0)).count() == 0
 
 
 def _vectors(rng, groups):
