@@ -150,3 +150,18 @@ def test_ten_thousand_plans_a_run(spark):
             want.add(("long", n))
         n = after or n + 1
     assert got == want and len(want) > 1000
+
+
+def test_levels_of_ten_thousand_plans(spark):
+    """A running product, against a loop."""
+    rng, config = random.Random(6), portfolio.Config("2000-01-01", "2030-01-01", 1000.0, 5.0, 5.0)
+    days = [date(2000, 1, 1) + timedelta(days=k) for k in range(10_000)]
+    moved = [("r", d, "A", rng.random(), rng.random(), rng.uniform(0.99, 1.0101)) for d in days]
+    done = spark.createDataFrame([("r", d, d, None) for d in days], "run_id string, exec_date date, signal_date date, blocked_by string")
+    held = spark.createDataFrame([("r", d, 0.4) for d in days], "run_id string, exec_date date, w double")
+    got = {r.exec_date: r for r in portfolio.levels(done, spark.createDataFrame(moved, "run_id string, exec_date date, symbol string, w_new double, w_old double, growth double"), held, config).collect()}
+    value = 1000.0
+    for _, d, _, new, old, growth in moved:
+        before = value * growth
+        value = before * (1 - 0.001 * abs(new - old))
+        assert got[d].before == pytest.approx(before, rel=1e-9) and got[d].after == pytest.approx(value, rel=1e-9) and got[d].cash == pytest.approx(0.6)

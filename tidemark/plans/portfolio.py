@@ -194,22 +194,16 @@ def rebalances(done: DataFrame, held: DataFrame, paths: DataFrame) -> DataFrame:
 
 def levels(done: DataFrame, rebalanced: DataFrame, held: DataFrame, config: Config) -> DataFrame:
     """(run_id, exec_date, signal_date, turnover, before, after, cash): the portfolio's value at the open of each executed
-    plan before and after costs, and the plan's cash share; folded over a run's plans in order."""
+    plan before and after costs, and the plan's cash share. The value is a running product over a run's plans."""
     turn = rebalanced.groupBy("run_id", "exec_date").agg(F.sum(F.abs(F.col("w_new") - F.col("w_old"))).alias("turnover"), F.max("growth").alias("growth"))
     cash = held.groupBy("run_id", "exec_date").agg((1 - F.sum("w")).alias("cash"))
     ran = done.filter("blocked_by IS NULL").select("run_id", "exec_date", "signal_date").join(turn, ["run_id", "exec_date"], "left").join(cash, ["run_id", "exec_date"], "left")
     ran = ran.withColumns({"turnover": F.coalesce("turnover", F.lit(0.0)), "cash": F.coalesce("cash", F.lit(1.0)), "growth": F.coalesce("growth", F.lit(1.0))})
-    rows = ran.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("exec_date", "signal_date", "growth", "turnover", "cash"))).alias("plans"))
-    seen = "array<struct<exec_date:date,signal_date:date,turnover:double,before:double,after:double,cash:double>>"
-
-    def step(acc, p):
-        before = acc["value"] * p["growth"]
-        after = before * (1 - F.lit(config.rate) * p["turnover"])
-        row = F.struct(p["exec_date"].alias("exec_date"), p["signal_date"].alias("signal_date"), p["turnover"].alias("turnover"), before.alias("before"), after.alias("after"), p["cash"].alias("cash"))
-        return F.struct(after.alias("value"), F.concat(acc["seen"], F.array(row)).alias("seen"))
-
-    start = F.struct(F.lit(float(config.capital)).alias("value"), F.array().cast(seen).alias("seen"))
-    return rows.select("run_id", F.explode(F.aggregate("plans", start, step)["seen"]).alias("r")).select("run_id", "r.*")
+    kept = 1 - F.lit(config.rate) * F.col("turnover")
+    w = Window.partitionBy("run_id").orderBy("exec_date").rowsBetween(Window.unboundedPreceding, -1)
+    ran = ran.withColumn("_step", F.col("growth") * kept)
+    ran = ran.withColumn("before", F.lit(float(config.capital)) * F.coalesce(F.product("_step").over(w), F.lit(1.0)) * F.col("growth"))
+    return ran.select("run_id", "exec_date", "signal_date", "turnover", "before", (F.col("before") * kept).alias("after"), "cash")
 
 
 def trades(done: DataFrame, rebalanced: DataFrame, level: DataFrame, paths: DataFrame, prices: DataFrame, config: Config) -> DataFrame:
