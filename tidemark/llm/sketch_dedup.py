@@ -44,7 +44,7 @@ BLOCK = 2048
 #: Members that all of a large family are compared with first.
 PIVOTS = 4
 #: Sketches, and shingles, of the small buckets and families that one task has, about.
-TASK_SKETCHES, TASK_SHINGLES = 16384, 4_000_000
+TASK_SKETCHES, TASK_SHINGLES = 16384, 1_000_000
 #: Rows of hashes that are counted at a time.
 POSTINGS = 1 << 22
 #: Log-likelihood by which the best similarity may beat the best one that reaches the threshold; e**-16 is about 1e-7.
@@ -181,9 +181,14 @@ class _Postings:
 
     def __init__(self, sets: list[np.ndarray]):
         self.rows, self.ends = len(sets), np.cumsum([0, *map(len, sets)])
-        self.code = np.unique(np.concatenate(sets), return_inverse=True)[1]
-        self.who = np.repeat(np.arange(self.rows, dtype=np.int32), np.diff(self.ends))[np.argsort(self.code, kind="stable")]
-        self.starts = np.concatenate(([0], np.cumsum(np.bincount(self.code))))
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        flat = flat[order]
+        code = np.cumsum(np.diff(flat, prepend=flat[:1]) != 0, dtype=np.int32)
+        self.starts = np.concatenate(([0], np.cumsum(np.bincount(code))))
+        self.who = np.repeat(np.arange(self.rows, dtype=np.int32), np.diff(self.ends))[order]
+        self.code = np.empty(len(code), np.int32)
+        self.code[order] = code
 
     def shared(self, row: int) -> np.ndarray:
         """How many hashes of a row each row has, by at most POSTINGS or one hash's at a time."""
