@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.asof import Right, asof_join
@@ -110,20 +110,23 @@ def chains(spans: DataFrame) -> DataFrame:
 def reached(blockers: DataFrame) -> DataFrame:
     """(run_id, n, next) of those blockers that are executed: the first of a run, and of any that is executed the first one
     not before its ``next``. Found by pointer jumping: each round doubles how far pointers reach and marks where those of
-    marked ones lead, so a run of m blockers takes log2(m) rounds, and no row holds a run."""
+    marked ones lead, so a run of m executed blockers takes log2(m) rounds, and no row holds a run."""
     w = Window.partitionBy("run_id").orderBy("at", "side").rowsBetween(0, Window.unboundedFollowing)
     asks = blockers.select("run_id", F.col("next").alias("at"), F.lit(0).alias("side"), "n", F.lit(None).cast("long").alias("found"))
     stops = blockers.select("run_id", F.col("n").alias("at"), F.lit(1).alias("side"), "n", F.col("n").cast("long").alias("found"))
     hop = asks.union(stops).withColumn("jump", F.first("found", ignorenulls=True).over(w)).filter("side = 0").select("run_id", "n", "jump")
     first = F.col("n") == F.min("n").over(Window.partitionBy("run_id"))
     table = cut(blockers.join(hop, ["run_id", "n"]).withColumn("reached", first))
-    rounds = (table.groupBy("run_id").count().agg(F.max("count")).first()[0] or 0).bit_length()
-    for _ in range(rounds):
+    found = True
+    while found:
         marked = table.filter("reached AND jump IS NOT NULL").select("run_id", F.col("jump").alias("n"), F.lit(True).alias("_hit"))
         far = table.select("run_id", F.col("n").alias("jump"), F.col("jump").alias("_far"))
         after = table.join(far, ["run_id", "jump"], "left").join(marked.distinct(), ["run_id", "n"], "left")
+        fresh = Observation()  # counted by the write: without a new mark there is nothing farther
+        after = after.observe(fresh, F.count_if(F.col("_hit") & ~F.col("reached")).alias("n"))
         before, table = table, cut(after.select("run_id", "n", "next", F.col("_far").alias("jump"), (F.col("reached") | F.coalesce("_hit", F.lit(False))).alias("reached")))
         forget(before)
+        found = fresh.get["n"] > 0
     return table.filter("reached").select("run_id", "n", "next")
 
 
