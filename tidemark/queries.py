@@ -38,7 +38,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the lake, which the first query of a session builds; of the bridge if the lake has none of that name."""
+    """A table of the lake, which writes it when a session first asks for it; of the bridge if the lake has none of that name."""
     if name in ("daily_kline", "share_capital", "filings"):
         return lake.table(spark, sf_dir, name)
     return bridge.table(spark, sf_dir, name)
@@ -167,12 +167,12 @@ def lake_share_capital(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT symbol, change_date, total_shares FROM share_capital WHERE symbol IN ('000003', '000007')")
 def lake_single_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scans.dataset(spark, f"{lake.build(spark, sf_dir)}/share_capital", "share_capital", ["000003", "000007"])
+    return scans.dataset(spark, lake.folder(spark, sf_dir, "share_capital"), "share_capital", ["000003", "000007"])
 
 
 @query("SELECT symbol, change_date, total_shares FROM share_capital")
 def lake_path_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scans.with_path_symbol(spark, [f"{lake.build(spark, sf_dir)}/share_capital/*"], "change_date DATE, total_shares BIGINT")
+    return scans.with_path_symbol(spark, [f"{lake.folder(spark, sf_dir, 'share_capital_by_symbol')}/*"], "change_date DATE, total_shares BIGINT")
 
 
 @query("SELECT source, symbol, report_date, publish_date, available_date, revenue, net_profit, deduct_net_profit, ocf, net_assets, roe_weighted, operating_cashflow_to_revenue FROM filings")
@@ -200,12 +200,12 @@ def lake_ttm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT DISTINCT date AS trade_date FROM daily_kline")
 def lake_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scans.calendar(spark, f"{lake.build(spark, sf_dir)}/calendar")
+    return scans.calendar(spark, lake.folder(spark, sf_dir, "calendar"))
 
 
 @query("WITH c AS (SELECT DISTINCT date FROM daily_kline), d AS (SELECT DISTINCT change_date AS date FROM share_capital UNION SELECT date + 1 FROM c) SELECT d.date, c.date IS NOT NULL AS is_session, (SELECT max(date) FROM c WHERE date <= DATE '1999-06-17') AS latest FROM d LEFT JOIN c USING (date)")
 def calendar_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = scans.calendar(spark, f"{lake.build(spark, sf_dir)}/calendar")
+    days = scans.calendar(spark, lake.folder(spark, sf_dir, "calendar"))
     dates = lake.table(spark, sf_dir, "share_capital").select(F.col("change_date").alias("date")).union(days.select(F.date_add("trade_date", 1))).distinct()
     latest = D.latest_session(days, F.lit("1999-06-18 15:29:00").cast("timestamp")).first()["session"]
     return D.is_session(dates, days).select("date", "is_session", F.lit(latest).alias("latest"))
@@ -213,7 +213,7 @@ def calendar_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT symbol, report_date, deduct_net_profit AS \"扣非净利润\", roe_weighted AS \"净资产收益率_加权\", operating_cashflow_to_revenue AS \"经营现金流/营业收入\" FROM filings WHERE source = 'indicator'")
 def indicator_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = scans.indicator_names(spark, f"{lake.build(spark, sf_dir)}/indicators")
+    names = scans.indicator_names(spark, lake.folder(spark, sf_dir, "indicators"))
     own = {"deduct_net_profit": "DEDUCT_NET", "roe_weighted": "ROE_WEIGHTED", "operating_cashflow_to_revenue": "OCF_TO_REVENUE"}
     rows = lake.table(spark, sf_dir, "fin_indicator").select("symbol", "report_date", *(F.col(k).alias(v) for k, v in own.items()), F.lit(1).alias("OTHER"))
     return ingest.translate_indicators(rows, names)
