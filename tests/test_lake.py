@@ -2,7 +2,10 @@
 
 import glob
 
+from pyspark.sql import functions as F
+
 from tests.conftest import DATA
+from tidemark.plans import ingest
 from tidemark.queries import QUERIES
 from tidemark.sources import bridge, lake
 
@@ -29,3 +32,24 @@ def test_folders_a_symbol_are_written_by_more_tasks_if_there_are_more(spark, mon
     path = lake.folder(spark, SF, "share_capital_by_symbol").removeprefix("file://")
     tasks = {f.rsplit("/", 1)[1].split("-")[1] for f in glob.glob(f"{path}/symbol=*/*.parquet")}
     assert len(tasks) > 1
+
+
+def test_bars_are_those_of_the_sql_from_one_shuffle(spark):
+    """Also where a day has lines of several times."""
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").withColumn("l_shipdate", F.expr("l_shipdate + make_interval(0, 0, 0, 0, cast(l_orderkey % 3 AS int))")).withColumn("l_suppkey", F.col("l_suppkey") % 3)
+    want = spark.sql(f"WITH li AS ({bridge.CTES['li']}) {bridge.CTES['daily_kline']}", lineitem=lines)
+    got = bridge._bars(lines)
+    assert got.schema.simpleString() == want.schema.simpleString()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count(" Exchange ") == 1
+
+
+def test_a_write_computes_its_rows_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+    rows = spark.sparkContext.parallelize([("a", 1), ("b", 2)], 1).map(lambda r: seen.add(1) or r).toDF("symbol string, x int")
+    assert ingest.write_dataset(rows, f"{tmp_path}/x") and seen.value == 2
+    assert ingest.write_dataset(rows.filter("x > 1"), f"{tmp_path}/x") and spark.read.parquet(f"{tmp_path}/x").count() == 1
+    assert not ingest.write_dataset(rows.limit(0), f"{tmp_path}/x") and not ingest.write_dataset(rows.limit(0), f"{tmp_path}/y", "symbol")
+    assert spark.read.parquet(f"{tmp_path}/x").count() == 1 and sorted(f.name for f in tmp_path.iterdir()) == ["x"]
+    assert ingest.write_dataset(rows, f"{tmp_path}/y", "symbol") and ingest.write_dataset(rows.filter("x > 1").withColumn("x", F.lit(5)), f"{tmp_path}/y", "symbol")
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/y").select("symbol", "x").collect())) == [("a", 1), ("b", 5)]

@@ -34,6 +34,16 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
+def replace(spark: SparkSession, made: str, path: str) -> None:
+    """The folder ``made`` takes the place of ``path``."""
+    at, to = spark._jvm.org.apache.hadoop.fs.Path(made), spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = to.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(to, True)
+    if not files.rename(at, to):
+        raise OSError(f"{made} cannot be renamed to {path}")
+    spark.catalog.refreshByPath(path)
+
+
 def cut(df: DataFrame, keep: bool = True) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: a lost executor then costs a re-read, not the
     whole lineage, and later plans do not grow by this one. The table is deleted when the driver's Python ends, or by

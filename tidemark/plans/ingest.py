@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.dedupe import keep_last
+from tidemark.operators.storage import drop, exists, replace
 from tidemark.plans import filings
 
 #: Text columns of statements, all others are numbers.
@@ -97,14 +99,26 @@ def _carried(met: DataFrame, *drop: str) -> DataFrame:
 def write_dataset(df: DataFrame, path: str, partition: str | None = None, files: int = 0) -> bool:
     """Overwrite a dataset, or only the partitions that df has; an empty df writes nothing. Rows of a symbol lie together
     in date order, in ``files`` files (default: as shuffled), instead of one file a symbol. Partitions become visible one
-    after the other; readers that need all at once should read a new path."""
-    if df.isEmpty():
-        return False
+    after the other; readers that need all at once should read a new path.
+
+    df is computed once: the write counts its rows, beside the dataset, and takes its place if there are any."""
     by = [c for c in ("symbol", "date", "report_date", "change_date") if c in df.columns] or df.columns[:1]
     spread = df.repartition(files, by[0]) if files and by else df.repartition(by[0]) if by else df
-    out = spread.sortWithinPartitions(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if partition else "static")
-    (out.partitionBy(partition) if partition else out).parquet(path)
-    return True
+    seen, spark = Observation(), df.sparkSession
+    out = spread.sortWithinPartitions(*by).observe(seen, F.count(F.lit(1)).alias("n")).write
+    if partition:
+        known = exists(spark, path)
+        out.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+        if not seen.get["n"] and not known:
+            drop(spark, path)
+    else:
+        made = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+        out.mode("errorifexists").parquet(made)
+        if seen.get["n"]:
+            replace(spark, made, path)
+        else:
+            drop(spark, made)
+    return seen.get["n"] > 0
 
 
 def out_of_order(rows: DataFrame, file: str, at: str, *order: str) -> DataFrame:
