@@ -165,3 +165,14 @@ def test_levels_of_ten_thousand_plans(spark):
         before = value * growth
         value = before * (1 - 0.001 * abs(new - old))
         assert got[d].before == pytest.approx(before, rel=1e-9) and got[d].after == pytest.approx(value, rel=1e-9) and got[d].cash == pytest.approx(0.6)
+
+
+def test_prices_are_read_for_the_symbols_of_the_targets_only(spark, tmp_path):
+    """After the sessions are known, steps read a table of those symbols, whatever else has prices."""
+    d = [date(2024, 1, k) for k in (2, 3, 4)]
+    prices = [(x, s, 10.0, 10.0, 10.0 + i) for i, x in enumerate(d) for s in ["A", *(f"other{k}" for k in range(50))]]
+    spark.createDataFrame(prices, PRICES).write.parquet(f"{tmp_path}/prices")
+    r = portfolio.evaluate(spark.read.parquet(f"{tmp_path}/prices"), spark.createDataFrame([("r", d[0], "A", 1.0)], TARGETS), portfolio.Config(str(d[0]), str(d[-1])))
+    for df in (r.trades, r.daily_nav):
+        assert not any("prices" in f for f in df.inputFiles())
+    assert [(x.side, x.symbol) for x in sorted(r.trades.collect(), key=lambda x: x.date)] == [("BUY", "A"), ("DELIST", "A")] and r.daily_nav.count() == 3

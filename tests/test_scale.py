@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tests.conftest import DATA
@@ -120,3 +121,20 @@ def test_a_folder_of_three_schemas(spark, tmp_path):
 def test_order_within_files_is_seen(spark):
     data = spark.createDataFrame([("f", 0, "a", 1), ("f", 1, "a", 3), ("f", 2, "a", 2), ("g", 0, "a", 9), ("g", 1, "b", 1)], "file string, at int, symbol string, date int")
     assert rows(ingest.out_of_order(data, "file", "at", "symbol", "date")) == [("a", 4, 2, 1), ("b", 1, 1, 0)]
+
+
+def test_rolled_columns_equal_moving_frames(spark):
+    """With gaps, and of a series so flat that a difference of sums of squares would be noise."""
+    rng = random.Random(5)
+    x = lambda s, k: {"a": rng.choice([None, *[rng.uniform(-9, 9)] * 30]), "b": 1e6, "c": 1e6 + k % 2 * 1e-3}[s]
+    panel = spark.createDataFrame([(s, dt.date(2000, 1, 1) + dt.timedelta(days=k), x(s, k)) for s in "abc" for k in range(150)], "symbol string, date date, x double")
+    for n in (1, 2, 7, 60, 120, 151):
+        needs = [("mean", n, "x"), *([("deviation", n, "x")] if n > 1 else [])]
+        w = Window.partitionBy("symbol").orderBy("date").rowsBetween(1 - n, 0)
+        whole = F.count("x").over(w) == n
+        for r in factors.rolled(panel, needs).withColumns({"m": F.when(whole, F.avg("x").over(w)), "d": F.when(whole, F.stddev_samp("x").over(w))}).collect():
+            for got, want in zip([r[f"_{kind}_{n}_x"] for kind, *_ in needs], (r.m, r.d)):
+                assert got is None and want is None or got == pytest.approx(want, rel=1e-12, abs=1e-9)
+                assert r.symbol != "b" or got in (None, 1e6, 0.0)
+    plan = factors.calculate(panel.withColumnRenamed("x", "close_hfq"), PRICE)._jdf.queryExecution().executedPlan().toString()
+    assert "RowFrame, -119" not in plan and "RowFrame, -59" not in plan and plan.count("Exchange") == 1

@@ -25,9 +25,8 @@ def momentum(n: int, x: str = "close_hfq") -> Column:
 
 
 def moving_average(n: int, x: str = "close_hfq") -> Column:
-    """Mean of the last n sessions, null unless all n have a value."""
-    w = _by().rowsBetween(-(n - 1), 0)
-    return F.when(F.count(x).over(w) == n, F.avg(x).over(w))
+    """Mean of the last n sessions, null unless all n have a value; of a panel with the rolled column."""
+    return F.col(rolled_name("mean", n, x))
 
 
 def trend_gap(n: int, x: str = "close_hfq") -> Column:
@@ -41,9 +40,61 @@ def above_average(n: int, x: str = "close_hfq") -> Column:
 
 
 def volatility(n: int, ret: str = "_return") -> Column:
-    """Sample deviation of the last n simple returns, null unless all n are there."""
-    w = _by().rowsBetween(-(n - 1), 0)
-    return F.when(F.count(ret).over(w) == n, F.stddev_samp(ret).over(w))
+    """Sample deviation of the last n simple returns, null unless all n are there; of a panel with the rolled column."""
+    return F.col(rolled_name("deviation", n, ret))
+
+
+def rolled_name(kind: str, n: int, x: str) -> str:
+    return f"_{kind}_{n}_{x}"
+
+
+def _joined(near: tuple[Column, Column], w: int, far: tuple[Column, Column], v: int) -> tuple[Column, Column]:
+    """Mean and sum of squared distances from it, of w rows and v others."""
+    d = far[0] - near[0]
+    return near[0] + d * F.lit(v / (w + v)), near[1] + far[1] + d * d * F.lit(w * v / (w + v))
+
+
+def rolled(panel: DataFrame, needs: Iterable[tuple[str, int, str]]) -> DataFrame:
+    """panel with a column for each (kind, n, x): mean or sample deviation of x over the last n sessions of the symbol, null
+    unless all n have a value.
+
+    A frame that moves is summed anew for every row, n values each. Here sums of 1, 2, 4, ... rows are each made of two
+    of the level before, and n rows are joined from the levels in n's binary digits: log2(n) lags a row, in windows that
+    share one sort. Deviations are joined from means and squared distances, so nothing cancels out."""
+    needs = sorted(set(needs))
+    longest: dict[tuple[str, str], int] = {}
+    for kind, n, x in needs:
+        longest[kind, x] = max(n, longest.get((kind, x), 0))
+    name = lambda kind, x, w, part="": f"_{kind}{part}_of_{w}_{x}"
+    levels = {name(kind, x, 1): F.col(x).cast("double") for kind, x in longest}
+    levels |= {name(kind, x, 1, "_squares"): F.col(x).cast("double") * 0 for kind, x in longest if kind == "deviation"}
+    made, w = [*levels], 1
+    panel = panel.withColumns(levels) if levels else panel
+
+    def at(kind: str, x: str, w: int, back: int) -> tuple[Column, ...]:
+        parts = ("", "_squares") if kind == "deviation" else ("",)
+        return tuple(F.lag(name(kind, x, w, p), back).over(_by()) if back else F.col(name(kind, x, w, p)) for p in parts)
+
+    while any(2 * w <= n for n in longest.values()):
+        levels = {}
+        for (kind, x), n in longest.items():
+            if 2 * w > n:
+                continue
+            near, far = at(kind, x, w, 0), at(kind, x, w, w)
+            both = _joined(near, w, far, w) if kind == "deviation" else (near[0] + far[0],)
+            levels |= {name(kind, x, 2 * w, p): c for p, c in zip(("", "_squares"), both)}
+        panel, w = panel.withColumns(levels), 2 * w
+        made += levels
+    out = {}
+    for kind, n, x in needs:
+        sizes = [1 << k for k in reversed(range(n.bit_length())) if n >> k & 1]
+        whole, have = at(kind, x, sizes[0], 0), sizes[0]
+        for v in sizes[1:]:
+            part = at(kind, x, v, have)
+            whole = _joined(whole, have, part, v) if kind == "deviation" else (whole[0] + part[0],)
+            have += v
+        out[rolled_name(kind, n, x)] = F.sqrt(whole[1] / F.lit(float(n - 1))) if kind == "deviation" else whole[0] / F.lit(float(n))
+    return panel.withColumns(out).drop(*made) if out else panel
 
 
 def positive(x: str) -> Column:
@@ -56,7 +107,8 @@ def numeric(x: str) -> Column:
 
 @dataclass(frozen=True)
 class Factor:
-    """``build(**parameters)`` gives the column; ``lookback(**parameters)`` how many sessions before it needs."""
+    """``build(**parameters)`` gives the column; ``lookback(**parameters)`` how many sessions before it needs;
+    ``rolling(**parameters)`` the columns of ``rolled`` that it is built from."""
 
     name: str
     build: Callable[..., Column]
@@ -65,6 +117,7 @@ class Factor:
     parameters: dict[str, int] = field(default_factory=dict)
     extra_sessions: int = 0
     version: str = "1"
+    rolling: Callable[..., list[tuple[str, int, str]]] = lambda **_: []
 
     def resolved(self, given: dict[str, int] | None) -> dict[str, int]:
         if unknown := set(given or {}) - set(self.parameters):
@@ -83,9 +136,9 @@ FACTORS = {
     f.name: f
     for f in (
         Factor("price_momentum_120d", lambda lookback_days: momentum(lookback_days), ("close_hfq",), True, {"lookback_days": 120}),
-        Factor("price_trend_gap_120d", lambda trend_window: trend_gap(trend_window), ("close_hfq",), True, {"trend_window": 120}),
-        Factor("price_trend_above_ma_120d", lambda trend_window: above_average(trend_window), ("close_hfq",), True, {"trend_window": 120}),
-        Factor("price_volatility_60d", lambda volatility_window: volatility(volatility_window), ("close_hfq",), False, {"volatility_window": 60}, 1),
+        Factor("price_trend_gap_120d", lambda trend_window: trend_gap(trend_window), ("close_hfq",), True, {"trend_window": 120}, rolling=lambda trend_window: [("mean", trend_window, "close_hfq")]),
+        Factor("price_trend_above_ma_120d", lambda trend_window: above_average(trend_window), ("close_hfq",), True, {"trend_window": 120}, rolling=lambda trend_window: [("mean", trend_window, "close_hfq")]),
+        Factor("price_volatility_60d", lambda volatility_window: volatility(volatility_window), ("close_hfq",), False, {"volatility_window": 60}, 1, rolling=lambda volatility_window: [("deviation", volatility_window, "_return")]),
         Factor("valuation_pe_ttm", lambda: positive("pe_ttm"), ("pe_ttm",), False),
         Factor("valuation_pb", lambda: positive("pb"), ("pb",), False),
         Factor("quality_roe_weighted", lambda: numeric("roe_weighted"), ("roe_weighted",), True),
@@ -122,8 +175,10 @@ def calculate(panel: DataFrame, names: Iterable[str], parameters: dict[str, dict
     names = list(names)
     check_panel(panel, names, check_rows)
     rows = panel.withColumn("_return", F.try_divide(F.col("close_hfq"), F.lag("close_hfq").over(_by())) - 1) if "close_hfq" in panel.columns else panel
-    built = {n: FACTORS[n].build(**FACTORS[n].resolved((parameters or {}).get(n))) for n in names}
-    return rows.withColumns({"listing_days": F.row_number().over(_by()), **built}).drop("_return")
+    given = {n: FACTORS[n].resolved((parameters or {}).get(n)) for n in names}
+    needs = sorted({r for n in names for r in FACTORS[n].rolling(**given[n])})
+    built = {n: FACTORS[n].build(**given[n]) for n in names}
+    return rolled(rows, needs).withColumns({"listing_days": F.row_number().over(_by()), **built}).drop("_return", *(rolled_name(*r) for r in needs))
 
 
 def calculate_watched(panel: DataFrame, names: Iterable[str], parameters: dict[str, dict] | None = None) -> tuple[DataFrame, Watch]:

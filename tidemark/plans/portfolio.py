@@ -271,7 +271,8 @@ def evaluate(prices: DataFrame, targets: DataFrame, config: Config, carry_overni
     contract, or if a price row has an open and no close.
 
     Each step is written to the shared folder and read again: steps use several of those before, and without the cut
-    the plan would double with each. The tables grow with the targets and the days they are held, not with the prices;
+    the plan would double with each. Prices are read for the sessions and once more for the symbols of the targets; the
+    tables grow with those symbols' prices, the targets, and the days they are held;
     ``Result.release`` deletes them, else the end of the driver's Python does."""
     own = within(prices, config).select("date", "symbol", "open", "open_hfq", "close_hfq")
     watched, prices_hold = watch_prices(own)  # both contracts are checked by the writes that come anyway
@@ -282,10 +283,11 @@ def evaluate(prices: DataFrame, targets: DataFrame, config: Config, carry_overni
     watched, targets_hold = watch_targets(targets.select("run_id", "date", "symbol", "target_weight"), ("run_id", "date"))
     targets = cut(watched)
     targets_hold.verify()
+    own = cut(own.join(targets.select("symbol").distinct(), "symbol", "left_semi"))  # all that follows asks only for targets' symbols
     plan = cut(plans(targets, days))
     held = cut(weights(targets, plan, own))
     done = cut(executions(plan, held, own, days))
     paths = cut(holding_paths(done, held, own, days, carry_overnight_on_skip))
     moved = cut(rebalances(done, held, paths))
     level = cut(levels(done, moved, held, config))
-    return Result(daily_nav(level, paths, days, targets, config), trades(done, moved, level, paths, own, config), done, paths, moved, level, [days, targets, plan, held, done, paths, moved, level])
+    return Result(daily_nav(level, paths, days, targets, config), trades(done, moved, level, paths, own, config), done, paths, moved, level, [days, targets, own, plan, held, done, paths, moved, level])

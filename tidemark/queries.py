@@ -545,9 +545,9 @@ def _prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two runs: the five and the ten symbols of highest momentum."""
-    ten = _momentum(spark, sf_dir)
-    five = ten.filter("rank <= 5").withColumn("target_weight", F.lit(0.2))
-    return five.withColumn("run_id", F.lit("top5")).unionByName(ten.withColumn("run_id", F.lit("top10"))).select("run_id", "date", "symbol", "target_weight")
+    run = lambda name, weight: F.struct(F.lit(name).alias("run_id"), "date", "symbol", weight.alias("target_weight"))
+    runs = F.array_compact(F.array(F.when(F.col("rank") <= 5, run("top5", F.lit(0.2))), run("top10", F.col("target_weight"))))
+    return _momentum(spark, sf_dir).select(F.inline(runs))
 
 
 def _result(spark: SparkSession, sf_dir: str) -> portfolio.Result:

@@ -6,7 +6,7 @@ symbol, its lines of a day are a bar, and its quarters are filings of four sourc
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _DAY = "CAST(year({d}) * 10000 + month({d}) * 100 + day({d}) AS STRING)"
@@ -84,17 +84,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _bars(lines: DataFrame) -> DataFrame:
-    """The rows of ``daily_kline`` by aggregations that share one shuffle, without the windows that number a day's lines:
-    first and last line of each time of shipping, then of each day as the SQL has it."""
+    """The rows of ``daily_kline``, whose windows and sums here share one shuffle, by the symbol."""
     rows = lines.selectExpr(
-        "lpad(CAST(l_suppkey AS STRING), 6, '0') AS symbol", "l_suppkey", "l_shipdate", "l_extendedprice / l_quantity AS px",
-        "CAST(l_quantity AS DECIMAL(18,2)) AS qty", "CAST(l_extendedprice AS DECIMAL(18,2)) AS amt",
-        "struct(l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity) AS at",
+        "lpad(CAST(l_suppkey AS STRING), 6, '0') AS symbol", "l_suppkey", "l_shipdate", "l_extendedprice / l_quantity AS px", "CAST(l_quantity AS DECIMAL(18,2)) AS qty",
+        "CAST(l_extendedprice AS DECIMAL(18,2)) AS amt", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity",
     ).repartition("symbol")
-    times = rows.groupBy("symbol", "l_suppkey", "l_shipdate").agg(
-        F.min_by("px", "at").alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.max_by("px", "at").alias("close"), F.sum("qty").alias("qty"), F.sum("amt").alias("amt")
-    )
-    days = times.groupBy("symbol", F.col("l_shipdate").cast("date").alias("date")).agg(
-        F.max("open").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max("close").alias("close"), (F.sum("qty").cast("double") / 100).alias("volume"), F.sum("amt").cast("double").alias("amount")
-    )
-    return days.withColumn("adj_factor", F.expr("1 + CAST(0.02 AS DOUBLE) * (year(date) - 1995)"))
+    time = Window.partitionBy("symbol", "l_suppkey", "l_shipdate")
+    rank = F.row_number().over(time.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity"))
+    li = rows.select("symbol", F.col("l_shipdate").cast("date").alias("date"), "px", "qty", "amt", rank.alias("rn"), F.count("*").over(time).alias("n"))
+    return lines.sparkSession.sql(CTES["daily_kline"].replace("FROM li", "FROM {li}"), li=li)
