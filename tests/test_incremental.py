@@ -199,3 +199,16 @@ def test_deleted_rows_and_folders(spark, tmp_path):
 @pytest.mark.parametrize("name", ["pruned_upsert", "stored_marks", "pruned_upsert_share_capital", "pruned_upsert_etf", "filings_one_write", "ttm_refreshed", "due_for_sync", "valuation_rolled", "valuation_learned_late"])
 def test_queries_are_registered_with_sql(name):
     assert queries.QUERIES[name] is getattr(incremental_queries, name) and name in queries.ORACLE_SQL
+
+
+def test_a_first_write_copies_nothing(spark, tmp_path, monkeypatch):
+    """Neither what was cut already nor what overwrites nothing."""
+    from tidemark.sources import store as module
+
+    rows = module.cut(spark.createDataFrame([("a", dt.date(2000, 1, 1), 5), ("b", dt.date(2001, 1, 1), 6)], "symbol string, change_date date, total_shares long"))
+    copies, own = [], module.cut
+    monkeypatch.setattr(module, "cut", lambda *a, **k: copies.append(a) or own(*a, **k))
+    one = Store(spark, f"{tmp_path}/s", Layout("change_date DATE, total_shares BIGINT, symbol STRING", ("symbol", "change_date"), "change_date", 2))
+    assert one.upsert(rows) == 2 and not copies
+    assert one.upsert(rows.filter("symbol = 'a'").withColumn("total_shares", F.lit(7))) == 1 and len(copies) == 2
+    assert sorted(map(tuple, one.read().select("symbol", "total_shares").collect())) == [("a", 7), ("b", 6)] and rows.count() == 2

@@ -122,7 +122,8 @@ class Store:
     def upsert(self, new: DataFrame, after: Callable[[DataFrame], DataFrame] | None = None) -> int:
         """Merge rows by key, the new one where both have it, and pass what is in the touched folders through ``after``;
         gives the number of folders written. A repeated batch gives the same table. No rows: nothing is written."""
-        placed = cut(self.layout.placed(new), keep=False)
+        placed = self.layout.placed(new)
+        placed = placed if hasattr(new, "_cut_path") else cut(placed, keep=False)  # what ``cut`` has written is not copied again
         rows, levels = self.touched(placed)
         if not rows:
             forget(placed)
@@ -155,14 +156,16 @@ class Store:
 
     def _rewrite(self, merged: DataFrame, stored: DataFrame) -> int:
         """Write the folders that merged has, and delete those of stored that it has no rows for any more."""
-        levels = self.layout.levels
-        merged = cut(merged, keep=False)  # it reads what it overwrites
-        have = merged.select(*levels).distinct().collect() if levels else []
+        levels, first = self.layout.levels, not exists(self.spark, self.path)
+        merged = merged if first else cut(merged, keep=False)  # it reads what it overwrites
+        have = merged.select(*levels).distinct().collect() if levels and not first else []
         had = stored.select(*levels).distinct().collect() if levels else []
         order = [c for c in (*self.layout.keys, *self.layout.columns[:1]) if c not in self.layout.folders]
         spread = merged.hint("rebalance", *levels) if levels else merged
         write = spread.sortWithinPartitions(*levels, *dict.fromkeys(order)).write.mode("overwrite")
         (write.option("partitionOverwriteMode", "dynamic").partitionBy(*levels) if levels else write.option("partitionOverwriteMode", "static")).parquet(self.path)
+        if first and levels:
+            have = self._stored().select(*levels).distinct().collect()
         for row in {tuple(r) for r in had} - {tuple(r) for r in have}:
             drop(self.spark, "/".join([self.path, *(f"{c}={'__HIVE_DEFAULT_PARTITION__' if v is None else v}" for c, v in zip(levels, row, strict=True))]))
         forget(merged)
