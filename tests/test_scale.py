@@ -138,3 +138,35 @@ def test_rolled_columns_equal_moving_frames(spark):
                 assert r.symbol != "b" or got in (None, 1e6, 0.0)
     plan = factors.calculate(panel.withColumnRenamed("x", "close_hfq"), PRICE)._jdf.queryExecution().executedPlan().toString()
     assert "RowFrame, -119" not in plan and "RowFrame, -59" not in plan and plan.count("Exchange") == 1
+
+
+def test_trailing_figures_shuffle_filings_once(spark):
+    """Frames over a symbol's periods find what a lookup by period finds, also with gaps, odd periods and no symbol."""
+    rng = random.Random(8)
+    days = [f"{y}{md}" for y in range(1999, 2005) for md in ("0331", "0430", "0630", "0930", "1231")] + ["20000229", "20010228", "20040229"]
+    data = [(s, sym, d, f"{d}", *(rng.choice([None, rng.uniform(1, 9), 2.0]) for _ in range(4))) for s in ("income", "cashflow", "indicator") for sym in ("a", "b", None) for d in days if rng.random() < 0.8]
+    filed = spark.createDataFrame(data, "source string, symbol string, report_date string, publish_date string, net_profit double, revenue double, ocf double, deduct_net_profit double")
+    cur = {}
+    for source, sym, d, _, *values in data:
+        for (m, of), v in zip(ttm.METRICS.items(), values):
+            if of == source:
+                cur.setdefault((sym, d), {})[m] = v
+    want = set()
+    for (sym, d), now in cur.items():
+        y = int(d[:4]) - 1
+        end, same = (({} if sym is None else cur.get((sym, k), {})) for k in (f"{y}1231", f"{y}{d[4:]}"))
+        out = [None if None in (now.get(m), end.get(m), same.get(m)) else now[m] + (end[m] - same[m]) for m in ("net_profit", "deduct_net_profit", "revenue", "ocf")]
+        if any(v is not None for v in out):
+            want.add((sym, d, d, *out))
+    got = ttm.ttm(filed)
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 20
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count(" Exchange ") == 1 and plan.count("Scan ExistingRDD") == 1
+
+
+def test_filings_are_those_of_the_sql_from_one_pass(spark):
+    want = spark.sql(f"WITH {', '.join(f'{k} AS ({bridge.CTES[k]})' for k in ('li', 'q', 'fin', 'filed'))} {bridge.CTES['filings']}", lineitem=spark.read.parquet(f"{SF}/lineitem.parquet"))
+    got = bridge.table(spark, SF, "filings")
+    assert got.schema.simpleString() == want.schema.simpleString() and rows(got) == rows(want)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+    assert plan(got) == 1 and plan(want) == 4

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates as D
@@ -26,13 +26,17 @@ def current_revisions(filings: DataFrame) -> DataFrame:
 def ttm(filings: DataFrame) -> DataFrame:
     """(symbol, report_date, pub_date, *_ttm): current + (last year end - last year's same period) by metric, null if an
     operand is; periods without any figure are left out. pub_date is the latest publish date of the current period over
-    the sources. The sources meet in one aggregation, which is their full outer join."""
-    rows = current_revisions(filings.filter(F.col("source").isin(*set(METRICS.values()))))
+    the sources. The sources meet in one aggregation, which is their full outer join, and the two periods of last year in
+    frames over the symbol's periods, so filings are read and shuffled once."""
+    rows = current_revisions(filings.filter(F.col("source").isin(*set(METRICS.values()))).repartition("symbol"))
     own = [F.max(F.when(F.col("source") == s, F.col(m))).alias(m) for m, s in METRICS.items()]
     cur = rows.groupBy("symbol", "report_date").agg(F.max("pub_date").alias("pub_date"), *own)
-    back = lambda key, tag: cur.select("symbol", F.col("report_date").alias(key), *(F.col(m).alias(f"{tag}_{m}") for m in METRICS))
-    met = cur.withColumns({"_end": D.prior_year_end(F.col("report_date")), "_same": D.prior_year_same(F.col("report_date"))})
-    met = met.join(back("_end", "e"), ["symbol", "_end"], "left").join(back("_same", "s"), ["symbol", "_same"], "left")
+    day, year, by = F.col("report_date").cast("int"), F.substring("report_date", 1, 4).cast("int"), Window.partitionBy("symbol")
+    same = by.orderBy(day).rangeBetween(-10_000, -10_000)  # YYYYMMDD a year ago
+    before = by.orderBy(year).rangeBetween(-1, -1)
+    known = lambda c: F.when(F.col("symbol").isNotNull(), c)
+    end = lambda m: F.max(F.when(D.month_day(F.col("report_date")) == "1231", F.col(m))).over(before)
+    met = cur.withColumns({f"s_{m}": known(F.max(m).over(same)) for m in METRICS} | {f"e_{m}": known(end(m)) for m in METRICS})
     out = met.select("symbol", "report_date", "pub_date", *(F.expr(f"{c[:-4]} + (e_{c[:-4]} - s_{c[:-4]})").alias(c) for c in COLUMNS))
     return out.dropna("all", subset=COLUMNS)
 

@@ -6,10 +6,19 @@ symbol, its lines of a day are a bar, and its quarters are filings of four sourc
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _DAY = "CAST(year({d}) * 10000 + month({d}) * 100 + day({d}) AS STRING)"
+#: A filing's figures: name, and how it follows from a quarter.
+_FIGURES = (("revenue", "revenue"), ("net_profit", "net_profit"), ("deduct_net_profit", "net_profit * 0.9"), ("ocf", "ocf"), ("net_assets", "net_assets"), ("roe_weighted", "net_profit / net_assets * 100"), ("operating_cashflow_to_revenue", "ocf / revenue"))
+#: Filing sources: name, publish date, available date, and the figures that it has.
+_SOURCES = (
+    ("balance", _DAY.format(d="pub_balance"), "CASE WHEN k % 4 = 0 THEN CAST(NULL AS STRING) ELSE CAST(pub_balance + (k % 6) AS STRING) END", ("net_assets",)),
+    ("income", _DAY.format(d="pub_income"), "CAST(NULL AS STRING)", ("revenue", "net_profit")),
+    ("cashflow", _DAY.format(d="pub_cashflow"), "CASE WHEN k % 5 = 0 THEN 'invalid' END", ("ocf",)),
+    ("indicator", "CAST(pub_indicator AS STRING) || ' 00:00:00'", "CAST(NULL AS STRING)", ("net_profit * 0.9", "net_profit / net_assets * 100", "ocf / revenue")),
+)
 CTES = {
     "li": """SELECT lpad(CAST(l_suppkey AS STRING), 6, '0') AS symbol, CAST(l_shipdate AS DATE) AS date,
          l_extendedprice / l_quantity AS px,
@@ -41,14 +50,9 @@ CTES = {
          """ + _DAY.format(d="period_end") + """ AS report_date FROM fin""",
     "filings": " UNION ALL ".join(
         f"""SELECT '{source}' AS source, symbol, report_date, {text} AS publish_date, {available} AS available_date,
-         {", ".join(f"{c if c in own else 'CAST(NULL AS DOUBLE)'} AS {n}" for n, c in (("revenue", "revenue"), ("net_profit", "net_profit"), ("deduct_net_profit", "net_profit * 0.9"), ("ocf", "ocf"), ("net_assets", "net_assets"), ("roe_weighted", "net_profit / net_assets * 100"), ("operating_cashflow_to_revenue", "ocf / revenue")))}
+         {", ".join(f"{c if c in own else 'CAST(NULL AS DOUBLE)'} AS {n}" for n, c in _FIGURES)}
   FROM filed"""
-        for source, text, available, own in (
-            ("balance", _DAY.format(d="pub_balance"), "CASE WHEN k % 4 = 0 THEN CAST(NULL AS STRING) ELSE CAST(pub_balance + (k % 6) AS STRING) END", ("net_assets",)),
-            ("income", _DAY.format(d="pub_income"), "CAST(NULL AS STRING)", ("revenue", "net_profit")),
-            ("cashflow", _DAY.format(d="pub_cashflow"), "CASE WHEN k % 5 = 0 THEN 'invalid' END", ("ocf",)),
-            ("indicator", "CAST(pub_indicator AS STRING) || ' 00:00:00'", "CAST(NULL AS STRING)", ("net_profit * 0.9", "net_profit / net_assets * 100", "ocf / revenue")),
-        )
+        for source, text, available, own in _SOURCES
     ),
     "announcements": """SELECT symbol, report_date, pub_income - 3 + d AS publish_date,
          substr(report_date, 1, 4) || '年' || CASE substr(report_date, 5, 4) WHEN '0331' THEN '第一季度报告' WHEN '0630' THEN '半年度报告' WHEN '0930' THEN '第三季度报告' ELSE '年度报告' END || suffix AS title,
@@ -76,6 +80,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table; scans read only the columns that it needs."""
     if name == "daily_kline":
         return _bars(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    if name == "filings":
+        return _filings(table(spark, sf_dir, "filed"))
     own = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "supplier") if any(f"{{{t}}}" in CTES[x] for x in [*_USES[name], name])}
     if "daily_kline" in _USES[name]:
         return spark.sql(CTES[name].replace("FROM daily_kline", "FROM {daily_kline}"), daily_kline=_bars(own["lineitem"]))
@@ -93,3 +99,13 @@ def _bars(lines: DataFrame) -> DataFrame:
     rank = F.row_number().over(time.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity"))
     li = rows.select("symbol", F.col("l_shipdate").cast("date").alias("date"), "px", "qty", "amt", rank.alias("rn"), F.count("*").over(time).alias("n"))
     return lines.sparkSession.sql(CTES["daily_kline"].replace("FROM li", "FROM {li}"), li=li)
+
+
+def _filings(filed: DataFrame) -> DataFrame:
+    """The rows of ``filings`` from one pass over ``filed``, which the union of the sources computes once for each."""
+
+    def one(source: str, text: str, available: str, own: tuple[str, ...]) -> Column:
+        figures = (F.expr(c if c in own else "CAST(NULL AS DOUBLE)").alias(n) for n, c in _FIGURES)
+        return F.struct(F.lit(source).alias("source"), "symbol", "report_date", F.expr(text).alias("publish_date"), F.expr(available).alias("available_date"), *figures)
+
+    return filed.select(F.inline(F.array(*(one(*s) for s in _SOURCES))))
