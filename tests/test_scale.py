@@ -140,6 +140,19 @@ def test_rolled_columns_equal_moving_frames(spark):
     assert "RowFrame, -119" not in plan and "RowFrame, -59" not in plan and plan.count("Exchange") == 1
 
 
+def test_a_strategy_computes_its_panel_once(spark):
+    """Its month ends, quantiles and ranks are taken from the few rows that are written."""
+    rng, seen = random.Random(4), spark.sparkContext.accumulator(0)
+    data = [(s, dt.date(2000, 1, 1) + dt.timedelta(days=k), *(rng.uniform(1, 9) for _ in range(5))) for s in "abcdefgh" for k in range(400) if rng.random() < 0.9]
+    panel = spark.sparkContext.parallelize(data, 2).map(lambda r: seen.add(1) or r).toDF("symbol string, date date, close_hfq double, pe_ttm double, pb double, roe_weighted double, operating_cashflow_to_revenue double")
+    got = rows(strategies.multi_factor_targets(panel, "2000-11-05", {"min_listing_days": 200}))
+    assert seen.value == len(data)
+    ends = {max(x[1] for x in data if x[1].month == m and x[1].year == y) for y, m in ((2000, 11), (2000, 12), (2001, 1), (2001, 2))}
+    want = {(d, s) for s, d in ((x[0], x[1]) for x in data) if d in ends and sum(x[0] == s and x[1] <= d for x in data) >= 200}
+    assert {r[:2] for r in got} == want
+    assert all(r[4] == 1 / sum(x[0] == r[0] for x in want) for r in got)
+
+
 def test_trailing_figures_shuffle_filings_once(spark):
     """Frames over a symbol's periods find what a lookup by period finds, also with gaps, odd periods and no symbol."""
     rng = random.Random(8)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import cross_section as X
 from tidemark.operators.contracts import Watch, watch
+from tidemark.operators.storage import cut
 from tidemark.plans import factors
 
 #: Default weights of the multi-factor score. Fixed values.
@@ -86,11 +87,15 @@ def normalized_weights(given: dict[str, float] | None) -> dict[str, float]:
 
 
 def _signals(panel: DataFrame, names: list[str], start: str, listing_days: int, parameters: dict | None = None) -> DataFrame:
-    """Rows of the month ends from start on with enough sessions. The month ends are a few dates, found on the dates
-    alone; they filter rows after the windows, whose history must be whole."""
+    """(date, symbol, listing_days, and the factors) of the month ends from start on with enough sessions.
+
+    The panel is computed once: in the windows of the factors each symbol's last row of a month is found, and only those
+    are written; the dates that all symbols' last ones reach are the month ends."""
     rows = factors.calculate(panel, names, parameters)
-    rows = rows.join(F.broadcast(month_ends(panel)), "date", "left_semi")
-    return rows.filter((F.col("date") >= F.lit(start).cast("date")) & (F.col("listing_days") >= listing_days))
+    after = F.lead("date").over(Window.partitionBy("symbol").orderBy("date"))
+    rows = rows.withColumn("_last", ~F.trunc(after, "month").eqNullSafe(F.trunc("date", "month")))
+    rows = cut(rows.filter((F.col("date") >= F.lit(start).cast("date")) & F.col("_last")).select("date", "symbol", "listing_days", *names))
+    return rows.join(F.broadcast(month_ends(rows)), "date", "left_semi").filter(F.col("listing_days") >= listing_days)
 
 
 def momentum_targets(panel: DataFrame, start: str, parameters: dict | None = None) -> DataFrame:
