@@ -44,6 +44,19 @@ def test_bars_are_those_of_the_sql_from_one_shuffle(spark):
     assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count(" Exchange ") == 1
 
 
+def test_bars_move_only_the_lines_own_columns(spark):
+    """Also of suppliers whose first six digits are those of others, and of lines without quantity, price or supplier."""
+    odd = {"l_suppkey": "nullif(l_suppkey % 4, 3) + 1000000 * (l_orderkey % 2)", "l_quantity": "if(l_orderkey % 7 = 1, NULL, l_quantity)", "l_extendedprice": "if(l_orderkey % 11 = 1, NULL, l_extendedprice)"}
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").withColumns({k: F.expr(v) for k, v in odd.items()})
+    want = spark.sql(f"WITH li AS ({bridge.CTES['li']}) {bridge.CTES['daily_kline']}", lineitem=lines)
+    got = bridge._bars(lines)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    moved = bridge._bars(spark.read.parquet(f"{SF}/lineitem.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert moved.count("Exchange ") == 1
+    below = moved.split("Exchange ")[1].split("\n", 1)[1]  # what is read and made before the shuffle
+    assert "FileScan" in below and not any(x in below for x in ("lpad", "decimal", " / "))
+
+
 def test_a_write_computes_its_rows_once(spark, tmp_path):
     seen = spark.sparkContext.accumulator(0)
     rows = spark.sparkContext.parallelize([("a", 1), ("b", 2)], 1).map(lambda r: seen.add(1) or r).toDF("symbol string, x int")

@@ -90,14 +90,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _bars(lines: DataFrame) -> DataFrame:
-    """The rows of ``daily_kline``, whose windows and sums here share one shuffle, by the symbol."""
-    rows = lines.selectExpr(
-        "lpad(CAST(l_suppkey AS STRING), 6, '0') AS symbol", "l_suppkey", "l_shipdate", "l_extendedprice / l_quantity AS px", "CAST(l_quantity AS DECIMAL(18,2)) AS qty",
-        "CAST(l_extendedprice AS DECIMAL(18,2)) AS amt", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity",
-    ).repartition("symbol")
-    time = Window.partitionBy("symbol", "l_suppkey", "l_shipdate")
+    """The rows of ``daily_kline``, whose windows and sums here share one shuffle, by the symbol. Only the lines' own columns
+    are moved; what follows from them is made behind the shuffle."""
+    symbol = "lpad(CAST(l_suppkey AS STRING), 6, '0')"
+    rows = lines.select("l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity").repartition(F.expr(symbol))
+    rows = rows.select(F.expr(symbol).alias("symbol"), *rows.columns)
+    time = Window.partitionBy("l_suppkey", "l_shipdate", "symbol")  # the text last: rows are sorted by the numbers before it
     rank = F.row_number().over(time.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity"))
-    li = rows.select("symbol", F.col("l_shipdate").cast("date").alias("date"), "px", "qty", "amt", rank.alias("rn"), F.count("*").over(time).alias("n"))
+    made = {"date": F.col("l_shipdate").cast("date"), "px": F.expr("l_extendedprice / l_quantity"), "qty": F.expr("CAST(l_quantity AS DECIMAL(18,2))"), "amt": F.expr("CAST(l_extendedprice AS DECIMAL(18,2))")}
+    li = rows.withColumns({"rn": rank, "n": F.count("*").over(time)}).select("symbol", *(c.alias(k) for k, c in made.items()), "rn", "n")
     return lines.sparkSession.sql(CTES["daily_kline"].replace("FROM li", "FROM {li}"), li=li)
 
 
