@@ -153,6 +153,22 @@ def test_a_strategy_computes_its_panel_once(spark):
     assert all(r[4] == 1 / sum(x[0] == r[0] for x in want) for r in got)
 
 
+def test_the_first_ranks_are_chosen_before_the_shuffle(spark):
+    """No date's symbols are moved to one task to find its first three; ties go by symbol as before."""
+    rng = random.Random(6)
+    slope, price = ({s: rng.choice(of) for s in "abcdefghijklmnopqrstuvwxyz"} for of in ((0.1, 0.2, 0.3), (4.0, 5.0, 6.0, 7.0, 8.0)))
+    panel = spark.createDataFrame([(s, dt.date(2000, 1, 1) + dt.timedelta(days=k), 10 + slope[s] * k, price[s], price[s], 9.0, 1.0) for s in slope for k in range(300)], "symbol string, date date, close_hfq double, pe_ttm double, pb double, roe_weighted double, operating_cashflow_to_revenue double")
+    for name, make in strategies.STRATEGIES.items():
+        got = make(panel, "2000-07-01", {"holding_count": 3})
+        assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString(), name
+        whole = rows(make(panel, "2000-07-01", {"holding_count": 100}).select("date", "symbol", "score", "rank"))
+        assert rows(got.select("date", "symbol", "score", "rank")) == [r for r in whole if r[3] <= 3] and len(whole) > len([r for r in whole if r[3] <= 3]) > 0
+        up = name == "quality-value-recovery"
+        for day in {r[0] for r in whole}:
+            mine = sorted((r for r in whole if r[0] == day), key=lambda r: r[3])
+            assert [r[1] for r in mine] == [r[1] for r in sorted(mine, key=lambda r: (r[2] if up else -r[2], r[1]))]
+
+
 def test_trailing_figures_shuffle_filings_once(spark):
     """Frames over a symbol's periods find what a lookup by period finds, also with gaps, odd periods and no symbol."""
     rng = random.Random(8)

@@ -46,7 +46,12 @@ def combine(weights: dict[str, float]) -> Column:
     return reduce(lambda a, b: a + b, (F.col(c) * F.lit(float(w)) for c, w in weights.items()))
 
 
+def place(x: str, ascending: bool = False, by: str = "date", tie: str = "symbol") -> Column:
+    """1, 2, ... by x, ties by ``tie``. Where a filter asks for the first n, each task keeps only its own first n of a date, and
+    no date is moved as a whole."""
+    return F.row_number().over(Window.partitionBy(by).orderBy(F.asc_nulls_last(x) if ascending else F.desc_nulls_last(x), tie))
+
+
 def ordinal_rank(x: str, ascending: bool = False, by: str = "date", tie: str = "symbol") -> Column:
-    """1, 2, ... by x, ties by ``tie``; null x has no rank."""
-    order = F.asc_nulls_last(x) if ascending else F.desc_nulls_last(x)
-    return F.when(F.col(x).isNotNull(), F.row_number().over(Window.partitionBy(by).orderBy(order, tie)))
+    """``place``, but null x has no rank."""
+    return F.when(F.col(x).isNotNull(), place(x, ascending, by, tie))

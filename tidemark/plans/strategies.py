@@ -104,7 +104,7 @@ def momentum_targets(panel: DataFrame, start: str, parameters: dict | None = Non
     names = ["price_momentum_120d", "price_trend_above_ma_120d"]
     rows = _signals(panel, names, start, p["min_listing_days"], {names[0]: {"lookback_days": p["lookback_days"]}, names[1]: {"trend_window": p["trend_window"]}})
     rows = rows.filter(F.col(names[0]).isNotNull() & (F.col(names[1]) > 0)).withColumn("score", F.col(names[0]))
-    return equal_weight(rows.withColumn("rank", X.ordinal_rank("score")), p["holding_count"])
+    return equal_weight(rows.withColumn("rank", X.place("score")), p["holding_count"])
 
 
 def quality_value_targets(panel: DataFrame, start: str, parameters: dict | None = None) -> DataFrame:
@@ -116,7 +116,7 @@ def quality_value_targets(panel: DataFrame, start: str, parameters: dict | None
     rows = rows.withColumns({"pe_percentile": X.pct_rank(names[0]), "pb_percentile": X.pct_rank(names[1])})
     rows = rows.filter((F.col("pe_percentile") <= p["pe_pb_percentile"]) & (F.col("pb_percentile") <= p["pe_pb_percentile"]))
     rows = rows.withColumn("score", F.col("pe_percentile") + F.col("pb_percentile"))
-    return equal_weight(rows.withColumn("rank", X.ordinal_rank("score", ascending=True)), p["holding_count"])
+    return equal_weight(rows.withColumn("rank", X.place("score", ascending=True)), p["holding_count"])
 
 
 def multi_factor_targets(panel: DataFrame, start: str, parameters: dict | None = None) -> DataFrame:
@@ -129,7 +129,7 @@ def multi_factor_targets(panel: DataFrame, start: str, parameters: dict | None =
     rows = X.winsorized(rows, list(weights), p["winsorize_lower"], p["winsorize_upper"])
     rows = rows.withColumns({f"{n}_rank": X.pct_rank(n, factors.FACTORS[n].higher_is_better) for n in weights})
     rows = rows.withColumn("score", X.combine({f"{n}_rank": w for n, w in weights.items()}))
-    return equal_weight(rows.withColumn("rank", X.ordinal_rank("score")), p["holding_count"])
+    return equal_weight(rows.withColumn("rank", X.place("score")), p["holding_count"])
 
 
 Strategy = Callable[..., DataFrame]
